@@ -1,10 +1,17 @@
 """Vector columns: feature hashing and normalisation as plain projections."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from docflow.functions.text import bare_words
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once per row, however often a lambda inside reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def hash_embedding(text: Column, dim: int = 64) -> Column:
     """Word counts per md5 bucket, as whole numbers in an array of doubles.
 
@@ -15,10 +22,9 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
         bare_words(F.lower(text)),
         lambda word: F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("bigint") % dim,
     )
-    return F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint")),
-        lambda bucket: (F.size(buckets) - F.size(F.array_remove(buckets, bucket))).cast("double"),
-    )
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint"))
+    return let(buckets, lambda held: F.transform(
+        numbers, lambda bucket: (F.size(held) - F.size(F.array_remove(held, bucket))).cast("double")))
 
 
 def norm(vector: Column) -> Column:

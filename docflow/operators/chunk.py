@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from docflow.functions.text import WORD_SPACE, has_text, words
+from docflow.functions.vectors import let
 
 
 def _check(size: int, overlap: int) -> None:
@@ -26,11 +27,11 @@ def chunk_array(text: Column, tokens: Column, size: int, overlap: int) -> Column
     numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
     lead = F.length(text) - F.length(F.ltrim(text, F.lit(WORD_SPACE)))
     # Where chunk i starts: the lengths of the i steps before it.
-    starts = F.aggregate(
+    offsets = F.aggregate(
         F.transform(numbers, lambda i: F.length(F.array_join(F.slice(tokens, i * step + 1, F.lit(step)), ""))),
         F.array(lead), lambda seen, length: F.concat(seen, F.array(F.element_at(seen, -1) + length)))
 
-    def chunk(i):
+    def chunk(i, starts):
         part = F.slice(tokens, i * step + 1, F.lit(size))
         body = F.rtrim(F.array_join(part, ""), F.lit(WORD_SPACE))
         start = F.element_at(starts, i + 1)
@@ -38,7 +39,7 @@ def chunk_array(text: Column, tokens: Column, size: int, overlap: int) -> Column
             i.alias("chunk_no"), body.alias("text"), start.alias("start_char"),
             (start + F.length(body)).alias("end_char"), F.size(part).alias("n_words"))
 
-    return F.transform(numbers, chunk)
+    return let(offsets, lambda starts: F.transform(numbers, lambda i: chunk(i, starts)))
 
 
 def chunk_words(df: DataFrame, size: int = 512, overlap: int = 20, text: str = "text") -> DataFrame:

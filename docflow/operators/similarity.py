@@ -14,10 +14,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from docflow.functions.vectors import l2_normalise
 from docflow.session import durable
 
 METRICS = ("cosine", "l2", "dot")
@@ -79,43 +82,68 @@ def _best(qi, ids, scores, k, metric):
     return order[np.arange(len(order)) - first < k]
 
 
-def _merge_block(best, q, ids, m, k, metric):
-    """Fold one block of nodes into the running (question, id, score) best lists."""
-    if not len(ids):
-        return best
-    found = [best]
-    for start in range(0, len(q), TILE):
-        tile = q[start:start + TILE]
-        rough = _rough(tile, m, metric)
-        if len(ids) > k:
-            cut = np.partition(rough, -k, axis=1)[:, -k]
-            slack = 1e-9 * np.maximum(1.0, np.abs(rough).max(axis=1))
-            ti, ni = np.nonzero(rough >= (cut - slack)[:, None])
-        else:
-            ti, ni = (a.ravel() for a in np.indices(rough.shape))
-        scores = _final(tile[ti], m[ni], metric)
-        keep = _best(ti, ids[ni], scores, k, metric)
-        found.append((ti[keep] + start, ids[ni][keep], scores[keep]))
-    qi, node, score = (np.concatenate(parts) for parts in zip(*[f for f in found if f is not None]))
-    keep = _best(qi, node, score, k, metric)
-    return qi[keep], node[keep], score[keep]
-
-
-def _hit_schema(question_type, node_type) -> T.StructType:
-    return T.StructType([T.StructField("query_id", question_type), T.StructField("node_id", node_type),
-                         T.StructField("score", T.DoubleType())])
-
-
-def _plain(df: DataFrame, id_col: str, vector: str, name: str) -> DataFrame:
-    return df.select(F.col(id_col).alias(name), F.col(vector).cast("array<double>").alias("vector")).filter(
-        F.col(name).isNotNull() & F.col("vector").isNotNull())
+class _BestHits:
+    """The best k nodes per question among the blocks seen so far."""
+
+    def __init__(self, labels, q, k, metric, schema: pa.Schema):
+        self.labels, self.q, self.k, self.metric, self.schema = labels, q, k, metric, schema
+        self.found = None  # question number, node id, score, position in `carried`
+        self.carried = None
+
+    def add(self, ids, m, carried) -> None:
+        """Fold in a block of nodes: ids, their vectors and the rows of the carried columns."""
+        if not len(ids) or not len(self.q):
+            return
+        seen = 0 if self.found is None else len(self.found[0])
+        found = [] if self.found is None else [self.found]
+        for start in range(0, len(self.q), TILE):
+            tile = self.q[start:start + TILE]
+            rough = _rough(tile, m, self.metric)
+            if len(ids) > self.k:
+                cut = np.partition(rough, -self.k, axis=1)[:, -self.k]
+                slack = 1e-9 * np.maximum(1.0, np.abs(rough).max(axis=1))
+                ti, ni = np.nonzero(rough >= (cut - slack)[:, None])
+            else:
+                ti, ni = (a.ravel() for a in np.indices(rough.shape))
+            scores = _final(tile[ti], m[ni], self.metric)
+            keep = _best(ti, ids[ni], scores, self.k, self.metric)
+            found.append((ti[keep] + start, ids[ni][keep], scores[keep], ni[keep] + seen))
+        qi, node, score, position = (np.concatenate(parts) for parts in zip(*found))
+        keep = _best(qi, node, score, self.k, self.metric)
+        rows = carried if self.carried is None else pa.concat_tables([self.carried, carried])
+        self.carried = rows.take(pa.array(position[keep]))
+        self.found = qi[keep], node[keep], score[keep], np.arange(len(keep))
+
+    def table(self) -> pa.Table:
+        if self.found is None:
+            return self.schema.empty_table()
+        qi, node, score, _ = self.found
+        columns = [pa.array(self.labels[qi].tolist(), self.schema.field(0).type),
+                   pa.array(node.tolist(), self.schema.field(1).type), pa.array(score)]
+        carried = [self.carried.column(f.name).cast(f.type) for f in list(self.schema)[3:]]
+        return pa.Table.from_arrays([*columns, *carried], schema=self.schema)
+
+
+def _plain(df: DataFrame, id_col: str, vector: str, name: str, carry=()) -> DataFrame:
+    return df.select(F.col(id_col).alias(name), F.col(vector).cast("array<double>").alias("vector"), *carry)
+
+
+def _hit_schema(asked: DataFrame, held: DataFrame, carry) -> T.StructType:
+    return T.StructType([asked.schema["query_id"], held.schema["node_id"], T.StructField("score", T.DoubleType()),
+                         *[held.schema[c] for c in carry]])
+
+
+def _usable(table):
+    """Rows with an id and a vector. Testing it here spares the plan a second run of the vector expression."""
+    return table.filter(pc.and_(pc.is_valid(table.column(0)), pc.is_valid(table.column("vector"))))
 
 
 def _rank(hits: DataFrame, k: int, metric: str) -> DataFrame:
     better = F.asc("score") if metric == "l2" else F.desc("score")
     place = W.partitionBy("query_id").orderBy(better, F.asc("node_id"))
+    carried = [c for c in hits.columns if c not in ("query_id", "node_id", "score")]
     return (hits.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "node_id", "score"))
+            .select("query_id", "rank", "node_id", "score", *carried))
 
 
 def _check(k: int, metric: str) -> None:
@@ -127,35 +155,32 @@ def _check(k: int, metric: str) -> None:
 
 def top_k(queries: DataFrame, nodes: DataFrame, k: int = 2, metric: str = "cosine", *, query_id: str = "query_id",
           query_vector: str = "embedding", node_id: str = "node_id", node_vector: str = "embedding",
-          max_questions: int = MAX_QUESTIONS) -> DataFrame:
-    """Exact k best nodes per question: (query_id, rank, node_id, score).
+          carry: list[str] = (), max_questions: int = MAX_QUESTIONS) -> DataFrame:
+    """Exact k best nodes per question: (query_id, rank, node_id, score) and the `carry` columns of the node.
 
     `score` is the cosine, the dot product or, for `l2`, the distance.
     """
     _check(k, metric)
     asked = _plain(queries, query_id, query_vector, "query_id")
-    held = _plain(nodes, node_id, node_vector, "node_id")
+    held = _plain(nodes, node_id, node_vector, "node_id", carry)
+    schema = _hit_schema(asked, held, carry)
     head = asked.limit(max_questions + 1).toArrow()
     if head.num_rows <= max_questions and head.nbytes <= MAX_QUESTION_BYTES:
-        return _rank(_scan_with_matrix(head, asked, held, k, metric), k, metric)
-    return _rank(_visit_cells(asked, held, k, metric), k, metric)
+        return _rank(_scan_with_matrix(_usable(head), held, schema, k, metric), k, metric)
+    return _rank(_visit_cells(asked, held, schema, k, metric), k, metric)
 
 
-def _scan_with_matrix(head: pa.Table, asked: DataFrame, held: DataFrame, k: int, metric: str) -> DataFrame:
-    schema = _hit_schema(asked.schema["query_id"].dataType, held.schema["node_id"].dataType)
+def _scan_with_matrix(head: pa.Table, held: DataFrame, schema: T.StructType, k: int, metric: str) -> DataFrame:
+    arrow = to_arrow_schema(schema)
     labels = np.asarray(head.column("query_id").to_pylist())
     q = _matrix(head.column("vector"))
 
     def run(batches):
-        best = None
+        best = _BestHits(labels, q, k, metric, arrow)
         for batch in batches:
-            if len(labels) and batch.num_rows:
-                best = _merge_block(best, q, _ids(batch.column(0)), _matrix(batch.column(1)), k, metric)
-        if best is not None:
-            qi, node, score = best
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(labels[qi].tolist()), pa.array(node.tolist()), pa.array(score)],
-                names=["query_id", "node_id", "score"])
+            rows = _usable(pa.Table.from_batches([batch]))
+            best.add(_ids(rows.column(0)), _matrix(rows.column("vector")), rows.select(arrow.names[3:]))
+        yield from best.table().combine_chunks().to_batches()
 
     return held.mapInArrow(run, schema)
 
@@ -165,8 +190,8 @@ def fit_centroids(nodes: DataFrame, cells: int, seed: int = 7) -> np.ndarray:
     total = nodes.count()
     share = min(1.0, SAMPLE_PER_CELL * cells / max(total, 1))
     sample = nodes.sample(fraction=share, seed=seed) if share < 1.0 else nodes
-    points = sample.select(array_to_vector("vector").alias("features"))
-    model = KMeans(k=min(cells, max(total, 2)), maxIter=5, seed=seed).fit(points)
+    points = sample.select(array_to_vector("place").alias("features"))
+    model = KMeans(k=max(2, cells), maxIter=5, seed=seed).fit(points)
     return np.array(model.clusterCenters())
 
 
@@ -179,7 +204,7 @@ def _assign(nodes: DataFrame, centroids: np.ndarray) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m = _matrix(batch.column(1))
+            m = _matrix(batch.column("place"))
             nearest = np.argmax(_rough(m, centroids, "l2"), axis=1)
             distance = _norms(m - centroids[nearest])
             yield pa.RecordBatch.from_arrays(
@@ -188,24 +213,21 @@ def _assign(nodes: DataFrame, centroids: np.ndarray) -> DataFrame:
     return nodes.mapInArrow(run, schema)
 
 
-def _to_euclid(asked: DataFrame, held: DataFrame, metric: str):
-    """Both sides in a space where the nearest node is the best one (`place` column)."""
-    def square(v):
-        return F.aggregate(v, F.lit(0.0), lambda total, x: total + x * x)
+def _square(v):
+    return F.aggregate(v, F.lit(0.0), lambda total, x: total + x * x)
 
-    def unit(v):
-        length = F.sqrt(square(v))
-        return F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(v)
 
+def _to_euclid(asked: DataFrame, held: DataFrame, metric: str):
+    """Both sides in a space where the nearest node is the best one (`place` column)."""
     v = F.col("vector")
     if metric == "l2":
         return asked.withColumn("place", v), held.withColumn("place", v)
     if metric == "cosine":
-        return asked.withColumn("place", unit(v)), held.withColumn("place", unit(v))
+        return asked.withColumn("place", l2_normalise(v)), held.withColumn("place", l2_normalise(v))
     # A dot product becomes a distance once every node is lifted onto one sphere.
-    largest = held.agg(F.max(square(v))).first()[0] or 0.0
-    lifted = F.concat(v, F.array(F.sqrt(F.greatest(F.lit(largest) - square(v), F.lit(0.0)))))
-    return (asked.withColumn("place", F.concat(unit(v), F.array(F.lit(0.0)))), held.withColumn("place", lifted))
+    largest = held.agg(F.max(_square(v))).first()[0] or 0.0
+    lifted = F.concat(v, F.array(F.sqrt(F.greatest(F.lit(largest) - _square(v), F.lit(0.0)))))
+    return (asked.withColumn("place", F.concat(l2_normalise(v), F.array(F.lit(0.0)))), held.withColumn("place", lifted))
 
 
 def _targets(asked: DataFrame, centroids, sizes, radii, k: int, nprobe: int | None, floor: DataFrame | None):
@@ -214,7 +236,8 @@ def _targets(asked: DataFrame, centroids, sizes, radii, k: int, nprobe: int | No
     Without `floor`: the nearest cells, `nprobe` of them or until they hold k nodes.
     With it: every other cell that could hold a node nearer than the k-th found.
     """
-    if floor is not None:
+    second = floor is not None
+    if second:
         asked = asked.join(floor, "query_id", "left")
     schema = T.StructType([asked.schema["query_id"], asked.schema["vector"], T.StructField("cell", T.IntegerType())])
 
@@ -230,7 +253,7 @@ def _targets(asked: DataFrame, centroids, sizes, radii, k: int, nprobe: int | No
             visited = np.zeros(gap.shape, dtype=bool)
             np.put_along_axis(visited, order, np.arange(gap.shape[1])[None, :] < reached[:, None], axis=1)
             visited &= sizes[None, :] > 0
-            if floor is not None:
+            if second:
                 kth = np.array([np.inf if d is None else d for d in batch.column("kth").to_pylist()])
                 visited = ~visited & (sizes[None, :] > 0) & (gap - radii[None, :] <= kth[:, None] + 1e-6)
             rows, cells = np.nonzero(visited)
@@ -240,65 +263,58 @@ def _targets(asked: DataFrame, centroids, sizes, radii, k: int, nprobe: int | No
     return asked.mapInArrow(run, schema)
 
 
-def _score_cells(targets: DataFrame, cells: DataFrame, sizes, k: int, metric: str, block_rows: int) -> DataFrame:
+def _score_cells(targets: DataFrame, cells: DataFrame, sizes, schema: T.StructType, k: int, metric: str,
+                 block_rows: int) -> DataFrame:
     """Best k per question and block; both sides of a crowded cell are cut into blocks."""
     asked_per_cell = {r["cell"]: r["count"] for r in targets.groupBy("cell").count().collect()}
+    if not asked_per_cell:
+        return targets.sparkSession.createDataFrame([], schema)
 
     def pieces(counts):
-        return F.create_map(*[F.lit(x) for cell, n in counts for x in (cell, math.ceil(n / block_rows))])
+        return F.create_map(*[F.lit(x) for cell, n in counts.items() for x in (cell, math.ceil(n / block_rows))])
 
-    if not asked_per_cell:
-        return targets.sparkSession.createDataFrame(
-            [], _hit_schema(targets.schema["query_id"].dataType, cells.schema["node_id"].dataType))
-    node_cuts = pieces([(c, int(sizes[c])) for c in asked_per_cell])
-    asked_cuts = pieces(list(asked_per_cell.items()))
+    node_cuts = pieces({c: int(sizes[c]) for c in asked_per_cell})
+    asked_cuts = pieces(asked_per_cell)
 
-    def cut(df, id_col, own, other):
+    def cut(df, id_col, own, other, own_name, other_name):
         """Each row goes to one block of its own side and meets every block of the other side."""
-        def numbers(cuts):
-            return F.sequence(F.lit(0), F.element_at(cuts, F.col("cell")) - 1)
-
         own_no = F.pmod(F.xxhash64(F.col(id_col)), F.element_at(own, F.col("cell"))).cast("int")
-        return df.withColumn("_own", own_no).withColumn("_other", F.explode(numbers(other)))
+        other_no = F.explode(F.sequence(F.lit(0), F.element_at(other, F.col("cell")) - 1))
+        return df.withColumn(own_name, own_no).withColumn(other_name, other_no)
 
-    left = cut(targets, "query_id", asked_cuts, node_cuts).withColumnsRenamed({"_own": "qb", "_other": "nb"})
-    right = (cut(cells.filter(F.col("cell").isin(list(asked_per_cell))), "node_id", node_cuts, asked_cuts)
-             .select("node_id", "vector", "cell", F.col("_own").alias("nb"), F.col("_other").alias("qb")))
-    schema = _hit_schema(targets.schema["query_id"].dataType, cells.schema["node_id"].dataType)
+    left = cut(targets, "query_id", asked_cuts, node_cuts, "qb", "nb")
+    right = cut(cells.filter(F.col("cell").isin(list(asked_per_cell))), "node_id", node_cuts, asked_cuts, "nb", "qb")
+    arrow = to_arrow_schema(schema)
 
     def run(asked, nodes):
-        labels = np.asarray(asked.column("query_id").to_pylist())
-        best = None
-        if len(labels):
-            best = _merge_block(None, _matrix(asked.column("vector")), _ids(nodes.column("node_id")),
-                                _matrix(nodes.column("vector")), k, metric)
-        if best is None:
-            return pa.table({"query_id": asked.column("query_id").slice(0, 0),
-                             "node_id": nodes.column("node_id").slice(0, 0), "score": pa.array([], pa.float64())})
-        qi, node, score = best
-        return pa.table({"query_id": pa.array(labels[qi].tolist()), "node_id": pa.array(node.tolist()),
-                         "score": pa.array(score)})
+        best = _BestHits(np.asarray(asked.column("query_id").to_pylist()), _matrix(asked.column("vector")), k, metric, arrow)
+        best.add(_ids(nodes.column("node_id")), _matrix(nodes.column("vector")), nodes.select(arrow.names[3:]))
+        return best.table()
 
     key = ["cell", "nb", "qb"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, schema)
 
 
-def _visit_cells(asked: DataFrame, held: DataFrame, k: int, metric: str, cells: int | None = None,
-                 nprobe: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _visit_cells(asked: DataFrame, held: DataFrame, schema: T.StructType, k: int, metric: str,
+                 cells: int | None = None, nprobe: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Hits of the visited cells: `nprobe` of them, or as many as an exact answer needs."""
-    asked, held = _to_euclid(asked, held, metric)
+    # Both sides are read several times, so their vectors are computed once.
+    asked, held = (durable(side.dropna(subset=[side.columns[0], "vector"])) for side in _to_euclid(asked, held, metric))
     if cells is None:
         cells = max(2, min(MAX_CELLS, math.isqrt(held.count())))
-    centroids = fit_centroids(held.select(F.col("place").alias("vector")), cells)
-    placed = durable(
-        _assign(held.select("node_id", F.col("place").alias("spot"), "vector"), centroids).drop("spot"))
+    centroids = fit_centroids(held, cells)
+    placed = durable(_assign(held, centroids).drop("place"))
     sizes, radii = np.zeros(len(centroids), dtype="int64"), np.zeros(len(centroids))
     for row in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("distance").alias("r")).collect():
         sizes[row["cell"]], radii[row["cell"]] = row["n"], row["r"]
-    first = _score_cells(_targets(asked, centroids, sizes, radii, k, nprobe, None), placed, sizes, k, metric, block_rows)
+
+    def hits(nprobe, floor):
+        targets = _targets(asked, centroids, sizes, radii, k, nprobe, floor)
+        return _score_cells(targets, placed, sizes, schema, k, metric, block_rows)
+
     if nprobe is not None:
-        return first
-    first = durable(_rank(first, k, metric).drop("rank"))
+        return hits(nprobe, None)
+    first = durable(_rank(hits(None, None), k, metric).drop("rank"))
     # Distance of the k-th hit found so far; fewer than k hits rule nothing out.
     found = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"))
     if metric == "l2":
@@ -306,22 +322,21 @@ def _visit_cells(asked: DataFrame, held: DataFrame, k: int, metric: str, cells:
     elif metric == "cosine":
         kth = F.sqrt(F.greatest(2 - 2 * F.col("lo"), F.lit(0.0)))
     else:
-        largest = held.agg(F.max(F.aggregate("place", F.lit(0.0), lambda t, x: t + x * x))).first()[0] or 0.0
-        length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda t, x: t + x * x))
-        found = found.join(asked.select("query_id", length.alias("len")), "query_id")
+        largest = held.agg(F.max(_square(F.col("place")))).first()[0] or 0.0
+        found = found.join(asked.select("query_id", F.sqrt(_square(F.col("vector"))).alias("len")), "query_id")
         scaled = F.when(F.col("len") > 0, F.col("lo") / F.col("len")).otherwise(F.lit(-math.inf))
         kth = F.sqrt(F.greatest(F.lit(1.0 + largest) - 2 * scaled, F.lit(0.0)))
     floor = found.select("query_id", F.when(F.col("n") >= k, kth).alias("kth"))
-    second = _score_cells(
-        _targets(asked, centroids, sizes, radii, k, None, floor), placed, sizes, k, metric, block_rows)
-    return first.unionByName(second)
+    return first.unionByName(hits(None, floor))
 
 
 def ann_top_k(queries: DataFrame, nodes: DataFrame, k: int = 2, nprobe: int = 4, metric: str = "cosine", *,
               cells: int | None = None, query_id: str = "query_id", query_vector: str = "embedding",
-              node_id: str = "node_id", node_vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+              node_id: str = "node_id", node_vector: str = "embedding", carry: list[str] = (),
+              block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Approximate top-k from the `nprobe` cells nearest to each question, with exact scores."""
     _check(k, metric)
-    hits = _visit_cells(_plain(queries, query_id, query_vector, "query_id"),
-                        _plain(nodes, node_id, node_vector, "node_id"), k, metric, cells, nprobe, block_rows)
-    return _rank(hits, k, metric)
+    asked = _plain(queries, query_id, query_vector, "query_id")
+    held = _plain(nodes, node_id, node_vector, "node_id", carry)
+    schema = _hit_schema(asked, held, carry)
+    return _rank(_visit_cells(asked, held, schema, k, metric, cells, nprobe, block_rows), k, metric)

@@ -10,12 +10,12 @@ from docflow.plans.embedding import embed_hashed
 
 def search(questions: DataFrame, nodes: DataFrame, k: int = 2, metric: str = "cosine", *,
            question_id: str = "item_id", question: str = "text", dim: int = 64,
-           max_questions: int = MAX_QUESTIONS) -> DataFrame:
-    """Best nodes per question: (query_id, rank, node_id, score). Nodes are embedded already."""
+           carry: list[str] = (), max_questions: int = MAX_QUESTIONS) -> DataFrame:
+    """Best nodes per question: (query_id, rank, node_id, score, *carry). Nodes are embedded already."""
     asked = embed_hashed(questions.select(F.col(question_id).alias("query_id"), question), question, dim)
-    return top_k(asked, nodes, k, metric, max_questions=max_questions)
+    return top_k(asked, nodes, k, metric, carry=carry, max_questions=max_questions)
 
 
 def attach(hits: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
-    """Hits with columns of their nodes. Spark broadcasts the hits when they are few and shuffles otherwise."""
+    """Hits with wide columns of their nodes; narrow ones travel cheaper by `carry`."""
     return hits.join(nodes.select("node_id", *columns), "node_id")

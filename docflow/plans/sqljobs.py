@@ -57,15 +57,15 @@ def register_chunk_function(session: SparkSession) -> None:
     session.sql(CHUNK_FUNCTION)
 
 
+# `transform(array(x), ...)[0]` names the word array, so that it is built once per text.
 CHUNK_FUNCTION = r"""
 CREATE OR REPLACE TEMPORARY FUNCTION chunk_words(body STRING, size INT, overlap INT)
 RETURNS TABLE(chunk_no INT, chunk STRING)
-RETURN
-  SELECT i AS chunk_no,
-         rtrim(' \t\n\r\f', array_join(slice(tokens, i * (size - overlap) + 1, size), '')) AS chunk
-  FROM (SELECT regexp_extract_all(body, '(\\S+\\s*)', 1) AS tokens) words
-  LATERAL VIEW explode(
+RETURN SELECT * FROM posexplode(
+  transform(array(regexp_extract_all(body, '(\\S+\\s*)', 1)), tokens ->
     CASE WHEN size(tokens) = 0 THEN array()
-         ELSE sequence(0, CAST(greatest(ceil((size(tokens) - overlap) / (size - overlap)), 1) AS INT) - 1)
-    END) numbers AS i
+         ELSE transform(
+           sequence(0, CAST(greatest(ceil((size(tokens) - overlap) / (size - overlap)), 1) AS INT) - 1),
+           i -> regexp_replace(array_join(slice(tokens, i * (size - overlap) + 1, size), ''), '\\s+$', ''))
+    END)[0])
 """

@@ -23,6 +23,9 @@ def session(cores="8"):
     return spark
 
 
+TIMES: dict[str, float] = {}
+
+
 def plain(value):
     if isinstance(value, decimal.Decimal):
         return float(value)
@@ -52,7 +55,9 @@ def compare(spark, name, folder):
     """None when the rows agree, otherwise what differs."""
     import __spark_entry__ as entry
 
+    start = time.time()
     columns, rows = spark_rows(entry.queries()[name](spark, folder))
+    TIMES[name] = time.time() - start
     sql = entry.oracle_sql().get(name)
     if sql is None:
         return None if rows else "no rows"
@@ -79,5 +84,5 @@ if __name__ == "__main__":
             problem = f"{type(error).__name__}: {str(error)[:900]}"
         failed += problem is not None
         kind = "sql " if name in entry.oracle_sql() else "rows"
-        print(f"{'FAIL' if problem else 'ok  '} {kind} {time.time() - start:6.2f}s {name} {problem or ''}", flush=True)
+        print(f"{'FAIL' if problem else 'ok  '} {kind} {TIMES.get(name, 0):6.2f}s of {time.time() - start:6.2f}s {name} {problem or ''}", flush=True)
     print("failed:", failed)

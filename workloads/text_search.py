@@ -138,7 +138,7 @@ counts AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::bigint % 64 AS bucket,
 @query("hash_embedding", HASH_CTE + """
 SELECT doc_id, bucket, n FROM counts""")
 def hash_embedding(t):
-    vectors = embed_hashed(docs(t)).select("doc_id", F.posexplode("embedding").alias("bucket", "n"))
+    vectors = embed_hashed(docs(t)).select("doc_id", F.posexplode_outer("embedding").alias("bucket", "n"))
     return vectors.filter(F.col("n") > 0).select(
         "doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.col("n").cast("bigint").alias("n"))
 
@@ -161,7 +161,7 @@ def hashing_model():
 
 @query("model_embedding", HASH_CTE + "SELECT doc_id, bucket, n FROM counts")
 def model_embedding(t):
-    vectors = embed_with(docs(t), hashing_model, batch=64).select("doc_id", F.posexplode("embedding").alias("bucket", "n"))
+    vectors = embed_with(docs(t), hashing_model, batch=64).select("doc_id", F.posexplode_outer("embedding").alias("bucket", "n"))
     return vectors.filter(F.col("n") > 0).select(
         "doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.col("n").cast("bigint").alias("n"))
 
@@ -275,11 +275,8 @@ questions AS (SELECT item_id, text FROM benchmark),"""
 @query("search_documents", SEARCH_SQL.format(nodes=NODES_SQL, key="node_id", ask="item_id") + """
 SELECT item_id, rank, doc_id, chunk_no, round(score, 6) AS score FROM hits JOIN nodes USING (node_id)""")
 def search_documents(t):
-    nodes = document_nodes(kept_documents(t))
-    hits = search(t.benchmark, nodes.select("node_id", "embedding"))
-    # The hits' rows are found again among the chunks, without their vectors.
-    chunks = chunk.with_lineage(chunk.chunk_words(kept_documents(t), 512, 20))
-    return attach(hits, chunks, ["doc_id", "chunk_no"]).select(
+    hits = search(t.benchmark, document_nodes(kept_documents(t)), carry=["doc_id", "chunk_no"])
+    return hits.select(
         F.col("query_id").alias("item_id"), F.col("rank").cast("bigint").alias("rank"), "doc_id", "chunk_no",
         F.round("score", 6).alias("score"))
 
