@@ -10,11 +10,13 @@ from pyspark.sql.streaming import StreamingQuery
 from docflow.functions import paths
 from docflow.operators.collections import write_collection
 
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def landed_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """A stream of the files below `root`, each seen once."""
     name = paths.file_name(F.col("path"))
-    files = (spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+    files = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true")
              .option("pathGlobFilter", glob).load(root))
     return files.select(F.col("path").alias("file_path"), name.alias("file_name"),
                         paths.splitext(name).alias("file_extension"),
