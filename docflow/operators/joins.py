@@ -4,26 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-HOT_SHARE = 64
+MAX_HOT_KEYS = 64
+HOT_ROWS = 1_000_000
 
 
-def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> list:
-    """Keys holding more than 1/share of the rows; there are fewer than `share` of them."""
-    counts = df.groupBy(key).count().filter(F.col(key).isNotNull())
-    top = counts.orderBy(F.desc("count"), key).limit(share).collect()
-    total = df.count()
-    return [row[key] for row in top if row["count"] * share > total]
+def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS, most: int = MAX_HOT_KEYS) -> list:
+    """The biggest keys with more than `rows` rows, `most` of them at the most. Counts before it shuffles."""
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > rows)
+    return [row[key] for row in counts.orderBy(F.desc("count"), key).limit(most).collect()]
 
 
-def skew_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", salts: int = 32) -> DataFrame:
+def skew_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", salts: int = 256,
+              hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join rows to the single row their key names, spreading hot keys over `salts` tasks.
 
     Only the hot keys' rows of `one` are repeated, so the repetition is below
-    `HOT_SHARE * salts` rows whatever the tables hold.
+    `MAX_HOT_KEYS * salts` rows whatever the tables hold. Smaller keys are left
+    to the adaptive skew join.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join: {how}")
-    hot = hot_keys(many, key)
+    hot = hot_keys(many, key, hot_rows)
     if not hot:
         return many.join(one, key, how)
     is_hot = F.col(key).isin(hot)

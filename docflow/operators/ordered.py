@@ -15,13 +15,17 @@ def part_of(order: Column, part_rows: int = PART_ROWS) -> Column:
 
 
 def running_sums(df: DataFrame, keys: list[str], order: str, values: dict[str, Column],
-                 descending: bool = False, part_rows: int = PART_ROWS) -> DataFrame:
+                 descending: bool = False, part_rows: int = PART_ROWS, limit: int | None = None) -> DataFrame:
     """Add `run_<name>` (up to and including the row) and `tot_<name>` (whole group) per value.
 
     `order` is a whole number, unique in its group. Groups are cut into
     stretches of it: each stretch is summed where it lies, the few sums per
     group are accumulated, and rows are only windowed within their stretch. So
     no task ever holds a whole group.
+
+    With `limit`, only rows whose first running sum is at most that are kept;
+    stretches that lie wholly beyond it go before the rows are shuffled. The
+    values must not be negative then.
     """
     direction = F.desc if descending else F.asc
     named = list(values)
@@ -34,14 +38,18 @@ def running_sums(df: DataFrame, keys: list[str], order: str, values: dict[str, C
         *keys, "_part",
         *[F.coalesce(F.sum(f"_p_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in named],
         *[F.sum(f"_p_{n}").over(group).alias(f"tot_{n}") for n in named])
+    running = F.col(f"run_{named[0]}") <= limit if limit is not None else F.lit(True)
+    if limit is not None:
+        offsets = offsets.filter(F.col(f"_o_{named[0]}") <= limit)
     within = W.partitionBy(*keys, "_part").orderBy(direction(order)).rowsBetween(W.unboundedPreceding, 0)
     return (rows.join(offsets, [*keys, "_part"])
             .withColumns({f"run_{n}": F.col(f"_o_{n}") + F.sum(f"_v_{n}").over(within) for n in named})
+            .filter(running)
             .drop("_part", *[f"_v_{n}" for n in named], *[f"_o_{n}" for n in named]))
 
 
 def rank_rows(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
-    """Add the 1-based place of each row in its group, for groups of any size.
+    """Add the 1-based place of each row in its group, for groups of any size. `order` is unique in a group.
 
     Range partitioning on group and order cuts a big group at its order values;
     a row's place is its place in the partition plus the sizes of the group's

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from docflow.operators.chunk import chunk_words, with_lineage
 from docflow.operators.collections import write_collection
@@ -48,13 +48,19 @@ def funnel(df: DataFrame, stages: dict[str, Column]) -> DataFrame:
 
 def run_ingest(spark: SparkSession, source: Source, sink: Callable[[DataFrame], None], log: TaskLog, task_id: str,
                include: list[str] = (), exclude: list[str] = (), nodes: Step = default_nodes) -> None:
-    """Load, filter, cut, embed and store; the log gets start, counts and DONE or ERROR."""
+    """Load, filter, cut, embed and store; the log gets start, counts and DONE or ERROR.
+
+    The counts are observed while the sink runs the frame, so nothing is read
+    twice. The sink has to run it.
+    """
     with log.task(task_id) as task:
-        docs = source.documents(spark)
-        keep = rule_condition(F.col(source.rule_key), include, exclude)
-        for row in funnel(docs, {"loaded": F.lit(True), "filtered": keep}).collect():
-            task.stage(row["stage"], row["n"])
-        sink(nodes(docs.filter(keep)))
+        docs, cut = Observation(), Observation()
+        loaded = source.documents(spark)
+        ruled = loaded.withColumn("_keep", rule_condition(F.col(source.rule_key), include, exclude)).observe(
+            docs, F.count(F.lit(1)).alias("loaded"), F.count_if("_keep").alias("filtered"))
+        sink(nodes(ruled.filter("_keep").drop("_keep")).observe(cut, F.count(F.lit(1)).alias("nodes")))
+        for stage, rows in {**docs.get, **cut.get}.items():
+            task.stage(stage, rows)
 
 
 def collection_sink(root: str, name: str) -> Callable[[DataFrame], None]:

@@ -48,3 +48,14 @@ def durable(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared folder and cut its lineage there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan over all cores, for work that costs far more than moving them.
+
+    A scan that already has a split per core is left as it is, so this shuffles
+    nothing but inputs that are small for the cluster. Give it a scan without
+    joins or aggregates: it plans the frame to count its splits.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -60,7 +60,7 @@ def test_history_is_cut_into_parts(spark):
 
 @pytest.mark.parametrize("part_rows", [1, 2, 10_000])
 def test_memory_golden(spark, part_rows, monkeypatch):
-    monkeypatch.setattr("docflow.operators.ordered.running_sums.__defaults__", (False, part_rows))
+    monkeypatch.setattr("docflow.operators.ordered.running_sums.__defaults__", (False, part_rows, None))
     assert sorted(r.turn for r in chat.memory_window(words(spark, [5, 4, 3, 2]), 6).collect()) == [3, 4]
     assert chat.memory_window(words(spark, [5, 4, 3, 2]), 1).count() == 0
 
@@ -69,6 +69,10 @@ def test_memory_does_not_skip_a_turn_that_is_too_long(spark):
     assert sorted(r.turn for r in chat.memory_window(words(spark, [1, 9, 1]), 5).collect()) == [3]
 
 
+def test_blank_turns_cost_something(spark):
+    assert chat.memory_window(words(spark, [0] * 20), 3).count() == 3
+
+
 def test_memory_may_have_to_start_with_a_user(spark):
     kept = chat.memory_window(words(spark, [5, 4, 3, 2]), 9, start_with_user=True)
     assert sorted(r.turn for r in kept.collect()) == [3, 4]
@@ -84,6 +88,8 @@ def test_running_sums_over_one_huge_group(spark, part_rows, descending):
         mates = [x for x in out if x.k == r.k]
         assert r.run_v == sum(x.v for x in mates if (x.pos >= r.pos if descending else x.pos <= r.pos))
         assert r.tot_v == sum(x.v for x in mates)
+    capped = running_sums(df, ["k"], "pos", {"v": F.col("v")}, descending, part_rows, limit=40).collect()
+    assert sorted(capped) == sorted(r for r in out if r.run_v <= 40)
 
 
 def test_ranks_of_one_huge_group(spark):

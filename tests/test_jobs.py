@@ -7,7 +7,9 @@ from docflow.plans import sqljobs
 from docflow.plans.embedding import embed
 from docflow.plans.ingest import collection_sink, default_nodes, funnel, run_ingest
 from docflow.plans.tasks import TaskLog, task_status
-from docflow.session import durable, shared_dir, work_path
+from docflow.schema import DOCUMENT
+from docflow.session import durable, shared_dir, spread, work_path
+from docflow.sources.documents import as_documents
 from docflow.sources.files import extract_text
 from docflow.streaming.ingest import landed_files, stream_ingest
 
@@ -38,7 +40,8 @@ def test_ingest_job_is_logged_and_repeatable(spark, folder):
     assert sorted(r.ref_doc_id for r in stored.collect()) == ["1", "3"]
     t1 = log.read().filter("task_id = 't1'")
     assert [(r.status, r.stage, r.rows) for r in t1.orderBy("at").collect()] == [
-        ("STARTED", None, None), ("STARTED", "loaded", 3), ("STARTED", "filtered", 2), ("DONE", None, None)]
+        ("STARTED", None, None), ("STARTED", "loaded", 3), ("STARTED", "filtered", 2), ("STARTED", "nodes", 2),
+        ("DONE", None, None)]
     assert {r.task_id: r.status for r in task_status(log.read()).collect()} == {"t1": "DONE", "t2": "DONE"}
 
 
@@ -87,6 +90,18 @@ def test_union_fills_what_a_source_lacks(spark):
     assert {r.doc_id: r.lang for r in both.collect()} == {1: None, 2: None, 3: None, 9: "de"}
 
 
+def test_documents_have_one_shape(spark):
+    plain = spark.sql("SELECT 'a/b.TXT' AS file_path, 'hi' AS text, 3 AS stars, CAST(NULL AS STRING) AS lang")
+    issue = spark.sql("SELECT 'APP-1' AS issue_key, 'body' AS text, 'bug' AS issue_type")
+    both = collections.union_sources(
+        as_documents(plain, "drive", ["file_path"]), as_documents(issue, "tracker", ["issue_key"]))
+    assert both.schema.simpleString() == DOCUMENT.simpleString()
+    rows = {r.data_source_id: r for r in both.collect()}
+    assert rows["drive"].metadata == {"stars": "3"} and rows["drive"].file_path == "a/b.TXT"
+    assert rows["tracker"].metadata == {"issue_key": "APP-1", "issue_type": "bug"}
+    assert rows["drive"].doc_id == as_documents(plain, "drive", ["file_path"]).first().doc_id != rows["tracker"].doc_id
+
+
 def test_funnel_counts_nested_stages(spark):
     rows = funnel(docs(spark), {"loaded": F.lit(True), "odd": F.col("doc_id") % 2 == 1, "null": F.lit(None).cast("boolean")})
     assert [(r.stage, r.n) for r in rows.orderBy("stage_no").collect()] == [("loaded", 3), ("odd", 2), ("null", 0)]
@@ -141,6 +156,10 @@ def test_library_questions(spark, library):
                             "WHERE b.genre = :genre AND i.status = 'available' GROUP BY ALL", genre="Science Fiction") == [
         (3, "The Martian", 1)]
     assert answers(session, "SELECT book_id FROM books WHERE author IS NULL") == [(5,)]
+    assert answers(session, "SELECT * FROM (SELECT book_id, status FROM inventory) "
+                            "PIVOT (count(*) FOR status IN ('available', 'checked_out'))") == [
+        (2, 1, None), (3, 1, 1), (4, None, None), (77, 1, None)]
+    assert answers(session, "SELECT b.book_id FROM books b LEFT ANTI JOIN inventory i ON b.book_id = i.book_id") == [(1,), (5,)]
 
 
 def test_failed_sql_gives_nothing(spark, library):
@@ -198,8 +217,8 @@ def test_sql_chunk_function(spark, library):
 def test_join_with_a_hot_key(spark, how):
     many = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 7, id % 500) AS k", "map('a', id) AS m")
     one = spark.range(0, 400).selectExpr("id AS k", "id * 10 AS v")
-    assert 7 in joins.hot_keys(many, "k")
-    salted = sorted((r.id, r.v) for r in joins.skew_join(many, one, "k", how).collect())
+    assert joins.hot_keys(many, "k", 100) == [7] and joins.hot_keys(many, "k") == []
+    salted = sorted((r.id, r.v) for r in joins.skew_join(many, one, "k", how, 8, hot_rows=100).collect())
     assert salted == sorted(((r.id, r.v) for r in many.join(one, "k", how).collect()))
 
 
@@ -210,6 +229,16 @@ def test_durable_frames_use_the_session_folder(spark):
     assert durable(spark.range(5)).count() == 5
 
 
+def test_spread_moves_small_scans_only(spark, folder):
+    spark.range(0, 100, 1, 20).write.parquet(f"{folder}/many")
+    spark.range(0, 100, 1, 1).write.parquet(f"{folder}/one")
+    cores = spark.sparkContext.defaultParallelism
+    one, many = spread(spark.read.parquet(f"{folder}/one")), spark.read.parquet(f"{folder}/many")
+    assert one.rdd.getNumPartitions() == cores and one.count() == 100
+    assert spread(spark.range(0, 100, 1, 20)).rdd.getNumPartitions() == 20
+    assert spread(many).count() == 100
+
+
 def test_landed_files_are_ingested_once(spark, folder, tmp_path):
     landing = tmp_path / "landing" / "sub"
     landing.mkdir(parents=True)

@@ -16,8 +16,7 @@ from docflow.plans.embedding import embed as embed_with, embed_hashed
 from docflow.plans.ingest import collection_sink, fold, funnel, run_ingest
 from docflow.plans.search import attach, search
 from docflow.plans.tasks import TaskLog
-from docflow.session import work_path
-from docflow.operators.joins import skew_join
+from docflow.session import spread, work_path
 from workloads.chat_keys import TURNS_CTE, turns
 from workloads.registry import query
 
@@ -39,7 +38,7 @@ CHUNK_ROWS = "SELECT doc_id, chunk_no, text, start_char, (start_char + length(te
 
 
 def docs(t):
-    return t.documents.select("doc_id", "text")
+    return spread(t.documents.select("doc_id", "text"))
 
 
 @query("chunk_words_512_20", chunk_cte(512, 20) + CHUNK_ROWS)
@@ -111,7 +110,8 @@ def html_sql(heading_steps=""):
 
 @query("html_to_text", f"SELECT page_id, {html_sql()} AS text FROM pages")
 def html_to_text(t):
-    return t.pages.select("page_id", text_functions.html_to_text(F.col("html")).alias("text"))
+    return spread(t.pages.select("page_id", "html")).select(
+        "page_id", text_functions.html_to_text(F.col("html")).alias("text"))
 
 
 @query("markdown_sections", f"""
@@ -125,7 +125,8 @@ SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY s) - 1)::int A
        length(regexp_extract(first, '^(#+) ', 1))::int AS level, regexp_extract(first, '^#+ +(.*)$', 1) AS heading, text
 FROM sections""")
 def markdown_sections(t):
-    pages = t.pages.select("page_id", text_functions.html_to_markdown(F.col("html")).alias("text"))
+    pages = spread(t.pages.select("page_id", "html")).select(
+        "page_id", text_functions.html_to_markdown(F.col("html")).alias("text"))
     return chunk.split_markdown(pages).select("page_id", "section_no", "level", "heading", "text")
 
 
@@ -236,7 +237,8 @@ def ann_topk(t):
 SELECT label, count(*) AS n_hits, max(running)::bigint AS n_words, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context
 FROM texts WHERE running <= 1000 GROUP BY label""")
 def compact_context(t):
-    hits = vector_hits(t, 5, "cosine").withColumnRenamed("vec_id", "doc_id").join(docs(t), "doc_id")
+    hits = vector_hits(t, 5, "cosine").withColumnRenamed("vec_id", "doc_id").join(
+        t.documents.select("doc_id", "text"), "doc_id")
     return context.compact_context(hits, 1000, "label")
 
 
@@ -299,8 +301,8 @@ FROM last LEFT JOIN history USING (session_id) LEFT JOIN context USING (session_
 def build_prompts(t):
     chat = turns(t)
     asked = chat.filter(F.col("role") == "user").groupBy("session_id").agg(F.max_by("text", "turn").alias("question"))
-    texts = docs(t).withColumnRenamed("doc_id", "node_id")
-    hits = search(asked, embed_hashed(texts), question_id="session_id", question="question")
+    texts = t.documents.select(F.col("doc_id").alias("node_id"), "text")
+    hits = search(asked, embed_hashed(spread(texts)), question_id="session_id", question="question")
     found = context.compact_context(attach(hits, texts, ["text"]), 400).withColumnRenamed("query_id", "session_id")
     history = with_line(memory_window(chat, 300))
     return context.build_prompts(asked, history, found, "You answer from the context.")
@@ -320,8 +322,9 @@ def render_nodes(t):
 @query("nodes_with_docs", chunk_cte(256, 20) + """
 SELECT c.doc_id, c.chunk_no, c.n_words, d.source, d.lang FROM chunks c JOIN documents d USING (doc_id)""")
 def nodes_with_docs(t):
+    # A document has only as many nodes as its one row has words for, so no key is hot.
     nodes = chunk.chunk_words(docs(t), 256, 20).select("doc_id", "chunk_no", "n_words")
-    return skew_join(nodes, t.documents.select("doc_id", "source", "lang"), "doc_id")
+    return nodes.join(t.documents.select("doc_id", "source", "lang"), "doc_id")
 
 
 @query("ref_doc_info", chunk_cte(256, 20) + """
@@ -337,8 +340,9 @@ def ref_doc_info(t):
 SELECT d.doc_id, sha256(d.text) AS doc_hash FROM documents d LEFT JOIN labels l USING (doc_id)
 WHERE l.quality IS NULL OR l.quality = 0""")
 def changed_docs(t):
-    current = collections.with_doc_hash(docs(t)).select("doc_id", "doc_hash")
-    labelled = docs(t).join(t.labels.select("doc_id", "quality"), "doc_id")
+    documents = t.documents.select("doc_id", "text")
+    current = collections.with_doc_hash(documents).select("doc_id", "doc_hash")
+    labelled = documents.join(t.labels.select("doc_id", "quality"), "doc_id")
     before = F.when(F.col("quality") == 0, F.concat("text", F.lit(" (old)"))).otherwise(F.col("text"))
     indexed = collections.with_doc_hash(labelled.withColumn("text", before))
     return collections.changed_docs(current, indexed)
@@ -379,7 +383,7 @@ class TextTable:
         self.path = path
 
     def documents(self, spark):
-        return spark.read.parquet(self.path).select("doc_id", "text")
+        return spread(spark.read.parquet(self.path).select("doc_id", "text"))
 
 
 @query("ingest_end_to_end", NODES_SQL.rstrip().rsplit("questions AS", 1)[0].rstrip().rstrip(",") + """
