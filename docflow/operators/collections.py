@@ -28,9 +28,13 @@ def read_stored(spark: SparkSession, root: str) -> DataFrame | None:
         raise
 
 
-def write_collection(nodes: DataFrame, root: str, name: str) -> None:
-    """Add nodes to a collection; a node id it already holds is left alone, so a rerun adds nothing."""
-    fresh = nodes.dropDuplicates(["node_id"])
+def write_collection(nodes: DataFrame, root: str, name: str, unique: bool = False) -> None:
+    """Add nodes to a collection; a node id it already holds is left alone, so a rerun adds nothing.
+
+    With `unique` the caller vouches that no id comes twice in `nodes`, which
+    spares a first load its only shuffle.
+    """
+    fresh = nodes if unique else nodes.dropDuplicates(["node_id"])
     stored = read_stored(nodes.sparkSession, root)
     if stored is not None:
         held = stored.filter(F.col("collection") == name).select("node_id")

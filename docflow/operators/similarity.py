@@ -300,6 +300,8 @@ def _visit_cells(asked: DataFrame, held: DataFrame, schema: T.StructType, k: int
     """Hits of the visited cells: `nprobe` of them, or as many as an exact answer needs."""
     # Both sides are read several times, so their vectors are computed once.
     asked, held = (durable(side.dropna(subset=[side.columns[0], "vector"])) for side in _to_euclid(asked, held, metric))
+    if held.isEmpty():
+        return held.sparkSession.createDataFrame([], schema)
     if cells is None:
         cells = max(2, min(MAX_CELLS, math.isqrt(held.count())))
     centroids = fit_centroids(held, cells)

@@ -63,5 +63,5 @@ def run_ingest(spark: SparkSession, source: Source, sink: Callable[[DataFrame],
             task.stage(stage, rows)
 
 
-def collection_sink(root: str, name: str) -> Callable[[DataFrame], None]:
-    return lambda nodes: write_collection(nodes, root, name)
+def collection_sink(root: str, name: str, unique: bool = False) -> Callable[[DataFrame], None]:
+    return lambda nodes: write_collection(nodes, root, name, unique)

@@ -9,22 +9,27 @@ from docflow.operators.chat import PART_TURNS, session_history
 from docflow.operators.collections import read_stored
 from docflow.operators.ordered import part_of
 
-BUCKETS = 64
+BUCKETS = 1024
 KEY = ["session_id", "turn"]
 
 
-def _bucket():
-    """Spreads a huge session over all buckets, since the turn takes part."""
-    return F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).cast("int")
+def _with_bucket(turns: DataFrame) -> DataFrame:
+    return turns.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int"))
 
 
-def store_turns(turns: DataFrame, table: str) -> None:
-    """Append the turns the table lacks; repeating a batch adds nothing.
+def _touched(batch: DataFrame, table: str) -> DataFrame | None:
+    """Stored turns in the buckets a batch has sessions in; other folders are not read."""
+    stored = read_stored(batch.sparkSession, table)
+    if stored is None:
+        return None
+    buckets = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+    return stored.filter(F.col("bucket").isin(buckets))
 
-    The stored keys are read for the batch's buckets only.
-    """
-    batch = turns.dropDuplicates(KEY).withColumn("bucket", _bucket())
-    stored = read_stored(turns.sparkSession, table)
+
+def store_turns(turns: DataFrame, table: str) -> None:
+    """Append the turns the table lacks; repeating a batch adds nothing."""
+    batch = _with_bucket(turns.dropDuplicates(KEY))
+    stored = _touched(batch, table)
     if stored is not None:
         batch = batch.join(stored.select("bucket", *KEY), ["bucket", *KEY], "left_anti")
     batch.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(table)
@@ -52,9 +57,12 @@ def stream_session_upsert(turns: DataFrame, table: str, histories: str, checkpoi
     def upsert(batch: DataFrame, number: int) -> None:
         store_turns(batch, table)
         part = part_of(F.col("turn"), PART_TURNS)
-        touched = batch.select("session_id", part.alias("part")).distinct()
-        turns_of = (stored_turns(batch.sparkSession, table).withColumn("part", part)
-                    .join(touched, ["session_id", "part"], "left_semi").drop("part"))
+        changed = _with_bucket(batch.select("session_id", part.alias("part")).distinct())
+        stored = _touched(changed, table)
+        if stored is None:
+            return
+        turns_of = (stored.withColumn("part", part)
+                    .join(changed, ["bucket", "session_id", "part"], "left_semi").drop("bucket", "part"))
         session_history(turns_of).write.mode("overwrite").parquet(f"{histories}/batch={number}")
 
     return (turns.writeStream.foreachBatch(upsert)

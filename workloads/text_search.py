@@ -2,6 +2,8 @@
 
 from functools import reduce
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from docflow.functions import text as text_functions
@@ -56,7 +58,29 @@ def chunk_words_512_50(t):
     return chunk.chunk_words(docs(t), 512, 50)
 
 
-@query("chunk_sentences")
+# Sentence i of a document has n words and c words end with it. A chunk runs from sentence s to e; the next one
+# begins with the last sentences of at most 20 words that leave room for the first new one.
+@query("chunk_sentences", r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, unnest(l) AS sentence, generate_subscripts(l, 1) AS sn
+  FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM documents)),
+cut AS (SELECT doc_id, sn, t, unnest(range(ceil(len(t) / 512.0)::bigint)) AS part
+        FROM (SELECT *, regexp_extract_all(sentence, '\S+') AS t FROM split)),
+sentences AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sn, part) AS i,
+                     t[part * 512 + 1 : part * 512 + 512] AS t FROM cut),
+cum AS (SELECT doc_id, i, array_to_string(t, ' ') AS body, len(t) AS n,
+               sum(len(t)) OVER (PARTITION BY doc_id ORDER BY i)::bigint AS c FROM sentences),
+chunks AS (
+  SELECT doc_id, 0 AS chunk_no, 1::bigint AS s, max(i) AS e FROM cum WHERE c <= 512 GROUP BY doc_id
+  UNION ALL
+  SELECT doc_id, chunk_no + 1, s, (SELECT max(b.i) FROM cum b WHERE b.doc_id = x.doc_id AND b.i >= x.fresh
+                                    AND b.c <= 512 + (SELECT a.c - a.n FROM cum a WHERE a.doc_id = x.doc_id AND a.i = x.s))
+  FROM (SELECT k.doc_id, k.chunk_no, f.i AS fresh,
+               coalesce((SELECT min(a.i) FROM cum a WHERE a.doc_id = k.doc_id AND a.i BETWEEN k.s AND k.e
+                           AND f.c - f.n - a.c + a.n <= least(20, 512 - f.n)), f.i) AS s
+        FROM chunks k JOIN cum f ON f.doc_id = k.doc_id AND f.i = k.e + 1) x)
+SELECT k.doc_id, k.chunk_no, string_agg(c.body, ' ' ORDER BY c.i) AS text
+FROM chunks k JOIN cum c ON c.doc_id = k.doc_id AND c.i BETWEEN k.s AND k.e GROUP BY ALL""")
 def chunk_sentences(t):
     return chunk.chunk_sentences(docs(t), 512, 20)
 
@@ -177,10 +201,8 @@ def l2_normalised(t):
 
 def label_questions(t):
     """The mean vector of every label asks for the vectors nearest to it."""
-    parts = t.embeddings.select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x"))
-    means = parts.groupBy("label", "pos").agg(F.avg("x").alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "x")))
-    return means.groupBy("label").agg(F.transform(ordered, lambda e: e["x"]).alias("embedding"))
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("embedding").cast("array<double>"))))
+    return t.embeddings.groupBy("label").agg(mean.alias("embedding"))
 
 
 def vector_hits(t, k, metric):
@@ -392,7 +414,7 @@ SELECT 'notes' AS collection, node_id, doc_id, chunk_no, text, len(regexp_extrac
 def ingest_end_to_end(t):
     root, log = work_path(t.spark, "index"), TaskLog(t.spark, work_path(t.spark, "log"))
     source = TextTable(t.path("documents"))
-    sink = collection_sink(root, "notes")
+    sink = collection_sink(root, "notes", unique=True)  # document ids are unique, so node ids are
     for run in ("first", "again"):  # a second run adds nothing
         run_ingest(t.spark, source, sink, log, run, exclude=PRESETS["posts"])
     status = log.read().filter((F.col("task_id") == "again") & (F.col("status") != "STARTED")).first()["status"]
