@@ -9,12 +9,12 @@ from docflow.operators.chat import PART_TURNS, session_history
 from docflow.operators.collections import read_stored
 from docflow.operators.ordered import part_of
 
-BUCKETS = 1024
+BUCKETS = 64  # folders of a new table; more of them spare more reading once the table is big
 KEY = ["session_id", "turn"]
 
 
-def _with_bucket(turns: DataFrame) -> DataFrame:
-    return turns.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int"))
+def _with_bucket(turns: DataFrame, buckets: int) -> DataFrame:
+    return turns.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int"))
 
 
 def _touched(batch: DataFrame, table: str) -> DataFrame | None:
@@ -22,25 +22,25 @@ def _touched(batch: DataFrame, table: str) -> DataFrame | None:
     stored = read_stored(batch.sparkSession, table)
     if stored is None:
         return None
-    buckets = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+    buckets = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # few numbers
     return stored.filter(F.col("bucket").isin(buckets))
 
 
-def store_turns(turns: DataFrame, table: str) -> None:
+def store_turns(turns: DataFrame, table: str, buckets: int = BUCKETS) -> None:
     """Append the turns the table lacks; repeating a batch adds nothing."""
-    batch = _with_bucket(turns.dropDuplicates(KEY))
+    batch = _with_bucket(turns.dropDuplicates(KEY), buckets)
     stored = _touched(batch, table)
     if stored is not None:
         batch = batch.join(stored.select("bucket", *KEY), ["bucket", *KEY], "left_anti")
     batch.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(table)
 
 
-def stream_chat_append(turns: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+def stream_chat_append(turns: DataFrame, table: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """Store a stream of turns. A batch run again after a failure finds its turns stored already.
 
     The table itself is the memory of what was seen, so no state grows in the executors.
     """
-    return (turns.writeStream.foreachBatch(lambda batch, _: store_turns(batch, table))
+    return (turns.writeStream.foreachBatch(lambda batch, _: store_turns(batch, table, buckets))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
@@ -48,16 +48,17 @@ def stored_turns(spark: SparkSession, table: str) -> DataFrame:
     return spark.read.parquet(table).drop("bucket")
 
 
-def stream_session_upsert(turns: DataFrame, table: str, histories: str, checkpoint: str) -> StreamingQuery:
+def stream_session_upsert(turns: DataFrame, table: str, histories: str, checkpoint: str,
+                          buckets: int = BUCKETS) -> StreamingQuery:
     """Store turns and rewrite the history parts a batch touches.
 
     Each batch writes them under its own number, so running it again replaces
     them. `latest_histories` reads the newest of each part.
     """
     def upsert(batch: DataFrame, number: int) -> None:
-        store_turns(batch, table)
+        store_turns(batch, table, buckets)
         part = part_of(F.col("turn"), PART_TURNS)
-        changed = _with_bucket(batch.select("session_id", part.alias("part")).distinct())
+        changed = _with_bucket(batch.select("session_id", part.alias("part")).distinct(), buckets)
         stored = _touched(changed, table)
         if stored is None:
             return
