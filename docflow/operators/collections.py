@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docflow.operators.ordered import part_of
+from docflow.schema import NODE
+from docflow.session import path_exists
 
 
 class CollectionError(ValueError):
@@ -20,10 +22,13 @@ def union_sources(*frames: DataFrame) -> DataFrame:
 
 
 def read_stored(spark: SparkSession, root: str) -> DataFrame | None:
+    """The table at `root`, or None when nothing has been written there yet."""
+    if not path_exists(spark, root):
+        return None
     try:
         return spark.read.parquet(root)
     except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
             return None
         raise
 
@@ -42,7 +47,7 @@ def write_collection(nodes: DataFrame, root: str, name: str, unique: bool = Fals
     fresh.withColumn("collection", F.lit(name)).write.mode("append").partitionBy("collection").parquet(root)
 
 
-def open_collection(spark: SparkSession, root: str, name: str, mode: str = "strict", schema=None) -> DataFrame:
+def open_collection(spark: SparkSession, root: str, name: str, mode: str = "strict", schema=NODE) -> DataFrame:
     """Nodes of one collection.
 
     `strict` fails when it is missing, `nonempty` also when it holds no node;

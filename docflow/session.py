@@ -21,6 +21,13 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, shuffled_bytes: int, partition_bytes: int = 256 << 20) -> int:
+    """Start shuffles with enough partitions that each fits in memory; adaptive execution merges small ones."""
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shuffled_bytes // partition_bytes))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions))
+    return partitions
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it.
 
@@ -44,6 +51,11 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared folder and cut its lineage there."""
     shared_dir(df.sparkSession)

@@ -53,7 +53,8 @@ def stream_session_upsert(turns: DataFrame, table: str, histories: str, checkpoi
     """Store turns and rewrite the history parts a batch touches.
 
     Each batch writes them under its own number, so running it again replaces
-    them. `latest_histories` reads the newest of each part.
+    them. `latest_histories` reads the longest of each part: turns are only
+    added, so that is the newest, also when a lost checkpoint restarts the numbers.
     """
     def upsert(batch: DataFrame, number: int) -> None:
         store_turns(batch, table, buckets)
@@ -72,4 +73,4 @@ def stream_session_upsert(turns: DataFrame, table: str, histories: str, checkpoi
 
 def latest_histories(spark: SparkSession, histories: str) -> DataFrame:
     written = spark.read.parquet(histories)
-    return written.groupBy("session_id", "part").agg(F.max_by("history", "batch").alias("history"))
+    return written.groupBy("session_id", "part").agg(F.max_by("history", F.size("history")).alias("history"))

@@ -8,7 +8,7 @@ from docflow.plans.embedding import embed
 from docflow.plans.ingest import collection_sink, default_nodes, funnel, run_ingest
 from docflow.plans.tasks import TaskLog, task_status
 from docflow.schema import DOCUMENT
-from docflow.session import durable, shared_dir, spread, work_path
+from docflow.session import durable, shared_dir, size_shuffles, spread, work_path
 from docflow.sources.documents import as_documents
 from docflow.sources.files import extract_text
 from docflow.streaming.ingest import landed_files, stream_ingest
@@ -229,6 +229,13 @@ def test_durable_frames_use_the_session_folder(spark):
     assert durable(spark.range(5)).count() == 5
 
 
+def test_shuffles_grow_with_the_data(spark):
+    session = spark.newSession()
+    assert size_shuffles(session, 10) == int(session.conf.get("spark.sql.shuffle.partitions"))
+    assert size_shuffles(session, 100 << 40) == 400 * 1024
+    assert session.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum") == str(400 * 1024)
+
+
 def test_spread_moves_small_scans_only(spark, folder):
     spark.range(0, 100, 1, 20).write.parquet(f"{folder}/many")
     spark.range(0, 100, 1, 1).write.parquet(f"{folder}/one")

@@ -199,7 +199,7 @@ def set_members(t):
 
 @query("latest_n_per_user", """
 SELECT user_id, event_id, place FROM (
-  SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events)
+  SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC))::int AS place FROM events)
 WHERE place <= 20""")
 def latest_n_per_user(t):
     newest = newest_per(t.events.select("user_id", "event_id", "ts"), "user_id", [F.desc("ts"), F.desc("event_id")], 20)

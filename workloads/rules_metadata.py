@@ -112,7 +112,7 @@ def apply_rules_issue(t):
 
 
 @query("apply_rules_text", """
-SELECT doc_id, length(text) AS n_chars FROM documents
+SELECT doc_id, length(text)::int AS n_chars FROM documents
 WHERE NOT regexp_matches(text, 'https?://[!-~]') AND NOT contains(text, 'RT @')
   AND NOT regexp_matches(text, '[@#][A-Za-z0-9_]')""")
 def apply_rules_text(t):
