@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -33,9 +34,13 @@ def read_stored(spark: SparkSession, root: str) -> DataFrame | None:
         raise
 
 
-def write_collection(nodes: DataFrame, root: str, name: str, unique: bool = False) -> None:
+def write_collection(nodes: DataFrame, root: str, name: str, unique: bool = False,
+                     embed: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Add nodes to a collection; a node id it already holds is left alone, so a rerun adds nothing.
 
+    `embed` is applied to what is left, so vectors are only computed for nodes
+    that are written.
+
     With `unique` the caller vouches that no id comes twice in `nodes`, which
     spares a first load its only shuffle.
     """
@@ -44,6 +49,8 @@ def write_collection(nodes: DataFrame, root: str, name: str, unique: bool = Fals
     if stored is not None:
         held = stored.filter(F.col("collection") == name).select("node_id")
         fresh = fresh.join(held, "node_id", "left_anti")
+    if embed is not None:
+        fresh = embed(fresh)
     fresh.withColumn("collection", F.lit(name)).write.mode("append").partitionBy("collection").parquet(root)
 
 

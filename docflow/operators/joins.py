@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from docflow.session import durable
+
 MAX_HOT_KEYS = 64
 HOT_ROWS = 1_000_000
+MAX_BROADCAST_ROWS = 500_000
 
 
 def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS, most: int = MAX_HOT_KEYS) -> list:
@@ -37,6 +40,16 @@ def skew_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", sal
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """A narrow frame made durable and, if it has few enough rows, marked to be sent to the other side.
+
+    Left to itself, adaptive execution learns that a side is small only while
+    it is already shuffling the big one.
+    """
+    held = durable(df)
+    return F.broadcast(held) if held.limit(max_rows + 1).count() <= max_rows else held
+
+
 def missing_keys(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Child keys without a parent, with their row counts; rows are counted before the shuffle."""
     counted = child.filter(F.col(child_key).isNotNull()).groupBy(child_key).agg(F.count("*").alias("n_rows"))

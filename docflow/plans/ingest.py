@@ -25,9 +25,9 @@ class Source(Protocol):
     def documents(self, spark: SparkSession) -> DataFrame: ...
 
 
-def default_nodes(docs: DataFrame) -> DataFrame:
-    """The usual steps from documents to embedded nodes."""
-    return fold(docs, [lambda d: chunk_words(d, 512, 20), with_lineage, embed_hashed])
+def cut_nodes(docs: DataFrame) -> DataFrame:
+    """Documents cut into nodes. The text takes part in the id, so a changed chunk is a new node."""
+    return with_lineage(chunk_words(docs, 512, 20), parts=("chunk_no", "text"))
 
 
 def fold(df: DataFrame, steps: list[Step]) -> DataFrame:
@@ -47,8 +47,8 @@ def funnel(df: DataFrame, stages: dict[str, Column]) -> DataFrame:
 
 
 def run_ingest(spark: SparkSession, source: Source, sink: Callable[[DataFrame], None], log: TaskLog, task_id: str,
-               include: list[str] = (), exclude: list[str] = (), nodes: Step = default_nodes) -> None:
-    """Load, filter, cut, embed and store; the log gets start, counts and DONE or ERROR.
+               include: list[str] = (), exclude: list[str] = (), nodes: Step = cut_nodes) -> None:
+    """Load, filter and cut documents and hand the nodes to the sink; the log gets start, counts and DONE or ERROR.
 
     The counts are observed while the sink runs the frame, so nothing is read
     twice. The sink has to run it.
@@ -63,5 +63,6 @@ def run_ingest(spark: SparkSession, source: Source, sink: Callable[[DataFrame],
             task.stage(stage, rows)
 
 
-def collection_sink(root: str, name: str, unique: bool = False) -> Callable[[DataFrame], None]:
-    return lambda nodes: write_collection(nodes, root, name, unique)
+def collection_sink(root: str, name: str, unique: bool = False, embed: Step = embed_hashed) -> Callable[[DataFrame], None]:
+    """A sink that embeds the nodes a collection lacks and adds them."""
+    return lambda nodes: write_collection(nodes, root, name, unique, embed)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from docflow.operators.joins import checked_broadcast
 from docflow.operators.similarity import MAX_QUESTIONS, top_k
 from docflow.plans.embedding import embed_hashed
 
@@ -16,6 +17,10 @@ def search(questions: DataFrame, nodes: DataFrame, k: int = 2, metric: str = "co
     return top_k(asked, nodes, k, metric, carry=carry, max_questions=max_questions)
 
 
-def attach(hits: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
-    """Hits with wide columns of their nodes; narrow ones travel cheaper by `carry`."""
-    return hits.join(nodes.select("node_id", *columns), "node_id")
+def attach(hits: DataFrame, nodes: DataFrame, columns: list[str], node_id: str = "node_id") -> DataFrame:
+    """Hits with wide columns of their nodes, such as texts; narrow ones travel cheaper by `carry`.
+
+    The hits go to the nodes, which are not shuffled as long as the hits are few.
+    """
+    wanted = nodes.select(F.col(node_id).alias("node_id"), *columns)
+    return wanted.join(checked_broadcast(hits.select("query_id", "rank", "node_id", "score")), "node_id")

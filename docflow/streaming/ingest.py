@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docflow.functions import paths
 from docflow.operators.collections import write_collection
+from docflow.plans.embedding import embed_hashed
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -24,7 +25,8 @@ def landed_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 
 def stream_ingest(files: DataFrame, to_nodes: Callable[[DataFrame], DataFrame], root: str, name: str,
-                  checkpoint: str) -> StreamingQuery:
+                  checkpoint: str, embed: Callable[[DataFrame], DataFrame] = embed_hashed) -> StreamingQuery:
     """Turn each batch of files into nodes of a collection; node ids make a repeated batch harmless."""
-    return (files.writeStream.foreachBatch(lambda batch, _: write_collection(to_nodes(batch), root, name))
+    return (files.writeStream.foreachBatch(
+                lambda batch, _: write_collection(to_nodes(batch), root, name, embed=embed))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

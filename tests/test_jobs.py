@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 from docflow.functions.vectors import hash_embedding
 from docflow.operators import chunk, collections, joins, metadata, quality
 from docflow.plans import sqljobs
-from docflow.plans.embedding import embed
-from docflow.plans.ingest import collection_sink, default_nodes, funnel, run_ingest
+from docflow.plans.embedding import embed, embed_hashed
+from docflow.plans.ingest import collection_sink, cut_nodes, funnel, run_ingest
 from docflow.plans.tasks import TaskLog, task_status
 from docflow.schema import DOCUMENT
 from docflow.session import durable, shared_dir, size_shuffles, spread, work_path
@@ -45,6 +45,25 @@ def test_ingest_job_is_logged_and_repeatable(spark, folder):
     assert {r.task_id: r.status for r in task_status(log.read()).collect()} == {"t1": "DONE", "t2": "DONE"}
 
 
+def test_only_new_nodes_are_embedded_and_a_changed_text_is_one(spark, folder):
+    def write(rows):
+        embedded = spark.sparkContext.accumulator(0)
+
+        def load():
+            def model(texts):
+                embedded.add(len(texts))
+                return [[1.0]] * len(texts)
+            return model
+
+        collections.write_collection(cut_nodes(docs(spark, rows)), folder, "c", embed=lambda n: embed(n, load))
+        return embedded.value
+
+    assert write(DOCS) == 3
+    assert write(DOCS) == 0
+    assert write([*DOCS[:2], (3, "changed"), (4, "new")]) == 2
+    assert collections.open_collection(spark, folder, "c").count() == 5
+
+
 def test_a_failed_job_is_logged_and_raised(spark, folder):
     log = TaskLog(spark, f"{folder}/log")
     with pytest.raises(Exception, match="landing folder is gone"):
@@ -56,7 +75,7 @@ def test_a_failed_job_is_logged_and_raised(spark, folder):
 
 def test_collections(spark, folder):
     root = f"{folder}/index"
-    nodes = default_nodes(docs(spark))
+    nodes = embed_hashed(cut_nodes(docs(spark)))
     with pytest.raises(collections.CollectionError):
         collections.open_collection(spark, root, "a")
     assert collections.open_collection(spark, root, "a", "create", nodes.schema).isEmpty()
@@ -213,6 +232,19 @@ def test_sql_chunk_function(spark, library):
     assert rows == [(1, 0, "Animal"), (1, 1, "Farm"), (2, 0, "1984")]
 
 
+def test_only_a_small_side_is_broadcast(spark):
+    small = spark.range(10).withColumnRenamed("id", "k")
+    for bound, strategy in [(10, "BroadcastHashJoin"), (9, "SortMergeJoin")]:
+        session_bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            joined = spark.range(100).withColumnRenamed("id", "k").join(joins.checked_broadcast(small, bound), "k")
+            assert strategy in joined._jdf.queryExecution().executedPlan().toString()
+            assert joined.count() == 10
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", session_bound)
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_join_with_a_hot_key(spark, how):
     many = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 7, id % 500) AS k", "map('a', id) AS m")
@@ -252,7 +284,7 @@ def test_landed_files_are_ingested_once(spark, folder, tmp_path):
     (landing / "a.txt").write_text("alpha beta")
 
     def nodes(batch):
-        return default_nodes(extract_text(batch).withColumn("doc_id", F.sha2("file_path", 256)))
+        return cut_nodes(extract_text(batch).withColumn("doc_id", F.sha2("file_path", 256)))
 
     def run(checkpoint):
         stream_ingest(landed_files(spark, str(tmp_path / "landing"), "*.txt"), nodes, f"{folder}/index", "c",

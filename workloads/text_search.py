@@ -259,9 +259,9 @@ def ann_topk(t):
 SELECT label, count(*) AS n_hits, max(running)::bigint AS n_words, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context
 FROM texts WHERE running <= 1000 GROUP BY label""")
 def compact_context(t):
-    hits = vector_hits(t, 5, "cosine").withColumnRenamed("vec_id", "doc_id").join(
-        t.documents.select("doc_id", "text"), "doc_id")
-    return context.compact_context(hits, 1000, "label")
+    hits = top_k(label_questions(t), t.embeddings, 5, "cosine", query_id="label", node_id="vec_id")
+    texts = attach(hits, t.documents, ["text"], "doc_id").withColumnRenamed("query_id", "label")
+    return context.compact_context(texts, 1000, "label")
 
 
 SEARCH_SQL = r"""
@@ -285,7 +285,7 @@ def kept_documents(t):
 
 
 def document_nodes(documents):
-    return fold(documents, [lambda d: chunk.chunk_words(d, 512, 20), chunk.with_lineage, embed_hashed])
+    return fold(documents, [chunk.chunk_words, chunk.with_lineage, embed_hashed])
 
 
 KEPT_SQL = """SELECT doc_id, text FROM documents
@@ -409,7 +409,7 @@ class TextTable:
 
 
 @query("ingest_end_to_end", NODES_SQL.rstrip().rsplit("questions AS", 1)[0].rstrip().rstrip(",") + """
-SELECT 'notes' AS collection, node_id, doc_id, chunk_no, text, len(regexp_extract_all(text, '\\S+'))::bigint AS n_words,
+SELECT 'notes' AS collection, sha256(doc_id || '#' || chunk_no || '#' || text) AS node_id, doc_id, chunk_no, text, len(regexp_extract_all(text, '\\S+'))::bigint AS n_words,
        'DONE' AS status FROM nodes""")
 def ingest_end_to_end(t):
     root, log = work_path(t.spark, "index"), TaskLog(t.spark, work_path(t.spark, "log"))
