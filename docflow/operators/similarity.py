@@ -25,7 +25,7 @@ from docflow.session import durable
 
 METRICS = ("cosine", "l2", "dot")
 SCORE_DIGITS = 12
-MAX_QUESTIONS = 4096
+MAX_QUESTIONS = 32_768
 MAX_QUESTION_BYTES = 64 << 20
 TILE = 256
 MAX_CELLS = 1024
@@ -82,6 +82,21 @@ def _best(qi, ids, scores, k, metric):
     return order[np.arange(len(order)) - first < k]
 
 
+def _without_idle_copies(ids, m, k):
+    """Positions of all nodes but those with k copies of smaller id in the block: they can be in no best k."""
+    mark = np.einsum("ij,j->i", m, np.sqrt(np.arange(2.0, m.shape[1] + 2)))
+    order = np.lexsort((ids, mark))
+    group = mark[order]
+    first = np.searchsorted(group, group, side="left")
+    idle = np.flatnonzero(np.arange(len(order)) - first >= k)
+    # Equal marks only suggest equal vectors, so look at the k nodes before each one.
+    for back in range(1, k + 1):
+        idle = idle[(m[order[idle]] == m[order[idle - back]]).all(axis=1)]
+    keep = np.ones(len(order), dtype=bool)
+    keep[order[idle]] = False
+    return np.flatnonzero(keep)
+
+
 class _BestHits:
     """The best k nodes per question among the blocks seen so far."""
 
@@ -94,6 +109,9 @@ class _BestHits:
         """Fold in a block of nodes: ids, their vectors and the rows of the carried columns."""
         if not len(ids) or not len(self.q):
             return
+        kept = _without_idle_copies(ids, m, self.k)
+        if len(kept) < len(ids):
+            ids, m, carried = ids[kept], m[kept], carried.take(pa.array(kept))
         seen = 0 if self.found is None else len(self.found[0])
         found = [] if self.found is None else [self.found]
         for start in range(0, len(self.q), TILE):

@@ -47,8 +47,7 @@ def data(seed=3, n=400, d=6, q=7):
 
 
 @pytest.mark.parametrize("metric", similarity.METRICS)
-@pytest.mark.parametrize("max_questions", [4096, 0])
-@pytest.mark.parametrize("k", [1, 3])
+@pytest.mark.parametrize("max_questions, k", [(similarity.MAX_QUESTIONS, 1), (similarity.MAX_QUESTIONS, 3), (0, 3)])
 def test_exact_both_ways(spark, metric, max_questions, k):
     queries, nodes = data()
     found = top_k(vectors(spark, queries, "query_id"), vectors(spark, nodes, "node_id"), k, metric,
@@ -66,6 +65,14 @@ def test_crowded_cells_are_cut_into_blocks(spark):
     assert got(similarity._rank(hits, 2, "l2")) == brute(np.repeat(queries, 4, axis=0), nodes, 2, "l2")
 
 
+def test_only_copies_that_cannot_win_are_left_out():
+    m = np.array([[1.0, 2.0]] * 5 + [[3.0, 4.0]] * 2)
+    assert similarity._without_idle_copies(np.array([9, 5, 7, 1, 3, 0, 2]), m, 2).tolist() == [3, 4, 5, 6]
+    mixed = np.array([[1.0, 2.0], [3.0, 4.0]] * 3)
+    assert similarity._without_idle_copies(np.arange(6), mixed, 1).tolist() == [0, 1]
+    assert similarity._without_idle_copies(np.array(["b", "a"]), np.ones((2, 3)), 1).tolist() == [1]
+
+
 def test_string_ids_nulls_and_carried_columns(spark):
     queries, nodes = data(n=50)
     ids = [f"n{i:03d}" for i in range(50)]
