@@ -57,23 +57,20 @@ def write_collection(nodes: DataFrame, root: str, name: str, unique: bool = Fals
 def open_collection(spark: SparkSession, root: str, name: str, mode: str = "strict", schema=NODE) -> DataFrame:
     """Nodes of one collection.
 
-    `strict` fails when it is missing, `nonempty` also when it holds no node;
-    `create` gives an empty frame of `schema` instead.
+    `strict` fails when it is missing or empty, which are the same on storage;
+    `create` gives a frame without rows then.
     """
-    if mode not in ("strict", "nonempty", "create"):
+    if mode not in ("strict", "create"):
         raise ValueError(f"unknown mode: {mode}")
     stored = read_stored(spark, root)
-    nodes = None if stored is None else stored.filter(F.col("collection") == name)
-    if nodes is not None and (mode == "strict" and name in collection_names(stored) or not nodes.isEmpty()):
-        return nodes
-    if mode == "create":
-        return spark.createDataFrame([], schema) if nodes is None else nodes
-    raise CollectionError(f"collection is missing or empty: {name}")
-
-
-def collection_names(stored: DataFrame) -> set[str]:
-    """Names only: `collection` is a partition column, so no data file is read for rows."""
-    return {r[0] for r in stored.select("collection").distinct().collect()}
+    if stored is None:
+        if mode == "create":
+            return spark.createDataFrame([], schema)
+        raise CollectionError(f"collection is missing: {name}")
+    nodes = stored.filter(F.col("collection") == name)
+    if mode == "strict" and nodes.isEmpty():
+        raise CollectionError(f"collection is missing or empty: {name}")
+    return nodes
 
 
 def collection_counts(nodes: DataFrame, collection: str = "collection") -> DataFrame:

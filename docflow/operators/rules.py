@@ -58,15 +58,15 @@ def matches_any(key: Column, patterns: list[str]) -> Column:
     return _any([key.rlike("(?U)" + p) for p in patterns]) if patterns else F.lit(False)
 
 
-def rule_condition(key: Column, include: list[str] = (), exclude: list[str] = ()) -> Column:
+def rule_condition(key: Column, include: list[str] | None = (), exclude: list[str] | None = ()) -> Column:
     """Keep when no exclusion is found and, given inclusions, at least one is.
 
     A missing key is the empty string. An include list without one valid
     pattern counts as no include list.
     """
     key = F.coalesce(key, F.lit(""))
-    included = valid_patterns(list(include))
-    keep = ~matches_any(key, valid_patterns(list(exclude)))
+    included = valid_patterns(include or [])
+    keep = ~matches_any(key, valid_patterns(exclude or []))
     return keep & matches_any(key, included) if included else keep
 
 
@@ -77,7 +77,7 @@ def apply_rules(df: DataFrame, key: str, include: list[str] = (), exclude: list[
 def apply_vault_rules(df: DataFrame, include: list[str] = (), exclude: list[str] = (),
                       path: str = "file_path", extension: str = "file_extension") -> DataFrame:
     return df.filter(F.col(extension) == "md").filter(
-        rule_condition(F.col(path), include, VAULT_DEFAULTS + list(exclude)))
+        rule_condition(F.col(path), include, VAULT_DEFAULTS + list(exclude or ())))
 
 
 def apply_supported_rules(df: DataFrame, include: list[str] = (), exclude: list[str] = (),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docflow.functions import paths
@@ -10,8 +12,14 @@ from docflow.operators.rules import SUPPORTED_EXTENSIONS
 from docflow.sources.office import office_to_text
 
 
-def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """One row per file below `root`. Leave out `content` and the bytes are never read."""
+MAX_NAMED_FILES = 20_000
+
+
+def scan_files(spark: SparkSession, root: str | list[str], glob: str | None = None) -> DataFrame:
+    """One row per file below `root`. Leave out `content` and the bytes are never read.
+
+    The glob is tested while listing. Names that begin with `_` or `.` are not listed by Spark.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -21,11 +29,31 @@ def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
         F.col("modificationTime").alias("last_modified"), F.col("length").alias("file_size"), "content")
 
 
+def extension_glob(extensions: list[str]) -> str:
+    """A glob for names with one of the extensions, in any case."""
+    def letters(extension):
+        return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
+
+    return "{" + ",".join(f"*.{letters(e)}" for e in extensions) + "}"
+
+
 def read_files(spark: SparkSession, root: str, extensions: list[str] = SUPPORTED_EXTENSIONS,
-               condition: Column | None = None) -> DataFrame:
-    """Files with an allowed extension that also meet `condition` on their metadata."""
-    files = scan_files(spark, root).filter(F.col("file_extension").isin(*extensions))
-    return files if condition is None else files.filter(condition)
+               condition: Column | None = None, max_named: int = MAX_NAMED_FILES) -> DataFrame:
+    """Files with an allowed extension that also meet `condition` on their metadata.
+
+    A scan reads the content of every file it lists before a filter sees the
+    row. So the metadata is filtered first, and the kept files, if there are
+    few enough to name, are the only ones read.
+    """
+    glob = extension_glob(extensions)
+    files = scan_files(spark, root, glob).filter(F.col("file_extension").isin(*extensions))
+    if condition is None:
+        return files
+    kept = files.filter(condition)
+    named = [r["file_path"] for r in kept.select("file_path").limit(max_named + 1).collect()]
+    if not 0 < len(named) <= max_named:
+        return kept
+    return scan_files(spark, [re.sub(r"([\[\]{}*?\\])", r"\\\1", path) for path in named])
 
 
 def read_vault(spark: SparkSession, root: str) -> DataFrame:

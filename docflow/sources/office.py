@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-import re
+import posixpath
 import zipfile
 from xml.etree import ElementTree
 
@@ -14,51 +14,84 @@ WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 DRAWING = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 SLIDE = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+PACKAGE = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 
+# What elements other than text stand for.
+WORD_MARKS = {f"{WORD}tab": "\t", f"{WORD}br": "\n", f"{WORD}cr": "\n", f"{WORD}noBreakHyphen": "-"}
+DRAWING_MARKS = {f"{DRAWING}br": "\v"}
 
-def _members(archive: zipfile.ZipFile, pattern: str) -> list[str]:
-    found = [(int(m.group(1)), name) for name in archive.namelist() if (m := re.fullmatch(pattern, name))]
-    return [name for _, name in sorted(found)]
 
+def _xml(archive: zipfile.ZipFile, name: str):
+    return ElementTree.fromstring(archive.read(name))
 
-def _run_text(paragraph, space: str) -> str:
-    marks = {f"{space}tab": "\t", f"{space}br": "\n", f"{space}cr": "\n"}
-    return "".join(e.text or "" if e.tag == f"{space}t" else marks.get(e.tag, "") for e in paragraph.iter())
+
+def _listed_parts(archive: zipfile.ZipFile, main: str, item: str) -> list[str]:
+    """The parts the main part lists as `item`, in its order, which need not be the order of their names."""
+    folder, name = posixpath.split(main)
+    links = {r.get("Id"): r.get("Target") for r in _xml(archive, f"{folder}/_rels/{name}.rels").iter(f"{PACKAGE}Relationship")}
+    targets = [links[e.get(f"{LINK}id")] for e in _xml(archive, main).iter(item)]
+    return [t.lstrip("/") if t.startswith("/") else posixpath.normpath(f"{folder}/{t}") for t in targets]
 
 
 def docx_text(archive: zipfile.ZipFile) -> str:
-    body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{WORD}body")
-    return "\n".join(_run_text(p, WORD) for p in body.findall(f"{WORD}p"))
+    """Paragraphs of the body itself; tables and text boxes are not among them."""
+    def text(paragraph):
+        runs = [run for child in paragraph
+                for run in ([child] if child.tag == f"{WORD}r" else child.findall(f"{WORD}r") if child.tag == f"{WORD}hyperlink" else [])]
+        return "".join(e.text or "" if e.tag == f"{WORD}t" else WORD_MARKS.get(e.tag, "") for run in runs for e in run)
+
+    return "\n".join(text(p) for p in _xml(archive, "word/document.xml").findall(f"{WORD}body/{WORD}p"))
 
 
 def pptx_text(archive: zipfile.ZipFile) -> str:
-    lines = []
-    for name in _members(archive, r"ppt/slides/slide(\d+)\.xml"):
-        for shape in ElementTree.fromstring(archive.read(name)).iter(f"{SLIDE}sp"):
-            frame = shape.find(f"{SLIDE}txBody")
-            lines.append("" if frame is None else
-                         "\n".join(_run_text(p, DRAWING) for p in frame.findall(f"{DRAWING}p")))
-    return "\n".join(lines)
+    """Text shapes of the slides in show order; groups and tables are not text shapes."""
+    def paragraph(p):
+        return "".join(DRAWING_MARKS.get(e.tag) or e.findtext(f"{DRAWING}t") or "" for e in p)
+
+    shapes = []
+    for name in _listed_parts(archive, "ppt/presentation.xml", f"{SLIDE}sldId"):
+        for shape in _xml(archive, name).findall(f"{SLIDE}cSld/{SLIDE}spTree/{SLIDE}sp"):
+            shapes.append("\n".join(paragraph(p) for p in shape.findall(f"{SLIDE}txBody/{DRAWING}p")))
+    return "\n".join(shapes)
+
+
+def _cell_text(cell, shared: list[str]) -> str:
+    """A cell as text; empty for empty, zero and false ones. Dates stay the numbers they are stored as."""
+    kind = cell.get("t", "n")
+    formula = cell.findtext(f"{SHEET}f")
+    raw = cell.findtext(f"{SHEET}v") or ""
+    if formula:
+        return f"={formula}"
+    if kind == "inlineStr":
+        return "".join(t.text or "" for t in cell.iter(f"{SHEET}t"))
+    if not raw:
+        return ""
+    if kind == "s":
+        return shared[int(raw)]
+    if kind == "b":
+        return "True" if raw == "1" else ""
+    if kind != "n":
+        return raw
+    number = float(raw) if set(raw.lower()) & set(".e") else int(raw)
+    return str(number) if number else ""
 
 
 def xlsx_text(archive: zipfile.ZipFile) -> str:
+    """A line per row, its cells joined by blanks; a row that is left out between others is an empty line."""
     shared = []
     if "xl/sharedStrings.xml" in archive.namelist():
-        root = ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))
-        shared = ["".join(t.text or "" for t in item.iter(f"{SHEET}t")) for item in root.findall(f"{SHEET}si")]
-
-    def value(cell):
-        if cell.get("t") == "inlineStr":
-            return "".join(t.text or "" for t in cell.iter(f"{SHEET}t"))
-        raw = cell.findtext(f"{SHEET}v") or ""
-        return shared[int(raw)] if cell.get("t") == "s" and raw else raw
-
-    text = ""
-    for name in _members(archive, r"xl/worksheets/sheet(\d+)\.xml"):
-        for row in ElementTree.fromstring(archive.read(name)).iter(f"{SHEET}row"):
-            values = [value(c) for c in row.findall(f"{SHEET}c")]
-            text += " ".join(v for v in values if v and v != "0") + "\n"
-    return text
+        shared = ["".join(t.text or "" for t in item.iter(f"{SHEET}t"))
+                  for item in _xml(archive, "xl/sharedStrings.xml").findall(f"{SHEET}si")]
+    lines = []
+    for name in _listed_parts(archive, "xl/workbook.xml", f"{SHEET}sheet"):
+        last = 0
+        for row in _xml(archive, name).iter(f"{SHEET}row"):
+            number = int(row.get("r", last + 1))
+            lines.extend([""] * (number - last - 1))
+            lines.append(" ".join(filter(None, (_cell_text(c, shared) for c in row.findall(f"{SHEET}c")))))
+            last = number
+    return "".join(line + "\n" for line in lines)
 
 
 READERS = {"docx": docx_text, "pptx": pptx_text, "xlsx": xlsx_text}
@@ -69,7 +102,7 @@ def read_office(content: bytes, extension: str) -> str:
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             return READERS[extension](archive)
-    except (zipfile.BadZipFile, KeyError, ValueError, IndexError, AttributeError, ElementTree.ParseError):
+    except Exception:  # whatever is wrong with one file must not end the job
         return ""
 
 

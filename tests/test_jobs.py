@@ -88,7 +88,7 @@ def test_collections(spark, folder):
     with pytest.raises(collections.CollectionError):
         collections.open_collection(spark, root, "c")
     assert collections.open_collection(spark, root, "c", "create").isEmpty()
-    assert collections.open_collection(spark, root, "a", "nonempty").count() == 3
+    assert collections.open_collection(spark, root, "a").count() == 3
 
 
 def test_persisted_index(spark, folder):

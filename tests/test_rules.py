@@ -23,6 +23,7 @@ def kept(df, name="file_path"):
     ([r"\.md$"], [], ["README.md"]),
     ([r"\.py$"], ["/"], ["main.py"]),
     ([], [], REPO),
+    (None, None, REPO),
 ])
 def test_keep_lists(spark, include, exclude, expected):
     once = rules.apply_rules(frame(spark, REPO), "file_path", include, exclude)

@@ -11,7 +11,7 @@ from docflow.functions.text import html_to_text
 from docflow.operators import metadata, quality
 from docflow.schema import KV
 from docflow.sources import files, listings, records, tables
-from docflow.sources.office import SHEET, WORD, DRAWING, SLIDE
+from docflow.sources.office import DRAWING, LINK, PACKAGE, SHEET, SLIDE, WORD
 
 LATIN = "caf\xe9".encode("latin-1")
 
@@ -28,19 +28,31 @@ def space(name):
     return name.strip("{}")
 
 
+def parts(main, items, targets):
+    """A main part that lists others, and the links that say where they are."""
+    folder, name = main.rsplit("/", 1)
+    listed = "".join(f'<{items} r:id="r{i}"/>' for i in range(len(targets)))
+    links = "".join(f'<Relationship Id="r{i}" Target="{target}"/>' for i, target in enumerate(targets))
+    return {main: f'<m xmlns="{space(SLIDE if items == "sldId" else SHEET)}" xmlns:r="{space(LINK)}">{listed}</m>',
+            f"{folder}/_rels/{name}.rels": f'<Relationships xmlns="{space(PACKAGE)}">{links}</Relationships>'}
+
+
 DOCX = zipped({"word/document.xml": f'<w:document xmlns:w="{space(WORD)}"><w:body>'
-               "<w:p><w:r><w:t>one</w:t></w:r><w:r><w:tab/><w:t>two</w:t></w:r></w:p><w:p/>"
+               "<w:p><w:r><w:t>one</w:t></w:r><w:hyperlink><w:r><w:tab/><w:t>two</w:t></w:r></w:hyperlink></w:p><w:p/>"
+               "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>in a table</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"
                "<w:p><w:r><w:t>üç</w:t></w:r></w:p></w:body></w:document>"})
-SLIDE_XML = ('<p:sld xmlns:p="{p}" xmlns:a="{a}"><p:sp><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p>'
-             "<a:p><a:r><a:t>more</a:t></a:r></a:p></p:txBody></p:sp></p:sld>")
-PPTX = zipped({f"ppt/slides/slide{n}.xml": SLIDE_XML.format(p=space(SLIDE), a=space(DRAWING), t=f"title {n}")
-               for n in (10, 2)})
+SHAPE = "<p:sp><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p><a:p><a:r><a:t>mo</a:t></a:r><a:fld><a:t>re</a:t></a:fld></a:p></p:txBody></p:sp>"
+SLIDE_XML = (f'<p:sld xmlns:p="{space(SLIDE)}" xmlns:a="{space(DRAWING)}"><p:cSld><p:spTree>{SHAPE}'
+             "<p:grpSp>" + SHAPE.format(t="grouped") + "</p:grpSp></p:spTree></p:cSld></p:sld>")
+PPTX = zipped({f"ppt/slides/slide{n}.xml": SLIDE_XML.format(t=f"title {n}") for n in (1, 2)}
+              | parts("ppt/presentation.xml", "sldId", ["slides/slide2.xml", "/ppt/slides/slide1.xml"]))
 XLSX = zipped({
     "xl/sharedStrings.xml": f'<sst xmlns="{space(SHEET)}"><si><t>name</t></si><si><r><t>a</t></r><r><t>b</t></r></si></sst>',
-    "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{space(SHEET)}"><sheetData><row><c t="s"><v>0</v></c><c><v>7</v></c></row>'
-                                '<row><c t="s"><v>1</v></c><c/><c t="inlineStr"><is><t>in</t></is></c><c><v>0</v></c></row>'
-                                "</sheetData></worksheet>"})
-XLSX_TEXT = "name 7\nab in\n"
+    "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{space(SHEET)}"><sheetData><row r="1"><c t="s"><v>0</v></c><c><v>7</v></c></row>'
+                                '<row r="3"><c t="s"><v>1</v></c><c/><c t="inlineStr"><is><t>in</t></is></c><c><v>0</v></c>'
+                                '<c><v>1.50</v></c><c t="b"><v>1</v></c><c t="b"><v>0</v></c><c><f>A1+1</f><v>8</v></c></row>'
+                                "</sheetData></worksheet>"} | parts("xl/workbook.xml", "sheet", ["worksheets/sheet1.xml"]))
+XLSX_TEXT = "name 7\n\nab in 1.5 True =A1+1\n"
 HTML = ("<!DOCTYPE html><html><head><title>T</title></head><body>\n <h1>Hello &amp; hi</h1>\n <p>A  <b>bold</b>\n line.</p>"
         "<ul>\n<li>one</li>\n<li>two</li></ul><script>x<y</script><!-- no --></body></html>")
 
@@ -65,18 +77,25 @@ def test_folder_scan_and_dispatch(spark, tree):
     docs = {r.file_name: r for r in files.extract_text(found).collect()}
     assert {n: r.text for n, r in docs.items()} == {
         "a.txt": "plain", "b.HTML": "Hello & hi\nA bold line.\none\ntwo", "c.docx": "one\ttwo\n\nüç",
-        "d.pptx": "title 2\nmore\ntitle 10\nmore"}
+        "d.pptx": "title 2\nmore\ntitle 1\nmore"}
     assert docs["a.txt"].file_size == 5 and isinstance(docs["a.txt"].last_modified, datetime)
     kept_blank = files.extract_text(found, drop_blank=False)
     assert sorted(r.file_name for r in kept_blank.select("file_name").collect()) == [
         "a.txt", "b.HTML", "blank.txt", "broken.docx", "c.docx", "d.pptx"]
 
 
-def test_rules_run_before_content_is_read(spark, tree):
-    small = files.read_files(spark, tree, condition=~F.col("file_path").contains("/sub/"))
-    assert sorted(r.file_name for r in small.select("file_name").collect()) == [
-        "a.txt", "bad.txt", "blank.txt", "broken.docx"]
-    plan = small.select("file_path")._jdf.queryExecution().executedPlan().toString()
+def test_content_is_read_of_kept_files_only(spark, tree, tmp_path):
+    (tmp_path / "tree" / "odd [1]{2}.txt").write_bytes(b"odd")
+    (tmp_path / "tree" / "odd 1.txt").write_bytes(b"no")
+    outside = ~F.col("file_path").contains("/sub/") & (F.col("file_name") != "odd 1.txt")
+    for most in (files.MAX_NAMED_FILES, 2):
+        kept = files.read_files(spark, tree, condition=outside, max_named=most)
+        assert sorted((r.file_name, bytes(r.content)) for r in kept.collect()) == [
+            ("a.txt", b"plain"), ("bad.txt", LATIN), ("blank.txt", b" \n\t"), ("broken.docx", b"not a zip"),
+            ("odd [1]{2}.txt", b"odd")]
+    assert len(files.read_files(spark, tree, condition=outside).inputFiles()) == 5
+    assert files.read_files(spark, tree, condition=F.lit(False)).count() == 0
+    plan = files.scan_files(spark, tree).select("file_path")._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema:")[1]
 
 

@@ -224,10 +224,9 @@ def unexpired_keys(t):
 
 
 @query("explicit_join", """
-SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey
-WHERE c_mktsegment = 'BUILDING'""")
+SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey""")
 def explicit_join(t):
-    buyers = t.customer.filter(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    buyers = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_name")
     orders = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
     return skew_join(orders, buyers, "o_custkey").select("o_orderkey", "c_name", "o_totalprice")
 
@@ -275,15 +274,17 @@ def select_columns(t):
     return t.documents.select("doc_id", "source", "text")
 
 
-@query("positional_columns", "SELECT n_nationkey AS Col0, n_name AS Col1, n_regionkey AS Col2 FROM nation")
+@query("positional_columns", """
+SELECT c_custkey AS Col0, c_name AS Col1, c_nationkey AS Col2, c_acctbal AS Col3, c_mktsegment AS Col4 FROM customer""")
 def positional_columns(t):
-    return metadata.positional(t.nation)
+    return metadata.positional(t.customer)
 
 
 @query("shape_rows", """
-SELECT to_json({'r_regionkey': r_regionkey, 'r_name': r_name})::varchar AS result FROM region""")
+SELECT to_json({'s_suppkey': s_suppkey, 's_name': s_name, 's_nationkey': s_nationkey, 's_acctbal': s_acctbal})::varchar AS result
+FROM supplier""")
 def shape_rows(t):
-    return metadata.shape_result(t.region)
+    return metadata.shape_result(t.supplier)
 
 
 @query("top_n_recent", """
