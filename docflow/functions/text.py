@@ -15,9 +15,9 @@ BLOCK_TAGS = (
 
 # Character references, the ampersand last so that nothing is decoded twice.
 ENTITIES = [
-    ("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'),
-    ("&apos;", "'"), ("&#39;", "'"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"),
-    ("&ndash;", "–"), ("&mdash;", "—"), ("&euro;", "€"), ("&laquo;", "«"), ("&raquo;", "»"), ("&amp;", "&"),
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"),
+    ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
+    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&euro;", "€"), ("&laquo;", "«"), ("&raquo;", "»"), ("&amp;", "&"),
 ]
 
 
@@ -64,8 +64,21 @@ def _replace(text: Column, *steps) -> Column:
     return reduce(lambda value, step: F.regexp_replace(value, *step), steps, text)
 
 
+def _numbered_character(piece: Column) -> Column:
+    """What follows `&#`, its number replaced by the character; anything else is put back as it was."""
+    number = F.regexp_extract(piece, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+    code = F.when(number.rlike("^[xX]"), F.conv(F.substring(number, 2, 6), 16, 10)).otherwise(
+        F.nullif(number, F.lit(""))).cast("bigint")
+    code = F.when(code == 160, 32).otherwise(code)
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(valid, F.concat(character, F.substr(piece, F.length(number) + 2))).otherwise(F.concat(F.lit("&#"), piece))
+
+
 def _unescape(text: Column) -> Column:
-    return reduce(lambda value, pair: F.replace(value, F.lit(pair[0]), F.lit(pair[1])), ENTITIES, text)
+    numbered = F.array_join(F.transform(
+        F.split(text, "&#"), lambda piece, i: F.when(i == 0, piece).otherwise(_numbered_character(piece))), "")
+    return reduce(lambda value, pair: F.replace(value, F.lit(pair[0]), F.lit(pair[1])), ENTITIES, numbered)
 
 
 def _drop_markup(html: Column) -> Column:

@@ -19,7 +19,7 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
     work inside the row: no explode and no shuffle.
     """
     buckets = F.transform(
-        bare_words(F.lower(text)),
+        bare_words(F.lower(F.coalesce(text, F.lit("")))),
         lambda word: F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("bigint") % dim,
     )
     numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint"))

@@ -53,9 +53,16 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def java_pattern(pattern: str) -> str:
+    """A pattern for `rlike`: Unicode classes, Java's spelling of named groups and of the end of the text."""
+    spelling = {"(?P<": "(?<", "\\Z": "\\z"}
+    return "(?U)" + re.sub(
+        r"\\.|\(\?P<(?=[A-Za-z])|\(\?P=(\w+)\)",
+        lambda m: rf"\k<{m.group(1)}>" if m.group(1) else spelling.get(m.group(), m.group()), pattern, flags=re.S)
+
+
 def matches_any(key: Column, patterns: list[str]) -> Column:
-    # (?U) gives \w, \d and \s their Unicode meaning.
-    return _any([key.rlike("(?U)" + p) for p in patterns]) if patterns else F.lit(False)
+    return _any([key.rlike(java_pattern(p)) for p in patterns]) if patterns else F.lit(False)
 
 
 def rule_condition(key: Column, include: list[str] | None = (), exclude: list[str] | None = ()) -> Column:

@@ -152,8 +152,10 @@ def _hit_schema(asked: DataFrame, held: DataFrame, carry) -> T.StructType:
 
 
 def _usable(table):
-    """Rows with an id and a vector. Testing it here spares the plan a second run of the vector expression."""
-    return table.filter(pc.and_(pc.is_valid(table.column(0)), pc.is_valid(table.column("vector"))))
+    """Rows with an id and a vector of numbers. Testing it here spares the plan a second run of the vector expression."""
+    table = table.filter(pc.and_(pc.is_valid(table.column(0)), pc.is_valid(table.column("vector"))))
+    finite = np.isfinite(_matrix(table.column("vector"))).all(axis=1)
+    return table if finite.all() else table.filter(pa.array(finite))
 
 
 def _rank(hits: DataFrame, k: int, metric: str) -> DataFrame:
@@ -317,7 +319,11 @@ def _visit_cells(asked: DataFrame, held: DataFrame, schema: T.StructType, k: int
                  cells: int | None = None, nprobe: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Hits of the visited cells: `nprobe` of them, or as many as an exact answer needs."""
     # Both sides are read several times, so their vectors are computed once.
-    asked, held = (durable(side.dropna(subset=[side.columns[0], "vector"])) for side in _to_euclid(asked, held, metric))
+    def numbers(side):
+        no_number = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf))
+        return side.filter(F.col(side.columns[0]).isNotNull() & F.col("vector").isNotNull() & ~no_number)
+
+    asked, held = (durable(side) for side in _to_euclid(numbers(asked), numbers(held), metric))
     if held.isEmpty():
         return held.sparkSession.createDataFrame([], schema)
     if cells is None:

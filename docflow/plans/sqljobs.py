@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -36,12 +37,20 @@ def missing_tables(spark: SparkSession, required: set[str]) -> set[str]:
 
 
 def run_sql(session: SparkSession, sql: str, args: dict | None = None) -> DataFrame | None:
-    """The result of one statement; a statement Spark rejects is logged and gives None."""
+    """The result of one query; text Spark rejects is logged and gives None.
+
+    As a subquery the text can only be a query, no command. Tables of the
+    catalog are refused: only the session's views count as given.
+    """
     try:
-        return session.sql(sql, args=args or {})
+        result = session.sql(f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n)", args=args or {})
     except PySparkException as error:
         log.error("SQL failed: %s", error)
         return None
+    if re.search(r"^\W*SubqueryAlias spark_catalog\.", result._jdf.queryExecution().analyzed().toString(), re.M):
+        log.error("SQL uses a table that was not given: %s", sql)
+        return None
+    return result
 
 
 def describe_tables(session: SparkSession, names: list[str] | None = None) -> DataFrame:

@@ -143,6 +143,7 @@ def test_hash_embedding_counts_words(spark):
     a, b, c = (r.v for r in docs(spark, [(1, "Cat cat dog"), (2, "dog CAT\ncat"), (3, "")]).select(
         "doc_id", hash_embedding(F.col("text"), 16).alias("v")).orderBy("doc_id").collect())
     assert a == b and sum(a) == 3 and max(a) >= 2 and c == [0.0] * 16
+    assert spark.sql("SELECT CAST(NULL AS STRING) AS t").select(hash_embedding(F.col("t"), 4)).first()[0] == [0.0] * 4
 
 
 # --- SQL over library tables -------------------------------------------------
@@ -196,6 +197,28 @@ def test_only_given_tables_are_seen(spark, library, folder):
     assert sqljobs.run_sql(session, f"SELECT * FROM parquet.`{library['inventory']}`") is None
 
 
+def test_only_queries_run(spark, library, folder):
+    session = sqljobs.table_session(spark, library)
+    for text in ["DROP VIEW books", "SET spark.sql.ansi.enabled=false", f"INSERT OVERWRITE DIRECTORY '{folder}/x' USING parquet SELECT 1",
+                 "SELECT 1) t; DROP VIEW books --"]:
+        assert sqljobs.run_sql(session, text) is None
+    assert answers(session, "WITH b AS (SELECT book_id FROM books) SELECT min(book_id) m FROM b; ") == [(1,)]
+    assert answers(session, "SELECT 'SubqueryAlias spark_catalog.x' AS a -- note") == [("SubqueryAlias spark_catalog.x",)]
+    ordered = sqljobs.run_sql(session, "SELECT book_id FROM books ORDER BY book_id DESC LIMIT 2")
+    assert [r.book_id for r in ordered.collect()] == [5, 4]
+
+
+def test_catalog_tables_are_not_given(spark, library, folder):
+    spark.sql(f"CREATE TABLE hidden USING parquet LOCATION '{library['books']}'")
+    try:
+        session = sqljobs.table_session(spark, library)
+        for name in ("hidden", "default.hidden", "spark_catalog.default.hidden"):
+            assert sqljobs.run_sql(session, f"SELECT * FROM {name}") is None
+            assert sqljobs.run_sql(session, f"SELECT (SELECT count(*) FROM {name}) AS n FROM books") is None
+    finally:
+        spark.sql("DROP TABLE hidden")
+
+
 def test_required_tables(spark, library):
     with pytest.raises(sqljobs.MissingTables, match="inventory"):
         sqljobs.table_session(spark, {"books": library["books"]}, {"books", "inventory"})

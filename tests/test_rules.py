@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +40,14 @@ def test_invalid_patterns_are_reported_and_count_as_absent(spark):
         assert rules.valid_patterns(["(", "a", "["]) == ["a"]
 
 
+@pytest.mark.parametrize("pattern", [
+    r"(?P<q>['\"]).*(?P=q)", r"b\Z", r"\\Z", r"^\w+$", r"\d", r"a.c", r"b$", r"[\s]x", r"(?i)ABC", r"(a)\1", r"a{2}", r"\(\?P<x"])
+def test_patterns_find_what_they_find_in_python(spark, pattern):
+    values = ["'x'", "'x\"", "ab", "ab\n", r"a\Z", "şeker", "٣", "a\nc", "abc", "a\u00a0x", "aab", "(?P<x", ""]
+    found = rules.apply_rules(frame(spark, values), "file_path", [pattern])
+    assert kept(found) == sorted(v for v in values if re.search(pattern, v))
+
+
 def test_missing_key_is_the_empty_string(spark):
     df = frame(spark, [None, "a"])
     assert rules.apply_rules(df, "file_path", [], ["b"]).count() == 2

@@ -77,7 +77,9 @@ def test_string_ids_nulls_and_carried_columns(spark):
     queries, nodes = data(n=50)
     ids = [f"n{i:03d}" for i in range(50)]
     held = vectors(spark, nodes, "node_id", ids).withColumn("tag", F.concat(F.lit("t"), "node_id")).unionByName(
-        spark.createDataFrame([(None, [1.0] * 6, "x"), ("zz", None, "x")], "node_id string, embedding array<double>, tag string"))
+        spark.createDataFrame(
+            [(None, [1.0] * 6, "x"), ("zz", None, "x"), ("nan", [float("nan")] * 6, "x"), ("inf", [float("inf")] * 6, "x"),
+             ("gap", [1.0] * 5 + [None], "x")], "node_id string, embedding array<double>, tag string"))
     for bound in (4096, 0):
         found = top_k(vectors(spark, queries, "query_id"), held, 2, carry=["tag"], max_questions=bound)
         assert got(found) == brute(queries, nodes, 2, "cosine", ids)

@@ -121,6 +121,14 @@ def test_html_lines(spark):
     assert page.select(html_to_text(F.col("h"))).first()[0] == "Merhaba Dünya!\nBu bir örnek.\nMadde 1\nMadde 2"
 
 
+@pytest.mark.parametrize("html, text", [
+    ("it&#8217;s &#x1F600;", "it’s 😀"), ("&#0;&#xD800;&#9999999;&#;&#12 &#x;", "&#0;&#xD800;&#9999999;&#;&#12 &#x;"),
+    ("&amp;#39; &amp;lt; &lt;b&gt;", "&#39; &lt; <b>"), ("a&#160;b&nbsp;c", "a b c"), ("&unknown;&copy;", "&unknown;©"),
+    ("<!-- <p>no</p> --><style>p{}</style>a<br/>b<DIV class='x'>c</DIV>d", "a\nb\nc\nd"), ("", "")])
+def test_html_characters(spark, html, text):
+    assert spark.createDataFrame([(html,)], "h string").select(html_to_text(F.col("h"))).first()[0] == text
+
+
 def blobs(spark, contents):
     return spark.createDataFrame([(p, bytearray(c)) for p, c in contents.items()], "path string, content binary")
 
