@@ -140,9 +140,9 @@ def stream_session_upsert(t):
 
 
 def _landed_turns(t):
-    landed = (t.spark.readStream.schema(t.conversations.schema).option("pathGlobFilter", "conversations.parquet")
-              .parquet(t.folder))
-    return as_turns(landed)
+    # As a glob the path may name a file as well as a folder of files.
+    landed = t.path("conversations").replace(".parquet", ".parque[t]")
+    return as_turns(t.spark.readStream.schema(t.conversations.schema).parquet(landed))
 
 
 def entries(t):
