@@ -11,6 +11,9 @@ ISSUE_LINES = [
     ("Issue Type", "issue_type"), ("Status", "status"), ("Created", "created"), ("Updated", "updated"),
 ]
 
+# Metadata a node shows neither to the embedding nor to the prompt.
+HIDDEN_NODE_KEYS = ["file_name", "file_type", "file_size", "creation_date", "last_modified_date", "last_accessed_date"]
+
 
 def issue_text(fields: dict[str, Column]) -> Column:
     lines = [F.concat(F.lit(f"{label}: "), F.coalesce(fields[name].cast("string"), F.lit("None")))
@@ -48,7 +51,7 @@ def render_kv(kind: Column, s: Column, h: Column, l: Column, z: Column) -> Colum
             .when(kind == "zset", F.to_json(zset_members(z))))
 
 
-def render_node(entries: Column, text: Column, excluded=()) -> Column:
+def render_node(entries: Column, text: Column, excluded=tuple(HIDDEN_NODE_KEYS)) -> Column:
     """`key: value` lines of the metadata entries not excluded, a blank line, the text.
 
     `entries` is an array of (key, value) structs, because its order is the order of the lines.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from docflow.operators.joins import checked_broadcast
@@ -10,10 +12,13 @@ from docflow.plans.embedding import embed_hashed
 
 
 def search(questions: DataFrame, nodes: DataFrame, k: int = 2, metric: str = "cosine", *,
-           question_id: str = "item_id", question: str = "text", dim: int = 64,
+           question_id: str = "item_id", question: str = "text", embed: Callable[[DataFrame], DataFrame] = embed_hashed,
            carry: list[str] = (), max_questions: int = MAX_QUESTIONS) -> DataFrame:
-    """Best nodes per question: (query_id, rank, node_id, score, *carry). Nodes are embedded already."""
-    asked = embed_hashed(questions.select(F.col(question_id).alias("query_id"), question), question, dim)
+    """Best nodes per question: (query_id, rank, node_id, score, *carry).
+
+    The nodes are embedded already; `embed` does the same for the `text` of the questions.
+    """
+    asked = embed(questions.select(F.col(question_id).alias("query_id"), F.col(question).alias("text")))
     return top_k(asked, nodes, k, metric, carry=carry, max_questions=max_questions)
 
 

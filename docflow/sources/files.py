@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docflow.functions import paths
 from docflow.functions.text import decode_text, has_text, html_to_text, strict_utf8
 from docflow.operators.rules import SUPPORTED_EXTENSIONS
-from docflow.sources.office import office_to_text
+from docflow.sources.office import READERS, parse_files
 
 
+Readers = dict[str, Callable[[bytes], str]]
 MAX_NAMED_FILES = 20_000
 
 
@@ -62,26 +64,31 @@ def read_vault(spark: SparkSession, root: str) -> DataFrame:
     return notes.withColumn("text", strict_utf8(F.col("content"))).drop("content").filter(F.col("text").isNotNull())
 
 
-def extract_text(files: DataFrame, drop_blank: bool = True) -> DataFrame:
+def extract_text(files: DataFrame, drop_blank: bool = True, readers: Readers | None = None) -> DataFrame:
     """Text by extension: office parts, HTML, otherwise strict UTF-8.
 
-    Only office files leave the JVM.
+    `readers` adds functions from bytes to text for more extensions; without
+    one for it, a PDF file has no text. Only files with a reader leave the JVM.
     """
-    office = F.col("file_extension").isin("docx", "pptx", "xlsx")
+    readers = {**READERS, **(readers or {})}
+    parsed = F.col("file_extension").isin(*readers)
     plain = strict_utf8(F.col("content"))
-    direct = files.filter(~office).withColumn(
-        "text", F.when(F.col("file_extension") == "html", html_to_text(plain)).otherwise(plain)).drop("content")
-    docs = direct.unionByName(office_to_text(files.filter(office)))
+    text = (F.when(F.col("file_extension") == "html", html_to_text(plain))
+            .when(F.col("file_extension") != "pdf", plain))
+    docs = files.filter(~parsed).withColumn("text", text).drop("content").unionByName(
+        parse_files(files.filter(parsed), readers))
     return docs.filter(has_text(F.col("text")) if drop_blank else F.col("text").isNotNull())
 
 
-def decode_cascade(files: DataFrame) -> DataFrame:
-    """UTF-8 whatever the extension, then office text, then Latin-1 for text files; other files are dropped.
+def decode_cascade(files: DataFrame, readers: Readers | None = None) -> DataFrame:
+    """UTF-8 whatever the extension, then a reader's text, then Latin-1 for text files; other files are dropped.
 
-    Office text is dropped when blank; decoded text is kept as it is.
+    Readers know docx and xlsx and what `readers` adds. Their text is dropped
+    when blank; decoded text is kept as it is.
     """
+    readers = {"docx": READERS["docx"], "xlsx": READERS["xlsx"], **(readers or {})}
     decoded = files.withColumn("text", decode_text(F.col("content"), F.col("file_extension")))
-    office = F.col("file_extension").isin("docx", "xlsx") & F.col("text").isNull()
+    parsed = F.col("file_extension").isin(*readers) & F.col("text").isNull()
     readable = decoded.filter(F.col("text").isNotNull()).drop("content")
     return readable.unionByName(
-        office_to_text(decoded.filter(office).drop("text")).filter(has_text(F.col("text"))))
+        parse_files(decoded.filter(parsed).drop("text"), readers).filter(has_text(F.col("text"))))

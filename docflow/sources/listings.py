@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docflow.functions import paths
 from docflow.functions.text import strict_utf8
-from docflow.sources.files import decode_cascade
+from docflow.sources.files import Readers, decode_cascade
 
 
 def _with_names(entries: DataFrame) -> DataFrame:
@@ -48,13 +48,13 @@ def from_repo_tree(tree: DataFrame, blobs: DataFrame) -> DataFrame:
     return docs.withColumn("text", strict_utf8(F.col("content"))).drop("content").filter(F.col("text").isNotNull())
 
 
-def from_drive_listing(entries: DataFrame, blobs: DataFrame) -> DataFrame:
+def from_drive_listing(entries: DataFrame, blobs: DataFrame, readers: Readers | None = None) -> DataFrame:
     """Documents of a recursive drive listing, all of its pages."""
     files = _with_names(entries.filter(F.col("tag") == "file").select(
         F.col("path_display").alias("file_path"), F.col("name").alias("file_name"),
         paths.modified_at(F.col("client_modified"), "iso").alias("last_modified")))
     docs, _ = with_content(files, blobs)
-    return decode_cascade(docs)
+    return decode_cascade(docs, readers)
 
 
 def from_graph_items(items: DataFrame, blobs: DataFrame) -> DataFrame:

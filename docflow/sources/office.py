@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
+from collections.abc import Callable
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, types as T
@@ -94,26 +95,30 @@ def xlsx_text(archive: zipfile.ZipFile) -> str:
     return "".join(line + "\n" for line in lines)
 
 
-READERS = {"docx": docx_text, "pptx": pptx_text, "xlsx": xlsx_text}
+def _zipped(read):
+    def run(content: bytes) -> str:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            return read(archive)
 
+    return run
 
-def read_office(content: bytes, extension: str) -> str:
-    """Text of one file; empty when it cannot be read."""
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            return READERS[extension](archive)
-    except Exception:  # whatever is wrong with one file must not end the job
-        return ""
 
+READERS = {"docx": _zipped(docx_text), "pptx": _zipped(pptx_text), "xlsx": _zipped(xlsx_text)}
 
-def office_to_text(files: DataFrame) -> DataFrame:
-    """Replace `content` by `text` for docx, pptx and xlsx rows."""
+
+def parse_files(files: DataFrame, readers: dict[str, Callable[[bytes], str]]) -> DataFrame:
+    """Replace `content` by `text`, read by the reader of the file's extension; empty when it cannot be read."""
     kept = [f for f in files.schema.fields if f.name != "content"]
     names = [f.name for f in kept]
 
+    def read(content, extension):
+        try:
+            return readers[extension](content)
+        except Exception:  # whatever is wrong with one file must not end the job
+            return ""
+
     def run(batches):
         for batch in batches:
-            yield batch[names].assign(
-                text=[read_office(c, e) for c, e in zip(batch["content"], batch["file_extension"])])
+            yield batch[names].assign(text=[read(c, e) for c, e in zip(batch["content"], batch["file_extension"])])
 
     return files.select(*names, "content").mapInPandas(run, T.StructType(kept + [T.StructField("text", T.StringType())]))

@@ -6,6 +6,7 @@ from docflow.operators import chunk, collections, joins, metadata, quality
 from docflow.plans import sqljobs
 from docflow.plans.embedding import embed, embed_hashed
 from docflow.plans.ingest import collection_sink, cut_nodes, funnel, run_ingest
+from docflow.plans.search import attach, search
 from docflow.plans.tasks import TaskLog, task_status
 from docflow.schema import DOCUMENT
 from docflow.session import durable, shared_dir, size_shuffles, spread, work_path
@@ -146,6 +147,17 @@ def test_hash_embedding_counts_words(spark):
     assert spark.sql("SELECT CAST(NULL AS STRING) AS t").select(hash_embedding(F.col("t"), 4)).first()[0] == [0.0] * 4
 
 
+def test_search_takes_any_embedding(spark):
+    def lengths(df):
+        return df.withColumn("embedding", F.array(F.length("text").cast("double"), F.lit(1.0)))
+
+    nodes = lengths(docs(spark, [(1, "a"), (2, "bbbb"), (3, "c" * 9)])).withColumnRenamed("doc_id", "node_id")
+    asked = spark.createDataFrame([("q", "dddd")], "item_id string, text string")
+    hits = search(asked, nodes, 2, "l2", embed=lengths)
+    assert [(r.query_id, r["rank"], r.node_id) for r in hits.orderBy("rank").collect()] == [("q", 1, 2), ("q", 2, 1)]
+    assert [r.text for r in attach(hits, nodes, ["text"]).orderBy("rank").collect()] == ["bbbb", "a"]
+
+
 # --- SQL over library tables -------------------------------------------------
 
 BOOKS = [(1, "Animal Farm", "George Orwell", "i1", 1945, "Satire"), (2, "1984", "George Orwell", "i2", 1949, "Dystopian"),
