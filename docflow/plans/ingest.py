@@ -59,8 +59,7 @@ def run_ingest(spark: SparkSession, source: Source, sink: Callable[[DataFrame],
         ruled = loaded.withColumn("_keep", rule_condition(F.col(source.rule_key), include, exclude)).observe(
             docs, F.count(F.lit(1)).alias("loaded"), F.count_if("_keep").alias("filtered"))
         sink(nodes(ruled.filter("_keep").drop("_keep")).observe(cut, F.count(F.lit(1)).alias("nodes")))
-        for stage, rows in {**docs.get, **cut.get}.items():
-            task.stage(stage, rows)
+        task.stages({**docs.get, **cut.get})
 
 
 def collection_sink(root: str, name: str, unique: bool = False, embed: Step = embed_hashed) -> Callable[[DataFrame], None]:

@@ -16,11 +16,11 @@ class TaskLog:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def add(self, task_id: str, status: str, stage: str | None = None, rows: int | None = None,
-            error: str | None = None) -> None:
+    def add(self, task_id: str, status: str, stages: dict[str, int] | None = None, error: str | None = None) -> None:
+        """Append one entry, or one per stage with its row count."""
         at = datetime.now(timezone.utc)
-        entry = self.spark.createDataFrame([(task_id, status, stage, rows, at, error)], TASK_LOG)
-        entry.coalesce(1).write.mode("append").parquet(self.path)
+        rows = [(task_id, status, stage, n, at, error) for stage, n in (stages or {None: None}).items()]
+        self.spark.createDataFrame(rows, TASK_LOG).coalesce(1).write.mode("append").parquet(self.path)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(TASK_LOG).parquet(self.path)
@@ -41,8 +41,8 @@ class _Task:
     def __init__(self, log: TaskLog, task_id: str):
         self.log, self.task_id = log, task_id
 
-    def stage(self, name: str, rows: int) -> None:
-        self.log.add(self.task_id, STARTED, name, rows)
+    def stages(self, rows: dict[str, int]) -> None:
+        self.log.add(self.task_id, STARTED, rows)
 
 
 def task_status(log: DataFrame, order: tuple[str, ...] = ("at",)) -> DataFrame:

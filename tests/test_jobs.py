@@ -40,8 +40,8 @@ def test_ingest_job_is_logged_and_repeatable(spark, folder):
     stored = collections.open_collection(spark, f"{folder}/index", "notes")
     assert sorted(r.ref_doc_id for r in stored.collect()) == ["1", "3"]
     t1 = log.read().filter("task_id = 't1'")
-    assert [(r.status, r.stage, r.rows) for r in t1.orderBy("at").collect()] == [
-        ("STARTED", None, None), ("STARTED", "loaded", 3), ("STARTED", "filtered", 2), ("STARTED", "nodes", 2),
+    assert [(r.status, r.stage, r.rows) for r in t1.orderBy("at", F.desc("rows"), F.desc("stage")).collect()] == [
+        ("STARTED", None, None), ("STARTED", "loaded", 3), ("STARTED", "nodes", 2), ("STARTED", "filtered", 2),
         ("DONE", None, None)]
     assert {r.task_id: r.status for r in task_status(log.read()).collect()} == {"t1": "DONE", "t2": "DONE"}
 
