@@ -442,3 +442,13 @@ GROUP BY c.c_mktsegment"""
 def run_sql(t):
     tables = {name: t.path(name) for name in ("customer", "orders")}
     return sqljobs.run_sql(sqljobs.table_session(t.spark, tables, {"customer", "orders"}), RUN_SQL)
+
+
+@query("run_sql_with_arguments", """
+SELECT c.c_name, o.o_orderkey, o.o_totalprice FROM customer AS c JOIN orders AS o ON c.c_custkey = o.o_custkey
+WHERE c.c_mktsegment = 'BUILDING' AND o.o_orderstatus = 'F'""")
+def run_sql_with_arguments(t):
+    session = sqljobs.table_session(t.spark, {name: t.path(name) for name in ("customer", "orders")})
+    return sqljobs.run_sql(session, """
+        SELECT c.c_name, o.o_orderkey, o.o_totalprice FROM customer AS c JOIN orders AS o ON c.c_custkey = o.o_custkey
+        WHERE c.c_mktsegment = :segment AND o.o_orderstatus = :status""", {"segment": "BUILDING", "status": "F"})
