@@ -52,7 +52,7 @@ def _norms(m: np.ndarray) -> np.ndarray:
 
 
 def _rough(q, m, metric):
-    """Scores by matrix product, larger is better; good to about 1e-9."""
+    """Scores by matrix product, larger is better; good enough to choose candidates."""
     if metric == "l2":
         sq = (np.einsum("ij,ij->i", q, q)[:, None] + np.einsum("ij,ij->i", m, m)[None, :] - 2 * (q @ m.T))
         return -np.maximum(sq, 0.0)
@@ -63,6 +63,22 @@ def _rough(q, m, metric):
     return scores
 
 
+def _magnitude(q, m, metric):
+    """Size per question of the numbers `_rough` subtracts from each other, which its error grows with."""
+    if metric == "cosine":
+        return np.ones(len(q))
+    largest = _norms(m).max()
+    return _norms(q) ** 2 + largest ** 2 if metric == "l2" else _norms(q) * largest
+
+
+def _gaps(place, centroids):
+    """Distances to the centroids and how wrong each question's may be."""
+    middle = centroids.mean(axis=0)
+    place, centroids = place - middle, centroids - middle
+    error = 1e-6 * (1.0 + np.sqrt(_magnitude(place, centroids, "l2")))
+    return np.sqrt(-_rough(place, centroids, "l2")), error
+
+
 def _final(q, m, metric):
     """Scores row by row, the same for equal vectors wherever they lie."""
     if metric == "l2":
@@ -119,7 +135,7 @@ class _BestHits:
             rough = _rough(tile, m, self.metric)
             if len(ids) > self.k:
                 cut = np.partition(rough, -self.k, axis=1)[:, -self.k]
-                slack = 1e-9 * np.maximum(1.0, np.abs(rough).max(axis=1))
+                slack = 1e-9 * np.maximum(1.0, np.abs(rough).max(axis=1)) + 1e-11 * _magnitude(tile, m, self.metric)
                 ti, ni = np.nonzero(rough >= (cut - slack)[:, None])
             else:
                 ti, ni = (a.ravel() for a in np.indices(rough.shape))
@@ -266,7 +282,7 @@ def _targets(asked: DataFrame, centroids, sizes, radii, k: int, nprobe: int | No
             if not batch.num_rows:
                 continue
             place = _matrix(batch.column("place"))
-            gap = np.sqrt(-_rough(place, centroids, "l2"))
+            gap, error = _gaps(place, centroids)
             order = np.argsort(np.where(sizes > 0, gap, np.inf), axis=1, kind="stable")
             held = np.cumsum(sizes[order], axis=1)
             reached = np.full(len(place), nprobe) if nprobe else 1 + np.argmax(held >= np.minimum(k, held[:, -1:]), axis=1)
@@ -275,7 +291,7 @@ def _targets(asked: DataFrame, centroids, sizes, radii, k: int, nprobe: int | No
             visited &= sizes[None, :] > 0
             if second:
                 kth = np.array([np.inf if d is None else d for d in batch.column("kth").to_pylist()])
-                visited = ~visited & (sizes[None, :] > 0) & (gap - radii[None, :] <= kth[:, None] + 1e-6)
+                visited = ~visited & (sizes[None, :] > 0) & (gap - radii[None, :] <= (kth + error)[:, None])
             rows, cells = np.nonzero(visited)
             taken = batch.select(["query_id", "vector"]).take(pa.array(rows))
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cells.astype("int32"))], names=schema.names)

@@ -37,9 +37,13 @@ def _listed_parts(archive: zipfile.ZipFile, main: str, item: str) -> list[str]:
 
 def docx_text(archive: zipfile.ZipFile) -> str:
     """Paragraphs of the body itself; tables and text boxes are not among them."""
+    def runs_of(child):
+        if child.tag == f"{WORD}hyperlink":
+            return child.findall(f"{WORD}r")
+        return [child] if child.tag == f"{WORD}r" else []
+
     def text(paragraph):
-        runs = [run for child in paragraph
-                for run in ([child] if child.tag == f"{WORD}r" else child.findall(f"{WORD}r") if child.tag == f"{WORD}hyperlink" else [])]
+        runs = [run for child in paragraph for run in runs_of(child)]
         return "".join(e.text or "" if e.tag == f"{WORD}t" else WORD_MARKS.get(e.tag, "") for run in runs for e in run)
 
     return "\n".join(text(p) for p in _xml(archive, "word/document.xml").findall(f"{WORD}body/{WORD}p"))

@@ -55,6 +55,14 @@ def test_exact_both_ways(spark, metric, max_questions, k):
     assert got(found) == brute(queries, nodes, k, metric)
 
 
+@pytest.mark.parametrize("max_questions", [similarity.MAX_QUESTIONS, 0])
+def test_close_vectors_far_from_the_origin(spark, max_questions):
+    queries, nodes = data()
+    queries, nodes = queries / 1000 + 30_000, nodes / 1000 + 30_000
+    found = top_k(vectors(spark, queries, "query_id"), vectors(spark, nodes, "node_id"), 3, "l2", max_questions=max_questions)
+    assert got(found) == brute(queries, nodes, 3, "l2")
+
+
 def test_crowded_cells_are_cut_into_blocks(spark):
     queries, nodes = data()
     asked = vectors(spark, np.repeat(queries, 4, axis=0), "query_id")
