@@ -175,7 +175,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     A null or empty text is its end id alone; a null id stays null, and
     repeated rows are packed each. An empty table gives no pieces.
     """
-    place = F.pandas_udf(lambda s: pd.Series(hilbert_key(project(strings(pa.Array.from_pandas(s, pa.string()))))), "long")
+    place = F.pandas_udf(lambda s: pd.Series(hilbert_key(project(strings(pa.array(s, pa.string(), from_pandas=True))))), "long")
     ordered = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
                .withColumn("_place", place("text"))
                .repartitionByRange("_place", "doc_id", F.xxhash64("text"))
