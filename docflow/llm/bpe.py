@@ -12,12 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docflow.llm.registry import query, table
-from docflow.llm.words import gather, strings
+from docflow.llm.words import by_bytes, gather, strings
 
 NONE = np.int32(2**31 - 1)
 LONG_PIECE = 128
-MATRIX_CELLS = 1 << 20
-CACHED_CHUNKS = 300_000
+MATRIX_CELLS = 1 << 19
+CACHED_CHUNKS = 100_000
 
 
 class Ranks:
@@ -127,16 +127,16 @@ def merge_long(ranks: Ranks, ids: np.ndarray) -> np.ndarray:
     return ids
 
 
-def encode_pieces(ranks: Ranks, pieces: list[bytes]) -> list[np.ndarray]:
-    """Ids of each piece, in matrices of pieces of similar length."""
-    out: list = [None] * len(pieces)
+def encode_pieces(ranks: Ranks, pieces: list[bytes]) -> list[bytes]:
+    """Ids of each piece as 32-bit numbers, from matrices of pieces of similar length."""
+    out: list = [b""] * len(pieces)
     buckets: dict[int, list[int]] = {}
     for i, piece in enumerate(pieces):
         whole = ranks.ranks.get(piece)
         if whole is not None:
-            out[i] = np.array([whole], np.int32)
+            out[i] = whole.to_bytes(4, "little")
         elif len(piece) > LONG_PIECE:
-            out[i] = merge_long(ranks, ranks.of_byte[np.frombuffer(piece, np.uint8)])
+            out[i] = merge_long(ranks, ranks.of_byte[np.frombuffer(piece, np.uint8)]).tobytes()
         else:
             buckets.setdefault(max(4, -(-len(piece) // 4) * 4), []).append(i)
     for width, members in buckets.items():
@@ -147,9 +147,9 @@ def encode_pieces(ranks: Ranks, pieces: list[bytes]) -> list[np.ndarray]:
             matrix[np.arange(width)[None, :] < lengths[:, None]] = ranks.of_byte[
                 np.frombuffer(b"".join(pieces[i] for i in part), np.uint8)]
             merged = merge_matrix(ranks, matrix)
-            ends = (merged >= 0).sum(axis=1)
-            for i, row, end in zip(part, merged, ends):
-                out[i] = row[:end].copy()
+            ends, flat = 4 * (merged >= 0).sum(axis=1), merged.tobytes()
+            for i, start, end in zip(part, range(0, len(flat), 4 * width), ends.tolist()):
+                out[i] = flat[start:start + end]
     return out
 
 
@@ -169,7 +169,7 @@ def chunk_ids(path: str, pattern: str, chunks: list[str]) -> list[bytes]:
         new = list(dict.fromkeys(chunks))
     split_new = [[p.encode() for p in split.findall(c)] for c in new]
     place = {p: i for i, p in enumerate(dict.fromkeys(p for pieces in split_new for p in pieces))}
-    ids = [x.tobytes() for x in encode_pieces(ranks, list(place))]
+    ids = encode_pieces(ranks, list(place))
     for chunk, pieces in zip(new, split_new):
         known[chunk] = b"".join([ids[place[p]] for p in pieces])
     return [known[c] for c in chunks]
@@ -220,17 +220,17 @@ def decode_batch(path: str, ids: np.ndarray, starts: np.ndarray) -> tuple[np.nda
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           batch_rows: int = 2_000) -> DataFrame:
+           batch_bytes: int = 2 << 20) -> DataFrame:
     """`id_col` and `ids` (array of int) of each text's byte-level BPE tokens, special tokens never.
 
     A null or empty text has no ids. Nulls and repeats of the id stay as they are.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, batch_rows):
-                part = batch.slice(at, batch_rows)
-                ids, starts = encode_batch(path, pattern, strings(part.column(1)))
-                yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(starts.astype(np.int32), ids)],
+            texts = strings(batch.column(1))
+            for at, stop in by_bytes(texts, batch_bytes):
+                ids, starts = encode_batch(path, pattern, texts.slice(at, stop - at))
+                yield pa.record_batch([batch.column(0).slice(at, stop - at), pa.ListArray.from_arrays(starts.astype(np.int32), ids)],
                                       names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()

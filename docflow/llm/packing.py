@@ -16,12 +16,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docflow.llm.registry import query, table
-from docflow.llm.words import crcs, gather, mix, strings, sums, word_codes
+from docflow.llm.words import by_bytes, crcs, gather, mix, strings, sums, word_codes
 
 DIMENSIONS, BITS = 4, 15
 SEQUENCE_TOKENS = 2048
 END_ID = 1
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 PLAIN = re.compile(r"[!-~\u00a1-\u012f\u0131-\u024f]+").fullmatch
 # Fixed value: the split of the tokenizer's file.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
@@ -186,9 +186,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             for batch in batches:
                 texts = strings(batch.column("text"))
                 doc_ids = batch.column("doc_id").to_pylist()
-                for at in range(0, len(texts), 2_000):
-                    ids, starts = token_ids(tokenizer_path, texts.slice(at, 2_000), end_id)
-                    for i, doc_id in enumerate(doc_ids[at:at + 2_000]):
+                for at, stop in by_bytes(texts, 4 << 20):
+                    ids, starts = token_ids(tokenizer_path, texts.slice(at, stop - at), end_id)
+                    for i, doc_id in enumerate(doc_ids[at:stop]):
                         yield doc_id, ids[starts[i]:starts[i + 1]]
 
         first, rows = TaskContext.get().partitionId() << 40, []

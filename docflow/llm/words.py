@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,17 @@ def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nda
     return np.asarray(coded.indices), starts, coded.dictionary
 
 
+def by_bytes(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """Stretches of rows with about `limit` bytes of text, each of one row at least."""
+    ends = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield at, stop
+        at = stop
+
+
 def crcs(words: pa.Array) -> np.ndarray:
     """CRC-32 of each word's UTF-8 bytes."""
     return np.fromiter((zlib.crc32(w) for w in words.cast(pa.large_binary()).to_pylist()), np.uint64, len(words))
