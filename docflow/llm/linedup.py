@@ -6,17 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docflow.functions.vectors import let
 from docflow.llm.registry import query, table
+from docflow.llm.rows import with_row_key
 
 #: Lines of fewer characters are only compared as a whole: one edit would make them another line.
 NEAR_CHARS = 20
 GRID = 1.1
 
 
-def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Add `_r1`, `_r2`, 128 bits of the row's id and text: rows that agree in both are one document."""
-    return docs.withColumns({"_r1": F.xxhash64(id_col, text_col), "_r2": F.xxhash64(text_col, F.lit(7), id_col)})
-
-
 def _half(length: Column) -> Column:
     """Characters that are certainly untouched on one side when a line of this length has one edit.
 
