@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docflow.llm.registry import query, table
-from docflow.llm.words import by_bytes, gather, strings
+from docflow.llm.words import Recent, by_bytes, gather, strings
 
 NONE = np.int32(2**31 - 1)
 LONG_PIECE = 128
@@ -154,8 +154,8 @@ def encode_pieces(ranks: Ranks, pieces: list[bytes]) -> list[bytes]:
 
 
 @lru_cache(maxsize=2)
-def _chunks(path: str) -> dict[str, bytes]:
-    return {}
+def _chunks(path: str) -> Recent:
+    return Recent(CACHED_CHUNKS)
 
 
 def chunk_ids(path: str, pattern: str, chunks: list[str]) -> list[bytes]:
@@ -163,10 +163,7 @@ def chunk_ids(path: str, pattern: str, chunks: list[str]) -> list[bytes]:
     import regex
 
     ranks, known, split = load(path), _chunks(path), regex.compile(pattern)
-    new = [c for c in dict.fromkeys(chunks) if c not in known]
-    if len(known) + len(new) > CACHED_CHUNKS:
-        known.clear()
-        new = list(dict.fromkeys(chunks))
+    new = known.missing(chunks)
     split_new = [[p.encode() for p in split.findall(c)] for c in new]
     place = {p: i for i, p in enumerate(dict.fromkeys(p for pieces in split_new for p in pieces))}
     ids = encode_pieces(ranks, list(place))

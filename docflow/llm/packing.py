@@ -16,12 +16,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docflow.llm.registry import query, table
-from docflow.llm.words import by_bytes, crcs, gather, mix, strings, sums, word_codes
+from docflow.llm.words import Recent, by_bytes, gather, mix, strings, sums, word_codes
 
-DIMENSIONS, BITS = 4, 15
+DIMENSIONS, BITS = 4, 12
+#: Documents that the bounds of the tasks' stretches are taken from, at most about so many.
+BOUND_SAMPLE = 20_000
 SEQUENCE_TOKENS = 2048
 END_ID = 1
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 PLAIN = re.compile(r"[!-~\u00a1-\u012f\u0131-\u024f]+").fullmatch
 # Fixed value: the split of the tokenizer's file.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
@@ -55,14 +57,26 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def project(texts: pa.Array) -> np.ndarray:
-    """Hashed word counts of each text, projected by random signs to a few whole coordinates."""
-    codes, starts, words = word_codes(texts, lower=True)
-    signs = mix(crcs(words), 9)
-    scale = np.sqrt(np.maximum(np.diff(starts), 1))
+    """Hashed word counts of each text, projected by random signs to a few whole coordinates.
+
+    A word counts under the hash of its first four bytes; words lie between bytes up to 20 (hex).
+    """
+    starts, content = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1], texts.buffers()[2]
     points = np.empty((len(texts), DIMENSIONS), np.int64)
+    raw = np.concatenate([np.frombuffer(content or b"", np.uint8)[starts[0]:starts[-1]], np.zeros(4, np.uint8)])
+    starts = starts - starts[0]
+    inside = raw[:-4] > 32
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = starts[:-1][np.diff(starts) > 0]
+    begins[edges] = inside[edges]
+    places = np.flatnonzero(begins)
+    word = sum(raw[places + i].astype(np.uint64) << np.uint64(8 * i) for i in range(4)) if len(places) else places.astype(np.uint64)
+    signs, starts = mix(word, 9), np.searchsorted(places, starts)
+    scale = np.sqrt(np.maximum(np.diff(starts), 1))
     for i in range(DIMENSIONS):
         sign = ((signs >> np.uint64(i)) & np.uint64(1)).astype(np.int8) * 2 - 1
-        points[:, i] = (0.5 + 0.5 * np.tanh(sums(sign[codes], starts) / scale / 2)) * ((1 << BITS) - 1)
+        points[:, i] = (0.5 + 0.5 * np.tanh(sums(sign, starts) / scale / 2)) * ((1 << BITS) - 1)
     return points
 
 
@@ -73,7 +87,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}, {}
+    return Tokenizer.from_file(path), Recent(CACHED_WORDS), Recent(CACHED_WORDS)
 
 
 def _ids(path: str, texts: list[str]) -> list[bytes]:
@@ -92,18 +106,11 @@ def word_ids(path: str, words: list[str]) -> list[bytes]:
     so that each different piece goes through it once; others go whole.
     """
     _, known, pieces = _tokenizer(path)
-    new = [w for w in words if w not in known]
-    if len(known) + len(new) > CACHED_WORDS:
-        known.clear()
-        new = words
+    new = known.missing(words)
     whole = [w for w in new if not PLAIN(w) or "<|" in w]
     known.update(zip(whole, _ids(path, whole)))
     split = {w: SPLIT(w.lower()) for w in new if w not in known}
-    fresh = {p for parts in split.values() for p in parts if p not in pieces}
-    if len(pieces) + len(fresh) > CACHED_WORDS:
-        pieces.clear()
-        fresh = {p for parts in split.values() for p in parts}
-    fresh = list(fresh)
+    fresh = pieces.missing(p for parts in split.values() for p in parts)
     pieces.update(zip(fresh, _ids(path, fresh)))
     for word, parts in split.items():
         known[word] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
@@ -169,17 +176,25 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """Pieces of documents, packed gaplessly into sequences of `size` ids in the order of a Hilbert curve.
 
     A document's hashed word counts are projected to `DIMENSIONS` coordinates;
-    rows are range partitioned and sorted by their place on the curve, then by
-    id and text, and each task lays its stretch of the curve out. Equal
-    places, as of copies, are cut by id, so no group has to fit in a task.
+    rows are range partitioned and sorted by their place on the curve, equal
+    places by a hash of the id, and each task lays its stretch of the curve
+    out. So no group of copies has to fit in a task. The bounds of the
+    stretches come from a sample, which only decides which task packs what.
     A null or empty text is its end id alone; a null id stays null, and
     repeated rows are packed each. An empty table gives no pieces.
     """
+    spark = docs.sparkSession
     place = F.pandas_udf(lambda s: pd.Series(hilbert_key(project(strings(pa.array(s, pa.string(), from_pandas=True))))), "long")
-    ordered = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-               .withColumn("_place", place("text"))
-               .repartitionByRange("_place", "doc_id", F.xxhash64("text"))
-               .sortWithinPartitions("_place", "doc_id", F.xxhash64("text")).drop("_place"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 14))
+    placed = lambda df: df.withColumn("_place", F.shiftleft(place("text"), 14) + spread)
+    every = max(1, rows.count() // BOUND_SAMPLE)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sample = placed(rows.filter(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(every)) == 0)).select("_place")
+    bounds = np.unique(sample.approxQuantile("_place", [i / tasks for i in range(1, tasks)], 0.25 / tasks) or [0.0])
+    task = F.pandas_udf(lambda s: pd.Series(np.searchsorted(bounds, s.to_numpy(np.float64), "right")), "int")
+    ordered = (placed(rows).withColumn("_task", task("_place")).repartitionById(len(bounds) + 1, "_task")
+               .sortWithinPartitions("_place", "doc_id", F.xxhash64("text")).select("doc_id", "text"))
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def documents():

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,29 @@ def by_bytes(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int]]
         at = stop
 
 
+class Recent(dict):
+    """What was looked up lately: when `limit` new keys have come, those not asked for since the last time go."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.older = limit, {}
+
+    def missing(self, keys: Iterable) -> list:
+        """The different keys that are not known; the others are marked as asked for."""
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+        out = []
+        for key in dict.fromkeys(keys):
+            if key not in self:
+                value = self.older.get(key)
+                if value is None:
+                    out.append(key)
+                else:
+                    self[key] = value
+        return out
+
+
 def crcs(words: pa.Array) -> np.ndarray:
     """CRC-32 of each word's UTF-8 bytes."""
     return np.fromiter((zlib.crc32(w) for w in words.cast(pa.large_binary()).to_pylist()), np.uint64, len(words))
