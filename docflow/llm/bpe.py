@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docflow.llm.registry import query, table
-from docflow.llm.words import Recent, by_bytes, gather, strings
+from docflow.llm.words import Recent, by_bytes, gather, stretches, strings
 
 NONE = np.int32(2**31 - 1)
 LONG_PIECE = 128
@@ -234,16 +234,19 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
-def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids",
+           batch_ids: int = 1 << 19) -> DataFrame:
     """The ids again, with the bytes they stand for. No ids, or null, are no bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
-            found, starts = decode_batch(path, np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(lengths)]))
-            content = pa.Array.from_buffers(pa.large_binary(), len(lists), [
-                None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(found))])
-            yield pa.record_batch([batch.column(0), lists, content.cast(pa.binary())], names=[id_col, ids_col, "content"])
+            lengths = np.asarray(pc.fill_null(pc.list_value_length(batch.column(1)), 0)).astype(np.int64)
+            for at, stop in stretches(lengths, batch_ids):
+                part = batch.slice(at, stop - at)
+                lists, starts = part.column(1), np.concatenate([[0], np.cumsum(lengths[at:stop])])
+                found, starts = decode_batch(path, np.asarray(lists.flatten()), starts)
+                content = pa.Array.from_buffers(pa.large_binary(), len(lists), [
+                    None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(found))])
+                yield pa.record_batch([part.column(0), lists, content.cast(pa.binary())], names=[id_col, ids_col, "content"])
 
     kind = tokens.schema[id_col].dataType.simpleString()
     return tokens.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, `{ids_col}` array<int>, content binary")

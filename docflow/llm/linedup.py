@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docflow.functions.vectors import let
 from docflow.llm.registry import query, table
-from docflow.llm.rows import with_row_key
+from docflow.llm.rows import tabled, with_row_key
 
 #: Lines of fewer characters are only compared as a whole: one edit would make them another line.
 NEAR_CHARS = 20
 GRID = 1.1
+#: Candidate lines whose keys and places (seven numbers) are sent to all tasks; more are joined by a shuffle.
+SENT_ROWS = 100_000
 
 
 def _half(length: Column) -> Column:
@@ -89,21 +91,22 @@ def _variants(blocks: DataFrame) -> DataFrame:
 
 def _repeats(base: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """First place of each different line, and the lines that lie within one edit of an earlier line."""
-    firsts = _lines(base, id_col, text_col).groupBy("_k1", "_k2").agg(F.min("_place").alias("_place"), F.first("_ends").alias("_ends"))
+    firsts = tabled(_lines(base, id_col, text_col).groupBy("_k1", "_k2").agg(
+        F.min("_place").alias("_place"), F.first("_ends").alias("_ends")), "lines")
     ends = firsts.select("_k1", "_k2", F.explode("_ends").alias("_end"))
     candidates = ends.join(_shared(ends, ["_end"]), "_end", "left_semi").select("_k1", "_k2").distinct()
-    places = firsts.select("_k1", "_k2", "_place").join(candidates, ["_k1", "_k2"])
+    places = tabled(firsts.select("_k1", "_k2", "_place").join(candidates, ["_k1", "_k2"]), "candidates")
     # The text of a candidate is read where it first stands; a document's candidates travel together.
     by_doc = places.groupBy(F.col("_place._r1").alias("_r1"), F.col("_place._r2").alias("_r2")).agg(
         F.collect_list(F.struct("_place", "_k1", "_k2")).alias("_found"))
+    by_doc = F.broadcast(by_doc) if places.limit(SENT_ROWS + 1).count() <= SENT_ROWS else by_doc
     texts = base.select("_r1", "_r2", text_col)
-    lines = texts.join(by_doc, ["_r1", "_r2"]).select(F.explode(
+    lines = tabled(texts.join(by_doc, ["_r1", "_r2"]).select(F.explode(
         let(F.split(F.col(text_col), "\n"), lambda all_: F.transform("_found", lambda f: F.struct(
             f["_place"].alias("_place"), f["_k1"].alias("_k1"), f["_k2"].alias("_k2"),
-            F.get(all_, f["_place"]["_no"]).alias("_line"))))).alias("_f")).select("_f.*").dropDuplicates(["_k1", "_k2"])
+            F.get(all_, f["_place"]["_no"]).alias("_line"))))).alias("_f")).select("_f.*").dropDuplicates(["_k1", "_k2"]), "candidate-lines")
     blocks = _without_block(lines)
-    blocks = blocks.join(_shared(blocks, ["_m", "_j", "_rest"]), ["_m", "_j", "_rest"], "left_semi")
-    variants = _variants(blocks)
+    variants = tabled(_variants(blocks.join(_shared(blocks, ["_m", "_j", "_rest"]), ["_m", "_j", "_rest"], "left_semi")), "variants")
     who = F.struct("_place", "_k1", "_k2")
     # One group is one line with any character at one place, or one line and those a character longer.
     # So its earliest line, or that one line, stands for all its pairs.
@@ -114,7 +117,7 @@ def _repeats(base: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
         who.alias("_late"), F.when(F.col("_same") | F.col("_whole"), F.col("_early")).otherwise(F.col("_short")).alias("_early"))
     pairs = pairs.filter(F.col("_early._place") < F.col("_late._place")).distinct()
     text = lines.select("_k1", "_k2", "_line")
-    checked = (pairs.join(text.select(F.col("_k1").alias("_a1"), F.col("_k2").alias("_a2"), F.col("_line").alias("_a")),
+    checked = (tabled(pairs, "pairs").join(text.select(F.col("_k1").alias("_a1"), F.col("_k2").alias("_a2"), F.col("_line").alias("_a")),
                           (F.col("_late._k1") == F.col("_a1")) & (F.col("_late._k2") == F.col("_a2")))
                .join(text.select(F.col("_k1").alias("_b1"), F.col("_k2").alias("_b2"), F.col("_line").alias("_b")),
                      (F.col("_early._k1") == F.col("_b1")) & (F.col("_early._k2") == F.col("_b2")))

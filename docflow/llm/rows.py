@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from docflow.session import durable
+from docflow.session import durable, work_path
 
 
 def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -12,6 +12,13 @@ def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumns({"_r1": F.xxhash64(id_col, text_col), "_r2": F.xxhash64(text_col, F.lit(7), id_col)})
 
 
+def tabled(df: DataFrame, label: str) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, for frames that are read several times."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """`node`, `root` for every node of the links (a, b): the root is the smallest node connected with it.
 

@@ -36,17 +36,21 @@ def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nda
     return np.asarray(coded.indices), starts, coded.dictionary
 
 
-def by_bytes(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Stretches of rows with about `limit` bytes of text, each of one row at least."""
-    ends = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
-    at = 0
-    while at < len(texts):
+def stretches(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Stretches of rows whose sizes add up to `limit` at most, each of one row at least."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(ends):
         before = ends[at - 1] if at else 0
         stop = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield at, stop
         at = stop
 
 
+def by_bytes(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """Stretches of rows with about `limit` bytes of text."""
+    return stretches(np.asarray(pc.binary_length(texts)).astype(np.int64), limit)
+
+
 class Recent(dict):
     """What was looked up lately: when `limit` new keys have come, those not asked for since the last time go."""
 
