@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ class Ranks:
         self.keys = np.full(self.size, -1, np.int64)
         self.values = np.full(self.size, NONE, np.int32)
         keys, values = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int32)
+        self.pairs = pairs
         slots = self._slots(keys)
         while len(keys):
             free = self.keys[slots] == -1
@@ -107,24 +109,23 @@ def merge_matrix(ranks: Ranks, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def merge_long(ranks: Ranks, ids: np.ndarray) -> np.ndarray:
-    """Ids of one long piece. A round merges all places of the least rank, left to right.
-
-    That is the same order of merges: a merged token's pairs all rank behind it.
-    """
-    while len(ids) > 1:
-        pairs = ranks.lookup(ids[:-1], ids[1:])
-        least = pairs.min()
-        if least == NONE:
-            break
-        places = np.flatnonzero(pairs == least)
-        runs = np.concatenate([[0], np.cumsum(np.diff(places) != 1)])
-        first = np.concatenate([[True], np.diff(places) != 1])
-        places = places[(places - places[first][runs]) % 2 == 0]
-        ids = ids.copy()
-        ids[places] = least
-        ids = np.delete(ids, places + 1)
-    return ids
+def merge_long(ranks: Ranks, ids: list[int]) -> list[int]:
+    """Ids of one long piece, by the same order of merges from a heap of pairs: a matrix would cost its length squared."""
+    pairs, after, before = ranks.pairs, list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+    heap = [(rank, i) for i in range(len(ids) - 1) if (rank := pairs.get((ids[i] << 32) | ids[i + 1])) is not None]
+    heapify(heap)
+    while heap:
+        rank, i = heappop(heap)
+        j = after[i]
+        if ids[i] < 0 or j >= len(ids) or pairs.get((ids[i] << 32) | ids[j]) != rank:
+            continue
+        ids[i], ids[j], after[i] = rank, -1, after[j]
+        if after[i] < len(ids):
+            before[after[i]] = i
+        for k in (before[i], i):
+            if k >= 0 and after[k] < len(ids) and (rank := pairs.get((ids[k] << 32) | ids[after[k]])) is not None:
+                heappush(heap, (rank, k))
+    return [x for x in ids if x >= 0]
 
 
 def encode_pieces(ranks: Ranks, pieces: list[bytes]) -> list[bytes]:
@@ -136,7 +137,7 @@ def encode_pieces(ranks: Ranks, pieces: list[bytes]) -> list[bytes]:
         if whole is not None:
             out[i] = whole.to_bytes(4, "little")
         elif len(piece) > LONG_PIECE:
-            out[i] = merge_long(ranks, ranks.of_byte[np.frombuffer(piece, np.uint8)]).tobytes()
+            out[i] = np.array(merge_long(ranks, ranks.of_byte[np.frombuffer(piece, np.uint8)].tolist()), np.int32).tobytes()
         else:
             buckets.setdefault(max(4, -(-len(piece) // 4) * 4), []).append(i)
     for width, members in buckets.items():

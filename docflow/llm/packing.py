@@ -9,7 +9,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
@@ -23,7 +22,7 @@ DIMENSIONS, BITS = 4, 12
 BOUND_SAMPLE = 20_000
 SEQUENCE_TOKENS = 2048
 END_ID = 1
-CACHED_WORDS = 200_000
+CACHED_WORDS = 80_000
 PLAIN = re.compile(r"[!-~\u00a1-\u012f\u0131-\u024f]+").fullmatch
 # Fixed value: the split of the tokenizer's file.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
@@ -171,6 +170,21 @@ def _sequence(held: list, sequence: int) -> Iterator[tuple]:
         offset += len(part)
 
 
+def _placed(rows: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """Rows with their place on the curve, above the given low bits, and the task whose stretch that is."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = strings(batch.column(1))
+            for at, stop in by_bytes(texts):
+                part = batch.slice(at, stop - at)
+                place = (hilbert_key(project(texts.slice(at, stop - at))) << 14) + np.asarray(part.column(2))
+                task = np.searchsorted(bounds, place.astype(np.float64), "right").astype(np.int32)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(place), pa.array(task)],
+                                      names=["doc_id", "text", "_place", "_task"])
+
+    return rows.mapInArrow(run, "doc_id long, text string, _place long, _task int")
+
+
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
          size: int = SEQUENCE_TOKENS, end_id: int = END_ID) -> DataFrame:
     """Pieces of documents, packed gaplessly into sequences of `size` ids in the order of a Hilbert curve.
@@ -183,17 +197,13 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     A null or empty text is its end id alone; a null id stays null, and
     repeated rows are packed each. An empty table gives no pieces.
     """
-    spark = docs.sparkSession
-    place = F.pandas_udf(lambda s: pd.Series(hilbert_key(project(strings(pa.array(s, pa.string(), from_pandas=True))))), "long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 14))
-    placed = lambda df: df.withColumn("_place", F.shiftleft(place("text"), 14) + spread)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+                       F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 14)).alias("_place"))
     every = max(1, rows.count() // BOUND_SAMPLE)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = placed(rows.filter(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(every)) == 0)).select("_place")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sample = _placed(rows.filter(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(every)) == 0), np.zeros(0)).select("_place")
     bounds = np.unique(sample.approxQuantile("_place", [i / tasks for i in range(1, tasks)], 0.25 / tasks) or [0.0])
-    task = F.pandas_udf(lambda s: pd.Series(np.searchsorted(bounds, s.to_numpy(np.float64), "right")), "int")
-    ordered = (placed(rows).withColumn("_task", task("_place")).repartitionById(len(bounds) + 1, "_task")
+    ordered = (_placed(rows, bounds).repartitionById(len(bounds) + 1, "_task")
                .sortWithinPartitions("_place", "doc_id", F.xxhash64("text")).select("doc_id", "text"))
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,9 +18,9 @@ from docflow.session import durable
 FIT_ROWS = 20_000
 BUCKETS = 1 << 18
 #: Pseudo-tokens of the Dirichlet prior per bucket, split between the classes by their sizes.
-PRIOR = 10.0
+PRIOR = 5.0
 #: Taken off each token's log-odds, so that segments end where the evidence does.
-DRIFT = 0.5
+DRIFT = 1.5
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -80,14 +80,18 @@ def _score(model: Model, features: np.ndarray) -> np.ndarray:
 
 
 def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens per bucket of the clean and the toxic rows. What reaches the driver is bounded by `BUCKETS`."""
+    """Clean and toxic rows that each token bucket is in: a word that one text repeats says little about the others.
+
+    What reaches the driver is bounded by `BUCKETS`.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             texts, toxic = strings(batch.column(0)), np.asarray(batch.column(1)).astype(np.int64)
             for at, stop in by_bytes(texts):
                 buckets, starts = token_buckets(texts.slice(at, stop - at))
-                label = np.repeat(toxic[at:stop], np.diff(starts))
+                own = np.unique(np.repeat(np.arange(stop - at), np.diff(starts)) * BUCKETS + buckets)
+                label, buckets = toxic[at:stop][own // BUCKETS], own % BUCKETS
                 for k in (0, 1):
                     found[k] += np.bincount(buckets[label == k], minlength=BUCKETS)
         used = np.flatnonzero(found.any(axis=0))

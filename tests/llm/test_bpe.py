@@ -7,7 +7,7 @@ import pyarrow as pa
 import tiktoken
 from brute import edge_rows, words
 
-from docflow.llm.bpe import LONG_PIECE, decode, encode, encode_batch, load
+from docflow.llm.bpe import LONG_PIECE, decode, encode, encode_batch, load, merge_long
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -28,12 +28,11 @@ def test_like_the_library():
     assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == [encoding.encode_ordinary(t) for t in texts]
 
 
-def test_merged_tokens_rank_behind_their_parts():
-    ranks = load(PATH)
-    used = ranks.keys >= 0
-    assert (ranks.values[used] > (ranks.keys[used] >> 32)).mean() == 1 or all(
-        value > max(left, right) for left, right, value in zip(ranks.keys[used] >> 32, ranks.keys[used] & 0xFFFFFFFF, ranks.values[used])
-        if reference().encode_ordinary(ranks.bytes[ranks.starts[value]:ranks.starts[value + 1]].tobytes().decode("utf-8", "ignore")) == [value])
+def test_long_pieces_like_the_library():
+    source, encoding, ranks = random.Random(4), reference(), load(PATH)
+    for letters in ("ab", "the", "aeioun", "日本語é"):
+        text = "".join(source.choice(letters) for _ in range(3000))
+        assert merge_long(ranks, ranks.of_byte[list(text.encode())].tolist()) == encoding.encode_ordinary(text)
 
 
 def test_columns(spark):

@@ -62,9 +62,9 @@ def test_without_both_labels(spark):
 def test_query_on_held_out_rows(spark):
     from docflow.llm.queries import QUERIES
 
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
-    got = QUERIES["op6_toxic_segments"](spark, "/root/testdata/sf0.01").collect()
-    assert len(got) == 1000
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    got = QUERIES["op6_toxic_segments"](spark, "/root/testdata/sf0.1").collect()
+    assert len(got) == 10_000
     held = [(r.score, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
     pairs = [(a > b) + (a == b) / 2 for (a, x), (b, y) in itertools.product(held, held) if x == 1 and y == 0]
     assert np.mean(pairs) > 0.9
