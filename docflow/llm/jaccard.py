@@ -13,9 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docflow.llm.registry import query, table
-from docflow.llm.rows import components, with_row_key
+from docflow.llm.rows import components, held, with_row_key
 from docflow.llm.words import by_bytes, mix, strings, word_codes
-from docflow.session import durable
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -228,14 +227,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     task: only counts and the smallest connected node do.
     """
     keyed = with_row_key(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")), "_id", "_text")
-    nodes = durable(_nodes(keyed.select("_id", "_r1", "_r2", "_text")))
-    roots = durable(components(_candidates(nodes)))
+    nodes = held(_nodes(keyed.select("_id", "_r1", "_r2", "_text")))
+    roots = held(components(_candidates(nodes)))
     holders = nodes.join(roots, "node").groupBy("node", "root").agg(F.min(F.struct("_r1", "_r2")).alias("_r")).select(
         "node", "root", "_r._r1", "_r._r2")
     texts = keyed.select("_r1", "_r2", "_text").join(holders, ["_r1", "_r2"]).select("node", "root", "_text")
     dealt = _in_blocks(_content(texts), roots)
     units = F.when(F.col("_j") > 0, F.xxhash64("root", "_i", "_j")).otherwise(F.pmod(F.xxhash64("root"), F.lit(_units(roots))))
-    links = durable(dealt.withColumn("_unit", units).groupBy("_unit", "_i", "_j").applyInPandas(
+    links = held(dealt.withColumn("_unit", units).groupBy("_unit", "_i", "_j").applyInPandas(
         _compare, "node long, links long, b long"))
     classes = components(links.select(F.col("node").alias("a"), "b"))
     counted = links.groupBy("node").agg(F.sum("links").alias("n_links"))

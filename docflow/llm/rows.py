@@ -12,10 +12,20 @@ def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumns({"_r1": F.xxhash64(id_col, text_col), "_r2": F.xxhash64(text_col, F.lit(7), id_col)})
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """`df` in two partitions per core at most, so that small frames are not kept in many tiny files."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """`df` made durable in few files."""
+    return durable(merged(df))
+
+
 def tabled(df: DataFrame, label: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder, for frames that are read several times."""
     path = work_path(df.sparkSession, label)
-    df.write.parquet(path)
+    merged(df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -26,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     node, until the links are stars; the number of rounds grows with the
     logarithm of the longest path. Every round is made durable.
     """
-    links = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = held(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                     .filter("a is not null and b is not null and a <> b").distinct())
     seen = None
     while True:
@@ -35,7 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         smallest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = durable(small.union(smallest.toDF("a", "b")).filter("a <> b").distinct())
+        links = held(small.union(smallest.toDF("a", "b")).filter("a <> b").distinct())
         now = tuple(links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
         if now == seen:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(

@@ -262,7 +262,10 @@ def archive_pages(pages: DataFrame, folder: str, least_bytes: int = 0) -> tuple[
     table gives no archive and no record.
     """
     spark = pages.sparkSession
-    written = normalise(write_archives(with_responses(pages, least_bytes), f"{folder}/streams"), f"{folder}/records")
+    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    archives = max(2 * spark.sparkContext.defaultParallelism, -(-size // ARCHIVE_BYTES))
+    rows = with_responses(pages, least_bytes).coalesce(archives)
+    written = normalise(write_archives(rows, f"{folder}/streams"), f"{folder}/records")
     if not written.limit(1).count():
         return written, read_records(spark.createDataFrame([], INDEX))
     return written, read_records(spark.read.schema(INDEX).option("pathGlobFilter", "*.json").json(f"{folder}/records"))
