@@ -1,4 +1,4 @@
 """Imports every module of the subpackage, so that its queries are registered."""
 
-from docflow.llm import bpe, jaccard, linedup, packing, suffixes, toxicity, warc  # noqa: F401
+from docflow.llm import bpe, fingerprints, jaccard, linedup, packing, suffixes, toxicity, warc  # noqa: F401
 from docflow.llm.registry import ORACLES, QUERIES  # noqa: F401

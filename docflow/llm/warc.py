@@ -143,7 +143,7 @@ def write_archives(rows: DataFrame, folder: str, date: str = "2000-01-01T00:00:0
                     address = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                     system, path = _place(address)
                     system.create_dir(path.rpartition("/")[0], recursive=True)
-                    out, size, pack = system.open_output_stream(path, compression=None), 0, zlib.compressobj(1, zlib.DEFLATED, 31)
+                    out, size, pack = system.open_output_stream(path, compression=None), 0, zlib.compressobj(6, zlib.DEFLATED, 31)
                 content = record(row["page_id"], row["url"], row["payload"], row["refers_to"], date)
                 out.write(pack.compress(content))
                 size += len(content)
