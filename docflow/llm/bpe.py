@@ -21,29 +21,16 @@ MATRIX_CELLS = 1 << 19
 CACHED_CHUNKS = 100_000
 
 
-class Ranks:
-    """Byte pairs of a rank file in an open-addressing hash table, and the bytes of each id."""
+class Pairs:
+    """Ranks of pairs of ids in an open-addressing hash table; a merged pair's rank is its id."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines) if a}
-        self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        tokens = {rank: token for token, rank in self.ranks.items()}
-        parts = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
-        self.bytes = np.frombuffer(b"".join(parts), np.uint8)
-        self.starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-        pairs = {}
-        for token, rank in self.ranks.items():
-            for cut in range(1, len(token)):
-                left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
-                if left is not None and right is not None:
-                    pairs[(left << 32) | right] = rank
+    def __init__(self, pairs: dict[int, int]):
+        self.pairs = pairs
         self.size = 1 << (4 * len(pairs)).bit_length()
         self.shift = np.uint64(64 - self.size.bit_length() + 1)
         self.keys = np.full(self.size, -1, np.int64)
         self.values = np.full(self.size, NONE, np.int32)
         keys, values = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int32)
-        self.pairs = pairs
         slots = self._slots(keys)
         while len(keys):
             free = self.keys[slots] == -1
@@ -72,12 +59,32 @@ class Ranks:
         return np.where((left >= 0) & (right >= 0), out, NONE)
 
 
+class Ranks(Pairs):
+    """Byte pairs of a rank file, and the bytes of each id."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as lines:
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines) if a}
+        self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        tokens = {rank: token for token, rank in self.ranks.items()}
+        parts = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.bytes = np.frombuffer(b"".join(parts), np.uint8)
+        self.starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        pairs = {}
+        for token, rank in self.ranks.items():
+            for cut in range(1, len(token)):
+                left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    pairs[(left << 32) | right] = rank
+        super().__init__(pairs)
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Ranks:
     return Ranks(path)
 
 
-def merge_matrix(ranks: Ranks, ids: np.ndarray) -> np.ndarray:
+def merge_matrix(ranks: Pairs, ids: np.ndarray) -> np.ndarray:
     """Ids of padded rows after all merges. Each round merges every row's leftmost pair of least rank.
 
     Rows without a pair left go to the output; the others move together, and
@@ -109,7 +116,7 @@ def merge_matrix(ranks: Ranks, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def merge_long(ranks: Ranks, ids: list[int]) -> list[int]:
+def merge_long(ranks: Pairs, ids: list[int]) -> list[int]:
     """Ids of one long piece, by the same order of merges from a heap of pairs: a matrix would cost its length squared."""
     pairs, after, before = ranks.pairs, list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
     heap = [(rank, i) for i in range(len(ids) - 1) if (rank := pairs.get((ids[i] << 32) | ids[i + 1])) is not None]

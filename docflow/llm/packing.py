@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -10,10 +11,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from docflow.llm.bpe import LONG_PIECE, MATRIX_CELLS, Pairs, merge_long, merge_matrix
 from docflow.llm.registry import query, table
 from docflow.llm.words import Recent, by_bytes, gather, mix, strings, sums, word_codes
 
@@ -23,9 +25,8 @@ BOUND_SAMPLE = 20_000
 SEQUENCE_TOKENS = 2048
 END_ID = 1
 CACHED_WORDS = 80_000
-PLAIN = re.compile(r"[!-~\u00a1-\u012f\u0131-\u024f]+").fullmatch
-# Fixed value: the split of the tokenizer's file.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+PLAIN = "^[!-~\u00a1-\u012f\u0131-\u024f]+$"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECE = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
@@ -79,57 +80,121 @@ def project(texts: pa.Array) -> np.ndarray:
     return points
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path), Recent(CACHED_WORDS), Recent(CACHED_WORDS)
+class WordBpe(Pairs):
+    """Merges of a tokenizer file with word ends, and the ids that bytes begin as, inside and at the end of a piece."""
 
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-def _ids(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of texts that the tokenizer gets as they are."""
-    out = []
-    for at in range(0, len(texts), 50_000):
-        found = _tokenizer(path)[0].encode_batch_fast(texts[at:at + 50_000], add_special_tokens=False)
-        out += [array("I", f.ids).tobytes() for f in found]
-    return out
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer, self.known = Tokenizer.from_file(path), Recent(CACHED_WORDS)
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        ids, end = model["vocab"], model["end_of_word_suffix"]
+        # The byte-level alphabet: printable bytes are their own letters, others follow from U+0100 on.
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letters = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+        self.inside = np.array([ids[letters[b]] for b in range(256)], np.int32)
+        self.at_end = np.array([ids[letters[b] + end] for b in range(256)], np.int32)
+        super().__init__({(ids[a] << 32) | ids[b]: ids[a + b] for a, b in model["merges"]})
 
 
-def word_ids(path: str, words: list[str]) -> list[bytes]:
-    """Ids of each word as 32-bit numbers. Those of frequent words and pieces are kept between batches.
-
-    Words of plain Latin letters are lowered and split as the tokenizer does,
-    so that each different piece goes through it once; others go whole.
+@lru_cache(maxsize=2)
+def _tokenizer(path: str) -> WordBpe:
+    return WordBpe(path)
+
+
+def piece_ids(bpe: WordBpe, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pieces behind each other, and their starts, merged in matrices of pieces of similar length."""
+    offsets = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset:pieces.offset + len(pieces) + 1]
+    content, lengths = np.frombuffer(pieces.buffers()[2] or b"", np.uint8), np.diff(offsets)
+    counts, done = np.zeros(len(pieces), np.int64), []
+    widths = np.maximum(-(-lengths // 4) * 4, 4)
+    for width in np.unique(widths[lengths > 0]):
+        members = np.flatnonzero((widths == width) & (lengths > 0))
+        for at in range(0, len(members), max(1, MATRIX_CELLS // width)):
+            rows = members[at:at + max(1, MATRIX_CELLS // width)]
+            inside = np.arange(width)[None, :] < lengths[rows][:, None]
+            places = np.where(inside, offsets[rows][:, None] + np.arange(width)[None, :], 0)
+            ids = np.where(inside, bpe.inside[content[places]], -1)
+            last = lengths[rows] - 1
+            ids[np.arange(len(rows)), last] = bpe.at_end[content[offsets[rows] + last]]
+            if width > LONG_PIECE:
+                found = [merge_long(bpe, row[row >= 0].tolist()) for row in ids]
+                merged = np.full((len(rows), max(map(len, found))), -1, np.int32)
+                for row, x in zip(merged, found):
+                    row[:len(x)] = x
+            else:
+                merged = merge_matrix(bpe, ids.astype(np.int32))
+            counts[rows] = (merged >= 0).sum(axis=1)
+            done.append((rows, merged))
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    flat = np.zeros(int(starts[-1]), np.int32)
+    for rows, merged in done:
+        kept = merged >= 0
+        flat[(starts[rows][:, None] + np.arange(merged.shape[1])[None, :])[kept]] = merged[kept]
+    return flat, starts
+
+
+def word_ids(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words behind each other, and the words' starts.
+
+    A word of plain Latin letters between punctuation is lowered and cut into
+    those three pieces, as the tokenizer's split does, and each different piece
+    is merged once. Other words go through the tokenizer whole.
     """
-    _, known, pieces = _tokenizer(path)
-    new = known.missing(words)
-    whole = [w for w in new if not PLAIN(w) or "<|" in w]
-    known.update(zip(whole, _ids(path, whole)))
-    split = {w: SPLIT(w.lower()) for w in new if w not in known}
-    fresh = pieces.missing(p for parts in split.values() for p in parts)
-    pieces.update(zip(fresh, _ids(path, fresh)))
-    for word, parts in split.items():
-        known[word] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
-    return [known[w] for w in words]
+    bpe = _tokenizer(path)
+    lower = pc.utf8_lower(words)
+    behind = pc.utf8_ltrim(lower, PUNCTUATION)
+    stem = pc.utf8_rtrim(behind, PUNCTUATION)
+    size, after, inner = (np.asarray(pc.utf8_length(x)).astype(np.int64) for x in (lower, behind, stem))
+    plain = np.asarray(pc.match_substring_regex(words, PLAIN)) & ~np.asarray(pc.match_substring_regex(lower, "^[^a-z]*'|<[|]"))
+    plain &= np.asarray(pc.or_(pc.utf8_is_alpha(stem), pc.equal(stem, "")))
+    odd = np.flatnonzero(~plain)
+    parts = [_cut(lower, np.zeros(len(size), np.int64), size - after), stem, _cut(behind, inner, after)]
+    parts = [pc.if_else(pa.array(plain), x, "") for x in parts]
+    coded = pa.concat_arrays([x.cast(pa.large_string()) for x in parts]).dictionary_encode()
+    flat, starts = piece_ids(bpe, coded.dictionary)
+    codes = np.asarray(coded.indices).astype(np.int64).reshape(3, -1).T.copy()
+    if len(odd):
+        texts = words.take(pa.array(odd)).to_pylist()
+        new = bpe.known.missing(texts)
+        for at in range(0, len(new), 50_000):
+            found = bpe.tokenizer.encode_batch_fast(new[at:at + 50_000], add_special_tokens=False)
+            bpe.known.update((w, array("i", f.ids).tobytes()) for w, f in zip(new[at:at + 50_000], found))
+        whole = [bpe.known[t] for t in texts]
+        codes[odd, 0] = len(starts) - 1 + np.arange(len(odd))
+        starts = np.concatenate([starts, starts[-1] + np.cumsum([len(w) // 4 for w in whole])])
+        flat = np.concatenate([flat, np.frombuffer(b"".join(whole), np.int32)])
+    ids, lengths = gather(flat, starts, codes.ravel())
+    return ids, np.concatenate([[0], np.cumsum(lengths)])[::3]
+
+
+def _cut(texts: pa.Array, start: np.ndarray, stop: np.ndarray) -> pa.Array:
+    """ASCII ends of texts: the code points from start to stop, counted from the front or, behind letters, the back."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    size = stop - start
+    from_back = start > 0
+    begin = np.where(from_back, offsets[1:] - size, offsets[:-1])
+    content, lengths = gather(np.frombuffer(texts.buffers()[2] or b"", np.uint8),
+                              np.column_stack([begin, begin + size]).ravel(), np.arange(0, 2 * len(size), 2))
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(content))])
 
 
 def token_ids(path: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts behind each other, each with its end id, and the texts' starts.
 
     The tokenizer never looks across ASCII white space, so each different
-    word of the batch goes through it once.
+    word of the batch is encoded once.
     """
     codes, starts, words = word_codes(texts)
-    parts = word_ids(path, words.to_pylist())
-    flat = np.frombuffer(b"".join(parts), "<u4")
-    flat_starts = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int64)
+    flat, flat_starts = word_ids(path, words)
     ids, lengths = gather(flat, flat_starts, codes)
     ends = np.concatenate([[0], np.cumsum(lengths)])[starts]
-    ids = np.insert(ids, ends[1:], end_id)
-    return ids.astype("<u4"), ends + np.arange(len(ends))
+    out = np.full(len(ids) + len(texts), end_id, "<u4")
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), np.diff(ends))] = ids
+    return out, ends + np.arange(len(ends))
 
 
 def pack_stream(documents: Iterator[tuple[int, np.ndarray]], size: int, first_id: int) -> Iterator[tuple]:
@@ -211,7 +276,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             for batch in batches:
                 texts = strings(batch.column("text"))
                 doc_ids = batch.column("doc_id").to_pylist()
-                for at, stop in by_bytes(texts, 4 << 20):
+                for at, stop in by_bytes(texts, 8 << 20):
                     ids, starts = token_ids(tokenizer_path, texts.slice(at, stop - at), end_id)
                     for i, doc_id in enumerate(doc_ids[at:stop]):
                         yield doc_id, ids[starts[i]:starts[i + 1]]
