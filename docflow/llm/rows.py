@@ -22,10 +22,10 @@ def held(df: DataFrame) -> DataFrame:
     return durable(merged(df))
 
 
-def tabled(df: DataFrame, label: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder, for frames that are read several times."""
+def tabled(df: DataFrame, label: str, few: bool = True) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, for frames that are read several times; in few files unless it is large."""
     path = work_path(df.sparkSession, label)
-    merged(df).write.parquet(path)
+    (merged(df) if few else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -24,7 +24,7 @@ from docflow.llm.registry import query, table
 from docflow.llm.rows import tabled, with_row_key
 from docflow.llm.words import by_bytes, mix, strings
 
-LENGTH, REACH, GRAM = 400, 160, 8
+LENGTH, REACH, GRAM = 400, 200, 8
 #: Suffixes of one parse suffix that are ordered in one task; of more, each place is a row of its own.
 TOGETHER = 20_000
 #: Places that one task of the ordering has on average.
@@ -82,15 +82,15 @@ def _units(base: DataFrame, length: int, reach: int) -> DataFrame:
                 view = memoryview(raw)
                 key = [xxhash.xxh3_64_intdigest(view[t:t + length - reach]) for t in found[:, 2].tolist()]
                 whole = [xxhash.xxh3_64_intdigest(view[a:b + length]) for a, b in found[:, :2].tolist()]
-                a, b, t = (found - starts[doc][:, None]).astype(np.int32).T
+                a, b, _ = (found - starts[doc][:, None]).astype(np.int32).T
                 rows = pa.array(doc)
                 part = batch.slice(at, stop - at)
-                yield pa.record_batch([part.column(0).take(rows), part.column(1).take(rows), pa.array(a), pa.array(b), pa.array(t),
+                yield pa.record_batch([part.column(0).take(rows), part.column(1).take(rows), pa.array(a), pa.array(b),
                                        pa.array(np.array(key, np.uint64).view(np.int64)),
                                        pa.array(np.array(whole, np.uint64).view(np.int64))],
-                                      names=["_r1", "_r2", "a", "b", "t", "key", "whole"])
+                                      names=["_r1", "_r2", "a", "b", "key", "whole"])
 
-    return base.select("_r1", "_r2", "_text").mapInArrow(run, "_r1 long, _r2 long, a int, b int, t int, key long, whole long")
+    return base.select("_r1", "_r2", "_text").mapInArrow(run, "_r1 long, _r2 long, a int, b int, key long, whole long")
 
 
 def _excerpts(wanted: DataFrame, length: int, apart: bool) -> DataFrame:
@@ -157,7 +157,7 @@ def _order(length: int):
 
 def repeated_starts(base: DataFrame, length: int = LENGTH, reach: int = REACH, together: int = TOGETHER) -> DataFrame:
     """Stretches `_r1`, `_r2`, a, b: the passages of `length` bytes that start at a to b of the text stand elsewhere too."""
-    units = tabled(_units(base, length, reach), "parse")
+    units = tabled(_units(base, length, reach), "parse", few=False)
     again = units.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     alive = tabled(units.join(again, "key", "left_semi"), "parse-repeats")
     # Where all a unit covers stands again, so do all its passages. Of those that agree, one stands for the others.

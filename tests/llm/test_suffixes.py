@@ -43,7 +43,7 @@ def shared_rows(length):
     return rows
 
 
-@pytest.mark.parametrize("length, reach, together", [(400, 160, 20_000), (40, 16, 20_000), (40, 16, 1), (25, 9, 2)])
+@pytest.mark.parametrize("length, reach, together", [(400, 200, 20_000), (40, 16, 20_000), (40, 16, 1), (25, 9, 2)])
 def test_against_every_passage(spark, length, reach, together):
     rows = shared_rows(length) + [(None, "null id " * length), (100, None), (101, ""), (102, "short"), (103, "z" * 3 * length),
                                   (104, "same row " * length), (104, "same row " * length), (105, "y" * length)]
