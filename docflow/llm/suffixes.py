@@ -169,7 +169,8 @@ def repeated_starts(base: DataFrame, length: int = LENGTH, reach: int = REACH, t
 
     def texts(apart: bool) -> DataFrame:
         by_doc = wanted.filter(F.col("apart") == apart).groupBy("_r1", "_r2").agg(F.collect_list(F.struct("a", "b", "key", "sure")).alias("_units"))
-        return base.select("_r1", "_r2", "_text").join(by_doc, ["_r1", "_r2"]).select("_r1", "_r2", "_text", "_units")
+        # With all columns, so that this and the final join share one shuffle of the texts.
+        return base.join(by_doc, ["_r1", "_r2"]).select("_r1", "_r2", "_text", "_units", "_row")
 
     bins = max(8, wanted.count() // TASK_UNITS)
     found = _excerpts(texts(False), length, False).groupBy(F.pmod(F.xxhash64("key"), F.lit(bins)).alias("_bin")).applyInPandas(
@@ -183,13 +184,13 @@ def repeated_starts(base: DataFrame, length: int = LENGTH, reach: int = REACH, t
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                 reach: int = REACH, together: int = TOGETHER) -> DataFrame:
-    """The documents with `n_bytes`, `n_removed`, `n_spans` (maximal removed runs) and `kept`, the remaining bytes.
+    """The documents' other columns with `n_bytes`, `n_removed`, `n_spans` (maximal removed runs) and `kept`, the remaining bytes.
 
     Removed is each byte that a passage of `length` bytes covers which also
     starts anywhere else, in the same text or another one, by the texts as
     they are given. Texts are UTF-8; passages lie within one row. Each row is
     a text of its own, so equal rows of enough bytes lose them all. A null
-    text is empty. Other columns stay as they are.
+    text is empty.
 
     A passage stands for itself in no task: repeats of a whole phrase are
     counted by hash, and only phrases whose surroundings differ somewhere send
@@ -197,16 +198,13 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     surroundings, as around a passage that very many texts have, are compared
     place by place in an aggregation, so no group has to fit in a task.
     """
-    base = with_row_key(docs, id_col, text_col).withColumn("_text", F.col(text_col))
+    others = [c for c in docs.columns if c != text_col]
+    base = with_row_key(docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(id_col).alias("_id"),
+                                    F.col(text_col).alias("_text")), "_id", "_text").select("_row", "_text", "_r1", "_r2")
     spans = repeated_starts(base, length, reach, together).groupBy("_r1", "_r2").agg(
         F.collect_set(F.struct("a", (F.col("b") + length).alias("e"))).alias("_spans"))
-    return _cut(base.join(spans, ["_r1", "_r2"], "left"), docs)
-
-
-def _cut(joined: DataFrame, docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<a:int,e:int>>")
-    rows = joined.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "_text",
-                         F.array_sort(F.coalesce("_spans", none)).alias("_spans"))
+    rows = base.join(spans, ["_r1", "_r2"], "left").select("_row", "_text", F.array_sort(F.coalesce("_spans", none)).alias("_spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,11 +224,11 @@ def _cut(joined: DataFrame, docs: DataFrame) -> DataFrame:
                     out.append((len(content), len(content) - len(kept), len(merged), kept))
                 numbers = [pa.array(c, pa.int64()) for c in list(zip(*out))[:3]]
                 yield pa.record_batch([part.column(0), *numbers, pa.array([o[3] for o in out], pa.binary())],
-                                      names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
+                                      names=["_row", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    kind = rows.schema["row"].dataType.simpleString()
-    cut = rows.mapInArrow(run, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
-    return cut.select(*[F.col(f"row.`{c}`") for c in docs.columns], "n_bytes", "n_removed", "n_spans", "kept")
+    kind = rows.schema["_row"].dataType.simpleString()
+    cut = rows.mapInArrow(run, f"_row {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return cut.select(*[F.col(f"_row.`{c}`") for c in others], "n_bytes", "n_removed", "n_spans", "kept")
 
 
 @query("op3_suffix_dedup")
