@@ -2,18 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from docflow.llm.jaccard import one_of_each
+from docflow.llm.linedup import dedup_lines
 from docflow.llm.packing import pack, word_bpe_path
+from docflow.llm.suffixes import cut_repeats
+from docflow.llm.toxicity import fit_labels, keep_clean
 from docflow.session import work_path
 
 
+def _with_text(cut: DataFrame, docs: DataFrame, removed: str) -> DataFrame:
+    """The columns of `docs` with the new length; a document goes if nothing but white space is left of it."""
+    left = cut.filter((F.col(removed) == 0) | F.col("text").rlike(r"\S"))
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*[f"`{c}`" for c in docs.columns])
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without toxic passages that beat chance; the model is that of the labels that are not held out."""
+    return keep_clean(docs, fit_labels(spark, docs, sf_dir))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat an earlier one, up to one edit."""
+    return _with_text(dedup_lines(docs), docs, "n_removed")
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class of near copies."""
+    return one_of_each(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that stand elsewhere too; a character that a cut went through goes whole."""
+    text = F.pandas_udf(lambda kept: pd.Series([bytes(k).decode("utf-8", "ignore") for k in kept]), "string")
+    return _with_text(cut_repeats(docs).withColumn("text", text("kept")), docs, "n_removed")
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, word_bpe_path())
 
 
-STAGES = [("packing", packing)]
-#: No SQL has the segment search, the posterior, the tokenizer or the curve.
+STAGES = [("toxicity", toxicity), ("line dedup", line_dedup), ("n-gram Jaccard join", ngram_jaccard),
+          ("suffix-array dedup", suffix_dedup), ("packing", packing)]
+#: No SQL has the segment search, the tokenizer or the curve; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 

@@ -43,7 +43,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _coded(rows: DataFrame) -> DataFrame:
-    """Unit vectors in eight bits a number, behind their scale; exact enough to choose whom to compare exactly."""
+    """Unit vectors in sixteen bits a number, behind their scale; exact enough to choose whom to compare exactly."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -51,8 +51,8 @@ def _coded(rows: DataFrame) -> DataFrame:
             v = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
             v = v / np.abs(v).max(axis=1, keepdims=True)
             unit = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
-            scale = (np.abs(unit).max(axis=1, keepdims=True) / 127).astype(np.float32)
-            codes = np.rint(unit / scale).astype(np.int8)
+            scale = (np.abs(unit).max(axis=1, keepdims=True) / 32767).astype(np.float32)
+            codes = np.clip(np.rint(unit / scale), -32767, 32767).astype(np.int16)
             yield pa.record_batch([batch.column(0), pa.array([s.tobytes() + c.tobytes() for s, c in zip(scale, codes)], pa.binary())],
                                   names=["id", "code"])
 
@@ -61,7 +61,7 @@ def _coded(rows: DataFrame) -> DataFrame:
 
 def _decode(codes) -> np.ndarray:
     raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * raw[:, :4].copy().view(np.float32)
+    return raw[:, 4:].copy().view(np.int16).astype(np.float32) * raw[:, :4].copy().view(np.float32)
 
 
 def _lists(ids: np.ndarray, links: list[np.ndarray], scores: list[np.ndarray]) -> pd.DataFrame:
@@ -73,7 +73,7 @@ def _within_parts(coded: DataFrame, n: int, neighbours: int, part: int, splits:
     """First lists: the nearest of each node within parts that random planes through the mean cut out."""
     bits = max(0, round(np.log2(max(n, 1) / part)))
     first = coded.first()
-    width = len(first.code) - 4
+    width = (len(first.code) - 4) // 2
     mean = np.zeros(width)
     if bits:
         def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from docflow.llm.registry import query, table
-from docflow.llm.rows import with_row_key
+from docflow.llm.rows import tabled, with_row_key
 from docflow.llm.words import by_bytes, strings, sums, word_codes
 
 #: Words with an output of their own, and how many share a class; all others are one of `TAIL` kinds of rare word.
@@ -25,7 +25,7 @@ STREAMS, WINDOW, SCORED = 64, 16, 256
 ROUNDS, SHARES = 2, 16
 RATE = 0.004
 #: Text that is scored together, and nodes of the averaging tree.
-CHUNK_BYTES, AVERAGES = 16 << 20, 32
+CHUNK_BYTES, AVERAGES = 24 << 20, 32
 END = "\n"
 
 
@@ -244,29 +244,33 @@ def _encoded(vocabulary: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.nd
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """`_chunk`, `word`, `n`: the different words of each chunk of texts, and how often its training texts have them."""
+    """`_chunk`, `word`, `c`, `first`: the different words of each chunk of texts, how often all training texts have
+    them, and whether the row is the word's first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             order = pc.sort_indices(batch.column(0))
-            chunks = np.asarray(batch.column(0).take(order))
-            learn = np.asarray(batch.column(1).take(order))
+            chunks, learn = np.asarray(batch.column(0).take(order)), np.asarray(batch.column(1).take(order))
             texts = strings(batch.column(2).take(order))
             for at, stop in by_bytes(texts, CHUNK_BYTES):
                 codes, starts, words = word_codes(texts.slice(at, stop - at), lower=True)
-                n = len(words) + 1
-                # Every text has an end; it is the last word of its chunk's list.
-                all_ = np.concatenate([codes, np.full(stop - at, len(words))])
-                doc = np.concatenate([np.repeat(np.arange(stop - at), np.diff(starts)), np.arange(stop - at)])
-                slot, part = np.unique(chunks[at:stop], return_inverse=True)
-                key = part[doc] * n + all_
-                found, place = np.unique(key, return_inverse=True)
-                times = np.bincount(place, weights=learn[at:stop][doc], minlength=len(found)).astype(np.int64)
                 words = pa.concat_arrays([words, pa.array([END], words.type)])
-                yield pa.record_batch([pa.array(slot[found // n]), words.take(pa.array(found % n)).cast(pa.string()), pa.array(times)],
-                                      names=["_chunk", "word", "n"])
-
-    return docs.select("_chunk", "_learn", "_text").mapInArrow(run, "_chunk long, word string, n long").groupBy(
-        "_chunk", "word").agg(F.sum("n").alias("n"))
+                slot, part = np.unique(chunks[at:stop], return_inverse=True)
+                # Every text has an end; it is the last word of the list.
+                for k in range(len(slot)):
+                    own = part == k
+                    inside = np.repeat(own, np.diff(starts))
+                    learnt = inside & np.repeat(learn[at:stop], np.diff(starts))
+                    there = np.bincount(codes[inside], minlength=len(words))
+                    times = np.bincount(codes[learnt], minlength=len(words))
+                    there[-1], times[-1] = 1, (own & learn[at:stop]).sum()
+                    found = np.flatnonzero(there)
+                    yield pa.record_batch([pa.array(np.full(len(found), slot[k])), words.take(pa.array(found)).cast(pa.string()),
+                                           pa.array(times[found].astype(np.int64))], names=["_chunk", "word", "n"])
+
+    rows = docs.select("_chunk", "_learn", "_text").mapInArrow(run, "_chunk long, word string, n long")
+    of_word = W.partitionBy("word")
+    return rows.select("_chunk", "word", F.sum("n").over(of_word).alias("c"),
+                       (F.row_number().over(of_word.orderBy("_chunk")) == 1).alias("first"))
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -345,20 +349,22 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     word its kind and its share, add-one, of that kind, so that every text has
     a probability. Rows are told apart by id and text; repeats get each their row.
 
-    Texts are dealt to chunks of about `CHUNK_BYTES`; a chunk's different words
-    go to the count of all chunks and come back with it, so the whole
-    vocabulary is never in one place.
+    A chunk is what one split of a file holds, cut by a hash to about
+    `CHUNK_BYTES` (tables that are not read from files are only cut). Its
+    different words go to the count of all chunks and come back with it, so the
+    whole vocabulary is never in one place.
     """
     keyed = with_row_key(docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"),
-                                     F.coalesce(learn, F.lit(False)).alias("_learn")), "_id", "_text")
-    size = keyed.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    keyed = keyed.withColumn("_chunk", F.pmod(F.xxhash64("_r1", F.lit(99)), F.lit(max(4, size // CHUNK_BYTES))))
-    words = counted(keyed)
-    counts = words.groupBy("word").agg(F.sum("n").alias("c"))
-    found = vocabulary(counts)
+                                     F.coalesce(learn, F.lit(False)).alias("_learn"),
+                                     F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("_split")), "_id", "_text")
+    largest = keyed.groupBy("_split").agg(F.sum(F.octet_length("_text")).alias("n")).agg(F.max("n")).first()[0] or 0
+    part = F.pmod(F.xxhash64("_r1", F.lit(99)), F.lit(max(1, -(-largest // CHUNK_BYTES))))
+    keyed = keyed.withColumn("_chunk", F.xxhash64("_split", part))
+    told = tabled(counted(keyed), "words", few=False)
+    found = vocabulary(told.filter("first").select("word", "c"))
     model = fit(keyed, found)
     shared = docs.sparkSession.sparkContext.broadcast((found, model.weights))
-    told = words.withColumn("c", F.sum("n").over(W.partitionBy("word"))).select("_chunk", "word", "c")
+    told = told.select("_chunk", "word", "c")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:

@@ -213,6 +213,23 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         run, f"`{id_col}` {kind}, score double, passages array<struct<start:bigint,stop:bigint,score:double>>")
 
 
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores below one half."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            texts = strings(batch.column(batch.schema.get_field_index(text_col)))
+            for at, stop in by_bytes(texts):
+                buckets, starts = token_buckets(texts.slice(at, stop - at))
+                scores = m.scores[buckets]
+                features = np.array([_features(m, scores[a:b]) for a, b in zip(starts[:-1], starts[1:])]).reshape(-1, 2)
+                yield batch.slice(at, stop - at).filter(pa.array(_score(m, features) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
