@@ -91,10 +91,10 @@ def memory_window(chat: DataFrame, limit: int = 3000, cost: Column | None = None
     """The newest whole turns of each session whose costs sum to at most `limit`.
 
     Stops at the first turn that does not fit. `tokens_from_end` is the sum of
-    the turn and all newer ones. Without a `cost` a turn costs its words, at
-    least one, so no window has more than `limit` turns.
+    the turn and all newer ones. Without a `cost` a turn costs its words, a
+    blank one nothing.
     """
-    cost = F.greatest(word_count(F.col("text")), F.lit(1)) if cost is None else cost
+    cost = word_count(F.col("text")) if cost is None else cost
     kept = (running_sums(chat, ["session_id"], "turn", {"tokens": cost}, descending=True, limit=limit)
             .drop("tot_tokens").withColumnRenamed("run_tokens", "tokens_from_end"))
     if start_with_user:

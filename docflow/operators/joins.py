@@ -2,54 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from docflow.session import durable
-
-MAX_HOT_KEYS = 64
 HOT_ROWS = 1_000_000
-MAX_BROADCAST_ROWS = 500_000
 
 
-def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS, most: int = MAX_HOT_KEYS) -> list:
-    """The biggest keys with more than `rows` rows, `most` of them at the most. Counts before it shuffles."""
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > rows)
-    return [row[key] for row in counts.orderBy(F.desc("count"), key).limit(most).collect()]
+def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than `rows` rows and in how many pieces of so many rows to cut them (`_cuts`).
+
+    There are at most as many as the table has rows divided by `rows`. Counts before it shuffles.
+    """
+    counted = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    return counted.filter(F.col("_n") > rows).select(key, F.ceil(F.col("_n") / rows).alias("_cuts"))
 
 
-def skew_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", salts: int = 256,
-              hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Join rows to the single row their key names, spreading hot keys over `salts` tasks.
+def skew_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Join rows to the single row their key names, with every key of more than `hot_rows` rows cut into pieces.
 
-    Only the hot keys' rows of `one` are repeated, so the repetition is below
-    `MAX_HOT_KEYS * salts` rows whatever the tables hold. Smaller keys are left
-    to the adaptive skew join.
+    Rows go to a piece by their place in the input, so equal rows spread too.
+    Only the hot keys' rows of `one` are repeated, once per piece. The list of
+    hot keys is sent to both sides; its length is bounded as `hot_keys` says.
+    Smaller keys are left to the adaptive skew join.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join: {how}")
-    hot = hot_keys(many, key, hot_rows)
-    if not hot:
-        return many.join(one, key, how)
-    is_hot = F.col(key).isin(hot)
-    hashable = [f.name for f in many.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    salt = F.when(is_hot, F.pmod(F.xxhash64(*hashable), F.lit(salts))).otherwise(0)
-    left = many.withColumn("_salt", salt.cast("bigint"))
-    right = one.withColumn("_salt", F.explode(
-        F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).withColumn(
-            "_salt", F.col("_salt").cast("bigint"))
+    hot = F.broadcast(hot_keys(many, key, hot_rows))
+    cuts = F.coalesce("_cuts", F.lit(1))
+    left = many.withColumn("_at", F.monotonically_increasing_id()).join(hot, key, "left").withColumn(
+        "_salt", F.pmod("_at", cuts)).drop("_at", "_cuts")
+    right = one.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), cuts - 1))).drop("_cuts")
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """A narrow frame made durable and, if it has few enough rows, marked to be sent to the other side.
-
-    Left to itself, adaptive execution learns that a side is small only while
-    it is already shuffling the big one.
-    """
-    held = durable(df)
-    return F.broadcast(held) if held.limit(max_rows + 1).count() <= max_rows else held
-
-
 def missing_keys(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Child keys without a parent, with their row counts; rows are counted before the shuffle."""
     counted = child.filter(F.col(child_key).isNotNull()).groupBy(child_key).agg(F.count("*").alias("n_rows"))

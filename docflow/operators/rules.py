@@ -6,7 +6,8 @@ import re
 import warnings
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Rule presets per kind of source. The last group of the url
 # pattern needs no repeat: a search finds the same texts, and the matcher would
@@ -33,16 +34,18 @@ SUPPORTED_EXTENSIONS = ["pdf", "docx", "pptx", "html", "txt"]
 
 
 def valid_patterns(patterns: list[str]) -> list[str]:
-    """Patterns that compile; each other one is reported and left out.
+    """Patterns that compile here and in the engine that runs them; each other one is reported and left out.
 
     A bad pattern would otherwise fail every task at run time, so it has to go
     while the plan is built.
     """
+    engine = SparkSession.getActiveSession()._jvm.java.util.regex.Pattern
     kept = []
     for pattern in patterns:
         try:
             re.compile(pattern)
-        except re.error:
+            engine.compile(java_pattern(pattern))
+        except (re.error, Py4JJavaError):
             warnings.warn(f"invalid pattern skipped: {pattern}", stacklevel=2)
         else:
             kept.append(pattern)

@@ -1,42 +1,36 @@
-"""Similarity top-k: exact and approximate, without ever pairing rows in the plan.
+"""Exact similarity top-k, without ever pairing rows in the plan.
 
-Questions within a checked size travel to the nodes as one matrix; each task
-keeps its k best per question, so only those are shuffled. Larger question sets
-meet the nodes cell by cell: nodes are grouped around centroids, and a question
-visits a cell only if the triangle inequality leaves room for a better hit.
+Questions travel to the nodes in batches, each a matrix whose bytes are known
+before it is fetched; each task keeps its k best per question, so at most
+tasks * questions * k hits of a batch are shuffled.
 
 Scores are compared after rounding to `SCORE_DIGITS`; equal ones go by node id.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from docflow.functions.vectors import l2_normalise
 from docflow.session import durable
 
 METRICS = ("cosine", "l2", "dot")
 SCORE_DIGITS = 12
-MAX_QUESTIONS = 32_768
-MAX_QUESTION_BYTES = 64 << 20
+#: Bytes of question vectors that are sent to the nodes at once.
+BATCH_BYTES = 32 << 20
 TILE = 256
-MAX_CELLS = 1024
-BLOCK_ROWS = 16_384
-SAMPLE_PER_CELL = 256
 
 
 def _matrix(column) -> np.ndarray:
     """An Arrow list<double> column as a matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    lengths = pc.unique(pc.list_value_length(column))
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different lengths: {sorted(lengths.to_pylist())}")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
@@ -71,14 +65,6 @@ def _magnitude(q, m, metric):
     return _norms(q) ** 2 + largest ** 2 if metric == "l2" else _norms(q) * largest
 
 
-def _gaps(place, centroids):
-    """Distances to the centroids and how wrong each question's may be."""
-    middle = centroids.mean(axis=0)
-    place, centroids = place - middle, centroids - middle
-    error = 1e-6 * (1.0 + np.sqrt(_magnitude(place, centroids, "l2")))
-    return np.sqrt(-_rough(place, centroids, "l2")), error
-
-
 def _final(q, m, metric):
     """Scores row by row, the same for equal vectors wherever they lie."""
     if metric == "l2":
@@ -189,21 +175,46 @@ def _check(k: int, metric: str) -> None:
         raise ValueError("need k >= 1")
 
 
+def _in_batches(asked: DataFrame, batch_bytes: int) -> tuple[DataFrame, int]:
+    """Questions with the number of their batch, and how many batches keep each below the given bytes.
+
+    A question that is larger on its own is a batch of its own.
+    """
+    size = F.size("vector").cast("bigint") * 8 + 64
+    batches = max(1, -(-(asked.agg(F.sum(size)).first()[0] or 0) // batch_bytes))
+    while True:
+        dealt = asked.withColumn("_batch", F.pmod(F.xxhash64("query_id"), F.lit(batches)))
+        full = dealt.groupBy("_batch").agg(F.sum(size).alias("n"), F.count_distinct("query_id").alias("q"))
+        if not full.filter((F.col("n") > batch_bytes) & (F.col("q") > 1)).limit(1).count():
+            return dealt, batches
+        batches *= 2
+
+
 def top_k(queries: DataFrame, nodes: DataFrame, k: int = 2, metric: str = "cosine", *, query_id: str = "query_id",
           query_vector: str = "embedding", node_id: str = "node_id", node_vector: str = "embedding",
-          carry: list[str] = (), max_questions: int = MAX_QUESTIONS) -> DataFrame:
+          carry: list[str] = (), batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Exact k best nodes per question: (query_id, rank, node_id, score) and the `carry` columns of the node.
 
-    `score` is the cosine, the dot product or, for `l2`, the distance.
+    `score` is the cosine, the dot product or, for `l2`, the distance. Under
+    cosine a question whose vector is zero has no hits. All vectors must have
+    one length. The nodes are scanned once per batch of questions.
     """
     _check(k, metric)
-    asked = _plain(queries, query_id, query_vector, "query_id")
+    asked = durable(_plain(queries, query_id, query_vector, "query_id").filter("query_id IS NOT NULL AND vector IS NOT NULL"))
     held = _plain(nodes, node_id, node_vector, "node_id", carry)
     schema = _hit_schema(asked, held, carry)
-    head = asked.limit(max_questions + 1).toArrow()
-    if head.num_rows <= max_questions and head.nbytes <= MAX_QUESTION_BYTES:
-        return _rank(_scan_with_matrix(_usable(head), held, schema, k, metric), k, metric)
-    return _rank(_visit_cells(asked, held, schema, k, metric), k, metric)
+    dealt, batches = _in_batches(asked, batch_bytes)
+    hits = []
+    for i in range(batches):
+        head = _usable((dealt.filter(F.col("_batch") == i) if batches > 1 else dealt).drop("_batch").toArrow())
+        if metric == "cosine" and head.num_rows:
+            head = head.filter(pa.array(_norms(_matrix(head.column("vector"))) > 0))
+        if head.num_rows:
+            hits.append(_scan_with_matrix(head, held, schema, k, metric))
+    found = hits[0] if hits else asked.sparkSession.createDataFrame([], schema)
+    for more in hits[1:]:
+        found = found.union(more)
+    return _rank(found, k, metric)
 
 
 def _scan_with_matrix(head: pa.Table, held: DataFrame, schema: T.StructType, k: int, metric: str) -> DataFrame:
@@ -219,166 +230,3 @@ def _scan_with_matrix(head: pa.Table, held: DataFrame, schema: T.StructType, k:
         yield from best.table().combine_chunks().to_batches()
 
     return held.mapInArrow(run, schema)
-
-
-def fit_centroids(nodes: DataFrame, cells: int, seed: int = 7) -> np.ndarray:
-    """Centroids of at most `cells` cells, learned from a sample; every node is still assigned later."""
-    total = nodes.count()
-    share = min(1.0, SAMPLE_PER_CELL * cells / max(total, 1))
-    sample = nodes.sample(fraction=share, seed=seed) if share < 1.0 else nodes
-    points = sample.select(array_to_vector("place").alias("features"))
-    model = KMeans(k=max(2, cells), maxIter=5, seed=seed).fit(points)
-    return np.array(model.clusterCenters())
-
-
-def _assign(nodes: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """Nodes with the number of their nearest cell and the distance to its centroid."""
-    schema = T.StructType([*nodes.schema.fields, T.StructField("cell", T.IntegerType()),
-                           T.StructField("distance", T.DoubleType())])
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            m = _matrix(batch.column("place"))
-            nearest = np.argmax(_rough(m, centroids, "l2"), axis=1)
-            distance = _norms(m - centroids[nearest])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(nearest.astype("int32")), pa.array(distance)], names=schema.names)
-
-    return nodes.mapInArrow(run, schema)
-
-
-def _square(v):
-    return F.aggregate(v, F.lit(0.0), lambda total, x: total + x * x)
-
-
-def _to_euclid(asked: DataFrame, held: DataFrame, metric: str):
-    """Both sides in a space where the nearest node is the best one (`place` column)."""
-    v = F.col("vector")
-    if metric == "l2":
-        return asked.withColumn("place", v), held.withColumn("place", v)
-    if metric == "cosine":
-        return asked.withColumn("place", l2_normalise(v)), held.withColumn("place", l2_normalise(v))
-    # A dot product becomes a distance once every node is lifted onto one sphere.
-    largest = held.agg(F.max(_square(v))).first()[0] or 0.0
-    lifted = F.concat(v, F.array(F.sqrt(F.greatest(F.lit(largest) - _square(v), F.lit(0.0)))))
-    return (asked.withColumn("place", F.concat(l2_normalise(v), F.array(F.lit(0.0)))), held.withColumn("place", lifted))
-
-
-def _targets(asked: DataFrame, centroids, sizes, radii, k: int, nprobe: int | None, floor: DataFrame | None):
-    """(query_id, vector, cell) rows: which cells each question visits.
-
-    Without `floor`: the nearest cells, `nprobe` of them or until they hold k nodes.
-    With it: every other cell that could hold a node nearer than the k-th found.
-    """
-    second = floor is not None
-    if second:
-        asked = asked.join(floor, "query_id", "left")
-    schema = T.StructType([asked.schema["query_id"], asked.schema["vector"], T.StructField("cell", T.IntegerType())])
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            place = _matrix(batch.column("place"))
-            gap, error = _gaps(place, centroids)
-            order = np.argsort(np.where(sizes > 0, gap, np.inf), axis=1, kind="stable")
-            held = np.cumsum(sizes[order], axis=1)
-            reached = np.full(len(place), nprobe) if nprobe else 1 + np.argmax(held >= np.minimum(k, held[:, -1:]), axis=1)
-            visited = np.zeros(gap.shape, dtype=bool)
-            np.put_along_axis(visited, order, np.arange(gap.shape[1])[None, :] < reached[:, None], axis=1)
-            visited &= sizes[None, :] > 0
-            if second:
-                kth = np.array([np.inf if d is None else d for d in batch.column("kth").to_pylist()])
-                visited = ~visited & (sizes[None, :] > 0) & (gap - radii[None, :] <= (kth + error)[:, None])
-            rows, cells = np.nonzero(visited)
-            taken = batch.select(["query_id", "vector"]).take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cells.astype("int32"))], names=schema.names)
-
-    return asked.mapInArrow(run, schema)
-
-
-def _score_cells(targets: DataFrame, cells: DataFrame, sizes, schema: T.StructType, k: int, metric: str,
-                 block_rows: int) -> DataFrame:
-    """Best k per question and block; both sides of a crowded cell are cut into blocks."""
-    asked_per_cell = {r["cell"]: r["count"] for r in targets.groupBy("cell").count().collect()}
-    if not asked_per_cell:
-        return targets.sparkSession.createDataFrame([], schema)
-
-    def pieces(counts):
-        return F.create_map(*[F.lit(x) for cell, n in counts.items() for x in (cell, math.ceil(n / block_rows))])
-
-    node_cuts = pieces({c: int(sizes[c]) for c in asked_per_cell})
-    asked_cuts = pieces(asked_per_cell)
-
-    def cut(df, id_col, own, other, own_name, other_name):
-        """Each row goes to one block of its own side and meets every block of the other side."""
-        own_no = F.pmod(F.xxhash64(F.col(id_col)), F.element_at(own, F.col("cell"))).cast("int")
-        other_no = F.explode(F.sequence(F.lit(0), F.element_at(other, F.col("cell")) - 1))
-        return df.withColumn(own_name, own_no).withColumn(other_name, other_no)
-
-    left = cut(targets, "query_id", asked_cuts, node_cuts, "qb", "nb")
-    right = cut(cells.filter(F.col("cell").isin(list(asked_per_cell))), "node_id", node_cuts, asked_cuts, "nb", "qb")
-    arrow = to_arrow_schema(schema)
-
-    def run(asked, nodes):
-        best = _BestHits(np.asarray(asked.column("query_id").to_pylist()), _matrix(asked.column("vector")), k, metric, arrow)
-        best.add(_ids(nodes.column("node_id")), _matrix(nodes.column("vector")), nodes.select(arrow.names[3:]))
-        return best.table()
-
-    key = ["cell", "nb", "qb"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, schema)
-
-
-def _visit_cells(asked: DataFrame, held: DataFrame, schema: T.StructType, k: int, metric: str,
-                 cells: int | None = None, nprobe: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Hits of the visited cells: `nprobe` of them, or as many as an exact answer needs."""
-    # Both sides are read several times, so their vectors are computed once.
-    def numbers(side):
-        no_number = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf))
-        return side.filter(F.col(side.columns[0]).isNotNull() & F.col("vector").isNotNull() & ~no_number)
-
-    asked, held = (durable(side) for side in _to_euclid(numbers(asked), numbers(held), metric))
-    if held.isEmpty():
-        return held.sparkSession.createDataFrame([], schema)
-    if cells is None:
-        cells = max(2, min(MAX_CELLS, math.isqrt(held.count())))
-    centroids = fit_centroids(held, cells)
-    placed = durable(_assign(held, centroids).drop("place"))
-    sizes, radii = np.zeros(len(centroids), dtype="int64"), np.zeros(len(centroids))
-    for row in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("distance").alias("r")).collect():
-        sizes[row["cell"]], radii[row["cell"]] = row["n"], row["r"]
-
-    def hits(nprobe, floor):
-        targets = _targets(asked, centroids, sizes, radii, k, nprobe, floor)
-        return _score_cells(targets, placed, sizes, schema, k, metric, block_rows)
-
-    if nprobe is not None:
-        return hits(nprobe, None)
-    first = durable(_rank(hits(None, None), k, metric).drop("rank"))
-    # Distance of the k-th hit found so far; fewer than k hits rule nothing out.
-    found = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"))
-    if metric == "l2":
-        kth = F.col("hi")
-    elif metric == "cosine":
-        kth = F.sqrt(F.greatest(2 - 2 * F.col("lo"), F.lit(0.0)))
-    else:
-        largest = held.agg(F.max(_square(F.col("place")))).first()[0] or 0.0
-        found = found.join(asked.select("query_id", F.sqrt(_square(F.col("vector"))).alias("len")), "query_id")
-        scaled = F.when(F.col("len") > 0, F.col("lo") / F.col("len")).otherwise(F.lit(-math.inf))
-        kth = F.sqrt(F.greatest(F.lit(1.0 + largest) - 2 * scaled, F.lit(0.0)))
-    floor = found.select("query_id", F.when(F.col("n") >= k, kth).alias("kth"))
-    return first.unionByName(hits(None, floor))
-
-
-def ann_top_k(queries: DataFrame, nodes: DataFrame, k: int = 2, nprobe: int = 4, metric: str = "cosine", *,
-              cells: int | None = None, query_id: str = "query_id", query_vector: str = "embedding",
-              node_id: str = "node_id", node_vector: str = "embedding", carry: list[str] = (),
-              block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Approximate top-k from the `nprobe` cells nearest to each question, with exact scores."""
-    _check(k, metric)
-    asked = _plain(queries, query_id, query_vector, "query_id")
-    held = _plain(nodes, node_id, node_vector, "node_id", carry)
-    schema = _hit_schema(asked, held, carry)
-    return _rank(_visit_cells(asked, held, schema, k, metric, cells, nprobe, block_rows), k, metric)

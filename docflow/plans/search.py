@@ -6,20 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from docflow.operators.joins import checked_broadcast
-from docflow.operators.similarity import MAX_QUESTIONS, top_k
+from docflow.operators.similarity import BATCH_BYTES, top_k
 from docflow.plans.embedding import embed_hashed
 
 
 def search(questions: DataFrame, nodes: DataFrame, k: int = 2, metric: str = "cosine", *,
            question_id: str = "item_id", question: str = "text", embed: Callable[[DataFrame], DataFrame] = embed_hashed,
-           carry: list[str] = (), max_questions: int = MAX_QUESTIONS) -> DataFrame:
+           carry: list[str] = (), batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Best nodes per question: (query_id, rank, node_id, score, *carry).
 
     The nodes are embedded already; `embed` does the same for the `text` of the questions.
     """
     asked = embed(questions.select(F.col(question_id).alias("query_id"), F.col(question).alias("text")))
-    return top_k(asked, nodes, k, metric, carry=carry, max_questions=max_questions)
+    return top_k(asked, nodes, k, metric, carry=carry, batch_bytes=batch_bytes)
 
 
 def attach(hits: DataFrame, nodes: DataFrame, columns: list[str], node_id: str = "node_id") -> DataFrame:
@@ -28,4 +27,4 @@ def attach(hits: DataFrame, nodes: DataFrame, columns: list[str], node_id: str =
     The hits go to the nodes, which are not shuffled as long as the hits are few.
     """
     wanted = nodes.select(F.col(node_id).alias("node_id"), *columns)
-    return wanted.join(checked_broadcast(hits.select("query_id", "rank", "node_id", "score")), "node_id")
+    return wanted.join(hits.select("query_id", "rank", "node_id", "score"), "node_id")

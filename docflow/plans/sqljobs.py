@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import logging
-import re
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
+from docflow.session import durable
+
 log = logging.getLogger(__name__)
 
 
@@ -37,20 +39,64 @@ def missing_tables(spark: SparkSession, required: set[str]) -> set[str]:
 
 
 def run_sql(session: SparkSession, sql: str, args: dict | None = None) -> DataFrame | None:
-    """The result of one query; text Spark rejects is logged and gives None.
+    """The result of one query, computed once; text Spark rejects or fails on is logged and gives None.
 
-    As a subquery the text can only be a query, no command. Tables of the
-    catalog are refused: only the session's views count as given.
+    As a subquery the text can only be a query, no command. It may read the
+    session's views and what it defines itself; other relations, also views
+    shared between sessions and tables of other catalogs, and functions that
+    call Java by name are refused before anything runs.
     """
     try:
-        result = session.sql(f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n)", args=args or {})
-    except PySparkException as error:
+        text = f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n)"
+        parsed = session._jsparkSession.sessionState().sqlParser().parsePlan(text)
+        given = {t.name.lower() for t in session.catalog.listTables() if t.isTemporary and not t.namespace}
+        others = _relations(parsed) - given
+        if others:
+            log.error("SQL uses tables that were not given: %s", sorted(others))
+            return None
+        result = session.sql(text, args=args or {})
+        if "CallMethodViaReflection" in _expression_names(result._jdf.queryExecution().analyzed()):
+            log.error("SQL calls Java by name: %s", sql)
+            return None
+        return durable(result)
+    except (PySparkException, Py4JJavaError) as error:
         log.error("SQL failed: %s", error)
         return None
-    if re.search(r"^\W*SubqueryAlias spark_catalog\.", result._jdf.queryExecution().analyzed().toString(), re.M):
-        log.error("SQL uses a table that was not given: %s", sql)
-        return None
-    return result
+
+
+def _each(sequence) -> list:
+    return [sequence.apply(i) for i in range(sequence.size())]
+
+
+def _plans(plan) -> list:
+    """A logical plan and all below it, in its subqueries and in its common table expressions."""
+    out = [plan]
+    for part in (plan.children(), plan.innerChildren(), plan.subqueries()):
+        for below in _each(part.toIndexedSeq()):
+            out += _plans(below)
+    return out
+
+
+def _relations(parsed) -> set[str]:
+    """Names of the relations that the parsed text reads, without those it defines."""
+    used, defined = set(), set()
+    for plan in _plans(parsed):
+        kind = plan.getClass().getSimpleName()
+        if kind == "UnresolvedRelation":
+            used.add(".".join(_each(plan.multipartIdentifier().toIndexedSeq())).lower())
+        elif kind == "UnresolvedWith":
+            defined |= {c._1().lower() for c in _each(plan.cteRelations().toIndexedSeq())}
+    return used - defined
+
+
+def _expression_names(analyzed) -> set[str]:
+    def names(expression) -> set[str]:
+        found = {expression.getClass().getSimpleName()}
+        for child in _each(expression.children().toIndexedSeq()):
+            found |= names(child)
+        return found
+
+    return set().union(*[names(e) for plan in _plans(analyzed) for e in _each(plan.expressions().toIndexedSeq())])
 
 
 def describe_tables(session: SparkSession, names: list[str] | None = None) -> DataFrame:

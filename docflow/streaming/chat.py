@@ -2,54 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docflow.operators.chat import PART_TURNS, session_history
 from docflow.operators.collections import read_stored
 from docflow.operators.ordered import part_of
 
-BUCKETS = 64  # folders of a new table; more of them spare more reading once the table is big
+BUCKETS = 64  # folders that new turns of a table go to; more of them spare more reading once the table is big
 KEY = ["session_id", "turn"]
 
 
-def _with_bucket(turns: DataFrame, buckets: int) -> DataFrame:
-    return turns.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int"))
+def _bucket(buckets) -> Column:
+    return F.pmod(F.xxhash64("session_id"), buckets).cast("int")
 
 
 def _touched(batch: DataFrame, table: str) -> DataFrame | None:
-    """Stored turns in the buckets a batch has sessions in; other folders are not read."""
+    """Stored turns in the folders that a batch's sessions have, by every number of buckets the table has been written with.
+
+    The number is part of a folder's name, so it may grow with the table; other folders are not read.
+    """
     stored = read_stored(batch.sparkSession, table)
     if stored is None:
         return None
-    buckets = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # few numbers
-    return stored.filter(F.col("bucket").isin(buckets))
+    numbers = [r["buckets"] for r in stored.select("buckets").distinct().collect()]  # read from folder names
+    sessions = batch.select("session_id").distinct()
+    found = sessions.select(F.explode(F.array(*[F.struct(F.lit(n).alias("n"), _bucket(F.lit(n)).alias("b")) for n in numbers])).alias("f"))
+    folders: dict[int, list[int]] = {}
+    for row in found.select("f.*").distinct().collect():  # as many as the table has folders at most
+        folders.setdefault(row.n, []).append(row.b)
+    return stored.filter(reduce(or_, [(F.col("buckets") == n) & F.col("bucket").isin(b) for n, b in folders.items()], F.lit(False)))
 
 
 def store_turns(turns: DataFrame, table: str, buckets: int = BUCKETS) -> None:
-    """Append the turns the table lacks; repeating a batch adds nothing."""
-    batch = _with_bucket(turns.dropDuplicates(KEY), buckets)
+    """Append the turns the table lacks; repeating a batch, also with another number of buckets, adds nothing."""
+    batch = turns.dropDuplicates(KEY)
     stored = _touched(batch, table)
     if stored is not None:
-        batch = batch.join(stored.select("bucket", *KEY), ["bucket", *KEY], "left_anti")
-    batch.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(table)
+        batch = batch.join(stored.select(*KEY), KEY, "left_anti")
+    batch = batch.withColumns({"buckets": F.lit(buckets), "bucket": _bucket(F.lit(buckets))})
+    batch.hint("rebalance", "bucket").write.mode("append").partitionBy("buckets", "bucket").parquet(table)
 
 
-def stream_chat_append(turns: DataFrame, table: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+def stream_chat_append(turns: DataFrame, table: str, checkpoint: str, buckets: int = BUCKETS,
+                       trigger: dict | None = None) -> StreamingQuery:
     """Store a stream of turns. A batch run again after a failure finds its turns stored already.
 
-    The table itself is the memory of what was seen, so no state grows in the executors.
+    The table itself is the memory of what was seen, so no state grows in the
+    executors. `trigger` goes to the stream, `{"availableNow": True}` if not
+    given; the source's `maxFilesPerTrigger` bounds a batch.
     """
     return (turns.writeStream.foreachBatch(lambda batch, _: store_turns(batch, table, buckets))
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
 def stored_turns(spark: SparkSession, table: str) -> DataFrame:
-    return spark.read.parquet(table).drop("bucket")
+    return spark.read.parquet(table).drop("buckets", "bucket")
 
 
 def stream_session_upsert(turns: DataFrame, table: str, histories: str, checkpoint: str,
-                          buckets: int = BUCKETS) -> StreamingQuery:
+                          buckets: int = BUCKETS, trigger: dict | None = None) -> StreamingQuery:
     """Store turns and rewrite the history parts a batch touches.
 
     Each batch writes them under its own number, so running it again replaces
@@ -59,16 +74,16 @@ def stream_session_upsert(turns: DataFrame, table: str, histories: str, checkpoi
     def upsert(batch: DataFrame, number: int) -> None:
         store_turns(batch, table, buckets)
         part = part_of(F.col("turn"), PART_TURNS)
-        changed = _with_bucket(batch.select("session_id", part.alias("part")).distinct(), buckets)
+        changed = batch.select("session_id", part.alias("part")).distinct()
         stored = _touched(changed, table)
         if stored is None:
             return
         turns_of = (stored.withColumn("part", part)
-                    .join(changed, ["bucket", "session_id", "part"], "left_semi").drop("bucket", "part"))
+                    .join(changed, ["session_id", "part"], "left_semi").drop("buckets", "bucket", "part"))
         session_history(turns_of).write.mode("overwrite").parquet(f"{histories}/batch={number}")
 
     return (turns.writeStream.foreachBatch(upsert)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
 def latest_histories(spark: SparkSession, histories: str) -> DataFrame:

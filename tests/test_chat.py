@@ -69,8 +69,21 @@ def test_memory_does_not_skip_a_turn_that_is_too_long(spark):
     assert sorted(r.turn for r in chat.memory_window(words(spark, [1, 9, 1]), 5).collect()) == [3]
 
 
-def test_blank_turns_cost_something(spark):
-    assert chat.memory_window(words(spark, [0] * 20), 3).count() == 3
+def test_blank_turns_cost_nothing(spark):
+    assert chat.memory_window(words(spark, [0] * 20), 3).count() == 20
+    assert sorted(r.turn for r in chat.memory_window(words(spark, [9, 0, 2, 0, 1, 0]), 3).collect()) == [2, 3, 4, 5, 6]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_sums_in_a_sparse_order(spark, descending):
+    df = spark.range(400).selectExpr("if(id < 300, 'hot', 'k') k", "id * 1000003 * 1009 - 77 AS pos", "id % 11 AS v")
+    out = running_sums(df, ["k"], "pos", {"v": F.col("v")}, descending).collect()
+    total, run = {}, {}
+    for r in sorted(out, key=lambda r: -r.pos if descending else r.pos):
+        run[r.k] = run.get(r.k, 0) + r.v
+        assert r.run_v == run[r.k]
+        total[r.k] = r.tot_v
+    assert total == run and len(out) == 400
 
 
 def test_memory_may_have_to_start_with_a_user(spark):

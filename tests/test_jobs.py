@@ -214,6 +214,12 @@ def test_only_queries_run(spark, library, folder):
     for text in ["DROP VIEW books", "SET spark.sql.ansi.enabled=false", f"INSERT OVERWRITE DIRECTORY '{folder}/x' USING parquet SELECT 1",
                  "SELECT 1) t; DROP VIEW books --"]:
         assert sqljobs.run_sql(session, text) is None
+    for text in ["SELECT java_method('java.lang.System', 'getProperty', 'user.name') x", "SELECT reflect('java.util.UUID', 'randomUUID') x FROM books",
+                 "SELECT (SELECT max(try_reflect('java.lang.System', 'getProperty', title)) FROM books) x",
+                 "SELECT raise_error('no') x FROM books", "SELECT CAST(title AS INT) x FROM books", "SELECT * FROM other.db.table",
+                 "SELECT * FROM books WHERE book_id IN (SELECT v FROM global_temp.secret)"]:
+        spark.range(1).toDF("v").createOrReplaceGlobalTempView("secret")
+        assert sqljobs.run_sql(session, text) is None, text
     assert answers(session, "WITH b AS (SELECT book_id FROM books) SELECT min(book_id) m FROM b; ") == [(1,)]
     assert answers(session, "SELECT 'SubqueryAlias spark_catalog.x' AS a -- note") == [("SubqueryAlias spark_catalog.x",)]
     ordered = sqljobs.run_sql(session, "SELECT book_id FROM books ORDER BY book_id DESC LIMIT 2")
@@ -267,25 +273,12 @@ def test_sql_chunk_function(spark, library):
     assert rows == [(1, 0, "Animal"), (1, 1, "Farm"), (2, 0, "1984")]
 
 
-def test_only_a_small_side_is_broadcast(spark):
-    small = spark.range(10).withColumnRenamed("id", "k")
-    for bound, strategy in [(10, "BroadcastHashJoin"), (9, "SortMergeJoin")]:
-        session_bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        try:
-            joined = spark.range(100).withColumnRenamed("id", "k").join(joins.checked_broadcast(small, bound), "k")
-            assert strategy in joined._jdf.queryExecution().executedPlan().toString()
-            assert joined.count() == 10
-        finally:
-            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", session_bound)
-
-
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_join_with_a_hot_key(spark, how):
     many = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 7, id % 500) AS k", "map('a', id) AS m")
     one = spark.range(0, 400).selectExpr("id AS k", "id * 10 AS v")
-    assert joins.hot_keys(many, "k", 100) == [7] and joins.hot_keys(many, "k") == []
-    salted = sorted((r.id, r.v) for r in joins.skew_join(many, one, "k", how, 8, hot_rows=100).collect())
+    assert [(r.k, r._cuts) for r in joins.hot_keys(many, "k", 100).collect()] == [(7, 11)] and joins.hot_keys(many, "k").count() == 0
+    salted = sorted((r.id, r.v) for r in joins.skew_join(many, one, "k", how, hot_rows=100).collect())
     assert salted == sorted(((r.id, r.v) for r in many.join(one, "k", how).collect()))
 
 

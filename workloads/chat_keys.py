@@ -126,7 +126,10 @@ def session_upsert(t):
 @query("stream_chat_append", TURNS_CTE + "SELECT session_id, turn, role, text FROM turns")
 def stream_chat_append(t):
     target = work_path(t.spark, "turns")
-    chat_stream.stream_chat_append(_landed_turns(t), target, work_path(t.spark, "stream")).awaitTermination()
+    # Several batches, and all of them again into another number of buckets: nothing is stored twice.
+    landed = _landed_turns(t, files=4)
+    for buckets in (64, 48):
+        chat_stream.stream_chat_append(landed, target, work_path(t.spark, "stream"), buckets).awaitTermination()
     return chat_stream.stored_turns(t.spark, target)
 
 
@@ -135,14 +138,15 @@ SELECT session_id, turn // 1000 AS part, string_agg(line, chr(10) ORDER BY turn)
 def stream_session_upsert(t):
     target, histories = work_path(t.spark, "turns"), work_path(t.spark, "histories")
     chat_stream.stream_session_upsert(
-        _landed_turns(t), target, histories, work_path(t.spark, "stream")).awaitTermination()
+        _landed_turns(t, files=4), target, histories, work_path(t.spark, "stream")).awaitTermination()
     return chat_stream.latest_histories(t.spark, histories).withColumn("history", F.array_join("history", "\n"))
 
 
-def _landed_turns(t):
-    # As a glob the path may name a file as well as a folder of files.
-    landed = t.path("conversations").replace(".parquet", ".parque[t]")
-    return as_turns(t.spark.readStream.schema(t.conversations.schema).parquet(landed))
+def _landed_turns(t, files):
+    """The turns as a stream of so many landed files, one file a batch."""
+    landed = work_path(t.spark, "landed")
+    t.conversations.repartition(files).write.parquet(landed)
+    return as_turns(t.spark.readStream.schema(t.conversations.schema).option("maxFilesPerTrigger", 1).parquet(landed))
 
 
 def entries(t):

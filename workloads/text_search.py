@@ -12,7 +12,7 @@ from docflow.functions.vectors import l2_normalise
 from docflow.operators import chunk, collections, context
 from docflow.operators.chat import memory_window, with_line
 from docflow.operators.rules import PRESETS, matches_any, rule_condition
-from docflow.operators.similarity import ann_top_k, top_k
+from docflow.operators.similarity import top_k
 from docflow.plans import sqljobs
 from docflow.plans.embedding import embed as embed_with, embed_hashed
 from docflow.plans.ingest import collection_sink, fold, funnel, run_ingest
@@ -240,19 +240,14 @@ def topk_dot(t):
     return vector_hits(t, 2, "dot")
 
 
-# No bound on the questions: both sides meet cell by cell, and the answer is still exact.
+# So few bytes per batch that every question is one: the nodes are scanned for each, with the same answer.
 @query("topk_cells", vector_cte(COSINE) + "FROM hits")
-def topk_cells(t):
-    hits = top_k(label_questions(t), t.embeddings, 2, "cosine", query_id="label", node_id="vec_id", max_questions=0)
+def topk_batches(t):
+    hits = top_k(label_questions(t), t.embeddings, 2, "cosine", query_id="label", node_id="vec_id", batch_bytes=600)
     return hits.select(F.col("query_id").alias("label"), F.col("rank").cast("bigint").alias("rank"),
                        F.col("node_id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
-@query("ann_topk")
-def ann_topk(t):
-    return ann_top_k(label_questions(t), t.embeddings, 2, 4, query_id="label", node_id="vec_id")
-
-
 @query("compact_context", vector_cte(COSINE, k=5) + r"""
 , texts AS (SELECT label, rank, text, sum(len(regexp_extract_all(text, '\S+'))) OVER (PARTITION BY label ORDER BY rank) AS running
             FROM hits JOIN documents ON doc_id = vec_id)
