@@ -59,12 +59,35 @@ def with_lineage(chunks: DataFrame, doc_id: str = "doc_id", parts: tuple[str, ..
         "node_id", F.sha2(F.concat_ws("#", "ref_doc_id", *parts), 256))
 
 
-def chunk_paragraphs(df: DataFrame, separator: str = r"\n\n|\n-{3,}\n|\[\[.*?\]\]", size: int = 512,
-                     overlap: int = 20, text: str = "text") -> DataFrame:
-    """Split on the separator pattern, drop blank paragraphs, then chunk each paragraph."""
+# Fixed value: what separates paragraphs of notes.
+PARAGRAPH = r"\n\n|\n-{3,}\n|\[\[.*?\]\]"
+
+
+def chunk_paragraphs(df: DataFrame, separator: str = PARAGRAPH, size: int = 512, overlap: int = 20, text: str = "text") -> DataFrame:
+    """Split on the separator pattern, drop blank paragraphs, then chunk each paragraph.
+
+    Chunks are numbered through the whole text and their offsets are those in
+    it, so a chunk's number names it. `para_no` counts blank paragraphs too.
+    """
+    _check(size, overlap)
     carried = [c for c in df.columns if c != text]
-    paragraphs = df.select(*carried, F.posexplode(F.split(text, separator)).alias("para_no", text))
-    return chunk_words(paragraphs.filter(has_text(F.col(text))), size, overlap, text)
+
+    def located(pieces: Column, gaps: Column) -> Column:
+        """Pieces with their number and where they start: behind all earlier pieces and separators."""
+        lengths = F.transform(pieces, lambda p, i: F.length(p) + F.coalesce(F.length(F.get(gaps, i)), F.lit(0)))
+        starts = F.aggregate(lengths, F.array(F.lit(0)), lambda seen, n: F.concat(seen, F.array(F.element_at(seen, -1) + n)))
+        return let(starts, lambda s: F.transform(pieces, lambda p, i: F.struct(i.alias("no"), p.alias("text"), F.get(s, i).alias("start"))))
+
+    def chunks(paragraph: Column) -> Column:
+        found = let(words(paragraph["text"]), lambda tokens: chunk_array(paragraph["text"], tokens, size, overlap))
+        return F.transform(found, lambda c: F.struct(
+            paragraph["no"].alias("para_no"), c["text"].alias("text"), (c["start_char"] + paragraph["start"]).alias("start_char"),
+            (c["end_char"] + paragraph["start"]).alias("end_char"), c["n_words"].alias("n_words")))
+
+    located_all = let(F.split(F.col(text), separator), lambda pieces: let(
+        F.regexp_extract_all(F.col(text), F.lit(separator), F.lit(0)), lambda gaps: located(pieces, gaps)))
+    full = F.filter(located_all, lambda p: has_text(p["text"]))
+    return df.select(*carried, F.posexplode(F.flatten(F.transform(full, chunks))).alias("chunk_no", "_c")).select(*carried, "chunk_no", "_c.*")
 
 
 def pack_sentences(text: str, size: int, overlap: int) -> list[str]:

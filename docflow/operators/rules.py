@@ -6,7 +6,7 @@ import re
 import warnings
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Rule presets per kind of source. The last group of the url
@@ -45,7 +45,7 @@ def valid_patterns(patterns: list[str]) -> list[str]:
         try:
             re.compile(pattern)
             engine.compile(java_pattern(pattern))
-        except (re.error, Py4JJavaError):
+        except (re.error, PySparkException):
             warnings.warn(f"invalid pattern skipped: {pattern}", stacklevel=2)
         else:
             kept.append(pattern)

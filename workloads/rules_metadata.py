@@ -163,7 +163,7 @@ SELECT page_id, file_path FROM p WHERE NOT contains(file_path, '/en/')""")
 def rules_skip_invalid(t):
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        return rules.apply_rules(page_paths(t), "file_path", ["("], ["[", r"/en/"])
+        return rules.apply_rules(page_paths(t), "file_path", ["("], ["[", "[[]", r"/en/"])
 
 
 @query("repo_skip_dirs_exts", PARTS_CTE + """

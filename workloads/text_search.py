@@ -88,11 +88,27 @@ def chunk_sentences(t):
 @query("chunk_paragraphs", chunk_cte(64, 8, """
   SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS para_no
   FROM documents""").replace("SELECT doc_id, i::int", "SELECT doc_id, para_no, i::int") + """
-SELECT doc_id, para_no::int AS para_no, chunk_no, text, start_char, (start_char + length(text))::int AS end_char, n_words FROM chunks""")
+SELECT doc_id, para_no::int AS para_no, (row_number() OVER (PARTITION BY doc_id ORDER BY para_no, chunk_no) - 1)::int AS chunk_no, text,
+       (start_char + begin)::int AS start_char, (start_char + begin + length(text))::int AS end_char, n_words
+FROM chunks JOIN (
+  SELECT doc_id, para_no, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY para_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS para_no FROM documents)
+) USING (doc_id, para_no)""")
 def chunk_paragraphs(t):
     return chunk.chunk_paragraphs(docs(t), "\n", 64, 8)
 
 
+@query("paragraph_lineage", chunk_cte(64, 8, """
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS para_no
+  FROM documents""").replace("SELECT doc_id, i::int", "SELECT doc_id, para_no, i::int") + """
+SELECT doc_id, sha256(doc_id || '#' || (row_number() OVER (PARTITION BY doc_id ORDER BY para_no, chunk_no) - 1)) AS node_id, text, true AS in_place
+FROM chunks""")
+def paragraph_lineage(t):
+    nodes = chunk.with_lineage(chunk.chunk_paragraphs(docs(t).withColumn("body", F.col("text")), "\n", 64, 8))
+    there = F.substring("body", F.col("start_char") + 1, F.col("end_char") - F.col("start_char")) == F.col("text")
+    return nodes.select("doc_id", "node_id", "text", there.alias("in_place"))
+
+
 @query("chunk_lineage", chunk_cte(512, 20) + """
 SELECT sha256(doc_id || '#' || chunk_no) AS node_id, doc_id::varchar AS ref_doc_id, chunk_no, start_char,
        (start_char + length(text))::int AS end_char, sha256(text) AS doc_hash FROM chunks""")
