@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from docflow.functions.text import WORD_SPACE, has_text, words
 from docflow.functions.vectors import let
@@ -90,45 +87,51 @@ def chunk_paragraphs(df: DataFrame, separator: str = PARAGRAPH, size: int = 512,
     return df.select(*carried, F.posexplode(F.flatten(F.transform(full, chunks))).alias("chunk_no", "_c")).select(*carried, "chunk_no", "_c.*")
 
 
-def pack_sentences(text: str, size: int, overlap: int) -> list[str]:
-    """Sentences packed greedily into at most `size` words, the last ones repeated up to `overlap` words."""
-    sentences = []
-    for sentence in re.split(r"(?<=[.!?])\s+", text):
-        tokens = sentence.split()
-        sentences.extend(tokens[i:i + size] for i in range(0, len(tokens), size))
-    packed, current, fresh = [], [], False
-    for sentence in sentences:
-        if fresh and sum(map(len, current)) + len(sentence) > size:
-            packed.append(current)
-            tail, room = [], min(overlap, size - len(sentence))
-            for earlier in reversed(current):
-                if len(earlier) > room:
-                    break
-                tail.insert(0, earlier)
-                room -= len(earlier)
-            current = tail
-        current = current + [sentence]
-        fresh = True
-    if current:
-        packed.append(current)
-    return [" ".join(token for sentence in chunk for token in sentence) for chunk in packed]
+def sentence_array(text: Column, tokens: Column, size: int, overlap: int) -> Column:
+    """Array of (chunk_no, text, start_char, end_char, n_words): whole sentences packed into at most `size` words.
+
+    A sentence ends with a word that ends in a full stop, exclamation or
+    question mark; one of more than `size` words is cut. The next chunk begins
+    with the last sentences of at most `overlap` words that leave room for the
+    first new one.
+    """
+    n = F.size(tokens)
+    ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | F.rtrim(F.get(tokens, i - 1), F.lit(WORD_SPACE)).rlike(r"[.!?]$"))
+    pieces = let(ends, lambda e: F.flatten(F.transform(e, lambda end, i: F.transform(
+        F.sequence(F.coalesce(F.get(e, i - 1), F.lit(0)), end - 1, F.lit(size)),
+        lambda at: F.struct(at.alias("at"), F.least(F.lit(size), end - at).alias("n"))))))
+
+    def packed(p: Column) -> Column:
+        def step(state, piece):
+            room = F.least(F.lit(overlap), F.lit(size) - piece["n"])
+            again = F.array_min(F.transform(F.filter(
+                p, lambda f: (f["at"] >= state["start"]) & (f["at"] < piece["at"]) & (piece["at"] - f["at"] <= room)), lambda f: f["at"]))
+            return F.when(piece["at"] - state["start"] + piece["n"] <= size, state).otherwise(F.struct(
+                F.coalesce(again, piece["at"]).alias("start"),
+                F.concat(state["done"], F.array(F.struct(state["start"].alias("s"), piece["at"].alias("e")))).alias("done")))
+
+        empty = F.array().cast("array<struct<s:int,e:int>>")
+        return F.aggregate(p, F.struct(F.lit(0).alias("start"), empty.alias("done")), step,
+                           lambda state: F.concat(state["done"], F.array(F.struct(state["start"].alias("s"), n.alias("e")))))
+
+    lead = F.length(text) - F.length(F.ltrim(text, F.lit(WORD_SPACE)))
+
+    def chunk(c, i):
+        body = F.rtrim(F.array_join(F.slice(tokens, c["s"] + 1, c["e"] - c["s"]), ""), F.lit(WORD_SPACE))
+        start = lead + F.length(F.array_join(F.slice(tokens, F.lit(1), c["s"]), ""))
+        return F.struct(i.alias("chunk_no"), body.alias("text"), start.alias("start_char"), (start + F.length(body)).alias("end_char"),
+                        (c["e"] - c["s"]).alias("n_words"))
+
+    none = F.array().cast("array<struct<chunk_no:int,text:string,start_char:int,end_char:int,n_words:int>>")
+    return F.when(n > 0, F.transform(let(pieces, packed), chunk)).otherwise(none)
 
 
 def chunk_sentences(df: DataFrame, size: int = 512, overlap: int = 20, text: str = "text") -> DataFrame:
-    """One row per packed run of whole sentences; only a sentence longer than `size` is cut."""
+    """One row per packed run of whole sentences, an exact substring of the text; only a sentence longer than `size` is cut."""
     _check(size, overlap)
-    carried = [f for f in df.schema.fields if f.name != text]
-    schema = T.StructType(carried + [T.StructField("chunk_no", T.IntegerType()), T.StructField("text", T.StringType())])
-    names = [f.name for f in carried]
-
-    def run(batches):
-        for batch in batches:
-            packed = [pack_sentences(t or "", size, overlap) for t in batch[text]]
-            rows = batch[names].loc[batch.index.repeat([len(p) for p in packed])].reset_index(drop=True)
-            yield rows.assign(chunk_no=pd.Series([i for p in packed for i in range(len(p))], dtype="int32"),
-                              text=pd.Series([c for p in packed for c in p], dtype="object"))
-
-    return df.select(*names, text).mapInPandas(run, schema)
+    carried = [c for c in df.columns if c != text]
+    return (df.withColumn("_tokens", words(F.coalesce(F.col(text), F.lit(""))))
+            .select(*carried, F.inline(sentence_array(F.col(text), F.col("_tokens"), size, overlap))))
 
 
 def markdown_array(text: Column) -> Column:

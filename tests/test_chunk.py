@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -65,11 +66,35 @@ def test_markdown_headings_and_fences(spark):
         (1, "C", "", "# C"), (3, "D", "C", "### D\n#no heading"), (0, "", "", "```\n# open fence")]
 
 
+def pack_sentences(text: str, size: int, overlap: int) -> list[str]:
+    """Sentences packed greedily into at most `size` words, the last ones repeated up to `overlap` words."""
+    sentences = []
+    for sentence in re.split(r"(?<=[.!?])\s+", text):
+        tokens = sentence.split()
+        sentences.extend(tokens[i:i + size] for i in range(0, len(tokens), size))
+    packed, current, fresh = [], [], False
+    for sentence in sentences:
+        if fresh and sum(map(len, current)) + len(sentence) > size:
+            packed.append(current)
+            tail, room = [], min(overlap, size - len(sentence))
+            for earlier in reversed(current):
+                if len(earlier) > room:
+                    break
+                tail.insert(0, earlier)
+                room -= len(earlier)
+            current = tail
+        current = current + [sentence]
+        fresh = True
+    if current:
+        packed.append(current)
+    return [" ".join(token for sentence in chunk for token in sentence) for chunk in packed]
+
+
 @given(st.lists(st.text(alphabet="ab.!? \n", max_size=60), max_size=4), st.integers(2, 9), st.integers(0, 1))
 @settings(max_examples=200, deadline=None)
 def test_packed_sentences(parts, size, overlap):
     text = " ".join(parts)
-    chunks = chunk.pack_sentences(text, size, overlap)
+    chunks = pack_sentences(text, size, overlap)
     assert all(1 <= len(c.split()) <= size for c in chunks)
     if overlap == 0:
         assert [w for c in chunks for w in c.split()] == text.split()
@@ -90,3 +115,15 @@ def test_packed_chunks_of_the_documents_cover_all_words(spark):
         words.setdefault(r.doc_id, []).extend(r.text.split())
     for r in docs.collect():
         assert words.get(r.doc_id, []) == re.findall(r"\S+", r.text)
+
+
+def test_sentence_chunks_are_those_of_the_plain_packer_and_in_place(spark):
+    source = random.Random(6)
+    given = [None, "", " ", "x", "\n a.  b!\n\nc"] + [
+        "".join(source.choice(["a", "bb", "c.", "d!", "e?", ".", " ", "  ", "\n", " ", " "]) for _ in range(source.randint(0, 80))) for _ in range(150)]
+    for size, overlap in [(4, 2), (3, 0), (9, 5), (1, 0)]:
+        rows = chunk.chunk_sentences(texts(spark, given), size, overlap).collect()
+        for i, text in enumerate(given):
+            own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.chunk_no)
+            assert [" ".join(r.text.split()) for r in own] == pack_sentences(text or "", size, overlap), text
+            assert all(text[r.start_char:r.end_char] == r.text and r.n_words == len(r.text.split()) for r in own)

@@ -68,7 +68,7 @@ cut AS (SELECT doc_id, sn, t, unnest(range(ceil(len(t) / 512.0)::bigint)) AS par
         FROM (SELECT *, regexp_extract_all(sentence, '\S+') AS t FROM split)),
 sentences AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sn, part) AS i,
                      t[part * 512 + 1 : part * 512 + 512] AS t FROM cut),
-cum AS (SELECT doc_id, i, array_to_string(t, ' ') AS body, len(t) AS n,
+cum AS (SELECT doc_id, i, len(t) AS n,
                sum(len(t)) OVER (PARTITION BY doc_id ORDER BY i)::bigint AS c FROM sentences),
 chunks AS (
   SELECT doc_id, 0 AS chunk_no, 1::bigint AS s, max(i) AS e FROM cum WHERE c <= 512 GROUP BY doc_id
@@ -79,8 +79,13 @@ chunks AS (
                coalesce((SELECT min(a.i) FROM cum a WHERE a.doc_id = k.doc_id AND a.i BETWEEN k.s AND k.e
                            AND f.c - f.n - a.c + a.n <= least(20, 512 - f.n)), f.i) AS s
         FROM chunks k JOIN cum f ON f.doc_id = k.doc_id AND f.i = k.e + 1) x)
-SELECT k.doc_id, k.chunk_no, string_agg(c.body, ' ' ORDER BY c.i) AS text
-FROM chunks k JOIN cum c ON c.doc_id = k.doc_id AND c.i BETWEEN k.s AND k.e GROUP BY ALL""")
+SELECT k.doc_id, k.chunk_no, text, start_char, (start_char + length(text))::int AS end_char, n_words FROM (
+  SELECT k.doc_id, k.chunk_no, (b.c - a.c + a.n)::int AS n_words,
+         rtrim(array_to_string(w[a.c - a.n + 1 : b.c], ''), chr(32) || chr(9) || chr(10) || chr(13)) AS text,
+         (lead + length(array_to_string(w[1 : a.c - a.n], '')))::int AS start_char
+  FROM chunks k JOIN cum a ON a.doc_id = k.doc_id AND a.i = k.s JOIN cum b ON b.doc_id = k.doc_id AND b.i = k.e
+  JOIN (SELECT doc_id, regexp_extract_all(text, '\S+\s*') AS w,
+               length(text) - length(ltrim(text, chr(32) || chr(9) || chr(10) || chr(13))) AS lead FROM documents) d ON d.doc_id = k.doc_id) k""")
 def chunk_sentences(t):
     return chunk.chunk_sentences(docs(t), 512, 20)
 
