@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docflow.functions import paths
 from docflow.functions.text import decode_text, has_text, html_to_text, strict_utf8
+from docflow.operators.quality import quarantine
 from docflow.operators.rules import SUPPORTED_EXTENSIONS
 from docflow.sources.office import READERS, parse_files
 
 
 Readers = dict[str, Callable[[bytes], str]]
-MAX_NAMED_FILES = 20_000
+#: Files that one scan is given by name.
+NAMED_FILES = 20_000
 
 
 def scan_files(spark: SparkSession, root: str | list[str], glob: str | None = None) -> DataFrame:
@@ -40,32 +43,46 @@ def extension_glob(extensions: list[str]) -> str:
 
 
 def read_files(spark: SparkSession, root: str, extensions: list[str] = SUPPORTED_EXTENSIONS,
-               condition: Column | None = None, max_named: int = MAX_NAMED_FILES) -> DataFrame:
+               condition: Column | None = None, named: int = NAMED_FILES) -> DataFrame:
     """Files with an allowed extension that also meet `condition` on their metadata.
 
     A scan reads the content of every file it lists before a filter sees the
-    row. So the metadata is filtered first, and the kept files, if there are
-    few enough to name, are the only ones read.
+    row. So the metadata is filtered first, and only the kept files are read,
+    about `named` of them in each scan; that many paths are on the driver at once.
     """
     glob = extension_glob(extensions)
     files = scan_files(spark, root, glob).filter(F.col("file_extension").isin(*extensions))
     if condition is None:
         return files
-    kept = files.filter(condition)
-    named = [r["file_path"] for r in kept.select("file_path").limit(max_named + 1).collect()]
-    if not 0 < len(named) <= max_named:
-        return kept
-    return scan_files(spark, [re.sub(r"([\[\]{}*?\\])", r"\\\1", path) for path in named])
+    kept = files.filter(condition).select("file_path")
+    scans = []
+    batches = -(-kept.count() // named)
+    for i in range(batches):
+        part = kept.filter(F.pmod(F.xxhash64("file_path"), F.lit(batches)) == i).collect()
+        if part:
+            scans.append(scan_files(spark, [re.sub(r"([\[\]{}*?\\])", r"\\\1", r["file_path"]) for r in part]))
+    return reduce(DataFrame.unionByName, scans) if scans else files.filter(F.lit(False))
+
+
+def vault_results(spark: SparkSession, root: str) -> DataFrame:
+    """Markdown notes with `text`, and `_error` for a file that is not UTF-8."""
+    notes = scan_files(spark, root, "*.[mM][dD]").withColumn("file_extension", F.lower("file_extension"))
+    return with_error(notes.withColumn("text", strict_utf8(F.col("content"))).drop("content"), "not UTF-8")
 
 
 def read_vault(spark: SparkSession, root: str) -> DataFrame:
-    """Markdown notes; a file that is not UTF-8 is left out."""
-    notes = scan_files(spark, root, "*.[mM][dD]").withColumn("file_extension", F.lower("file_extension"))
-    return notes.withColumn("text", strict_utf8(F.col("content"))).drop("content").filter(F.col("text").isNotNull())
+    """The good rows of `vault_results`."""
+    return quarantine(vault_results(spark, root))[0]
 
 
-def extract_text(files: DataFrame, drop_blank: bool = True, readers: Readers | None = None) -> DataFrame:
-    """Text by extension: office parts, HTML, otherwise strict UTF-8.
+def with_error(docs: DataFrame, why: str) -> DataFrame:
+    """Add `_error` to rows without a text, unless they have one already."""
+    known = F.col("_error") if "_error" in docs.columns else F.lit(None).cast("string")
+    return docs.withColumn("_error", F.coalesce(known, F.when(F.col("text").isNull(), why)))
+
+
+def extract_results(files: DataFrame, readers: Readers | None = None) -> DataFrame:
+    """Text by extension: office parts, HTML, otherwise strict UTF-8; `_error` says why a file has none.
 
     `readers` adds functions from bytes to text for more extensions; without
     one for it, a PDF file has no text. Only files with a reader leave the JVM.
@@ -75,20 +92,31 @@ def extract_text(files: DataFrame, drop_blank: bool = True, readers: Readers | N
     plain = strict_utf8(F.col("content"))
     text = (F.when(F.col("file_extension") == "html", html_to_text(plain))
             .when(F.col("file_extension") != "pdf", plain))
-    docs = files.filter(~parsed).withColumn("text", text).drop("content").unionByName(
-        parse_files(files.filter(parsed), readers))
-    return docs.filter(has_text(F.col("text")) if drop_blank else F.col("text").isNotNull())
+    unread = F.when(F.col("file_extension") == "pdf", "no reader for pdf").cast("string")
+    docs = files.filter(~parsed).withColumns({"text": text, "_error": unread}).drop("content")
+    return with_error(docs, "not UTF-8").unionByName(parse_files(files.filter(parsed), readers))
 
 
-def decode_cascade(files: DataFrame, readers: Readers | None = None) -> DataFrame:
-    """UTF-8 whatever the extension, then a reader's text, then Latin-1 for text files; other files are dropped.
+def extract_text(files: DataFrame, drop_blank: bool = True, readers: Readers | None = None) -> DataFrame:
+    """The good rows of `extract_results`, blank texts only if asked for."""
+    docs, _ = quarantine(extract_results(files, readers))
+    return docs.filter(has_text(F.col("text"))) if drop_blank else docs
+
+
+def decode_results(files: DataFrame, readers: Readers | None = None) -> DataFrame:
+    """UTF-8 whatever the extension, then a reader's text, then Latin-1 for text files; `_error` for other files.
 
-    Readers know docx and xlsx and what `readers` adds. Their text is dropped
-    when blank; decoded text is kept as it is.
+    Readers know docx and xlsx and what `readers` adds. A blank text of theirs
+    is an error; decoded text is kept as it is.
     """
     readers = {"docx": READERS["docx"], "xlsx": READERS["xlsx"], **(readers or {})}
     decoded = files.withColumn("text", decode_text(F.col("content"), F.col("file_extension")))
-    parsed = F.col("file_extension").isin(*readers) & F.col("text").isNull()
-    readable = decoded.filter(F.col("text").isNotNull()).drop("content")
-    return readable.unionByName(
-        parse_files(decoded.filter(parsed).drop("text"), readers).filter(has_text(F.col("text"))))
+    parsed = F.coalesce(F.col("file_extension").isin(*readers), F.lit(False)) & F.col("text").isNull()
+    read = parse_files(decoded.filter(parsed).drop("text"), readers)
+    read = read.withColumn("_error", F.when(F.col("_error").isNull() & ~has_text(F.col("text")), "blank").otherwise(F.col("_error")))
+    return with_error(decoded.filter(~parsed).drop("content"), "not UTF-8, no reader").unionByName(read)
+
+
+def decode_cascade(files: DataFrame, readers: Readers | None = None) -> DataFrame:
+    """The good rows of `decode_results`."""
+    return quarantine(decode_results(files, readers))[0]

@@ -6,19 +6,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docflow.functions import paths
 from docflow.functions.text import strict_utf8
-from docflow.sources.files import Readers, decode_cascade
+from docflow.operators.quality import quarantine
+from docflow.sources.files import Readers, decode_results, with_error
 
 
 def _with_names(entries: DataFrame) -> DataFrame:
     return entries.withColumn("file_extension", paths.file_extension(F.col("file_name")))
 
 
-def with_content(entries: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries joined to their content, and the entries whose content never arrived."""
-    content = blobs.select(F.col("path").alias("file_path"), "content")
-    return (entries.join(content, "file_path"),
-            entries.join(content.select("file_path"), "file_path", "left_anti")
-            .withColumn("_error", F.lit("content missing")))
+def with_content(entries: DataFrame, blobs: DataFrame) -> DataFrame:
+    """All entries with their content; `_error` on those whose content never arrived."""
+    content = blobs.select(F.col("path").alias("file_path"), F.struct("content").alias("_blob"))
+    joined = entries.join(content, "file_path", "left")
+    return joined.select(*entries.columns, F.col("_blob.content").alias("content"),
+                         F.when(F.col("_blob").isNull(), "content missing").alias("_error"))
+
+
+def _decoded(entries: DataFrame) -> DataFrame:
+    return with_error(entries.withColumn("text", strict_utf8(F.col("content"))).drop("content"), "not UTF-8")
 
 
 def path_condition(path: Column, skip_dirs: list[str], skip_extensions: list[str]) -> Column:
@@ -39,28 +44,40 @@ def from_repo(files: DataFrame, skip_dirs: list[str] = (), skip_extensions: list
     return files.filter(path_condition(F.col(path), list(skip_dirs), list(skip_extensions)))
 
 
-def from_repo_tree(tree: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Documents of a repository tree: blobs only, files that are not UTF-8 left out."""
-    entries = _with_names(tree.filter(F.col("type") == "blob").select(
+def repo_tree_results(tree: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Every blob of a repository tree with its text, or with `_error`: no content, or not UTF-8."""
+    return _decoded(with_content(_with_names(tree.filter(F.col("type") == "blob").select(
         F.col("path").alias("file_path"), F.col("name").alias("file_name"),
-        paths.modified_at(F.col("committed_date"), "iso").alias("last_modified")))
-    docs, _ = with_content(entries, blobs)
-    return docs.withColumn("text", strict_utf8(F.col("content"))).drop("content").filter(F.col("text").isNotNull())
+        paths.modified_at(F.col("committed_date"), "iso").alias("last_modified"))), blobs))
 
 
-def from_drive_listing(entries: DataFrame, blobs: DataFrame, readers: Readers | None = None) -> DataFrame:
-    """Documents of a recursive drive listing, all of its pages."""
-    files = _with_names(entries.filter(F.col("tag") == "file").select(
+def from_repo_tree(tree: DataFrame, blobs: DataFrame) -> DataFrame:
+    """The good rows of `repo_tree_results`."""
+    return quarantine(repo_tree_results(tree, blobs))[0]
+
+
+def drive_results(entries: DataFrame, blobs: DataFrame, readers: Readers | None = None) -> DataFrame:
+    """Every file of a recursive drive listing, all of its pages, with its text or with `_error`."""
+    files = with_content(_with_names(entries.filter(F.col("tag") == "file").select(
         F.col("path_display").alias("file_path"), F.col("name").alias("file_name"),
-        paths.modified_at(F.col("client_modified"), "iso").alias("last_modified")))
-    docs, _ = with_content(files, blobs)
-    return decode_cascade(docs, readers)
+        paths.modified_at(F.col("client_modified"), "iso").alias("last_modified"))), blobs)
+    arrived, missing = quarantine(files)
+    return decode_results(arrived, readers).unionByName(missing.drop("content").withColumn("text", F.lit(None).cast("string")))
+
+
+def from_drive_listing(entries: DataFrame, blobs: DataFrame, readers: Readers | None = None) -> DataFrame:
+    """The good rows of `drive_results`."""
+    return quarantine(drive_results(entries, blobs, readers))[0]
+
+
+def graph_results(items: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Every item with a file facet and a download link of a flat drive listing, with its text or with `_error`."""
+    return _decoded(with_content(_with_names(
+        items.filter(F.col("file").isNotNull() & (F.coalesce("download_url", F.lit("")) != ""))
+        .select(F.col("name").alias("file_path"), F.col("name").alias("file_name"),
+                paths.modified_at(F.col("lastModifiedDateTime"), "iso").alias("last_modified"))), blobs))
 
 
 def from_graph_items(items: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Documents of a flat drive listing: items with a file facet and a download link."""
-    files = _with_names(items.filter(F.col("file").isNotNull() & (F.coalesce("download_url", F.lit("")) != ""))
-                        .select(F.col("name").alias("file_path"), F.col("name").alias("file_name"),
-                                paths.modified_at(F.col("lastModifiedDateTime"), "iso").alias("last_modified")))
-    docs, _ = with_content(files, blobs)
-    return docs.withColumn("text", strict_utf8(F.col("content"))).drop("content").filter(F.col("text").isNotNull())
+    """The good rows of `graph_results`."""
+    return quarantine(graph_results(items, blobs))[0]

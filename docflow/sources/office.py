@@ -111,18 +111,20 @@ READERS = {"docx": _zipped(docx_text), "pptx": _zipped(pptx_text), "xlsx": _zipp
 
 
 def parse_files(files: DataFrame, readers: dict[str, Callable[[bytes], str]]) -> DataFrame:
-    """Replace `content` by `text`, read by the reader of the file's extension; empty when it cannot be read."""
+    """Replace `content` by `text`, read by the reader of the file's extension, and `_error`, which says why there is none."""
     kept = [f for f in files.schema.fields if f.name != "content"]
     names = [f.name for f in kept]
 
     def read(content, extension):
         try:
-            return readers[extension](content)
-        except Exception:  # whatever is wrong with one file must not end the job
-            return ""
+            return readers[extension](content), None
+        except Exception as error:  # whatever is wrong with one file must not end the job
+            return None, f"{type(error).__name__}: {error}"
 
     def run(batches):
         for batch in batches:
-            yield batch[names].assign(text=[read(c, e) for c, e in zip(batch["content"], batch["file_extension"])])
+            found = [read(c, e) for c, e in zip(batch["content"], batch["file_extension"])]
+            yield batch[names].assign(text=[t for t, _ in found], _error=[e for _, e in found])
 
-    return files.select(*names, "content").mapInPandas(run, T.StructType(kept + [T.StructField("text", T.StringType())]))
+    return files.select(*names, "content").mapInPandas(
+        run, T.StructType(kept + [T.StructField("text", T.StringType()), T.StructField("_error", T.StringType())]))

@@ -81,15 +81,18 @@ def test_folder_scan_and_dispatch(spark, tree):
     assert docs["a.txt"].file_size == 5 and isinstance(docs["a.txt"].last_modified, datetime)
     kept_blank = files.extract_text(found, drop_blank=False)
     assert sorted(r.file_name for r in kept_blank.select("file_name").collect()) == [
-        "a.txt", "b.HTML", "blank.txt", "broken.docx", "c.docx", "d.pptx"]
+        "a.txt", "b.HTML", "blank.txt", "c.docx", "d.pptx"]
+    outcomes = {r.file_name: r._error for r in files.extract_results(found).collect()}
+    assert len(outcomes) == found.count() and outcomes["bad.txt"] == "not UTF-8" and "BadZipFile" in outcomes["broken.docx"]
+    assert [n for n, e in outcomes.items() if e] == [n for n in outcomes if n in ("bad.txt", "broken.docx")]
 
 
 def test_content_is_read_of_kept_files_only(spark, tree, tmp_path):
     (tmp_path / "tree" / "odd [1]{2}.txt").write_bytes(b"odd")
     (tmp_path / "tree" / "odd 1.txt").write_bytes(b"no")
     outside = ~F.col("file_path").contains("/sub/") & (F.col("file_name") != "odd 1.txt")
-    for most in (files.MAX_NAMED_FILES, 2):
-        kept = files.read_files(spark, tree, condition=outside, max_named=most)
+    for most in (files.NAMED_FILES, 2):
+        kept = files.read_files(spark, tree, condition=outside, named=most)
         assert sorted((r.file_name, bytes(r.content)) for r in kept.collect()) == [
             ("a.txt", b"plain"), ("bad.txt", LATIN), ("blank.txt", b" \n\t"), ("broken.docx", b"not a zip"),
             ("odd [1]{2}.txt", b"odd")]
@@ -157,8 +160,10 @@ def test_repository_tree(spark):
     assert [(d.file_path, d.file_extension, d.text, d.last_modified) for d in docs] == [
         ("a/x.py", "py", "print()", datetime(2024, 5, 1, 10))]
     entries = tree.filter("type = 'blob'").select(F.col("path").alias("file_path"))
-    _, missing = listings.with_content(entries, content)
-    assert [(r.file_path, r._error) for r in missing.collect()] == [("gone", "content missing")]
+    found = listings.with_content(entries, content)
+    assert sorted((r.file_path, r._error) for r in found.collect()) == [("a/x.py", None), ("b.PNG", None), ("gone", "content missing")]
+    results = listings.repo_tree_results(tree, content)
+    assert {r.file_path: r._error for r in results.collect()} == {"a/x.py": None, "b.PNG": "not UTF-8", "gone": "content missing"}
 
 
 def test_drive_listing_over_all_pages(spark, tmp_path):

@@ -87,8 +87,50 @@ SELECT {FOLDER_SQL}, 'content missing' AS error FROM pages WHERE contains(url, '
 def missing_contents(t):
     listed, contents = landed_pages(t)
     arrived = contents.join(listed.filter(~F.col("url").contains("#")).select("path"), "path", "left_semi")
-    _, missing = listings.with_content(listed.select(F.col("path").alias("file_path")), arrived)
-    return missing.select("file_path", F.col("_error").alias("error"))
+    found = listings.with_content(listed.select(F.col("path").alias("file_path")), arrived)
+    return found.filter("_error is not null").select("file_path", F.col("_error").alias("error"))
+
+
+def broken_pages(t):
+    """Landed pages of which those with an anchor never arrived and the French ones are not UTF-8."""
+    listed, contents = landed_pages(t)
+    urls = listed.select("path", "url").filter(~F.col("url").contains("#"))
+    bad = F.concat(F.lit(bytearray(b"\xff")), F.col("content"))
+    return listed, contents.join(urls, "path").select(
+        "path", F.when(F.col("url").contains("/fr/"), bad).otherwise(F.col("content")).alias("content"))
+
+
+def outcome_sql(condition, unreadable):
+    return f"""
+SELECT page_id || '.HTML' AS file_name, CASE WHEN contains(url, '#') THEN 'content missing' WHEN contains(url, '/fr/') THEN '{unreadable}' END AS error,
+       CASE WHEN NOT contains(url, '#') AND NOT contains(url, '/fr/') THEN html END AS text FROM pages WHERE {condition}"""
+
+
+@query("repo_tree_outcomes", outcome_sql("starts_with(url, 'https')", "not UTF-8"))
+def repo_tree_outcomes(t):
+    listed, contents = broken_pages(t)
+    tree = listed.select(F.when(F.col("url").startswith("https"), "blob").otherwise("tree").alias("type"), "path", "name",
+                         F.lit("2024-05-01T10:00:00").alias("committed_date"))
+    return listings.repo_tree_results(tree, contents).select("file_name", F.col("_error").alias("error"), "text")
+
+
+@query("drive_outcomes", outcome_sql("NOT contains(url, '/es/')", "not UTF-8, no reader"))
+def drive_outcomes(t):
+    listed, contents = broken_pages(t)
+    entries = listed.select(F.when(F.col("url").contains("/es/"), "folder").otherwise("file").alias("tag"),
+                            F.col("path").alias("path_display"), "name", F.lit("").alias("client_modified"))
+    return listings.drive_results(entries, contents).select("file_name", F.col("_error").alias("error"), "text")
+
+
+@query("flat_drive_outcomes", outcome_sql("starts_with(url, 'https')", "not UTF-8"))
+def flat_drive_outcomes(t):
+    listed, contents = broken_pages(t)
+    items = listed.select(F.col("path").alias("name"), "url").select(
+        "name", F.when(F.col("url").startswith("https"), F.struct(F.lit("text/html").alias("mimeType"))).alias("file"),
+        F.col("url").alias("download_url"), F.lit("").alias("lastModifiedDateTime"))
+    found = listings.graph_results(items, contents)
+    return found.select(F.element_at(F.split("file_name", "/"), -1).alias("file_name"), F.col("_error").alias("error"), "text").withColumn(
+        "file_name", F.concat("file_name", F.lit(".HTML")))
 
 
 @query("persisted_index", chunk_cte(256, 20) + """
