@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docflow.operators.ordered import part_of
 from docflow.schema import NODE
-from docflow.session import path_exists
+from docflow.session import durable, path_exists
 
 
 class CollectionError(ValueError):
@@ -54,11 +54,42 @@ def write_collection(nodes: DataFrame, root: str, name: str, unique: bool = Fals
     fresh.withColumn("collection", F.lit(name)).write.mode("append").partitionBy("collection").parquet(root)
 
 
+def current_documents(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """`doc_id` and `doc_hash` of a collection's documents as they are now; None if it is not kept by `update_collection`."""
+    stored = read_stored(spark, f"{root.rstrip('/')}.documents")
+    if stored is None:
+        return None
+    return stored.filter(F.col("collection") == name).groupBy("doc_id").agg(F.max_by("doc_hash", "version").alias("doc_hash"))
+
+
+def update_collection(docs: DataFrame, nodes_of: Callable[[DataFrame], DataFrame], root: str, name: str,
+                      embed: Callable[[DataFrame], DataFrame] | None = None, text: str = "text") -> None:
+    """Bring a collection up to date with documents: only new and changed ones are cut, embedded and written.
+
+    `nodes_of` turns documents with a `doc_hash` into nodes that keep it. A
+    document's hash is recorded after its nodes are there; `open_collection`
+    shows the nodes of the hash recorded last, so a changed document's old
+    nodes are no longer seen, and a run that broke off can be repeated.
+    """
+    spark = docs.sparkSession
+    hashed = with_doc_hash(docs, text).withColumn("doc_id", F.col("doc_id").cast("string"))
+    known = current_documents(spark, root, name)
+    changed = durable(hashed if known is None else changed_docs(hashed, known))
+    if changed.isEmpty():
+        return
+    write_collection(nodes_of(changed), root, name, embed=embed)
+    versions = read_stored(spark, f"{root.rstrip('/')}.documents")
+    last = versions.agg(F.max("version")).first()[0] if versions is not None else 0
+    changed.select("doc_id", "doc_hash", F.lit(last + 1).cast("long").alias("version"), F.lit(name).alias("collection")).dropDuplicates(
+        ["doc_id"]).write.mode("append").partitionBy("collection").parquet(f"{root.rstrip('/')}.documents")
+
+
 def open_collection(spark: SparkSession, root: str, name: str, mode: str = "strict", schema=NODE) -> DataFrame:
     """Nodes of one collection.
 
     `strict` fails when it is missing or empty, which are the same on storage;
-    `create` gives a frame without rows then.
+    `create` gives a frame without rows then. Of a collection that is kept by
+    `update_collection` these are the nodes of the documents as they are now.
     """
     if mode not in ("strict", "create"):
         raise ValueError(f"unknown mode: {mode}")
@@ -68,6 +99,9 @@ def open_collection(spark: SparkSession, root: str, name: str, mode: str = "stri
             return spark.createDataFrame([], schema)
         raise CollectionError(f"collection is missing: {name}")
     nodes = stored.filter(F.col("collection") == name)
+    current = current_documents(spark, root, name)
+    if current is not None:
+        nodes = nodes.join(current.withColumnRenamed("doc_id", "ref_doc_id"), ["ref_doc_id", "doc_hash"], "left_semi").select(*nodes.columns)
     if mode == "strict" and nodes.isEmpty():
         raise CollectionError(f"collection is missing or empty: {name}")
     return nodes

@@ -323,3 +323,23 @@ def test_landed_files_are_ingested_once(spark, folder, tmp_path):
     (landing / "b.txt").write_text("gamma")
     assert run("c1") == ["alpha beta", "gamma"]
     assert run("c2") == ["alpha beta", "gamma"]
+
+
+def test_a_changed_document_replaces_its_nodes(spark, folder):
+    root, cuts = f"{folder}/c", []
+
+    def cut(changed):
+        cuts.append(sorted(r.doc_id for r in changed.collect()))
+        return chunk.with_lineage(chunk.chunk_words(changed, 2, 0), parts=("chunk_no", "doc_hash"))
+
+    def update(**texts):
+        frame = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+        collections.update_collection(frame, cut, root, "n")
+        return sorted(r.text for r in collections.open_collection(spark, root, "n").collect())
+
+    assert update(a="one two three", b="four") == ["four", "one two", "three"]
+    assert update(a="new words", b="four", c="more") == ["four", "more", "new words"]
+    assert update(a="new words") == ["four", "more", "new words"]
+    assert update(a="one two three") == ["four", "more", "one two", "three"]
+    assert update(b="", c="more") == ["more", "one two", "three"]
+    assert cuts == [["a", "b"], ["a", "c"], ["a"], ["b"]]

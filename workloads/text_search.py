@@ -440,6 +440,23 @@ def ingest_end_to_end(t):
                          F.lit(status).alias("status"))
 
 
+# The documents of one source change between two runs; a third run finds nothing to do.
+@query("ingest_update", chunk_cte(256, 20) + """
+SELECT sha256(doc_id || '#' || chunk_no || '#' || sha256(d.text)) AS node_id, c.doc_id::varchar AS doc_id, chunk_no, c.text
+FROM chunks c JOIN documents d USING (doc_id)""")
+def ingest_update(t):
+    root = work_path(t.spark, "index")
+
+    def cut(changed):
+        return chunk.with_lineage(chunk.chunk_words(changed, 256, 20), parts=("chunk_no", "doc_hash"))
+
+    now = docs(t)
+    before = t.documents.select("doc_id", F.when(F.col("source") == "src3", F.upper("text")).otherwise(F.col("text")).alias("text"))
+    for version in (before, now, now):
+        collections.update_collection(version, cut, root, "notes")
+    return collections.open_collection(t.spark, root, "notes").select("node_id", "doc_id", "chunk_no", "text")
+
+
 @query("fold_steps", chunk_cte(256, 20, "SELECT doc_id, lower(text) AS text FROM documents") + """
 SELECT doc_id, chunk_no, text, n_words FROM chunks WHERE n_words >= 100""")
 def fold_steps(t):
