@@ -137,18 +137,14 @@ def chunk_sentences(df: DataFrame, size: int = 512, overlap: int = 20, text: str
 def markdown_array(text: Column) -> Column:
     """Array of (section_no, level, heading, header_path, text) for one markdown text.
 
-    Cutting at the fence lines leaves fenced pieces at odd places, so headings
-    are only marked in the even ones. `header_path` lists the enclosing headings.
+    Cutting before the fence lines (three backticks or tildes) leaves fenced
+    pieces at odd places, so headings are only marked in the even ones.
+    `header_path` lists the enclosing headings.
     """
-    mark = F.lit("\x01")
-    pieces = F.split(text, r"(?m)^```")
-
-    def mark_headings(piece, i):
-        start = F.when(i == 0, F.regexp_replace(piece, r"(?m)^(?=#{1,6}[ \t])", "\x01")).otherwise(
-            F.regexp_replace(piece, r"(?<=\n)(?=#{1,6}[ \t])", "\x01"))
-        return F.when(i % 2 == 0, start).otherwise(piece)
-
-    marked = F.array_join(F.transform(pieces, mark_headings), "```")
+    mark = "\x01\x02\x03\x02\x01"
+    pieces = F.split(F.concat(F.lit("\n"), text), r"(?<=\n)(?=```|~~~)")
+    marked = F.array_join(F.transform(pieces, lambda piece, i: F.when(
+        i % 2 == 0, F.regexp_replace(piece, r"(?<=\n)(?=#{1,6}[ \t])", mark)).otherwise(piece)), "")
     sections = F.filter(F.transform(F.split(marked, mark), lambda s: F.trim(s, F.lit(" \t\r\n"))), lambda s: s != "")
 
     def describe(section):

@@ -127,3 +127,10 @@ def test_sentence_chunks_are_those_of_the_plain_packer_and_in_place(spark):
             own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.chunk_no)
             assert [" ".join(r.text.split()) for r in own] == pack_sentences(text or "", size, overlap), text
             assert all(text[r.start_char:r.end_char] == r.text and r.n_words == len(r.text.split()) for r in own)
+
+
+def test_markdown_tilde_fences_and_control_characters(spark):
+    text = "~~~\n# not\n~~~\n# A\none \x01 two\n~~~\n## not\n~~~\n```\n# no\n```\n## B\nend"
+    rows = sorted(chunk.split_markdown(texts(spark, [text])).collect(), key=lambda r: r.section_no)
+    assert [(r.level, r.heading, r.header_path) for r in rows] == [(0, "", ""), (1, "A", ""), (2, "B", "A")]
+    assert rows[1].text == "# A\none \x01 two\n~~~\n## not\n~~~\n```\n# no\n```"
