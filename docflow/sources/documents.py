@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docflow.schema import DOCUMENT
 
@@ -23,3 +26,21 @@ def as_documents(df: DataFrame, source_id: str, key: list[str]) -> DataFrame:
     if own is not None:
         given["metadata"] = F.map_concat(given["metadata"], own) if "metadata" in given else own
     return df.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in DOCUMENT.fields])
+
+
+@dataclass(frozen=True)
+class ReaderSource:
+    """Any reader as a source of an ingest job.
+
+    `read` gives the reader's rows, `key` the columns that identify one.
+    `enrich` gets the documents, for instance to change their metadata.
+    """
+
+    read: Callable[[SparkSession], DataFrame]
+    source_id: str
+    key: tuple[str, ...]
+    rule_key: str = "text"
+    enrich: Callable[[DataFrame], DataFrame] = lambda docs: docs
+
+    def documents(self, spark: SparkSession) -> DataFrame:
+        return self.enrich(as_documents(self.read(spark), self.source_id, list(self.key)))

@@ -4,9 +4,13 @@ from pyspark.sql import functions as F
 
 from docflow.functions.records import post_text, post_type
 from docflow.operators import chat, keyspace
-from docflow.plans.tasks import task_status as latest_status
+from docflow.operators.collections import open_collection
+from docflow.operators.metadata import lower_key
+from docflow.plans.ingest import collection_sink, run_ingest
+from docflow.plans.tasks import TaskLog, task_status as latest_status
 from docflow.session import work_path
-from docflow.sources.records import from_issues, from_kv, newest_per
+from docflow.sources.documents import ReaderSource
+from docflow.sources.records import from_issues, from_kv, from_posts, newest_per
 from docflow.streaming import chat as chat_stream
 from workloads.registry import query
 
@@ -236,17 +240,55 @@ SELECT 'Issue Key: ' || issue_key || chr(10) || 'Summary: ' || summary || chr(10
   CASE WHEN status = 'F' THEN NULL ELSE 'desk ' || status END AS assignee, summary AS reporter, 'orders' AS data_source_id
 FROM i""")
 def issue_documents(t):
+    return from_issues(landed_issues(t), "orders")
+
+
+@query("issue_ingest", """
+WITH i AS (SELECT 'ORD-' || o_orderkey AS issue_key, 'Order of customer ' || o_custkey AS summary,
+  CASE WHEN o_orderstatus <> 'P' THEN 'total ' || o_totalprice::decimal(14,2) END AS description,
+  o_orderpriority AS issue_type, o_orderstatus AS status, strftime(o_orderdate, '%Y-%m-%d') AS created FROM orders)
+SELECT issue_key, lower(status) AS status, lower(issue_type) AS issue_type, 0 AS chunk_no,
+       'Issue Key: ' || issue_key || chr(10) || 'Summary: ' || summary || chr(10) || 'Description: ' || description
+       || chr(10) || 'Issue Type: ' || issue_type || chr(10) || 'Status: ' || status || chr(10) || 'Created: ' || created
+       || chr(10) || 'Updated: ' || created AS text
+FROM i WHERE status <> 'P'""")
+def issue_ingest(t):
+    root = work_path(t.spark, "index")
+    source = ReaderSource(lambda spark: from_issues(landed_issues(t), "orders"), "orders", ("issue_key",),
+                          enrich=lambda docs: lower_key(docs, "status"))
+    run_ingest(t.spark, source, collection_sink(root, "issues"), TaskLog(t.spark, work_path(t.spark, "log")), "issues",
+               exclude=[r"\nStatus: P\n"])
+    nodes = open_collection(t.spark, root, "issues")
+    return nodes.select(*[F.col("metadata")[k].alias(k) for k in ("issue_key", "status", "issue_type")], "chunk_no", "text")
+
+
+# Posts of the three roles as users; an assistant's turn reposts the turn before it.
+@query("post_documents", """
+SELECT CASE WHEN b.role IS NOT NULL THEN 'RT @' || b.role || ': ' || b.text ELSE a.text END AS text, a.conv_id * 100000 + a.turn AS post_id,
+       a.role AS user, CASE WHEN b.role IS NOT NULL THEN 'retweet' ELSE 'tweet' END AS content_type, 'posts' AS data_source_id
+FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY conv_id DESC, turn DESC) AS place FROM conversations) a
+LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 AND a.role = 'assistant' WHERE place <= 100""")
+def post_documents(t):
+    turns = t.conversations
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit("assistant").alias("role"),
+                          F.struct(F.col("role").alias("user"), "text").alias("original"))
+    posts = turns.join(before, ["conv_id", "turn", "role"], "left").select(
+        (F.col("conv_id") * 100000 + F.col("turn")).alias("post_id"), F.col("conv_id").alias("created_at"), F.col("role").alias("user"),
+        "text", "original", F.lit(0).alias("retweet_count"), F.lit(0).alias("favorite_count"))
+    return from_posts(posts, "posts", 100).select("text", "post_id", "user", "content_type", "data_source_id")
+
+
+def landed_issues(t):
     summary = F.concat(F.lit("Order of customer "), "o_custkey")
     status = F.col("o_orderstatus")
     total = F.concat(F.lit("total "), F.col("o_totalprice").cast("decimal(14,2)"))
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    issues = t.orders.select(F.concat(F.lit("ORD-"), "o_orderkey").alias("key"), F.struct(
+    return t.orders.select(F.concat(F.lit("ORD-"), "o_orderkey").alias("key"), F.struct(
         summary.alias("summary"), F.when(status != "P", total).alias("description"),
         F.struct(F.col("o_orderpriority").alias("name")).alias("issuetype"),
         F.struct(status.alias("name")).alias("status"), day.alias("created"), day.alias("updated"),
         F.when(status != "F", F.struct(F.concat(F.lit("desk "), status).alias("displayName"))).alias("assignee"),
         F.struct(summary.alias("displayName")).alias("reporter")).alias("fields"))
-    return from_issues(issues, "orders")
 
 
 @query("task_status", """
