@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docflow.llm.registry import query, table
-from docflow.llm.words import Recent, by_bytes, gather, stretches, strings
+from docflow.llm.words import Recent, by_bytes, gather, stretches, strings, thrifty
 
 NONE = np.int32(2**31 - 1)
 LONG_PIECE = 128
@@ -239,7 +239,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                                       names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(id_col, text_col).mapInArrow(thrifty(run), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids",
@@ -257,7 +257,7 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
                 yield pa.record_batch([part.column(0), lists, content.cast(pa.binary())], names=[id_col, ids_col, "content"])
 
     kind = tokens.schema[id_col].dataType.simpleString()
-    return tokens.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, `{ids_col}` array<int>, content binary")
+    return tokens.select(id_col, ids_col).mapInArrow(thrifty(run), f"`{id_col}` {kind}, `{ids_col}` array<int>, content binary")
 
 
 def joined(ids: Column) -> Column:

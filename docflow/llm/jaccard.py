@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docflow.llm.registry import query, table
 from docflow.llm.rows import components, held, with_row_key
-from docflow.llm.words import by_bytes, mix, strings, word_codes
+from docflow.llm.words import by_bytes, give_back, mix, strings, thrifty, word_codes
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -100,7 +100,7 @@ def _nodes(docs: DataFrame) -> DataFrame:
                                        pa.array(node_ids(sets, starts), mask=n == 0), bands],
                                       names=["_id", "_r1", "_r2", "node", "bands"])
 
-    return docs.mapInArrow(run, "_id long, _r1 long, _r2 long, node long, bands array<long>")
+    return docs.mapInArrow(thrifty(run), "_id long, _r1 long, _r2 long, node long, bands array<long>")
 
 
 def node_ids(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -127,7 +127,7 @@ def _content(texts: DataFrame) -> DataFrame:
                                        pa.array([sets[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])], pa.binary())],
                                       names=["node", "root", "hashes", "shingles"])
 
-    return texts.mapInArrow(run, "node long, root long, hashes binary, shingles binary")
+    return texts.mapInArrow(thrifty(run), "node long, root long, hashes binary, shingles binary")
 
 
 def _in_blocks(content: DataFrame, roots: DataFrame) -> DataFrame:
@@ -208,6 +208,7 @@ def _compare(unit: pd.DataFrame) -> pd.DataFrame:
         links = np.bincount(left, minlength=len(nodes)) + np.bincount(right, minlength=len(nodes))
         hit = links > 0
         out.append(pd.DataFrame({"node": nodes[hit], "links": links[hit], "b": np.sort(nodes)[label[hit]]}))
+    give_back()
     return pd.concat(out) if out else pd.DataFrame({"node": [], "links": [], "b": []}).astype("int64")
 
 
@@ -258,6 +259,19 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return keyed.join(kept, ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"]).select(*[f"`{c}`" for c in docs.columns])
 
 
-@query("op5_ngram_jaccard")
+@query("op5_ngram_jaccard", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^ \t\n\v\f\r]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(0, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 4, 1) END),
+                lambda i: array_to_string(w[i + 1 : i + 5], ' ')))) AS s FROM w),
+nodes AS (SELECT min(doc_id) AS node, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+shingles AS (SELECT node, n, unnest(s) AS g FROM nodes),
+links AS (SELECT a, b FROM (SELECT x.node AS a, y.node AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS common
+                            FROM shingles x JOIN shingles y ON x.g = y.g AND x.node <> y.node GROUP BY ALL) WHERE common >= 0.8 * (na + nb - common) - 1e-9),
+reach AS (SELECT node AS a, node AS b FROM nodes UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+classes AS (SELECT a AS node, min(b) AS class_id FROM reach GROUP BY a),
+counts AS (SELECT a AS node, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links
+FROM sets LEFT JOIN nodes ON nodes.s = sets.s LEFT JOIN classes USING (node) LEFT JOIN counts USING (node)""")
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents")).select(F.col("_id").alias("doc_id"), "class_id", "n_links")

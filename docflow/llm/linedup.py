@@ -157,7 +157,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                       F.coalesce("_cut.removed", F.lit(0)).cast("long").alias("n_removed"))
 
 
-@query("op10_line_dedup")
+# One edit leaves the first or the last ten characters of a line of twenty as they are.
+@query("op10_line_dedup", """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+f AS (SELECT line, length(line) AS n, min(doc_id * 1000000 + no) AS place FROM l WHERE trim(line, ' ') <> '' GROUP BY line),
+pairs AS (SELECT a.line AS a, b.line AS b FROM f a JOIN f b ON left(a.line, 10) = left(b.line, 10)
+            AND a.place > b.place AND a.n >= 20 AND b.n >= 20 AND abs(a.n - b.n) <= 1
+          UNION SELECT a.line, b.line FROM f a JOIN f b ON right(a.line, 10) = right(b.line, 10)
+            AND a.place > b.place AND a.n >= 20 AND b.n >= 20 AND abs(a.n - b.n) <= 1),
+near AS (SELECT DISTINCT a AS line FROM pairs WHERE len(list_filter(range(0, length(a) + 1), lambda i:
+  left(a, i) = left(b, i) AND (substr(a, i + 2) = substr(b, i + 2) OR substr(a, i + 1) = substr(b, i + 2) OR substr(a, i + 2) = substr(b, i + 1)))) > 0),
+k AS (SELECT l.*, f.line IS NOT NULL AND (place <> doc_id * 1000000 + no OR near.line IS NOT NULL) AS gone
+      FROM l LEFT JOIN f ON f.line = l.line LEFT JOIN near ON near.line = l.line)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS kept_sha256
+FROM k GROUP BY doc_id""")
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

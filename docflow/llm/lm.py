@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from docflow.llm.registry import query, table
 from docflow.llm.rows import tabled, with_row_key
-from docflow.llm.words import by_bytes, strings, sums, word_codes
+from docflow.llm.words import by_bytes, give_back, strings, sums, thrifty, word_codes
 
 #: Words with an output of their own, and how many share a class; all others are one of `TAIL` kinds of rare word.
 WORDS, CLASS_WORDS, TAIL = 2048, 64, 16
@@ -95,12 +95,7 @@ class Model:
         """Natural log-probability of each target; with grads, adds the weights' gradients and returns the states'."""
         *_, classes, class_bias, words, word_bias = self.weights
         kind = self.class_of[targets]
-        logits = states @ classes + class_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        share = np.exp(logits)
-        share /= share.sum(axis=1, keepdims=True)
-        rows = np.arange(len(targets))
-        scores = np.log(share[rows, kind])
+        scores, share, rows = _log_share(states @ classes + class_bias, kind)
         back = None
         if grads is not None:
             share[rows, kind] -= 1
@@ -114,14 +109,11 @@ class Model:
             if not len(own):
                 continue
             a, b = self.bounds[c], self.bounds[c + 1]
-            logits = states[own] @ words[:, a:b] + word_bias[a:b]
-            logits -= logits.max(axis=1, keepdims=True)
-            share = np.exp(logits)
-            share /= share.sum(axis=1, keepdims=True)
             place = targets[own] - a
-            scores[own] += np.log(share[np.arange(len(own)), place])
+            found, share, rows = _log_share(states[own] @ words[:, a:b] + word_bias[a:b], place)
+            scores[own] += found
             if grads is not None:
-                share[np.arange(len(own)), place] -= 1
+                share[rows, place] -= 1
                 grads[6][:, a:b] += states[own].T @ share
                 grads[7][a:b] += share.sum(axis=0)
                 back[own] += share @ words[:, a:b].T
@@ -204,6 +196,17 @@ class Model:
         return out
 
 
+def _log_share(logits: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log of the softmax at each row's target, the whole softmax, and the row numbers. Overwrites the logits."""
+    rows = np.arange(len(targets))
+    logits -= logits.max(axis=1, keepdims=True)
+    scores = logits[rows, targets]
+    share = np.exp(logits, out=logits)
+    total = share.sum(axis=1)
+    share /= total[:, None]
+    return scores - np.log(total), share, rows
+
+
 def _streams(flat: np.ndarray, starts: np.ndarray, streams: int, whole: bool = False):
     """Texts behind each other in so many columns of similar length, and where a text begins.
 
@@ -224,7 +227,7 @@ def _streams(flat: np.ndarray, starts: np.ndarray, streams: int, whole: bool = F
         fill[to] += lengths[part]
     rank = np.empty(streams, np.int64)
     rank[np.argsort(-fill, kind="stable")] = np.arange(streams)
-    places = np.full((int(fill.max()) if len(order) else 0, streams), -1, np.int64)
+    places = np.full((int(fill.max()) if len(order) else 0, streams), -1, np.int32)
     own = np.repeat(np.arange(len(order)), lengths[order])
     inside = np.arange(len(own)) - np.repeat(np.cumsum(lengths[order]) - lengths[order], lengths[order])
     places[offset[own] + inside, rank[column[own]]] = starts[order][own] + inside
@@ -267,7 +270,7 @@ def counted(docs: DataFrame) -> DataFrame:
                     yield pa.record_batch([pa.array(np.full(len(found), slot[k])), words.take(pa.array(found)).cast(pa.string()),
                                            pa.array(times[found].astype(np.int64))], names=["_chunk", "word", "n"])
 
-    rows = docs.select("_chunk", "_learn", "_text").mapInArrow(run, "_chunk long, word string, n long")
+    rows = docs.select("_chunk", "_learn", "_text").mapInArrow(thrifty(run), "_chunk long, word string, n long")
     of_word = W.partitionBy("word")
     return rows.select("_chunk", "word", F.sum("n").over(of_word).alias("c"),
                        (F.row_number().over(of_word.orderBy("_chunk")) == 1).alias("first"))
@@ -286,7 +289,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
             yield pa.record_batch([pa.array(np.arange(TAIL)), pa.array(np.bincount(kind, weights=c, minlength=TAIL)),
                                    pa.array(np.bincount(kind, minlength=TAIL).astype(np.float64))], names=["k", "c", "d"])
 
-    tail = known.select("word", "c").mapInArrow(weigh, "k long, c double, d double").groupBy("k").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
+    tail = known.select("word", "c").mapInArrow(thrifty(weigh), "k long, c double, d double").groupBy("k").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
     of_kind = np.zeros((2, TAIL))
     for row in tail.collect():
         of_kind[:, row.k] = row.c, row.d
@@ -330,7 +333,7 @@ def fit(docs: DataFrame, found: Vocabulary, rounds: int = ROUNDS, shares: int =
 
         kind = "node long, seen double, weights binary"
         rows = docs.filter(F.col("_learn") & (F.pmod(F.xxhash64("_r1", F.lit(i)), F.lit(shares)) == 0)).select("_text")
-        got = rows.mapInArrow(learn, kind).groupBy("node").applyInPandas(average, kind).toPandas()
+        got = rows.mapInArrow(thrifty(learn), kind).groupBy("node").applyInPandas(average, kind).toPandas()
         if len(got):
             flat = np.frombuffer(average(got)["weights"].iloc[0], np.float32)
             ends = np.cumsum([w.size for w in model.weights])
@@ -373,7 +376,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         rows = strings(texts["_text"])
         learnt, counts = strings(known["word"]), np.asarray(known["c"].combine_chunks())
         out = []
-        for at, stop in by_bytes(rows, 8 << 20):
+        for at, stop in by_bytes(rows, 16 << 20):
             ids, starts, codes, word_starts, words = _encoded(found, rows.slice(at, stop - at))
             place = np.asarray(pc.fill_null(pc.index_in(words, learnt), -1)).astype(np.int64)
             c = np.where(place >= 0, counts[np.maximum(place, 0)], 0) if len(counts) else np.zeros(len(words), np.int64)
@@ -390,6 +393,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
                                  "n_tokens": n, "n_known": sums(c[codes] > 0, word_starts).astype(np.int64) + int(end > 0),
                                  "base_score": sums(base[codes], word_starts) + base_end,
                                  "score": total + sums(rare[codes], word_starts)}))
+        give_back()
         return pa.concat_tables(out) if out else pa.table({"_id": texts["_id"], "_learn": texts["_learn"], "n_tokens": pa.array([], pa.int64()),
                                                            "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()),
                                                            "score": pa.array([], pa.float64())})

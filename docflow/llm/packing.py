@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docflow.llm.bpe import LONG_PIECE, MATRIX_CELLS, Pairs, merge_long, merge_matrix
 from docflow.llm.registry import query, table
-from docflow.llm.words import Recent, by_bytes, gather, mix, strings, sums, word_codes
+from docflow.llm.words import Recent, by_bytes, gather, mix, strings, sums, thrifty, word_codes
 
 DIMENSIONS, BITS = 4, 12
 #: Documents that the bounds of the tasks' stretches are taken from, at most about so many.
@@ -247,7 +247,7 @@ def _placed(rows: DataFrame, bounds: np.ndarray) -> DataFrame:
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(place), pa.array(task)],
                                       names=["doc_id", "text", "_place", "_task"])
 
-    return rows.mapInArrow(run, "doc_id long, text string, _place long, _task int")
+    return rows.mapInArrow(thrifty(run), "doc_id long, text string, _place long, _task int")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -276,7 +276,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             for batch in batches:
                 texts = strings(batch.column("text"))
                 doc_ids = batch.column("doc_id").to_pylist()
-                for at, stop in by_bytes(texts, 8 << 20):
+                for at, stop in by_bytes(texts, 4 << 20):
                     ids, starts = token_ids(tokenizer_path, texts.slice(at, stop - at), end_id)
                     for i, doc_id in enumerate(doc_ids[at:stop]):
                         yield doc_id, ids[starts[i]:starts[i + 1]]
@@ -289,7 +289,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 rows = []
         yield _batch(rows)
 
-    return ordered.mapInArrow(lay_out, PIECE)
+    return ordered.mapInArrow(thrifty(lay_out), PIECE)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

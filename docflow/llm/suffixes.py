@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docflow.llm.registry import query, table
 from docflow.llm.rows import tabled, with_row_key
-from docflow.llm.words import by_bytes, mix, strings
+from docflow.llm.words import by_bytes, give_back, mix, strings, thrifty
 
 LENGTH, REACH, GRAM = 400, 200, 8
 #: Suffixes of one parse suffix that are ordered in one task; of more, each place is a row of its own.
 TOGETHER = 20_000
 #: Places that one task of the ordering has on average.
-TASK_UNITS = 10_000
+TASK_UNITS = 3_000
 
 
 def triggers(raw: np.ndarray, starts: np.ndarray, length: int = LENGTH, reach: int = REACH) -> np.ndarray:
@@ -90,7 +90,7 @@ def _units(base: DataFrame, length: int, reach: int) -> DataFrame:
                                        pa.array(np.array(whole, np.uint64).view(np.int64))],
                                       names=["_r1", "_r2", "a", "b", "key", "whole"])
 
-    return base.select("_r1", "_r2", "_text").mapInArrow(run, "_r1 long, _r2 long, a int, b int, key long, whole long")
+    return base.select("_r1", "_r2", "_text").mapInArrow(thrifty(run), "_r1 long, _r2 long, a int, b int, key long, whole long")
 
 
 def _excerpts(wanted: DataFrame, length: int, apart: bool) -> DataFrame:
@@ -112,7 +112,7 @@ def _excerpts(wanted: DataFrame, length: int, apart: bool) -> DataFrame:
                         rows, size = [], 0
             yield _rows(rows)
 
-    return wanted.mapInArrow(run, "key long, _r1 long, _r2 long, a int, b int, sure boolean, content binary")
+    return wanted.mapInArrow(thrifty(run), "key long, _r1 long, _r2 long, a int, b int, sure boolean, content binary")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -149,6 +149,8 @@ def _order(length: int):
         first = np.flatnonzero(new)
         last = np.concatenate([first[1:], [len(unit)]])[:len(first)] - 1
         of = unit[first]
+        del hashes, place, times
+        give_back()
         return pd.DataFrame({"_r1": units["_r1"].to_numpy()[of], "_r2": units["_r2"].to_numpy()[of],
                              "a": start[first].astype(np.int32), "b": start[last].astype(np.int32)})
 
@@ -227,11 +229,23 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                       names=["_row", "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = rows.schema["_row"].dataType.simpleString()
-    cut = rows.mapInArrow(run, f"_row {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    cut = rows.mapInArrow(thrifty(run), f"_row {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
     return cut.select(*[F.col(f"_row.`{c}`") for c in others], "n_bytes", "n_removed", "n_spans", "kept")
 
 
-@query("op3_suffix_dedup")
+@query("op3_suffix_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM p) WHERE n > 1),
+marked AS (SELECT doc_id, i, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS first FROM r)),
+spans AS (SELECT doc_id, min(i) AS s, max(i) + 400 AS e FROM marked GROUP BY doc_id, span),
+gaps AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS b FROM spans),
+cut AS (SELECT doc_id, count(*) AS n, sum(e - s)::bigint AS removed, max(e) AS last,
+               string_agg(substr(h, (2 * b + 1)::bigint, (2 * (s - b))::bigint), '' ORDER BY s) AS kept FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::bigint AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(n, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, (2 * coalesce(last, 0) + 1)::bigint))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)""")
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

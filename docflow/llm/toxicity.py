@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docflow.llm.registry import query, table
-from docflow.llm.words import by_bytes, crcs, strings, word_codes
+from docflow.llm.words import by_bytes, crcs, strings, thrifty, word_codes
 from docflow.session import durable
 
 #: Labelled rows a model is fitted on at most, those with the smallest hashes of their ids.
@@ -97,7 +97,7 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         used = np.flatnonzero(found.any(axis=0))
         yield pa.record_batch([pa.array(used), pa.array(found[0][used]), pa.array(found[1][used])], names=["b", "c0", "c1"])
 
-    total = rows.select("text", "toxic").mapInArrow(count, "b long, c0 long, c1 long").groupBy("b").agg(
+    total = rows.select("text", "toxic").mapInArrow(thrifty(count), "b long, c0 long, c1 long").groupBy("b").agg(
         F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toPandas()
     out = np.zeros((2, BUCKETS))
     out[:, total["b"].to_numpy(np.int64)] = total[["c0", "c1"]].to_numpy(np.float64).T
@@ -118,7 +118,7 @@ def _segments_of(rows: DataFrame, model: Model, summary) -> list:
                 yield pa.record_batch([pa.array(toxic[at:stop].astype(np.int64)), pa.array([float(a) for a, _ in found]),
                                        pa.array([float(b) for _, b in found])], names=["toxic", "a", "b"])
 
-    return rows.select("text", "toxic").mapInArrow(run, "toxic long, a double, b double").toPandas().to_numpy(np.float64)
+    return rows.select("text", "toxic").mapInArrow(thrifty(run), "toxic long, a double, b double").toPandas().to_numpy(np.float64)
 
 
 def _rate(scores: np.ndarray, counts: np.ndarray) -> float:
@@ -210,7 +210,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                                        pa.array(passages, passage)], names=[id_col, "score", "passages"])
 
     return docs.select(id_col, text_col).mapInArrow(
-        run, f"`{id_col}` {kind}, score double, passages array<struct<start:bigint,stop:bigint,score:double>>")
+        thrifty(run), f"`{id_col}` {kind}, score double, passages array<struct<start:bigint,stop:bigint,score:double>>")
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -227,7 +227,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
                 features = np.array([_features(m, scores[a:b]) for a, b in zip(starts[:-1], starts[1:])]).reshape(-1, 2)
                 yield batch.slice(at, stop - at).filter(pa.array(_score(m, features) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(thrifty(run), docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):

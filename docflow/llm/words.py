@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library frees on its own
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def thrifty(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` for a task, with the memory it freed given back at the end."""
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """A text column as one large_string array without nulls."""
     if isinstance(column, pa.ChunkedArray):
