@@ -9,7 +9,7 @@ from docflow.operators.ordered import rank_rows, running_sums
 from docflow.schema import CHAT
 from docflow.streaming import chat as stream
 
-TURNS = [("session_1", 1, "user", "naber"), ("session_1", 2, "assistant", "İyiyim, teşekkür ederim! Sen nasılsın? 😊"),
+TURNS = [("session_1", 1, "user", "where is çay?"), ("session_1", 2, "assistant", "On the second shelf, behind the flour 🫖"),
          ("session_1", 3, "user", "u2"), ("session_1", 4, "assistant", "a2"), ("session_1", 5, "user", "unanswered"),
          ("sessionX1", 1, "system", "s"), ("user_1", 1, "user", "x")]
 
@@ -48,7 +48,7 @@ def test_a_glob_prefix_reaches_the_scan(spark, turns, folder):
 def test_snapshots_grow(turns):
     stored = chat.history_snapshots(turns)
     first = [r.line for r in chat.snapshot(stored, "session_1", 1).collect()]
-    assert first == ["User: naber", "Assistant: İyiyim, teşekkür ederim! Sen nasılsın? 😊"]
+    assert first == ["User: where is çay?", "Assistant: On the second shelf, behind the flour 🫖"]
     assert [r.line for r in chat.snapshot(stored, "session_1", 2).collect()] == first + ["User: u2", "Assistant: a2"]
     assert stored.filter("session_id <> 'session_1' or turn = 5").count() == 0
 
@@ -123,7 +123,7 @@ def transcript(path):
 def test_transcript_files(turns, folder):
     chat.export_transcripts(turns, folder + "/out")
     assert transcript(folder + "/out/session_id=session_1").splitlines() == [
-        "CHAT HISTORY (session_1)", "-" * 50, "User: naber", "Assistant: İyiyim, teşekkür ederim! Sen nasılsın? 😊",
+        "CHAT HISTORY (session_1)", "-" * 50, "User: where is çay?", "Assistant: On the second shelf, behind the flour 🫖",
         "User: u2", "Assistant: a2", "User: unanswered"]
     assert len([d for d in os.listdir(folder + "/out") if d.startswith("session_id=")]) == 3
     chat.export_transcripts(turns, folder + "/flat", folder_per_session=False)

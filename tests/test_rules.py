@@ -7,9 +7,8 @@ from docflow.functions import paths
 from docflow.operators import rules
 from docflow.sources.listings import from_repo
 
-REPO = ["README.md", "docs/CHANGELOG.txt", "main.py", "src/__init__.py", "src/utils.py", "temp/backup.py",
-        "tests/old/test_old.py", "tests/test_main.py"]
-CODE = ["docs/CHANGELOG.txt", "main.py", "src/__init__.py", "src/utils.py", "temp/backup.py"]
+REPO = ["GUIDE.md", "app.py", "lib/io.py", "lib/sub/tests/case.py", "notes/log.txt", "pics/a.png", "tests/unit.py"]
+CODE = ["app.py", "lib/io.py", "notes/log.txt"]
 
 
 def frame(spark, values, name="file_path"):
@@ -22,8 +21,8 @@ def kept(df, name="file_path"):
 
 @pytest.mark.parametrize("include, exclude, expected", [
     ([], rules.PRESETS["repository"], CODE),
-    ([r"\.md$"], [], ["README.md"]),
-    ([r"\.py$"], ["/"], ["main.py"]),
+    ([r"\.md$"], [], ["GUIDE.md"]),
+    ([r"\.py$"], ["/"], ["app.py"]),
     ([], [], REPO),
     (None, None, REPO),
 ])
@@ -59,7 +58,7 @@ def test_reader_exclusion_then_substrings(spark):
     files = from_repo(frame(spark, REPO), ["node_modules", "dist", "tests"], [".png", ".jpg", ".md"])
     files = files.withColumn("file_name", paths.file_name(F.col("file_path")))
     assert kept(rules.apply_substring_rules(files, [], ["TEST"])) == CODE
-    assert kept(rules.apply_substring_rules(files, ["SRC", "main"], [])) == ["main.py", "src/__init__.py", "src/utils.py"]
+    assert kept(rules.apply_substring_rules(files, ["LIB", "app"], [])) == ["app.py", "lib/io.py"]
 
 
 def test_a_file_named_like_a_skipped_folder_stays(spark):
@@ -79,8 +78,8 @@ def test_vault(spark):
     ("issues", ["APP-1", "TEST-1", "APP-BUG", "EPIC-9"], ["APP-1"]),
     ("posts", ["plain words", "see http://a.b/c", "RT @bob: hi", "hi @bob", "a #tag", "mail @ home"],
      ["mail @ home", "plain words"]),
-    ("key_value", ["cache:user:session:1", "system:health:redis", "lock:message:send", "queue:email:pending", "a.bin",
-                   "user:1:profile", "temp:upload:123", "session_1"], ["session_1", "temp:upload:123", "user:1:profile"]),
+    ("key_value", ["cache:x", "system:load", "lock:gate", "queue:mail", "a.bin",
+                   "garden:7:bed", "temp:kiln", "session_1"], ["garden:7:bed", "session_1", "temp:kiln"]),
     ("drive", ["a/.git/x", "a.log", "a/temp/b", "a.zip", "a.gif", "a.txt"], ["a.txt"]),
 ])
 def test_presets(spark, preset, values, expected):

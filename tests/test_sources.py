@@ -134,9 +134,9 @@ def test_more_readers_can_be_given(spark):
 
 
 def test_html_lines(spark):
-    page = spark.createDataFrame([("<html><head><title>x</title></head><body><h1>Merhaba Dünya!</h1><p>Bu bir örnek.</p>"
-                                   "<ul><li>Madde 1</li><li>Madde&nbsp;2</li></ul></body></html>",)], "h string")
-    assert page.select(html_to_text(F.col("h"))).first()[0] == "Merhaba Dünya!\nBu bir örnek.\nMadde 1\nMadde 2"
+    page = spark.createDataFrame([("<html><head><title>x</title></head><body><h1>Tide times</h1><p>High at six, löw at noon.</p>"
+                                   "<ul><li>north pier</li><li>south&nbsp;pier</li></ul></body></html>",)], "h string")
+    assert page.select(html_to_text(F.col("h"))).first()[0] == "Tide times\nHigh at six, löw at noon.\nnorth pier\nsouth pier"
 
 
 @pytest.mark.parametrize("html, text", [
@@ -210,17 +210,17 @@ def test_posts(spark):
 
 def test_key_value_documents(spark):
     rows = [
-        ("user:1:profile", "hash", None, {"status": "active", "name": "Ö"}, None, None, None),
-        ("temp:upload:123", "string", "partial_upload", None, None, None, 300),
-        ("chat:1:messages", "list", None, None, ["b", "a"], None, -1), ("tags/popular", "set", None, None, ["y", "x", "y"], None, 0),
-        ("leaderboard", "zset", None, None, None, [("user1", 100.0), ("user2", 85.0), ("user3", 72.0)], None),
+        ("garden:7:bed", "hash", None, {"soil": "wet", "name": "Ö"}, None, None, None),
+        ("kiln:batch:9", "string", "half fired", None, None, None, 300),
+        ("route:4:stops", "list", None, None, ["b", "a"], None, -1), ("labels/seen", "set", None, None, ["y", "x", "y"], None, 0),
+        ("regatta", "zset", None, None, None, [("oak", 61.0), ("elm", 48.5), ("ash", 12.0)], None),
         ("s:1", "stream", None, None, None, None, None)]
     docs = {r.file_path: r for r in records.from_kv(spark.createDataFrame(rows, KV), "kv").collect()}
     assert {k: d.text for k, d in docs.items()} == {
-        "user:1:profile": '{"name":"Ö","status":"active"}', "temp:upload:123": "partial_upload",
-        "chat:1:messages": '["b","a"]', "tags/popular": '["x","y"]', "leaderboard": '["user3","user2","user1"]'}
-    assert docs["temp:upload:123"].expiry == "300" and docs["leaderboard"].expiry == "no_expiry"
-    assert docs["tags/popular"].file_name == "popular"
+        "garden:7:bed": '{"name":"Ö","soil":"wet"}', "kiln:batch:9": "half fired",
+        "route:4:stops": '["b","a"]', "labels/seen": '["x","y"]', "regatta": '["ash","elm","oak"]'}
+    assert docs["kiln:batch:9"].expiry == "300" and docs["regatta"].expiry == "no_expiry"
+    assert docs["labels/seen"].file_name == "seen"
 
 
 def test_equal_scores_go_by_member(spark):
