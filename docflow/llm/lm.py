@@ -21,6 +21,8 @@ WORDS, CLASS_WORDS, TAIL = 2048, 64, 16
 HIDDEN, INPUT = 32, 24
 #: Streams of text trained side by side, steps that errors go back, and streams scored side by side.
 STREAMS, WINDOW, SCORED = 64, 16, 256
+#: Tokens that a step of training rests on at least.
+STEP = 128
 #: Rounds of training, each over one of so many shares of the training documents, dealt by a hash of their rows.
 ROUNDS, SHARES = 2, 16
 RATE = 0.004
@@ -120,13 +122,28 @@ class Model:
         return scores, back
 
     def train(self, flat: np.ndarray, starts: np.ndarray) -> None:
-        """One pass over texts (ids, each with its end) laid in streams; Adam, errors go back `WINDOW` steps."""
-        tokens, fresh = _streams(flat, starts, STREAMS)
+        """One pass over whole texts (ids, each with its end) laid in streams; Adam, errors go back `WINDOW` steps.
+
+        Where few streams are left, as in a text much longer than the others,
+        windows are summed until a step rests on `STEP` tokens.
+        """
+        tokens, fresh, places = _streams(flat.astype(np.int32), starts, STREAMS, whole=True)
+        active = (places >= 0).sum(axis=1)
         first, second, step = [np.zeros_like(w) for w in self.weights], [np.zeros_like(w) for w in self.weights], 0
+        held, seen = [np.zeros_like(w) for w in self.weights], 0
         state = np.zeros((tokens.shape[1], HIDDEN), np.float32)
         before = np.full(tokens.shape[1], self.vocabulary.end)
-        for at in range(0, len(tokens) - WINDOW + 1, WINDOW):
-            grads, state, before = self._window(tokens[at:at + WINDOW], fresh[at:at + WINDOW], state, before)
+        for at in range(0, len(tokens), WINDOW):
+            rows, n = slice(at, at + WINDOW), active[at]
+            own = int(active[rows].sum())
+            grads, state, before = self._window(tokens[rows, :n], fresh[rows, :n], state[:n], before[:n], places[rows, :n] >= 0)
+            for g, h in zip(grads, held):
+                h += g * np.float32(own)
+            seen += own
+            if seen < STEP and at + WINDOW < len(tokens):
+                continue
+            grads = [h / np.float32(seen) for h in held]
+            held, seen = [np.zeros_like(w) for w in self.weights], 0
             step += 1
             size = np.sqrt(sum(float((g * g).sum()) for g in grads))
             for w, g, m, v in zip(self.weights, grads, first, second):
@@ -135,7 +152,8 @@ class Model:
                 v += 0.01 * (g * g - v)
                 w -= RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-6)
 
-    def _window(self, tokens, fresh, state, before):
+    def _window(self, tokens, fresh, state, before, real=None):
+        """Mean gradients of the targets, or of those that are `real`: streams may end inside a window."""
         gates, kept, states = self.inputs(), [], []
         for now, new in zip(tokens, fresh):
             state = np.where(new[:, None], 0, state)
@@ -145,7 +163,12 @@ class Model:
             states.append(after[0])
             state, before = after[0], now
         grads = [np.zeros_like(w) for w in self.weights]
-        _, back = self.outputs(np.concatenate(states), tokens.ravel(), grads)
+        states, count = np.concatenate(states), tokens.size
+        if real is None or real.all():
+            _, back = self.outputs(states, tokens.ravel(), grads)
+        else:
+            back, count, real = np.zeros_like(states), int(real.sum()), real.ravel()
+            back[real] = self.outputs(states[real], tokens.ravel()[real], grads)[1]
         back = back.reshape(len(tokens), -1, HIDDEN)
         own, later = self.weights[2], np.zeros_like(state)
         inner = np.empty((len(tokens), len(state), 3 * HIDDEN), np.float32)
@@ -164,7 +187,7 @@ class Model:
         grads[3] += inner.sum(axis=0)
         grads[1] += self.weights[0][fed].T @ inner
         np.add.at(grads[0], fed, inner @ self.weights[1].T)
-        total = np.float32(1 / tokens.size)
+        total = np.float32(1 / count)
         for g in grads:
             g *= total
         return grads, state, before
@@ -210,9 +233,8 @@ def _log_share(logits: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.
 def _streams(flat: np.ndarray, starts: np.ndarray, streams: int, whole: bool = False):
     """Texts behind each other in so many columns of similar length, and where a text begins.
 
-    With `whole` nothing is left out: columns are sorted by length, and places
-    in `flat` are returned, -1 behind a column's end. Without, columns are cut
-    to the shortest or, if they are few and short, to the texts there are.
+    Nothing is left out: columns are sorted by length. With `whole`, places in
+    `flat` are returned as well, -1 behind a column's end.
     """
     lengths = np.diff(starts)
     order = np.argsort(-lengths, kind="stable")
@@ -233,10 +255,8 @@ def _streams(flat: np.ndarray, starts: np.ndarray, streams: int, whole: bool = F
     places[offset[own] + inside, rank[column[own]]] = starts[order][own] + inside
     fresh = np.zeros(places.shape, bool)
     fresh[offset, rank[column]] = True
-    if whole:
-        return flat[np.maximum(places, 0)] if len(places) else np.zeros((0, streams), np.int64), fresh, places
-    full = int(fill.min())
-    return flat[places[:full]], fresh[:full]
+    tokens = flat[np.maximum(places, 0)] if len(places) else np.zeros((0, streams), np.int64)
+    return (tokens, fresh, places) if whole else (tokens, fresh)
 
 
 def _encoded(vocabulary: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:

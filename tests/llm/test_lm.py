@@ -103,6 +103,33 @@ def test_training_learns_what_follows_what():
     assert model.score(flat[:400], np.array([0, 400])).mean() > before / 4
 
 
+def test_training_reaches_every_token():
+    source = np.random.default_rng(5)
+    for lengths in ([5, 0, 3000, 1, 40, 7], [30] * 200 + [2500], [3]):
+        model, seen = Model(small_vocabulary()), []
+        outputs = model.outputs
+        model.outputs = lambda states, targets, grads=None: seen.extend(targets.tolist()) or outputs(states, targets, grads)
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        flat = source.integers(0, TAIL + 71, starts[-1])
+        model.train(flat, starts)
+        assert collections.Counter(seen) == collections.Counter(flat.tolist())
+        assert all(np.isfinite(w).all() for w in model.weights)
+
+
+def test_streams_that_end_in_a_window_add_nothing():
+    source, model = np.random.default_rng(6), Model(small_vocabulary())
+    model.weights = [w.astype(np.float64) + 0.1 * source.standard_normal(w.shape) for w in model.weights]
+    ids, fresh = source.integers(0, TAIL + 71, (WINDOW, 2)), np.zeros((WINDOW, 2), bool)
+    state, before = source.standard_normal((2, 32)), np.array([1, 2])
+    real = np.ones((WINDOW, 2), bool)
+    real[5:, 1] = False
+    got, *_ = model._window(ids, fresh, state, before, real)
+    a, *_ = model._window(ids[:, :1], fresh[:, :1], state[:1], before[:1])
+    b, *_ = model._window(ids[:5, 1:], fresh[:5, 1:], state[1:], before[1:])
+    for g, x, y in zip(got, a, b):
+        assert np.allclose(g, (x * WINDOW + y * 5) / (WINDOW + 5), atol=1e-6)
+
+
 def test_kinds():
     got = kinds(pa.array(["a", "a.", "é", "abcdefgh,", "x" * 13], pa.large_string()))
     assert got.tolist() == [2, 3, 0, 11, 14]
