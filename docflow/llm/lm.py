@@ -23,8 +23,8 @@ HIDDEN, INPUT = 32, 24
 STREAMS, WINDOW, SCORED = 64, 16, 256
 #: Tokens that a step of training rests on at least.
 STEP = 128
-#: Rounds of training, each over one of so many shares of the training documents, dealt by a hash of their rows.
-ROUNDS, SHARES = 2, 16
+#: Rounds of training, each over its share of the training documents, dealt by a hash of their rows; together they are all.
+ROUNDS = 2
 RATE = 0.004
 #: Text that is scored together, and nodes of the averaging tree.
 CHUNK_BYTES, AVERAGES = 24 << 20, 32
@@ -67,7 +67,7 @@ class Model:
     """Gated recurrent units over embedded words; the next word's class and, within it, the word are two softmaxes."""
 
     def __init__(self, vocabulary: Vocabulary, weights: list[np.ndarray] | None = None):
-        self.vocabulary, n = vocabulary, TAIL + len(vocabulary.words)
+        self.vocabulary, self.trained, n = vocabulary, 0, TAIL + len(vocabulary.words)
         self.class_of = vocabulary.class_of
         self.bounds = np.searchsorted(self.class_of, np.arange(self.class_of[-1] + 2))
         if weights is None:
@@ -321,14 +321,14 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(words, np.array(least, np.float64), of_kind[0], of_kind.sum(axis=0), tokens, distinct)
 
 
-def fit(docs: DataFrame, found: Vocabulary, rounds: int = ROUNDS, shares: int = SHARES) -> Model:
-    """Rounds of training in all tasks at once, from common weights, which are then averaged by tokens.
+def fit(docs: DataFrame, found: Vocabulary, rounds: int = ROUNDS) -> Model:
+    """Rounds of training in all tasks at once, from common weights, which are then averaged by tokens trained on.
 
-    Round i takes the training texts whose row hash is i modulo `shares`, so
-    what is learnt from grows with the corpus. Averages are taken in a tree;
+    Round i takes the training texts whose row hash is i modulo `rounds`, so
+    that each training text is learnt from once. Averages are taken in a tree;
     the driver gets `AVERAGES` sets of weights.
     """
-    model = Model(found)
+    model, trained = Model(found), 0
     context = docs.sparkSession.sparkContext
     for i in range(rounds):
         shared = context.broadcast((found, model.weights))
@@ -352,12 +352,14 @@ def fit(docs: DataFrame, found: Vocabulary, rounds: int = ROUNDS, shares: int =
                                  "weights": [(total / rows["seen"].sum()).astype(np.float32).tobytes()]})
 
         kind = "node long, seen double, weights binary"
-        rows = docs.filter(F.col("_learn") & (F.pmod(F.xxhash64("_r1", F.lit(i)), F.lit(shares)) == 0)).select("_text")
+        rows = docs.filter(F.col("_learn") & (F.pmod(F.xxhash64("_r1", F.lit(7)), F.lit(rounds)) == i)).select("_text")
         got = rows.mapInArrow(thrifty(learn), kind).groupBy("node").applyInPandas(average, kind).toPandas()
         if len(got):
-            flat = np.frombuffer(average(got)["weights"].iloc[0], np.float32)
+            whole = average(got).iloc[0]
+            flat, trained = np.frombuffer(whole["weights"], np.float32), trained + int(whole["seen"])
             ends = np.cumsum([w.size for w in model.weights])
             model = Model(found, [flat[e - w.size:e].reshape(w.shape).copy() for w, e in zip(model.weights, ends)])
+    model.trained = trained
     return model
 
 

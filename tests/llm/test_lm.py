@@ -7,7 +7,7 @@ import pyarrow as pa
 from brute import edge_rows, words
 from pyspark.sql import functions as F
 
-from docflow.llm.lm import END, TAIL, WINDOW, Model, Vocabulary, _streams, kinds, score_texts
+from docflow.llm.lm import END, TAIL, WINDOW, Model, Vocabulary, _streams, fit, kinds, score_texts
 
 
 def tokens(text):
@@ -130,6 +130,13 @@ def test_streams_that_end_in_a_window_add_nothing():
         assert np.allclose(g, (x * WINDOW + y * 5) / (WINDOW + 5), atol=1e-6)
 
 
+def test_rounds_cover_every_training_text_once(spark):
+    rows = [(i, " ".join(words(i, 5 + i % 60))) for i in range(500)] + [(500, "long " * 20_000), (501, "")]
+    docs = spark.createDataFrame(rows, "_id long, _text string").withColumns(
+        {"_learn": F.col("_id") % 7 != 2, "_r1": F.xxhash64("_id", "_text")}).repartition(3)
+    assert fit(docs, small_vocabulary()).trained == sum(len(tokens(t)) for i, t in rows if i % 7 != 2)
+
+
 def test_kinds():
     got = kinds(pa.array(["a", "a.", "é", "abcdefgh,", "x" * 13], pa.large_string()))
     assert got.tolist() == [2, 3, 0, 11, 14]
