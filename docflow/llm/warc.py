@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import json
 import uuid
 import zlib
@@ -202,6 +203,38 @@ def _rewrite(address: str, name: str) -> pa.RecordBatch:
                            names=["archive", "normalised", "index", "records", "error"])
 
 
+def read_index(written: DataFrame) -> DataFrame:
+    """The index rows of the archives that `normalise` returned, and of no other file that lies beside them.
+
+    Fails if an archive broke off, or if its index is not as long as told.
+    """
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive, address, records, error in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if error is not None:
+                    raise ValueError(f"{archive} broke off: {error}")
+                system, path = _place(address)
+                rows, n = [], 0
+                with system.open_input_stream(path, compression=None) as stream:
+                    for line in io.TextIOWrapper(io.BufferedReader(stream), "utf-8", newline="\n"):
+                        rows.append(json.loads(line))
+                        n += 1
+                        if len(rows) >= 10_000:
+                            yield _index(rows)
+                            rows = []
+                if n != records:
+                    raise ValueError(f"{address} has {n} rows for {records} records")
+                yield _index(rows)
+
+    return written.select("archive", "index", "records", "error").mapInArrow(read, INDEX)
+
+
+def _index(rows: list[dict]) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "string": pa.string()}
+    fields = [f.split() for f in INDEX.split(", ")]
+    return pa.record_batch([pa.array([r[f] for r in rows], types[t]) for f, t in fields], names=[f for f, _ in fields])
+
+
 def read_records(index: DataFrame) -> DataFrame:
     """Read the records that index rows point to, each by its own offset and length.
 
@@ -259,16 +292,15 @@ def archive_pages(pages: DataFrame, folder: str, least_bytes: int = 0) -> tuple[
     page id or url is left out of the record. Of rows with one payload of at
     least `least_bytes`, those with the largest page id are responses and the
     others revisits of it; without any page id all are responses. An empty
-    table gives no archive and no record.
+    table gives no archive and no record. An archive that breaks off fails the
+    read.
     """
     spark = pages.sparkSession
     size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     archives = max(2 * spark.sparkContext.defaultParallelism, -(-size // ARCHIVE_BYTES))
     rows = with_responses(pages, least_bytes).coalesce(archives)
     written = normalise(write_archives(rows, f"{folder}/streams"), f"{folder}/records")
-    if not written.limit(1).count():
-        return written, read_records(spark.createDataFrame([], INDEX))
-    return written, read_records(spark.read.schema(INDEX).option("pathGlobFilter", "*.json").json(f"{folder}/records"))
+    return written, read_records(read_index(written))
 
 
 @query("op2_warc_round_trip")

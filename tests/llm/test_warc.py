@@ -2,11 +2,12 @@ import base64
 import gzip
 import hashlib
 import json
+import os
 from collections import Counter
 
 import pytest
 
-from docflow.llm.warc import archive_pages, normalise, parse, record
+from docflow.llm.warc import archive_pages, normalise, parse, read_index, record
 
 
 def expected(rows):
@@ -65,6 +66,26 @@ def test_broken_streams_keep_what_is_whole(spark, folder, cut):
     assert (row.records, row.error) == (4, None)
 
 
+def test_files_of_lost_tasks_are_not_read(spark, folder):
+    rows = [(i, "u", f"page {i}") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    lost, _ = archive_pages(pages, folder)
+    os.makedirs(f"{folder}/records", exist_ok=True)
+    with open(f"{folder}/records/torn.json", "w") as out:
+        out.write('{"archive": "' + lost.first().normalised + '", "record": 0, "off')
+    _, records = archive_pages(pages, folder)
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in records.collect()) == expected(rows)
+
+
+def test_an_archive_that_breaks_off_fails_the_read(spark, folder):
+    path = f"{folder}/broken.warc.gz"
+    with open(path, "wb") as out:
+        out.write(gzip.compress(b"".join(record(i, "u", b"x" * 50, None, "d") for i in range(3))[:-30]))
+    written = normalise(spark.createDataFrame([(path,)], "archive string"), f"{folder}/out")
+    with pytest.raises(Exception, match="broke off"):
+        read_index(written).collect()
+
+
 def test_query(spark):
     from docflow.llm.queries import QUERIES
 
