@@ -17,8 +17,8 @@ NEIGHBOURS, FRONT = 32, 64
 REVERSE = 16
 #: Random splits that the graph starts from, and nodes of a part.
 SPLITS, PART = 16, 1024
-#: Descent ends after so many rounds, or when a smaller share of the links changes.
-ROUNDS, SETTLED = 2, 0.05
+#: Descent ends when a smaller share of the lists changes; not to settle within so many rounds is an error.
+ROUNDS, SETTLED = 40, 0.05
 #: Pairs that one centre proposes per member and round.
 PROPOSED = 4
 #: Of each query's front, so many are compared exactly.
@@ -133,14 +133,14 @@ def _merged(lists: DataFrame, rows: int, neighbours: int) -> DataFrame:
     return lists.groupBy(F.pmod(F.xxhash64("id"), F.lit(bins)).alias("_bin")).applyInPandas(best, LISTS)
 
 
-def _links(graph: DataFrame) -> DataFrame:
-    """A row per link: `id`, `to`, `score`, and `least`, the score of the node's last link."""
+def _links(graph: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """A row per link: `id`, `to`, `score`, and `least`, the score of the node's last link; -2 if its list has room."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, links, scores = (batch.column(i).to_pylist() for i in range(3))
             sizes = np.array([len(x) // 8 for x in links], np.int64)
             flat = np.frombuffer(b"".join(scores), np.float32)
-            least = np.repeat([flat[e - 1] if n else -2.0 for n, e in zip(sizes, np.cumsum(sizes))], sizes).astype(np.float32)
+            least = np.repeat([flat[e - 1] if n >= neighbours else -2.0 for n, e in zip(sizes, np.cumsum(sizes))], sizes).astype(np.float32)
             yield pa.record_batch([pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.frombuffer(b"".join(links), np.int64)),
                                    pa.array(flat), pa.array(least)], names=["id", "to", "score", "least"])
 
@@ -149,7 +149,7 @@ def _links(graph: DataFrame) -> DataFrame:
 
 def _descend(graph: DataFrame, coded: DataFrame, n: int, neighbours: int) -> DataFrame:
     """One round: the links of each node, and some of those to it, get to know each other."""
-    links = held(_links(graph))
+    links = held(_links(graph, neighbours))
     some = W.partitionBy("to").orderBy(F.xxhash64("id", "to"))
     # A node that very many link to is known to `REVERSE` of them at a time, as the method samples them.
     salted = links.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(16)))
@@ -192,16 +192,16 @@ def neighbour_graph(coded: DataFrame, neighbours: int = NEIGHBOURS, part: int =
 
     Lists start from the parts of random splits (parts of copies or crowded
     ones are cut by a hash), and each round compares neighbours of a common
-    node. It ends when few links change, at the latest after `rounds`.
+    node, until few lists change. Fails if they have not settled after `rounds`.
     """
     n = coded.count()
     graph = held(_merged(_within_parts(coded, n, neighbours, part, splits), n * splits // 4, neighbours))
-    for _ in range(rounds if n > 2 * part else 0):
+    for _ in range(rounds):
         before, graph = graph, _descend(graph, coded, n, neighbours)
         changed = graph.join(before.select("id", F.col("ids").alias("_old")), "id").filter("ids <> _old").count()
-        if changed < SETTLED * n:
-            break
-    return graph
+        if changed <= SETTLED * n:
+            return graph
+    raise RuntimeError(f"{changed} of {n} lists still change after {rounds} rounds")
 
 
 def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, front: int = FRONT, checked: int = CHECKED) -> DataFrame:

@@ -1,7 +1,9 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from docflow.llm.ann import nearest
+from docflow.llm import ann
+from docflow.llm.ann import _coded, nearest, neighbour_graph
 
 
 def brute(rows, every=50, k=5):
@@ -56,6 +58,23 @@ def test_recall_on_a_large_table_with_copies(spark):
     assert recall(nearest(table(spark, rows)).collect(), brute(rows)) >= 0.9
 
 
+def test_descent_goes_on_until_settled(spark, monkeypatch):
+    rows = [(i, x.tolist()) for i, x in enumerate(np.random.default_rng(3).standard_normal((200, 6)))]
+    coded = _coded(spark.createDataFrame(rows, "id long, v array<double>"))
+    calls, changing = [], 5
+
+    def descend(graph, *_):
+        calls.append(graph)
+        return graph.withColumn("ids", F.lit(bytearray([len(calls)]))) if len(calls) <= changing else graph
+
+    monkeypatch.setattr(ann, "_descend", descend)
+    neighbour_graph(coded, part=64, splits=2)
+    assert len(calls) == 6
+    calls, changing = [], 9
+    with pytest.raises(RuntimeError, match="still change"):
+        neighbour_graph(coded, part=64, splits=2, rounds=3)
+
+
 def test_query_recall(spark):
     from docflow.llm.queries import QUERIES
 
