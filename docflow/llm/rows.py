@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from docflow.session import durable, work_path
 
@@ -12,6 +13,11 @@ def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumns({"_r1": F.xxhash64(id_col, text_col), "_r2": F.xxhash64(text_col, F.lit(7), id_col)})
 
 
+def with_row(rows: DataFrame, fields: str) -> StructType:
+    """Schema of the caller's columns in `_row`, whatever they are called, and further fields."""
+    return StructType([rows.schema["_row"], *StructType.fromDDL(fields)])
+
+
 def merged(df: DataFrame) -> DataFrame:
     """`df` in two partitions per core at most, so that small frames are not kept in many tiny files."""
     return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
