@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 
 def give_back() -> None:
@@ -54,6 +55,13 @@ def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nda
     return np.asarray(coded.indices), starts, coded.dictionary
 
 
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits for each word of the texts, and each text's first word."""
+    codes, starts, words = word_codes(texts)
+    known = np.array([xxhash.xxh3_64_intdigest(w) for w in words.cast(pa.large_binary()).to_pylist()], np.uint64)
+    return known[codes] if len(known) else np.zeros(0, np.uint64), starts
+
+
 def stretches(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Stretches of rows whose sizes add up to `limit` at most, each of one row at least."""
     ends, at = np.cumsum(sizes), 0
