@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docflow.functions.text import role_line, word_count
 from docflow.operators.ordered import part_of, running_sums
+from docflow.session import task_files
 
 TURN_KEY = ["session_id", "turn"]
 RULE_LINE = "-" * 50
@@ -142,3 +146,58 @@ def export_transcripts(chat: DataFrame, path: str, folder_per_session: bool = Tr
         lines.select("session_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("session_id").text(path)
     else:
         lines.select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+
+
+def pack_transcripts(chat: DataFrame, path: str, files: int) -> None:
+    """Write transcripts into `files` text files at most, and an index of who lies where.
+
+    Lines are range partitioned, so sessions lie behind each other in order and
+    a huge one goes on in the next file. The index has a row per session and
+    file: `session_id`, `first_line`, `file`, `begin`, `stop` (bytes). A file's
+    name is new for every attempt of a task, and only indexed files count.
+    """
+    folder = f"{path.rstrip('/')}/files"
+    lines = transcript_lines(chat).repartitionByRange(files, "session_id", "line_no").sortWithinPartitions("session_id", "line_no")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, place = task_files(folder)
+        name, file, at, ranges = f"{uuid.uuid4().hex}.txt", None, 0, []
+        for batch in batches:
+            for session, number, line in zip(batch["session_id"], batch["line_no"], batch["line"]):
+                if file is None:
+                    system.create_dir(place, recursive=True)
+                    file = system.open_output_stream(f"{place}/{name}")
+                body = f"{line}\n".encode()
+                if not ranges or ranges[-1][0] != session:
+                    ranges.append([session, number, name, at, at])
+                file.write(body)
+                at += len(body)
+                ranges[-1][4] = at
+        if file is not None:
+            file.close()
+        yield pd.DataFrame(ranges, columns=["session_id", "first_line", "file", "begin", "stop"])
+
+    index = lines.select("session_id", "line_no", "line").mapInPandas(write, "session_id string, first_line long, file string, begin long, stop long")
+    index.write.mode("overwrite").parquet(f"{path.rstrip('/')}/index")
+
+
+def read_transcripts(spark: SparkSession, path: str, condition: Column | None = None) -> DataFrame:
+    """Rows (session_id, line_no, text) of packed transcripts, a row per file that a session lies in; `line_no` is that of
+    its first line.
+
+    `condition` on `session_id` is tested on the index, and only the byte
+    ranges of what it keeps are read.
+    """
+    folder = f"{path.rstrip('/')}/files"
+    index = spark.read.parquet(f"{path.rstrip('/')}/index")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, place = task_files(folder)
+        for batch in batches:
+            for session, first, name, begin, stop in batch.itertuples(index=False):
+                with system.open_input_file(f"{place}/{name}") as file:
+                    file.seek(begin)
+                    yield pd.DataFrame({"session_id": [session], "line_no": [first], "text": [file.read(stop - begin).decode()]})
+
+    wanted = index if condition is None else index.filter(condition)
+    return wanted.mapInPandas(read, "session_id string, line_no long, text string")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from docflow.operators import store
 from docflow.operators.ordered import part_of
 from docflow.schema import NODE
-from docflow.session import durable, path_exists
+from docflow.session import path_exists, saved
+
+#: Replaced document versions that are sent to all tasks to leave their nodes out; more are joined by a shuffle.
+SENT_STALE = 1_000_000
 
 
 class CollectionError(ValueError):
@@ -54,34 +58,115 @@ def write_collection(nodes: DataFrame, root: str, name: str, unique: bool = Fals
     fresh.withColumn("collection", F.lit(name)).write.mode("append").partitionBy("collection").parquet(root)
 
 
-def current_documents(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    """`doc_id` and `doc_hash` of a collection's documents as they are now; None if it is not kept by `update_collection`."""
-    stored = read_stored(spark, f"{root.rstrip('/')}.documents")
-    if stored is None:
-        return None
-    return stored.filter(F.col("collection") == name).groupBy("doc_id").agg(F.max_by("doc_hash", "version").alias("doc_hash"))
+def store_root(root: str, name: str) -> str:
+    """Where a collection lies that is kept by `update_collection` or `sync_listing`."""
+    return f"{root.rstrip('/')}.collections/{name}"
 
 
-def update_collection(docs: DataFrame, nodes_of: Callable[[DataFrame], DataFrame], root: str, name: str,
-                      embed: Callable[[DataFrame], DataFrame] | None = None, text: str = "text") -> None:
-    """Bring a collection up to date with documents: only new and changed ones are cut, embedded and written.
+def current_documents(spark: SparkSession, root: str, name: str, buckets: Iterable[int] | None = None) -> DataFrame | None:
+    """`doc_id`, `doc_hash`, `scope`, `version`, `bucket` of a collection's documents as they are now; those of some buckets
+    from these buckets' folders alone. None if it is not kept by documents, or has none there."""
+    place = store_root(root, name)
+    return _current(store.read_table(spark, place, store.manifest(spark, place), "documents", buckets))
+
 
-    `nodes_of` turns documents with a `doc_hash` into nodes that keep it. A
-    document's hash is recorded after its nodes are there; `open_collection`
-    shows the nodes of the hash recorded last, so a changed document's old
-    nodes are no longer seen, and a run that broke off can be repeated.
+def _current(recorded: DataFrame | None) -> DataFrame | None:
+    if recorded is None:
+        return None
+    last = recorded.groupBy("bucket", "doc_id").agg(F.max_by(F.struct("doc_hash", "scope", "version", "removed"), "version").alias("d"))
+    return last.filter("not d.removed").select("doc_id", "d.doc_hash", "d.scope", "d.version", "bucket")
+
+
+def _visible(nodes: DataFrame, recorded: DataFrame, stale: int) -> DataFrame:
+    """Nodes of the documents as they are now. Only what later runs replaced or removed is joined, so nothing is if there
+    is no such thing; `stale` bounds it."""
+    if not stale:
+        return nodes
+    held = recorded.select("doc_id", "version", "bucket", F.max("version").over(W.partitionBy("bucket", "doc_id")).alias("_last"))
+    gone = held.filter("version < _last").select(F.col("doc_id").alias("ref_doc_id"), "version").distinct()
+    return nodes.join(F.broadcast(gone) if stale <= SENT_STALE else gone, ["ref_doc_id", "version"], "left_anti")
+
+
+def sync_listing(listing: DataFrame, load: Callable[[DataFrame | None], DataFrame], nodes_of: Callable[[DataFrame], DataFrame], root: str,
+                 name: str, *, scope: str = "", complete: bool = False, embed: Callable[[DataFrame], DataFrame] | None = None,
+                 buckets: int = store.BUCKETS) -> dict[str, int]:
+    """Bring a collection up to date with a listing of documents; returns how many were added, changed and removed.
+
+    `listing` has a `doc_id` and a `doc_hash` that changes whenever the document
+    does; a null id is left out, and of an id that comes twice the smallest
+    hash counts. Only for new and changed documents, `load` gets their rows of
+    the listing and returns documents (None stands for all rows, if none is to
+    be left out), and `nodes_of` turns these into nodes with a `ref_doc_id`;
+    `embed` sees no others either.
+
+    A `complete` listing names all documents of its `scope`, so what is
+    recorded for the scope and not listed is removed. Otherwise the listing is
+    a batch, and only the recorded documents in its buckets are read: the cost
+    follows the batch. Nodes, versions and removals count from one manifest on;
+    a run that broke off can be repeated, and one that finds nothing to do
+    writes nothing. `buckets` is how many a new collection gets.
     """
-    spark = docs.sparkSession
+    spark, place = listing.sparkSession, store_root(root, name)
+    held = store.manifest(spark, place)
+    buckets = held.buckets if held else buckets
+    given = listing.withColumn("doc_id", F.col("doc_id").cast("string"))
+    rest = [c for c in given.columns if c != "doc_id"]
+    given = given.groupBy("doc_id").agg(F.min_by(F.struct(*rest), "doc_hash").alias("_d"), F.count("*").alias("_n")).select("doc_id", "_d.*", "_n")
+    given = saved(given.withColumn("bucket", store.bucket_of("doc_id", buckets)), "listing")
+    listed, odd = given.agg(F.count("*"), F.count_if((F.col("_n") > 1) | F.col("doc_id").isNull())).first()
+    given = given.filter("doc_id is not null").drop("_n")
+    touched = None if complete else [r.bucket for r in given.select("bucket").distinct().collect()]
+    known = _current(store.read_table(spark, place, held, "documents", touched))
+    if known is None:
+        marked = given.withColumn("_kind", F.lit("added"))
+    else:
+        before = known.select("doc_id", "bucket", F.struct("doc_hash", "scope").alias("_known"))
+        both = given.withColumn("_new", F.lit(True)).join(before, ["doc_id", "bucket"], "full_outer")
+        same_scope = F.col("_known.scope") == scope
+        kind = (F.when(F.col("_new").isNull(), F.when(F.lit(complete) & same_scope, "removed"))
+                .when(F.col("_known").isNull(), "added").when((F.col("_known.doc_hash") != F.col("doc_hash")) | ~same_scope, "changed"))
+        marked = both.withColumn("_kind", kind).filter("_kind is not null").drop("_known", "_new")
+    marked = saved(marked, "changes")
+    counts = {"added": 0, "changed": 0, "removed": 0} | {r["_kind"]: r["count"] for r in marked.groupBy("_kind").count().collect()}
+    if not sum(counts.values()):
+        return counts
+    version = held.version + 1 if held else 1
+    fresh = None if not odd and counts["added"] + counts["changed"] == listed else marked.filter("_kind <> 'removed'").drop("_kind", "bucket")
+    # Documents are moved to their buckets before they are cut: nodes and vectors are larger.
+    docs = load(fresh).withColumn("bucket", store.bucket_of(F.col("doc_id").cast("string"), buckets)).hint("rebalance", "bucket")
+    nodes = nodes_of(docs.drop("bucket"))
+    nodes = (embed(nodes) if embed else nodes).withColumns({"bucket": store.bucket_of("ref_doc_id", buckets), "version": F.lit(version).cast("long")})
+    records = marked.select("doc_id", "doc_hash", F.lit(scope).alias("scope"), F.lit(version).cast("long").alias("version"),
+                            (F.col("_kind") == "removed").alias("removed"), "bucket")
+    stale = (held.stale if held else 0) + counts["changed"] + counts["removed"]
+    store.commit(spark, place, held, {"nodes": store.write_part(nodes, place, "nodes", version) if counts["added"] + counts["changed"] else None,
+                                      "documents": store.write_part(records, place, "documents", version)}, stale=stale, buckets=buckets)
+    return counts
+
+
+def update_collection(docs: DataFrame, nodes_of: Callable[[DataFrame], DataFrame], root: str, name: str,
+                      embed: Callable[[DataFrame], DataFrame] | None = None, text: str = "text", *, scope: str = "",
+                      complete: bool = False, buckets: int = store.BUCKETS) -> dict[str, int]:
+    """`sync_listing` for documents that carry their text: they are listed by its hash, and read again for what changed."""
     hashed = with_doc_hash(docs, text).withColumn("doc_id", F.col("doc_id").cast("string"))
-    known = current_documents(spark, root, name)
-    changed = durable(hashed if known is None else changed_docs(hashed, known))
-    if changed.isEmpty():
-        return
-    write_collection(nodes_of(changed), root, name, embed=embed)
-    versions = read_stored(spark, f"{root.rstrip('/')}.documents")
-    last = versions.agg(F.max("version")).first()[0] if versions is not None else 0
-    changed.select("doc_id", "doc_hash", F.lit(last + 1).cast("long").alias("version"), F.lit(name).alias("collection")).dropDuplicates(
-        ["doc_id"]).write.mode("append").partitionBy("collection").parquet(f"{root.rstrip('/')}.documents")
+
+    def load(changed: DataFrame | None) -> DataFrame:
+        return hashed if changed is None else hashed.join(changed, ["doc_id", "doc_hash"], "left_semi").dropDuplicates(["doc_id"])
+
+    return sync_listing(hashed.select("doc_id", "doc_hash"), load, nodes_of, root, name, scope=scope, complete=complete, embed=embed, buckets=buckets)
+
+
+def compact_collection(spark: SparkSession, root: str, name: str, many: int = store.MANY_PARTS, keep: int = 2) -> None:
+    """Rewrite buckets in more than `many` parts, without what later runs replaced or removed; delete parts no longer read."""
+    place = store_root(root, name)
+    held = store.manifest(spark, place)
+
+    def newest(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        recorded = tables["documents"]
+        last = _current(recorded).withColumn("removed", F.lit(False)).select(*recorded.columns)
+        return {"documents": last} | ({"nodes": _visible(tables["nodes"], recorded, held.stale)} if "nodes" in tables else {})
+
+    store.compact(spark, place, newest, many, keep)
 
 
 def open_collection(spark: SparkSession, root: str, name: str, mode: str = "strict", schema=NODE) -> DataFrame:
@@ -89,19 +174,22 @@ def open_collection(spark: SparkSession, root: str, name: str, mode: str = "stri
 
     `strict` fails when it is missing or empty, which are the same on storage;
     `create` gives a frame without rows then. Of a collection that is kept by
-    `update_collection` these are the nodes of the documents as they are now.
+    documents these are the nodes of the documents as they are now.
     """
     if mode not in ("strict", "create"):
         raise ValueError(f"unknown mode: {mode}")
-    stored = read_stored(spark, root)
-    if stored is None:
+    place = store_root(root, name)
+    held = store.manifest(spark, place)
+    if held is not None:
+        nodes, recorded = (store.read_table(spark, place, held, table) for table in ("nodes", "documents"))
+        nodes = _visible(nodes, recorded, held.stale).drop("version", "bucket") if nodes is not None else None
+    else:
+        stored = read_stored(spark, root)
+        nodes = stored.filter(F.col("collection") == name) if stored is not None else None
+    if nodes is None:
         if mode == "create":
             return spark.createDataFrame([], schema)
         raise CollectionError(f"collection is missing: {name}")
-    nodes = stored.filter(F.col("collection") == name)
-    current = current_documents(spark, root, name)
-    if current is not None:
-        nodes = nodes.join(current.withColumnRenamed("doc_id", "ref_doc_id"), ["ref_doc_id", "doc_hash"], "left_semi").select(*nodes.columns)
     if mode == "strict" and nodes.isEmpty():
         raise CollectionError(f"collection is missing or empty: {name}")
     return nodes

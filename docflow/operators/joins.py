@@ -16,17 +16,19 @@ def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
     return counted.filter(F.col("_n") > rows).select(key, F.ceil(F.col("_n") / rows).alias("_cuts"))
 
 
-def skew_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+def skew_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS,
+              hot: DataFrame | None = None) -> DataFrame:
     """Join rows to the single row their key names, with every key of more than `hot_rows` rows cut into pieces.
 
     Rows go to a piece by their place in the input, so equal rows spread too.
     Only the hot keys' rows of `one` are repeated, once per piece. The list of
     hot keys is sent to both sides; its length is bounded as `hot_keys` says.
-    Smaller keys are left to the adaptive skew join.
+    Smaller keys are left to the adaptive skew join. `hot` is that list (`key`,
+    `_cuts`), if the caller knows it without another pass over `many`.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join: {how}")
-    hot = F.broadcast(hot_keys(many, key, hot_rows))
+    hot = F.broadcast(hot_keys(many, key, hot_rows) if hot is None else hot)
     cuts = F.coalesce("_cuts", F.lit(1))
     left = many.withColumn("_at", F.monotonically_increasing_id()).join(hot, key, "left").withColumn(
         "_salt", F.pmod("_at", cuts)).drop("_at", "_cuts")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from docflow.functions import paths
+from docflow.session import durable
 
 
 def with_source(df: DataFrame, source_id: str, method: str | None = None, name: str = "file_name") -> DataFrame:
@@ -46,7 +47,8 @@ def positional(df: DataFrame) -> DataFrame:
 
 
 def shape_result(df: DataFrame, empty: str = "No results found") -> DataFrame:
-    """A `result` column: a message for no rows, the bare value for one cell, else JSON per row."""
+    """A `result` column: a message for no rows, the bare value for one cell, else JSON per row. The query runs once."""
+    df = durable(df)
     head = df.limit(2).count()
     if head == 0:
         return df.sparkSession.range(1).select(F.lit(empty).alias("result"))

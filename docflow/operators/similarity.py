@@ -1,26 +1,33 @@
 """Exact similarity top-k, without ever pairing rows in the plan.
 
-Questions travel to the nodes in batches, each a matrix whose bytes are known
-before it is fetched; each task keeps its k best per question, so at most
-tasks * questions * k hits of a batch are shuffled.
+Questions are written to the shared folder, and each task that scans nodes
+reads them from there in blocks; none of them passes through the driver. A
+block of nodes meets a block of questions as two matrices. A task knows the k
+best scores it has found, so it leaves out questions that no node of a block
+can reach, and hits that are not among the k best; what is shuffled is k hits
+per question and block of nodes at most.
 
 Scores are compared after rounding to `SCORE_DIGITS`; equal ones go by node id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from docflow.session import durable
+from docflow.session import task_files, work_path
 
 METRICS = ("cosine", "l2", "dot")
 SCORE_DIGITS = 12
-#: Bytes of question vectors that are sent to the nodes at once.
-BATCH_BYTES = 32 << 20
+#: Bytes of question vectors that meet the nodes at once, of node rows that meet them, and of best scores a task keeps.
+BATCH_BYTES, NODE_BYTES, FLOOR_BYTES = 32 << 20, 8 << 20, 64 << 20
 TILE = 256
 
 
@@ -175,21 +182,6 @@ def _check(k: int, metric: str) -> None:
         raise ValueError("need k >= 1")
 
 
-def _in_batches(asked: DataFrame, batch_bytes: int) -> tuple[DataFrame, int]:
-    """Questions with the number of their batch, and how many batches keep each below the given bytes.
-
-    A question that is larger on its own is a batch of its own.
-    """
-    size = F.size("vector").cast("bigint") * 8 + 64
-    batches = max(1, -(-(asked.agg(F.sum(size)).first()[0] or 0) // batch_bytes))
-    while True:
-        dealt = asked.withColumn("_batch", F.pmod(F.xxhash64("query_id"), F.lit(batches)))
-        full = dealt.groupBy("_batch").agg(F.sum(size).alias("n"), F.count_distinct("query_id").alias("q"))
-        if not full.filter((F.col("n") > batch_bytes) & (F.col("q") > 1)).limit(1).count():
-            return dealt, batches
-        batches *= 2
-
-
 def top_k(queries: DataFrame, nodes: DataFrame, k: int = 2, metric: str = "cosine", *, query_id: str = "query_id",
           query_vector: str = "embedding", node_id: str = "node_id", node_vector: str = "embedding",
           carry: list[str] = (), batch_bytes: int = BATCH_BYTES) -> DataFrame:
@@ -197,36 +189,133 @@ def top_k(queries: DataFrame, nodes: DataFrame, k: int = 2, metric: str = "cosin
 
     `score` is the cosine, the dot product or, for `l2`, the distance. Under
     cosine a question whose vector is zero has no hits. All vectors must have
-    one length. The nodes are scanned once per batch of questions.
+    one length. The nodes are scanned once, whatever the number of questions;
+    these are written to the shared folder, and tasks read them from there in
+    blocks of about `batch_bytes`.
     """
     _check(k, metric)
-    asked = durable(_plain(queries, query_id, query_vector, "query_id").filter("query_id IS NOT NULL AND vector IS NOT NULL"))
+    spark = queries.sparkSession
+    path = work_path(spark, "questions")
+    asked = _plain(queries, query_id, query_vector, "query_id").filter("query_id IS NOT NULL AND vector IS NOT NULL")
+    asked.write.parquet(path)
+    length = spark.read.schema(asked.schema).parquet(path).agg(F.max(F.size("vector"))).first()[0]
     held = _plain(nodes, node_id, node_vector, "node_id", carry)
     schema = _hit_schema(asked, held, carry)
-    dealt, batches = _in_batches(asked, batch_bytes)
-    hits = []
-    for i in range(batches):
-        head = _usable((dealt.filter(F.col("_batch") == i) if batches > 1 else dealt).drop("_batch").toArrow())
-        if metric == "cosine" and head.num_rows:
-            head = head.filter(pa.array(_norms(_matrix(head.column("vector"))) > 0))
-        if head.num_rows:
-            hits.append(_scan_with_matrix(head, held, schema, k, metric))
-    found = hits[0] if hits else asked.sparkSession.createDataFrame([], schema)
-    for more in hits[1:]:
-        found = found.union(more)
-    return _rank(found, k, metric)
-
-
-def _scan_with_matrix(head: pa.Table, held: DataFrame, schema: T.StructType, k: int, metric: str) -> DataFrame:
+    if length is None:
+        return _rank(spark.createDataFrame([], schema), k, metric)
+    return _rank(_scan(path, max(1, batch_bytes // (8 * length + 64)), held, schema, k, metric), k, metric)
+
+
+def _question_blocks(path: str, rows: int, metric: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Labels and vectors of the written questions, so many at a time."""
+    system, place = task_files(path)
+    for name in sorted(f.path for f in system.get_file_info(fs.FileSelector(place)) if f.path.endswith(".parquet")):
+        with system.open_input_file(name) as file:
+            for batch in pq.ParquetFile(file).iter_batches(rows):
+                head = _usable(pa.Table.from_batches([batch]))
+                if metric == "cosine" and head.num_rows:
+                    head = head.filter(pa.array(_norms(_matrix(head.column("vector"))) > 0))
+                if head.num_rows:
+                    yield np.asarray(head.column(0).to_pylist()), _matrix(head.column("vector"))
+
+
+class _Questions:
+    """The blocks of all questions, kept in memory if they are no more than one block's rows."""
+
+    def __init__(self, path: str, rows: int, metric: str):
+        self.source, self.kept, self.rows = (path, rows, metric), None, rows
+
+    def __iter__(self):
+        if self.kept is not None:
+            return iter(self.kept)
+        return self._read()
+
+    def _read(self):
+        small: list | None = []
+        for block in _question_blocks(*self.source):
+            if small is not None:
+                small = [*small, block] if sum(len(q) for _, q in small) + len(block[1]) <= self.rows else None
+            yield block
+        self.kept = small
+
+
+def _node_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """A task's nodes in tables of about `size` bytes."""
+    held, held_bytes = [], 0
+    for batch in batches:
+        held.append(batch)
+        held_bytes += batch.nbytes
+        if held_bytes >= size:
+            yield pa.Table.from_batches(held)
+            held, held_bytes = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _reach(q: np.ndarray, m: np.ndarray, metric: str) -> np.ndarray:
+    """Per question a score that no node of the block can beat: the nodes lie in a ball around their mean."""
+    if metric == "cosine":
+        lengths = _norms(m)[:, None]
+        m, q = np.divide(m, lengths, out=np.zeros_like(m), where=lengths > 0), q / _norms(q)[:, None]
+    centre = m.mean(axis=0)
+    radius = _norms(m - centre).max()
+    if metric == "l2":
+        return np.maximum(_norms(q - centre) - radius, 0.0)
+    return q @ centre + _norms(q) * radius
+
+
+class _Floor:
+    """The k best scores that a task has found per question so far, for blocks of questions up to `FLOOR_BYTES`."""
+
+    def __init__(self, k: int, metric: str):
+        self.k, self.sign, self.scores, self.left = k, -1.0 if metric == "l2" else 1.0, {}, FLOOR_BYTES // (8 * k)
+
+    def least(self, number: int, questions: int) -> np.ndarray:
+        """What a new hit has to reach, larger is better."""
+        held = self.scores.get(number)
+        return held[:, 0] if held is not None else np.full(questions, -np.inf)
+
+    def add(self, number: int, questions: int, at: np.ndarray, scores: np.ndarray) -> None:
+        """Hits of a block of questions: the question's place and the score, at most k of each."""
+        held = self.scores.get(number)
+        if held is None:
+            if questions > self.left:
+                return
+            self.left -= questions
+            held = self.scores[number] = np.full((questions, self.k), -np.inf)
+        new = np.full(held.shape, -np.inf)
+        order = np.argsort(at, kind="stable")
+        place = np.arange(len(at)) - np.searchsorted(at[order], at[order], "left")
+        new[at[order], place] = self.sign * scores[order]
+        both = np.concatenate([held, new], axis=1)
+        held[:] = np.sort(both, axis=1)[:, -self.k:]
+
+
+def _scan(path: str, rows: int, held: DataFrame, schema: T.StructType, k: int, metric: str) -> DataFrame:
+    """The k best nodes per question of each block of nodes, without those that the task knows k better ones of."""
     arrow = to_arrow_schema(schema)
-    labels = np.asarray(head.column("query_id").to_pylist())
-    q = _matrix(head.column("vector"))
-
-    def run(batches):
-        best = _BestHits(labels, q, k, metric, arrow)
-        for batch in batches:
-            rows = _usable(pa.Table.from_batches([batch]))
-            best.add(_ids(rows.column(0)), _matrix(rows.column("vector")), rows.select(arrow.names[3:]))
-        yield from best.table().combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        questions, floor = _Questions(path, rows, metric), _Floor(k, metric)
+        for table in _node_blocks(batches, NODE_BYTES):
+            table = _usable(table)
+            if not table.num_rows:
+                continue
+            ids, m, carried = _ids(table.column(0)), _matrix(table.column("vector")), table.select(arrow.names[3:])
+            for number, (labels, q) in enumerate(questions):
+                least, reach = floor.least(number, len(q)), floor.sign * _reach(q, m, metric)
+                # A bound that falls short by no more than rounding may still be reached.
+                slack = 1e-9 * np.maximum(1.0, np.abs(reach)) + 1e-9 * _magnitude(q, m, metric)
+                able = np.flatnonzero(reach + slack >= least)
+                if not len(able):
+                    continue
+                best = _BestHits(labels[able], q[able], k, metric, arrow)
+                best.add(ids, m, carried)
+                if best.found is None:
+                    continue
+                at, scores = able[best.found[0]], best.found[2]
+                found = best.table().filter(pa.array(floor.sign * scores >= least[at]))
+                floor.add(number, len(q), at, scores)
+                yield from found.combine_chunks().to_batches()
 
     return held.mapInArrow(run, schema)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from docflow.operators.collections import open_collection
 from docflow.operators.similarity import BATCH_BYTES, top_k
 from docflow.plans.embedding import embed_hashed
 
@@ -21,6 +22,11 @@ def search(questions: DataFrame, nodes: DataFrame, k: int = 2, metric: str = "co
     return top_k(asked, nodes, k, metric, carry=carry, batch_bytes=batch_bytes)
 
 
+def search_collection(spark: SparkSession, root: str, name: str, questions: DataFrame, k: int = 2, metric: str = "cosine", **how) -> DataFrame:
+    """`search` among the nodes of a collection, with the vectors they were stored with; nothing but the questions is embedded."""
+    return search(questions, open_collection(spark, root, name), k, metric, **how)
+
+
 def attach(hits: DataFrame, nodes: DataFrame, columns: list[str], node_id: str = "node_id") -> DataFrame:
     """Hits with wide columns of their nodes, such as texts; narrow ones travel cheaper by `carry`.
 

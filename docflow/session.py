@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+#: What file systems are called outside of Spark, where it has another name for them.
+STORES = {"s3a": "s3", "s3n": "s3"}
+
 RUNTIME_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -51,6 +56,13 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def task_files(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it, for tasks that read or write files themselves."""
+    path = re.sub("^file:/+", "/", path)
+    scheme, mark, rest = path.partition("://")
+    return fs.FileSystem.from_uri(f"{STORES.get(scheme, scheme)}{mark}{rest}")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
@@ -62,6 +74,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: durable, and with a size that joins are planned by."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a scan over all cores, for work that costs far more than moving them.
 

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docflow.functions import paths
 from docflow.functions.text import decode_text, has_text, html_to_text, strict_utf8
-from docflow.operators.quality import quarantine
+from docflow.operators.quality import good
 from docflow.operators.rules import SUPPORTED_EXTENSIONS
+from docflow.session import work_path
 from docflow.sources.office import READERS, parse_files
 
 
 Readers = dict[str, Callable[[bytes], str]]
 #: Files that one scan is given by name.
 NAMED_FILES = 20_000
+FILE = "file_path string, file_name string, file_extension string, last_modified timestamp, file_size long, content binary"
 
 
 def scan_files(spark: SparkSession, root: str | list[str], glob: str | None = None) -> DataFrame:
@@ -42,26 +43,35 @@ def extension_glob(extensions: list[str]) -> str:
     return "{" + ",".join(f"*.{letters(e)}" for e in extensions) + "}"
 
 
+def read_paths(spark: SparkSession, listed: DataFrame, named: int = NAMED_FILES) -> DataFrame:
+    """The files named by `file_path`, with their content.
+
+    A scan is told the files it reads, so their names pass through the driver:
+    `named` of them at a time. If there are more, each batch is written to the
+    shared folder before the next one's names are fetched.
+    """
+    batches = max(1, -(-listed.count() // named))
+    path = work_path(spark, "files") if batches > 1 else None
+    for i in range(batches):
+        part = listed.select("file_path").filter(F.pmod(F.xxhash64("file_path"), F.lit(batches)) == i).distinct().collect()
+        names = [re.sub(r"([\[\]{}*?\\])", r"\\\1", r["file_path"]) for r in part]
+        if path is None:
+            return scan_files(spark, names) if names else spark.createDataFrame([], FILE)
+        if names:
+            scan_files(spark, names).write.parquet(f"{path}/batch={i}")
+    return spark.read.schema(FILE).parquet(f"{path}/batch=*")
+
+
 def read_files(spark: SparkSession, root: str, extensions: list[str] = SUPPORTED_EXTENSIONS,
                condition: Column | None = None, named: int = NAMED_FILES) -> DataFrame:
     """Files with an allowed extension that also meet `condition` on their metadata.
 
     A scan reads the content of every file it lists before a filter sees the
     row. So the metadata is filtered first, and only the kept files are read,
-    about `named` of them in each scan; that many paths are on the driver at once.
+    by `read_paths`.
     """
-    glob = extension_glob(extensions)
-    files = scan_files(spark, root, glob).filter(F.col("file_extension").isin(*extensions))
-    if condition is None:
-        return files
-    kept = files.filter(condition).select("file_path")
-    scans = []
-    batches = -(-kept.count() // named)
-    for i in range(batches):
-        part = kept.filter(F.pmod(F.xxhash64("file_path"), F.lit(batches)) == i).collect()
-        if part:
-            scans.append(scan_files(spark, [re.sub(r"([\[\]{}*?\\])", r"\\\1", r["file_path"]) for r in part]))
-    return reduce(DataFrame.unionByName, scans) if scans else files.filter(F.lit(False))
+    files = scan_files(spark, root, extension_glob(extensions)).filter(F.col("file_extension").isin(*extensions))
+    return files if condition is None else read_paths(spark, files.filter(condition).select("file_path"), named)
 
 
 def vault_results(spark: SparkSession, root: str) -> DataFrame:
@@ -72,7 +82,7 @@ def vault_results(spark: SparkSession, root: str) -> DataFrame:
 
 def read_vault(spark: SparkSession, root: str) -> DataFrame:
     """The good rows of `vault_results`."""
-    return quarantine(vault_results(spark, root))[0]
+    return good(vault_results(spark, root))
 
 
 def with_error(docs: DataFrame, why: str) -> DataFrame:
@@ -99,7 +109,7 @@ def extract_results(files: DataFrame, readers: Readers | None = None) -> DataFra
 
 def extract_text(files: DataFrame, drop_blank: bool = True, readers: Readers | None = None) -> DataFrame:
     """The good rows of `extract_results`, blank texts only if asked for."""
-    docs, _ = quarantine(extract_results(files, readers))
+    docs = good(extract_results(files, readers))
     return docs.filter(has_text(F.col("text"))) if drop_blank else docs
 
 
@@ -119,4 +129,4 @@ def decode_results(files: DataFrame, readers: Readers | None = None) -> DataFram
 
 def decode_cascade(files: DataFrame, readers: Readers | None = None) -> DataFrame:
     """The good rows of `decode_results`."""
-    return quarantine(decode_results(files, readers))[0]
+    return good(decode_results(files, readers))

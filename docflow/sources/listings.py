@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docflow.functions import paths
 from docflow.functions.text import strict_utf8
-from docflow.operators.quality import quarantine
+from docflow.operators.quality import good, quarantine
 from docflow.sources.files import Readers, decode_results, with_error
 
 
@@ -14,8 +14,20 @@ def _with_names(entries: DataFrame) -> DataFrame:
     return entries.withColumn("file_extension", paths.file_extension(F.col("file_name")))
 
 
-def with_content(entries: DataFrame, blobs: DataFrame) -> DataFrame:
-    """All entries with their content; `_error` on those whose content never arrived."""
+def land_contents(blobs: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """Write contents (path, content) as a table in buckets of their path, so that listings can be joined where they lie."""
+    writer = blobs.repartition(buckets, "path").write.mode("overwrite").bucketBy(buckets, "path").sortBy("path")
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
+
+
+def with_content(entries: DataFrame, blobs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """All entries with their content; `_error` on those whose content never arrived.
+
+    If `blobs` is a table that `land_contents` wrote in so many `buckets`, only
+    the entries are moved, and no content.
+    """
+    if buckets is not None:
+        entries = entries.repartition(buckets, "file_path")
     content = blobs.select(F.col("path").alias("file_path"), F.struct("content").alias("_blob"))
     joined = entries.join(content, "file_path", "left")
     return joined.select(*entries.columns, F.col("_blob.content").alias("content"),
@@ -44,40 +56,40 @@ def from_repo(files: DataFrame, skip_dirs: list[str] = (), skip_extensions: list
     return files.filter(path_condition(F.col(path), list(skip_dirs), list(skip_extensions)))
 
 
-def repo_tree_results(tree: DataFrame, blobs: DataFrame) -> DataFrame:
+def repo_tree_results(tree: DataFrame, blobs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Every blob of a repository tree with its text, or with `_error`: no content, or not UTF-8."""
     return _decoded(with_content(_with_names(tree.filter(F.col("type") == "blob").select(
         F.col("path").alias("file_path"), F.col("name").alias("file_name"),
-        paths.modified_at(F.col("committed_date"), "iso").alias("last_modified"))), blobs))
+        paths.modified_at(F.col("committed_date"), "iso").alias("last_modified"))), blobs, buckets))
 
 
-def from_repo_tree(tree: DataFrame, blobs: DataFrame) -> DataFrame:
+def from_repo_tree(tree: DataFrame, blobs: DataFrame, buckets: int | None = None) -> DataFrame:
     """The good rows of `repo_tree_results`."""
-    return quarantine(repo_tree_results(tree, blobs))[0]
+    return good(repo_tree_results(tree, blobs, buckets))
 
 
-def drive_results(entries: DataFrame, blobs: DataFrame, readers: Readers | None = None) -> DataFrame:
+def drive_results(entries: DataFrame, blobs: DataFrame, readers: Readers | None = None, buckets: int | None = None) -> DataFrame:
     """Every file of a recursive drive listing, all of its pages, with its text or with `_error`."""
     files = with_content(_with_names(entries.filter(F.col("tag") == "file").select(
         F.col("path_display").alias("file_path"), F.col("name").alias("file_name"),
-        paths.modified_at(F.col("client_modified"), "iso").alias("last_modified"))), blobs)
+        paths.modified_at(F.col("client_modified"), "iso").alias("last_modified"))), blobs, buckets)
     arrived, missing = quarantine(files)
     return decode_results(arrived, readers).unionByName(missing.drop("content").withColumn("text", F.lit(None).cast("string")))
 
 
-def from_drive_listing(entries: DataFrame, blobs: DataFrame, readers: Readers | None = None) -> DataFrame:
+def from_drive_listing(entries: DataFrame, blobs: DataFrame, readers: Readers | None = None, buckets: int | None = None) -> DataFrame:
     """The good rows of `drive_results`."""
-    return quarantine(drive_results(entries, blobs, readers))[0]
+    return good(drive_results(entries, blobs, readers, buckets))
 
 
-def graph_results(items: DataFrame, blobs: DataFrame) -> DataFrame:
+def graph_results(items: DataFrame, blobs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Every item with a file facet and a download link of a flat drive listing, with its text or with `_error`."""
     return _decoded(with_content(_with_names(
         items.filter(F.col("file").isNotNull() & (F.coalesce("download_url", F.lit("")) != ""))
         .select(F.col("name").alias("file_path"), F.col("name").alias("file_name"),
-                paths.modified_at(F.col("lastModifiedDateTime"), "iso").alias("last_modified"))), blobs))
+                paths.modified_at(F.col("lastModifiedDateTime"), "iso").alias("last_modified"))), blobs, buckets))
 
 
-def from_graph_items(items: DataFrame, blobs: DataFrame) -> DataFrame:
+def from_graph_items(items: DataFrame, blobs: DataFrame, buckets: int | None = None) -> DataFrame:
     """The good rows of `graph_results`."""
-    return quarantine(graph_results(items, blobs))[0]
+    return good(graph_results(items, blobs, buckets))

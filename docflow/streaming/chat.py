@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from docflow.operators import store
 from docflow.operators.chat import PART_TURNS, session_history
 from docflow.operators.collections import read_stored
 from docflow.operators.ordered import part_of
@@ -63,13 +64,13 @@ def stored_turns(spark: SparkSession, table: str) -> DataFrame:
     return spark.read.parquet(table).drop("buckets", "bucket")
 
 
-def stream_session_upsert(turns: DataFrame, table: str, histories: str, checkpoint: str,
-                          buckets: int = BUCKETS, trigger: dict | None = None) -> StreamingQuery:
+def stream_session_upsert(turns: DataFrame, table: str, histories: str, checkpoint: str, buckets: int = BUCKETS,
+                          trigger: dict | None = None, compact_every: int = 20) -> StreamingQuery:
     """Store turns and rewrite the history parts a batch touches.
 
-    Each batch writes them under its own number, so running it again replaces
-    them. `latest_histories` reads the longest of each part: turns are only
-    added, so that is the newest, also when a lost checkpoint restarts the numbers.
+    Histories are kept in a store: a batch adds its parts in one step, later
+    ones count, and every so many batches buckets in many parts are rewritten
+    with the last ones alone. A batch run again adds the same parts once more.
     """
     def upsert(batch: DataFrame, number: int) -> None:
         store_turns(batch, table, buckets)
@@ -80,12 +81,40 @@ def stream_session_upsert(turns: DataFrame, table: str, histories: str, checkpoi
             return
         turns_of = (stored.withColumn("part", part)
                     .join(changed, ["session_id", "part"], "left_semi").drop("buckets", "bucket", "part"))
-        session_history(turns_of).write.mode("overwrite").parquet(f"{histories}/batch={number}")
+        add_histories(session_history(turns_of), histories, buckets)
+        if number % compact_every == compact_every - 1:
+            compact_histories(batch.sparkSession, histories)
 
     return (turns.writeStream.foreachBatch(upsert)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
+def add_histories(parts: DataFrame, histories: str, buckets: int = store.BUCKETS) -> None:
+    """Add parts (session_id, part, history) to a store of histories; they count instead of earlier ones."""
+    spark = parts.sparkSession
+    held = store.manifest(spark, histories)
+    version, buckets = (held.version + 1, held.buckets) if held else (1, buckets)
+    rows = parts.withColumns({"bucket": store.bucket_of("session_id", buckets), "version": F.lit(version).cast("long")})
+    written = store.write_part(rows.hint("rebalance", "bucket"), histories, "histories", version)
+    if written:
+        replaced = spark.read.parquet(f"{histories}/{written.path}").count() if held else 0  # at most: they may be new
+        store.commit(spark, histories, held, {"histories": written}, stale=(held.stale if held else 0) + replaced, buckets=buckets)
+
+
+def _last_parts(rows: DataFrame) -> DataFrame:
+    rest = [c for c in rows.columns if c not in ("session_id", "part")]
+    return rows.groupBy("session_id", "part").agg(F.max_by(F.struct(*rest), "version").alias("_last")).select("session_id", "part", "_last.*")
+
+
+def compact_histories(spark: SparkSession, histories: str, many: int = store.MANY_PARTS, keep: int = 2) -> None:
+    """Rewrite buckets in more than `many` parts with the last version of each history part; delete what is no longer read."""
+    store.compact(spark, histories, lambda tables: {"histories": _last_parts(tables["histories"])}, many, keep)
+
+
 def latest_histories(spark: SparkSession, histories: str) -> DataFrame:
-    written = spark.read.parquet(histories)
-    return written.groupBy("session_id", "part").agg(F.max_by("history", F.size("history")).alias("history"))
+    """The last version of each part; nothing is grouped if there is only one."""
+    held = store.manifest(spark, histories)
+    rows = store.read_table(spark, histories, held, "histories")
+    if rows is None:
+        return spark.createDataFrame([], "session_id string, part bigint, history array<string>")
+    return (_last_parts(rows) if held.stale else rows).select("session_id", "part", "history")

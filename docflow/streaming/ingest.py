@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docflow.functions import paths
-from docflow.operators.collections import write_collection
+from docflow.operators.collections import compact_collection, update_collection, write_collection
+from docflow.operators.store import BUCKETS
 from docflow.plans.embedding import embed_hashed
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -30,3 +31,25 @@ def stream_ingest(files: DataFrame, to_nodes: Callable[[DataFrame], DataFrame],
     return (files.writeStream.foreachBatch(
                 lambda batch, _: write_collection(to_nodes(batch), root, name, embed=embed))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def stream_update(files: DataFrame, to_docs: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame], root: str, name: str,
+                  checkpoint: str, embed: Callable[[DataFrame], DataFrame] = embed_hashed, compact_every: int = 20,
+                  trigger: dict | None = None, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keep a collection by documents from files as they land: the last file of a document replaces its nodes.
+
+    `to_docs` turns a batch's files into documents; of several in one batch
+    that are one document, the one modified last counts. Only the buckets of a
+    batch's documents are read. Buckets are compacted every so many batches. A
+    batch run again after a failure finds nothing to change.
+    """
+    def update(batch: DataFrame, number: int) -> None:
+        docs = to_docs(batch)
+        rest = [c for c in docs.columns if c != "doc_id"]
+        last = docs.groupBy("doc_id").agg(F.max_by(F.struct(*rest), F.struct("last_modified", "file_path")).alias("_d")).select("doc_id", "_d.*")
+        update_collection(last, cut, root, name, embed, buckets=buckets)
+        if number % compact_every == compact_every - 1:
+            compact_collection(batch.sparkSession, root, name)
+
+    return (files.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())

@@ -73,7 +73,7 @@ def compare(spark, name, folder):
 if __name__ == "__main__":
     import __spark_entry__ as entry
 
-    spark = session()
+    spark = session(__import__("os").environ.get("TEST_CPUS", "8"))
     folder = sys.argv[1]
     failed = 0
     for name in sys.argv[2:] or entry.queries():

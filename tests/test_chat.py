@@ -1,10 +1,11 @@
 import glob
 import os
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from docflow.operators import chat, context
+from docflow.operators import chat, context, store
 from docflow.operators.ordered import rank_rows, running_sums
 from docflow.schema import CHAT
 from docflow.streaming import chat as stream
@@ -191,3 +192,43 @@ def test_context_and_prompts(spark):
         asked, lines, packed.withColumnRenamed("query_id", "session_id"), "Be brief.").collect()}
     assert prompts["q"] == "Be brief.\n\nHistory:\nUser: a\nAssistant: b\n\nContext:\na b\n\nc d\n\nQuestion: why?"
     assert prompts["r"] == "Be brief.\n\nHistory:\n\n\nContext:\n\n\nQuestion: how?"
+
+
+def test_packed_transcripts(spark, folder):
+    """Few files, a range per session and file; a huge session goes on in the next file; letters of several bytes."""
+    rows = [(f"s{i}", t, "user", f"türkçe 😊 {i} {t}\nsecond line") for i in range(20) for t in range(3)]
+    rows += [("s5x", t, "assistant", f"line {t}") for t in range(2000)] + [("blank", 1, "user", None)]
+    turns = spark.createDataFrame(rows, CHAT).repartition(5)
+    chat.pack_transcripts(turns, folder, 4)
+    assert len(list(Path(f"{folder}/files").glob("*.txt"))) <= 4
+    want = {}
+    for session, turn, role, text in sorted(rows, key=lambda r: (r[0], r[1])):
+        head = f"CHAT HISTORY ({session})\n{'-' * 50}\n"
+        want[session] = want.get(session, head) + f"{role.capitalize()}: {text or ''}\n"
+    got = {}
+    for r in sorted(chat.read_transcripts(spark, folder).collect(), key=lambda r: (r.session_id, r.line_no)):
+        got[r.session_id] = got.get(r.session_id, "") + r.text
+    assert got == want
+    (own,) = chat.read_transcripts(spark, folder, F.col("session_id") == "s7").collect()
+    assert (own.line_no, own.text) == (-2, want["s7"])
+    assert chat.read_transcripts(spark, folder, F.col("session_id") == "nobody").count() == 0
+
+
+def test_histories_are_compacted(spark, turns, folder):
+    """After compaction each part is stored once, in one part of the store, and later batches count on top of it."""
+    def held():
+        return sorted((r.session_id, r.part, r.history) for r in stream.latest_histories(spark, folder).collect())
+
+    assert stream.latest_histories(spark, f"{folder}/none").count() == 0
+    for last in (1, 2, 9):
+        stream.add_histories(chat.session_history(turns.filter(F.col("turn") <= last), 2), folder)
+    want = sorted((r.session_id, r.part, r.history) for r in chat.session_history(turns, 2).collect())
+    assert held() == want
+    assert store.manifest(spark, folder).stale > 0
+    stream.compact_histories(spark, folder, many=0, keep=1)
+    now = store.manifest(spark, folder)
+    assert now.stale == 0 and len(now.parts["histories"]) == 1 and held() == want
+    assert store.read_table(spark, folder, now, "histories").count() == len(want)
+    assert len(store._names(spark, f"{folder}/histories")) == 1
+    stream.add_histories(spark.createDataFrame([("user_1", 0, ["User: new"])], "session_id string, part long, history array<string>"), folder)
+    assert ("user_1", 0, ["User: new"]) in held() and len(held()) == len(want)

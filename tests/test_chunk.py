@@ -1,9 +1,11 @@
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from docflow.functions.units import pattern_unit, tokenizer_unit, units_in
 from docflow.operators import chunk
 
 
@@ -134,3 +136,73 @@ def test_markdown_tilde_fences_and_control_characters(spark):
     rows = sorted(chunk.split_markdown(texts(spark, [text])).collect(), key=lambda r: r.section_no)
     assert [(r.level, r.heading, r.header_path) for r in rows] == [(0, "", ""), (1, "A", ""), (2, "B", "A")]
     assert rows[1].text == "# A\none \x01 two\n~~~\n## not\n~~~\n```\n# no\n```"
+
+
+def pack(pieces, size, overlap):
+    """Greedy packing of (text, words) pieces, the last ones of a chunk repeated up to `overlap` words; first and last piece of each chunk."""
+    packed, first, words = [], 0, 0
+    for i, (_, n) in enumerate(pieces):
+        if i > first and words + n > size:
+            packed.append((first, i - 1))
+            room, start, words = min(overlap, size - n), i, 0
+            while start > first and words + pieces[start - 1][1] <= room:
+                start -= 1
+                words += pieces[start][1]
+            first = start
+        words += n
+    return packed + ([(first, len(pieces) - 1)] if pieces else [])
+
+
+def test_paragraph_runs_are_those_of_the_plain_packer_and_in_place(spark):
+    source = random.Random(9)
+    parts = ["a b", "c", "d e f g h i j", " ", "", "[[link]]", "\n\n", "\n---\n", "\n-----\n", "x [[y]] z", "\t", "é 日"]
+    given = [None, "", " \n\n ", "[[only]]", "\n\nlead", "a\n\nb\n---\nc [[link]] d"] + [
+        "".join(source.choice(parts) for _ in range(source.randint(0, 25))) for _ in range(200)]
+    for size, overlap in [(4, 2), (3, 0), (9, 5), (1, 0)]:
+        rows = chunk.chunk_paragraph_runs(texts(spark, given), size=size, overlap=overlap).collect()
+        for i, text in enumerate(given):
+            pieces = []
+            for paragraph in re.split(r"\n\n|\n-{3,}\n|\[\[.*?\]\]", text or ""):
+                own = paragraph.split()
+                pieces += [(own[j:j + size], len(own[j:j + size])) for j in range(0, len(own), size)]
+            chunks = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.chunk_no)
+            want = pack(pieces, size, overlap)
+            assert [r.n_words for r in chunks] == [sum(n for _, n in pieces[a:b + 1]) for a, b in want], text
+            for r, (a, b) in zip(chunks, want):
+                assert text[r.start_char:r.end_char] == r.text == r.text.strip()
+                assert r.text.startswith(" ".join(pieces[a][0][:1])) and r.text.endswith(pieces[b][0][-1])
+                bare = re.sub(r"\[\[.*?\]\]|\n-{3,}\n", " ", r.text).split()
+                assert bare == [w for own, _ in pieces[a:b + 1] for w in own]
+
+
+def test_packing_takes_time_in_proportion_to_the_text(spark):
+    def seconds(n):
+        text = " ".join(f"w{i}." if i % 11 == 0 else f"w{i}" for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string").cache()
+        docs.count()
+        start = time.time()
+        found = chunk.chunk_sentences(docs).agg({"n_words": "sum"}).first()[0]
+        assert found >= n
+        return time.time() - start
+
+    seconds(1000)
+    short, long = min(seconds(60_000) for _ in range(2)), seconds(480_000)
+    assert long < 24 * max(short, 0.1)  # eight times the words; a quadratic plan takes 64 times as long
+
+
+def test_units_other_than_words(spark):
+    """Tokens by a pattern and by a tokenizer: pieces join to the text, chunks are substrings of so many tokens."""
+    def load():
+        def starts(batch):  # two tokens for the first character of each word, as a byte-level tokenizer may give
+            return [[p for m in re.finditer(r"\s*\S+", t) for p in (m.start(), m.start())] for t in batch]
+        return starts
+
+    given = [None, "", "  ", " ab cdefg, é!", "日本語 text\n", "a" * 30]
+    docs = texts(spark, given)
+    for unit in (pattern_unit("[A-Za-z0-9]{1,4}"), tokenizer_unit(load)):
+        found = {r.doc_id: r for r in docs.select("doc_id", "text", unit(docs.text).alias("u"), units_in(unit, docs.text).alias("n")).collect()}
+        assert all("".join(r.u or []) == (r.text or "").lstrip() and r.n == len(r.u or []) for r in found.values())
+        rows = chunk.chunk_words(docs, 3, 1, unit=unit).collect()
+        assert all(r.text == given[r.doc_id][r.start_char:r.end_char] and 1 <= r.n_words <= 3 for r in rows)
+    assert found[3].n == 6 and found[4].n == 4
+    assert [r.u for r in docs.filter("doc_id = 3").select(pattern_unit("[A-Za-z0-9]{1,4}")(docs.text).alias("u")).collect()] == [["ab ", "cdef", "g", ", ", "é", "!"]]

@@ -1,10 +1,12 @@
+import random
 import re
+import warnings
 
 import pytest
 from pyspark.sql import functions as F
 
 from docflow.functions import paths
-from docflow.operators import rules
+from docflow.operators import rules, ruletable
 from docflow.sources.listings import from_repo
 
 REPO = ["GUIDE.md", "app.py", "lib/io.py", "lib/sub/tests/case.py", "notes/log.txt", "pics/a.png", "tests/unit.py"]
@@ -105,3 +107,37 @@ def test_supported_extensions(spark):
     files = frame(spark, ["a.pdf", "b.exe", "old/c.TXT"]).withColumn(
         "file_extension", F.substring_index("file_path", ".", -1))
     assert kept(rules.apply_supported_rules(files, [], ["^old/"])) == ["a.pdf"]
+
+
+def test_literal_runs():
+    assert ruletable.literal_runs(r"^abc\.d+e?f[xy]*ghi\d$") == ["abc.d", "f", "ghi"]
+    assert ruletable.literal_runs(r"a(b)c") == ruletable.literal_runs("ab|cd") == ruletable.literal_runs("(?i)abc") == []
+    assert ruletable.literal_runs(r"\(ab\|c") == ["(ab|c"]
+
+
+def test_a_rule_table_keeps_what_the_rules_keep(spark):
+    source = random.Random(4)
+    alphabet = ["ab", "abc", "x.md", ".py", "/tests/", "temp_", "RT @", "https://", "é", "日本", "(", "#tag", "__pycache__", "", " "]
+    keys = ["".join(source.choice(alphabet) for _ in range(source.randint(0, 6))) for _ in range(300)] + [None, "", "ab"] + ["hot/tests/a"] * 200
+    frame_ = spark.createDataFrame(list(enumerate(keys)), "_g long, file_path string").withColumn("_rules", F.lit("own"))
+    presets = [p for listed in rules.PRESETS.values() for p in listed]
+    odd = ["abc", "a.c", r"\.md$", "^ab", "x", "(ab|x)", r"\(", "[", "日本", r"temp_+\.?", "éab*", r"/tests/.*\.py", "abcab"]
+    for include, exclude in [([], presets), (odd, []), (odd[:3], presets), (["["], ["abc"]), (["zzz"], []), ([], []), (odd[5:], odd[:1])]:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            table = spark.createDataFrame([(p, False) for p in include] + [(p, True) for p in exclude] * 2 + [(None, True)], "pattern string, exclude boolean")
+            got = ruletable.apply_rule_table(frame_, "file_path", table)
+            want = rules.apply_rules(frame_, "file_path", include, exclude)
+            assert got.columns == frame_.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_the_plan_of_a_rule_table_does_not_grow(spark):
+    def plan(n):
+        table = spark.createDataFrame([(f"name{i}x", True) for i in range(n)], "pattern string, exclude boolean")
+        text = ruletable.apply_rule_table(frame(spark, REPO), "file_path", table)._jdf.queryExecution().optimizedPlan().toString()
+        return len(re.sub(r"\d+", "", text))
+
+    assert plan(2000) == plan(3)
+    with pytest.raises(ValueError, match="without"):
+        ruletable.apply_rule_table(frame(spark, REPO), "file_path", spark.createDataFrame(
+            [(f"(n{i})", True) for i in range(ruletable.MOST_LOOSE + 1)], "pattern string, exclude boolean"))

@@ -120,3 +120,22 @@ def test_arguments_are_checked(spark):
 def test_normalised_vectors(spark):
     rows = vectors(spark, np.array([[3.0, 4.0], [0.0, 0.0]]), "id").select("id", l2_normalise(F.col("embedding")).alias("v"))
     assert {r.id: r.v for r in rows.collect()} == {0: [0.6, 0.8], 1: [0.0, 0.0]}
+
+
+@pytest.mark.parametrize("metric", similarity.METRICS)
+def test_questions_never_reach_the_driver_and_nodes_are_scanned_once(spark, folder, metric, monkeypatch):
+    """Many blocks of questions against many blocks of nodes, some of them out of reach of all questions."""
+    rng = np.random.default_rng(5)
+    nodes = np.concatenate([rng.normal(size=(300, 4)) + 50, rng.normal(size=(300, 4)), np.zeros((2, 4))])
+    queries = rng.normal(size=(200, 4))
+    vectors(spark, nodes, "node_id").repartition(2).write.parquet(f"{folder}/nodes")
+    asked = vectors(spark, queries, "query_id")
+    kind = type(asked)
+    with monkeypatch.context() as patch:
+        for name in ("toArrow", "toPandas", "collect"):
+            patch.setattr(kind, name, lambda *_, **__: pytest.fail("rows on the driver"))
+        patch.setattr(similarity, "NODE_BYTES", 1 << 12)
+        found = top_k(asked, spark.read.parquet(f"{folder}/nodes"), 3, metric, batch_bytes=600)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    assert got(found) == brute(queries, nodes, 3, metric)

@@ -2,13 +2,15 @@ import io
 import json
 import zipfile
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from docflow.functions.records import render_node, zset_members
 from docflow.functions.text import html_to_text
-from docflow.operators import metadata, quality
+from docflow.operators import chunk, collections, metadata, quality
+from docflow.plans.sync import sync_folder
 from docflow.schema import KV
 from docflow.sources import files, listings, records, tables
 from docflow.sources.office import DRAWING, LINK, PACKAGE, SHEET, SLIDE, WORD
@@ -274,3 +276,60 @@ def test_persisted_index(spark, tmp_path):
     assert (node.node_id, node.ref_doc_id, node.doc_hash, node.text) == ("n", "d", "h", "body")
     assert (node.start_char, node.end_char, node.embedding) == (0, 45, vector)
     assert node.metadata == {"page_label": "1", "file_size": "17278"}
+
+
+def test_files_are_named_in_batches(spark, folder):
+    """More files than one scan is told: each batch is written before the next; odd names are taken literally."""
+    names = [f"a{i}.txt" for i in range(5)] + ["b [1].txt", "{c}.txt", "d*.txt", "d1.txt"]
+    for name in names:
+        (Path(folder) / name).write_text(f"text of {name}")
+    listed = files.scan_files(spark, folder)
+    for named in (3, 100):
+        found = files.read_paths(spark, listed.filter("file_name <> 'd1.txt'").select("file_path"), named)
+        assert {r.file_name: bytes(r.content).decode() for r in found.collect()} == {n: f"text of {n}" for n in names if n != "d1.txt"}
+    assert files.read_paths(spark, listed.filter("false").select("file_path")).count() == 0
+
+
+def test_folder_sync_reads_changed_files_only(spark, folder):
+    """A file that changes in place, one that goes, one that cannot be read, and one with another extension."""
+    notes, root = Path(folder) / "notes", f"{folder}/index"
+    notes.mkdir()
+    read = []
+
+    def cut(docs):
+        read.append(sorted(r.file_name for r in docs.select("file_name").collect()))
+        return chunk.with_lineage(chunk.chunk_words(docs, 2, 0))
+
+    def run(**texts):
+        for name, text in texts.items():
+            (notes / f"{name}.txt").write_bytes(text)
+        return sync_folder(spark, str(notes), root, "n", cut=cut, extensions=["txt"])
+
+    def held():
+        return sorted(r.text for r in collections.open_collection(spark, root, "n", "create").collect())
+
+    (notes / "x.bin").write_bytes(b"no")
+    assert run(a=b"one two three", b=b"four", c=b"\xff") == {"added": 3, "changed": 0, "removed": 0}
+    assert held() == ["four", "one two", "three"]
+    assert run() == {"added": 0, "changed": 0, "removed": 0}
+    (notes / "b.txt").unlink()
+    assert run(a=b"changed", d=b"new") == {"added": 1, "changed": 1, "removed": 1}
+    assert held() == ["changed", "new"]
+    assert read == [["a.txt", "b.txt"], ["a.txt", "d.txt"]]
+
+
+def test_contents_are_joined_where_they_lie(spark, folder):
+    """Only the listing is shuffled to the buckets of the contents."""
+    blobs = spark.createDataFrame([(f"p{i}", f"text {i}".encode()) for i in range(50)], "path string, content binary")
+    listings.land_contents(blobs, "landed_contents", 4, f"{folder}/contents")
+    entries = spark.createDataFrame([(f"p{i}",) for i in range(0, 60, 2)], "file_path string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = listings.with_content(entries, spark.table("landed_contents"), 4)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE landed_contents")
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+    assert {r.file_path: r.content and bytes(r.content).decode() for r in rows} == {f"p{i}": f"text {i}" if i < 50 else None for i in range(0, 60, 2)}

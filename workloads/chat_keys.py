@@ -1,8 +1,11 @@
 """Chat history, key-value entries, issues, posts and task logs."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from docflow.functions.records import post_text, post_type
+from docflow.functions.units import pattern_unit, units_in
 from docflow.operators import chat, keyspace
 from docflow.operators.collections import open_collection
 from docflow.operators.metadata import lower_key
@@ -11,7 +14,7 @@ from docflow.plans.tasks import TaskLog, task_status as latest_status
 from docflow.session import work_path
 from docflow.sources.documents import ReaderSource
 from docflow.sources.records import from_issues, from_kv, from_posts, newest_per
-from docflow.streaming import chat as chat_stream
+from docflow.streaming import chat as chat_stream, entries as entry_stream
 from workloads.registry import query
 
 
@@ -101,6 +104,17 @@ def memory_window_user_first(t):
         "session_id", "turn", "role", "tokens_from_end")
 
 
+# The same fixed tokenizer as for chunks: four letters or digits at most, or any other character.
+@query("memory_window_tokens", """
+WITH turns AS (SELECT 'session_' || conv_id AS session_id, turn, role, len(regexp_extract_all(text, '[A-Za-z0-9]{1,4}|\\S')) AS tokens FROM conversations)
+SELECT session_id, turn, role, tokens_from_end FROM (
+  SELECT *, sum(tokens) OVER (PARTITION BY session_id ORDER BY turn DESC)::bigint AS tokens_from_end FROM turns)
+WHERE tokens_from_end <= 500""")
+def memory_window_tokens(t):
+    cost = units_in(pattern_unit("[A-Za-z0-9]{1,4}"), F.col("text"))
+    return chat.memory_window(turns(t), 500, cost).select("session_id", "turn", "role", "tokens_from_end")
+
+
 @query("transcript_export", TURNS_CTE + """
 SELECT session_id, turn AS line_no, line FROM turns
 UNION ALL SELECT DISTINCT session_id, -2, 'CHAT HISTORY (' || session_id || ')' FROM turns
@@ -146,6 +160,31 @@ def stream_session_upsert(t):
     return chat_stream.latest_histories(t.spark, histories).withColumn("history", F.array_join("history", "\n"))
 
 
+# Packed transcripts, read back by their byte ranges: the lines of the sessions that end in 4, in order.
+@query("packed_transcripts", TURNS_CTE + """
+SELECT session_id, 'CHAT HISTORY (' || session_id || ')' || chr(10) || repeat('-', 50) || chr(10) || string_agg(line, chr(10) ORDER BY turn) || chr(10) AS text
+FROM turns WHERE ends_with(session_id, '4') GROUP BY session_id""")
+def packed_transcripts(t):
+    folder = work_path(t.spark, "transcripts")
+    chat.pack_transcripts(turns(t), folder, 8)
+    parts = chat.read_transcripts(t.spark, folder, F.col("session_id").endswith("4"))
+    # A session that goes on in another file comes in several rows; here they are few.
+    whole = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+    return parts.groupBy("session_id").agg(F.array_join(F.transform(whole, lambda p: p["text"]), "").alias("text"))
+
+
+# Three batches of parts, the buckets rewritten behind the second and behind the last.
+@query("compacted_histories", TURNS_CTE + """
+SELECT session_id, turn // 2 AS part, string_agg(line, chr(10) ORDER BY turn) AS history FROM turns GROUP BY ALL""")
+def compacted_histories(t):
+    histories = work_path(t.spark, "histories")
+    for i, turn in enumerate((1, 4, 1000)):
+        chat_stream.add_histories(chat.session_history(turns(t).filter(F.col("turn") <= turn), 2), histories, 8)
+        if i:
+            chat_stream.compact_histories(t.spark, histories, many=1)
+    return chat_stream.latest_histories(t.spark, histories).withColumn("history", F.array_join("history", "\n"))
+
+
 def _landed_turns(t, files):
     """The turns as a stream of so many landed files, one file a batch."""
     landed = work_path(t.spark, "landed")
@@ -181,6 +220,43 @@ def kv_documents(t):
     return from_kv(entries(t), "kv")
 
 
+# Members of equal score go by name; the user's own entry has half the score of the other two.
+@query("kv_sorted_sets", """
+SELECT '["' || CASE WHEN k = 0 THEN 'a","b","u' || user_id ELSE 'u' || user_id || '","a","b' END || '"]' AS text, 'board:' || event_id AS file_path
+FROM (SELECT *, (props->>'$.k')::double AS k FROM events)""")
+def kv_sorted_sets(t):
+    k = F.get_json_object("props", "$.k").cast("double")
+    member = lambda name, score: F.struct(name.alias("member"), score.alias("score"))
+    boards = t.events.select(
+        F.concat(F.lit("board:"), "event_id").alias("key"), F.lit("zset").alias("kind"), F.lit(None).cast("string").alias("s"),
+        F.lit(None).cast("map<string,string>").alias("h"), F.lit(None).cast("array<string>").alias("l"),
+        F.array(member(F.lit("b"), k), member(F.concat(F.lit("u"), "user_id"), k / 2), member(F.lit("a"), k)).alias("z"),
+        F.lit(None).cast("bigint").alias("ttl_s"))
+    return from_kv(boards, "kv").select("text", "file_path")
+
+
+# Events write entries under their user with the time to live that k gives, in four batches of any order. What has expired
+# by the time of the last event is removed, and the same call once more finds nothing.
+@query("stream_expiry", """
+WITH w AS (SELECT 'user:' || user_id AS key, ts, event_id, (props->>'$.k')::int * 3600 AS ttl FROM events),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) AS n FROM w) WHERE n = 1)
+SELECT key, event_id, CASE WHEN ts + to_seconds(ttl) > (SELECT max(ts) FROM events) THEN 'live' ELSE 'expired' END AS state FROM last""")
+def stream_expiry(t):
+    root, landed = work_path(t.spark, "entries"), work_path(t.spark, "landed")
+    writes = t.events.select(F.concat(F.lit("user:"), "user_id").alias("key"), F.col("ts").alias("written_at"), "event_id",
+                             (F.get_json_object("props", "$.k").cast("bigint") * 3600).alias("ttl_s"))
+    writes.repartition(4).write.parquet(landed)
+    stream = t.spark.readStream.schema(writes.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    order = ("written_at", "event_id")
+    entry_stream.stream_entries(stream, root, work_path(t.spark, "stream"), order, compact_every=3, buckets=8).awaitTermination()
+    now = t.events.agg(F.max("ts")).first()[0]
+    gone = entry_stream.expire_entries(t.spark, root, now, order)
+    again = entry_stream.expire_entries(t.spark, root, now, order)
+    live = entry_stream.live_entries(t.spark, root, now, order)
+    states = [(gone, "expired"), (again, "expired again"), (live, "live")]
+    return reduce(lambda a, b: a.union(b), [rows.select("key", "event_id", F.lit(state).alias("state")) for rows, state in states])
+
+
 @query("keyspace_summary", """
 SELECT event_type AS prefix, CASE event_type WHEN 'click' THEN 'string' WHEN 'view' THEN 'hash' WHEN 'purchase' THEN 'list'
        WHEN 'signup' THEN 'set' ELSE 'stream' END AS kind, count(*) AS n_keys FROM events GROUP BY ALL""")

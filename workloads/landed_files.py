@@ -1,17 +1,49 @@
 """Landed listings, contents and written files. Pages and documents stand in for the files of a source."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docflow.functions import paths
 from docflow.operators import chat, chunk, collections
-from docflow.session import spread, work_path
+from docflow.plans.sync import sync_folder
+from docflow.session import spread, task_files, work_path
 from docflow.sources import files, listings
-from docflow.streaming.ingest import landed_files, stream_ingest
+from docflow.streaming.ingest import landed_files, stream_ingest, stream_update
 from workloads.chat_keys import TURNS_CTE, turns
 from workloads.registry import query
 from workloads.rules_metadata import PATH_SQL, page_paths
 from workloads.text_search import chunk_cte, html_sql
 
+def land(rows, folder, gone=None):
+    """Write rows (name, content) as files of a folder, each by the task that has it; delete those that `gone` names."""
+    def write(batches):
+        for batch in batches:
+            system, place = task_files(folder)
+            for name, content in zip(batch["name"], batch["content"]):
+                path = f"{place}/{name}"
+                if content is None:
+                    system.delete_file(path)
+                    continue
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(path) as file:
+                    file.write(content)
+            yield batch[["name"]]
+
+    rows = rows.select("name", F.col("text").cast("binary").alias("content"))
+    if gone is not None:
+        rows = rows.union(gone.select("name", F.lit(None).cast("binary")))
+    rows.mapInPandas(write, "name string").count()
+
+
+def note_name():
+    return F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name")
+
+
+def name_of_file():
+    return F.regexp_extract("file_path", r"([^/]+/[^/]+)$", 1).alias("name")
+
+
 FOLDER_SQL = f"{PATH_SQL} || '/' || page_id AS file_path"
 
 
@@ -60,6 +92,18 @@ def repo_tree_documents(t):
         "file_path", "file_name", "file_extension", F.date_format("last_modified", "yyyy-MM-dd").alias("day"), "text")
 
 
+# The same tree, its contents landed in buckets of their path.
+@query("bucketed_tree_documents", f"""
+SELECT {FOLDER_SQL}, 'html' AS file_extension, html AS text FROM pages WHERE starts_with(url, 'https')""")
+def bucketed_tree_documents(t):
+    listed, contents = landed_pages(t)
+    table = f"contents_{uuid.uuid4().hex}"
+    listings.land_contents(contents, table, 8, work_path(t.spark, "contents"))
+    tree = listed.select(F.when(F.col("url").startswith("https"), "blob").otherwise("tree").alias("type"), "path", "name",
+                         F.lit("2024-05-01T10:00:00").alias("committed_date"))
+    return listings.from_repo_tree(tree, t.spark.table(table), 8).select("file_path", "file_extension", "text")
+
+
 @query("drive_documents", f"""
 SELECT {FOLDER_SQL}, 'html' AS file_extension, html AS text FROM pages WHERE NOT contains(url, '/es/')""")
 def drive_documents(t):
@@ -197,3 +241,65 @@ def stream_file_ingest(t):
     stream_ingest(landed, cut, root, "transcripts", work_path(t.spark, "stream")).awaitTermination()
     stored = collections.open_collection(t.spark, root, "transcripts")
     return stored.groupBy(session_of_file()).agg(F.sum("n_words").alias("n_words"))
+
+
+# A folder of notes in three states: without one source and with another one changed; as it should be; with a third one deleted.
+@query("folder_sync", chunk_cte(256, 20, "SELECT source || '/' || doc_id || '.txt' AS doc_id, text FROM documents WHERE source <> 'src7'") + """
+SELECT doc_id AS name, chunk_no, text FROM chunks
+UNION ALL
+SELECT 'run ' || n, 0, CASE n WHEN 1 THEN b - x5 || ' added, 0 changed, 0 removed' WHEN 2 THEN x5 || ' added, ' || x3 || ' changed, 0 removed'
+                              WHEN 3 THEN '0 added, 0 changed, ' || x7 || ' removed' ELSE '0 added, 0 changed, 0 removed' END
+FROM range(1, 5) r(n), (SELECT count(*) AS b, count(*) FILTER (source = 'src5') AS x5, count(*) FILTER (source = 'src3') AS x3,
+                               count(*) FILTER (source = 'src7') AS x7 FROM documents)""")
+def folder_sync(t):
+    root, folder = work_path(t.spark, "index"), work_path(t.spark, "notes")
+    notes = spread(t.documents.select("source", "doc_id", note_name(), "text"))
+    runs = []
+
+    def run():
+        counts = sync_folder(t.spark, folder, root, "notes", extensions=["txt"], key=lambda path: F.regexp_extract(path, r"([^/]+/[^/]+)$", 1),
+                             cut=lambda docs: chunk.with_lineage(chunk.chunk_words(docs, 256, 20)), buckets=8)
+        runs.append((f"run {len(runs) + 1}", 0, ", ".join(f"{n} {kind}" for kind, n in counts.items())))
+
+    land(notes.filter("source <> 'src5'").withColumn("text", F.when(F.col("source") == "src3", F.concat(F.lit("draft "), "text")).otherwise(F.col("text"))), folder)
+    run()
+    land(notes.filter("source in ('src3', 'src5')"), folder)
+    run()
+    land(notes.limit(0), folder, gone=notes.filter("source = 'src7'"))
+    run()
+    run()
+    stored = collections.open_collection(t.spark, root, "notes").select(name_of_file(), "chunk_no", "text")
+    return stored.union(t.spark.createDataFrame(runs, "name string, chunk_no int, text string"))
+
+
+# Notes land twice, the second time below another folder and changed; the last one of each counts.
+@query("stream_file_update", chunk_cte(256, 20, "SELECT source || '/' || doc_id || '.txt' AS doc_id, text FROM documents") + """
+SELECT doc_id AS name, chunk_no, text FROM chunks""")
+def stream_file_update(t):
+    root, folder, checkpoint = (work_path(t.spark, name) for name in ("index", "notes", "stream"))
+    notes = spread(t.documents.select("source", note_name(), "text"))
+
+    def to_docs(batch):
+        return files.extract_text(batch).withColumn("doc_id", name_of_file())
+
+    def cut(docs):
+        return chunk.with_lineage(chunk.chunk_words(docs, 256, 20))
+
+    early = notes.filter("source <> 'src5'").withColumn("text", F.when(F.col("source") == "src3", F.upper("text")).otherwise(F.col("text")))
+    for day, rows in (("1", early), ("2", notes.filter("source in ('src3', 'src5')"))):
+        land(rows.withColumn("name", F.concat(F.lit(f"day{day}/"), "name")), folder)
+        stream_update(landed_files(t.spark, folder, "*.txt"), to_docs, cut, root, "notes", checkpoint, compact_every=2, buckets=8).awaitTermination()
+    return collections.open_collection(t.spark, root, "notes").select(F.col("doc_id").alias("name"), "chunk_no", "text")
+
+
+# Pages as notes of a vault; the French ones are not UTF-8 and are left out, as are files with another extension.
+@query("vault_documents", """
+SELECT page_id || CASE WHEN page_id % 2 = 0 THEN '.md' ELSE '.MD' END AS file_name, 'md' AS file_extension, html AS text
+FROM pages WHERE NOT contains(url, '/fr/') AND NOT contains(url, '/es/')""")
+def vault_documents(t):
+    folder = work_path(t.spark, "vault")
+    page = F.col("page_id").cast("string")
+    ending = F.when(F.col("url").contains("/es/"), ".txt").when(F.col("page_id") % 2 == 0, ".md").otherwise(".MD")
+    content = F.when(F.col("url").contains("/fr/"), F.concat(F.lit(bytearray(b"\xff")), F.col("html").cast("binary"))).otherwise(F.col("html").cast("binary"))
+    land(t.pages.select(F.concat(F.lit("notes/"), page, ending).alias("name"), content.alias("text")), folder)
+    return files.read_vault(t.spark, folder).select("file_name", "file_extension", "text")

@@ -5,7 +5,7 @@ import warnings
 from pyspark.sql import functions as F, types as T
 
 from docflow.functions import paths
-from docflow.operators import metadata, quality, rules
+from docflow.operators import metadata, quality, rules, ruletable
 from docflow.operators.joins import missing_keys, skew_join
 from docflow.sources.listings import from_repo
 from workloads.registry import query
@@ -166,6 +166,21 @@ def rules_skip_invalid(t):
         return rules.apply_rules(page_paths(t), "file_path", ["("], ["[", "[[]", r"/en/"])
 
 
+# A rule per benchmark text, its first letters, and some more: few by their number, a join whatever it is.
+@query("rule_table", """
+SELECT doc_id, text FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, substr(b.text, 1, 16))) AND NOT regexp_matches(text, '@[a-z]+')
+  AND EXISTS (SELECT 1 FROM labels l WHERE contains(d.text, (l.doc_id % 97)::varchar || ' ') OR contains(d.text, 'the ') OR contains(d.text, 'de '))""")
+def rule_table(t):
+    literal = F.regexp_replace(F.substring("text", 1, 16), r"([\\^$.|?*+()\[\]{}-])", r"\\$1")
+    refused = t.benchmark.select(literal.alias("pattern"), F.lit(True).alias("exclude"))
+    asked = t.labels.select(F.concat((F.col("doc_id") % 97).cast("string"), F.lit(" ")).alias("pattern"), F.lit(False).alias("exclude"))
+    more = t.spark.createDataFrame([("@[a-z]+", True), ("the ", False), ("de ", False), ("(", True)], "pattern string, exclude boolean")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return ruletable.apply_rule_table(t.documents.select("doc_id", "text"), "text", refused.union(asked).union(more))
+
+
 @query("repo_skip_dirs_exts", PARTS_CTE + """
 SELECT page_id, file_path FROM parts
 WHERE NOT list_contains(string_split(file_path, '/')[:-2], 'en') AND file_stem_extension NOT IN ('html', 'png')""")
@@ -288,6 +303,16 @@ def shape_rows(t):
     return metadata.shape_result(t.supplier)
 
 
+@query("shape_nothing", "SELECT 'No results found' AS result FROM (SELECT count(*) AS n FROM supplier WHERE s_suppkey < 0) WHERE n = 0")
+def shape_nothing(t):
+    return metadata.shape_result(t.supplier.filter("s_suppkey < 0"))
+
+
+@query("shape_single", "SELECT count(*)::varchar AS result FROM supplier")
+def shape_single(t):
+    return metadata.shape_result(t.supplier.agg(F.count("*").alias("n")))
+
+
 @query("top_n_recent", """
 SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 10""")
 def top_n_recent(t):

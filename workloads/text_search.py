@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docflow.functions import text as text_functions
 from docflow.functions.records import render_node
+from docflow.functions.units import pattern_unit
 from docflow.functions.vectors import l2_normalise
 from docflow.operators import chunk, collections, context
 from docflow.operators.chat import memory_window, with_line
@@ -16,7 +17,8 @@ from docflow.operators.similarity import top_k
 from docflow.plans import sqljobs
 from docflow.plans.embedding import embed as embed_with, embed_hashed
 from docflow.plans.ingest import collection_sink, fold, funnel, run_ingest
-from docflow.plans.search import attach, search
+from docflow.plans.search import attach, search, search_collection as search_stored
+from docflow.plans.sync import run_sync
 from docflow.plans.tasks import TaskLog
 from docflow.session import spread, work_path
 from workloads.chat_keys import TURNS_CTE, turns
@@ -60,32 +62,39 @@ def chunk_words_512_50(t):
 
 # Sentence i of a document has n words and c words end with it. A chunk runs from sentence s to e; the next one
 # begins with the last sentences of at most 20 words that leave room for the first new one.
-@query("chunk_sentences", r"""
-WITH RECURSIVE split AS (
+def packed_sql(pieces, size, overlap, where="true", columns="k.doc_id, k.chunk_no, text, start_char, (start_char + length(text))::int AS end_char, n_words"):
+    """Chunks of whole pieces, which `pieces` sets apart by chr(1)."""
+    return rf"""WITH RECURSIVE chosen AS (SELECT doc_id, text FROM documents WHERE {where}), split AS (
   SELECT doc_id, unnest(l) AS sentence, generate_subscripts(l, 1) AS sn
-  FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM documents)),
-cut AS (SELECT doc_id, sn, t, unnest(range(ceil(len(t) / 512.0)::bigint)) AS part
+  FROM (SELECT doc_id, string_split({pieces}, chr(1)) AS l FROM chosen)),
+cut AS (SELECT doc_id, sn, t, unnest(range(ceil(len(t) / {size}.0)::bigint)) AS part
         FROM (SELECT *, regexp_extract_all(sentence, '\S+') AS t FROM split)),
 sentences AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sn, part) AS i,
-                     t[part * 512 + 1 : part * 512 + 512] AS t FROM cut),
+                     t[part * {size} + 1 : part * {size} + {size}] AS t FROM cut),
 cum AS (SELECT doc_id, i, len(t) AS n,
                sum(len(t)) OVER (PARTITION BY doc_id ORDER BY i)::bigint AS c FROM sentences),
 chunks AS (
-  SELECT doc_id, 0 AS chunk_no, 1::bigint AS s, max(i) AS e FROM cum WHERE c <= 512 GROUP BY doc_id
+  SELECT doc_id, 0 AS chunk_no, 1::bigint AS s, max(i) AS e FROM cum WHERE c <= {size} GROUP BY doc_id
   UNION ALL
   SELECT doc_id, chunk_no + 1, s, (SELECT max(b.i) FROM cum b WHERE b.doc_id = x.doc_id AND b.i >= x.fresh
-                                    AND b.c <= 512 + (SELECT a.c - a.n FROM cum a WHERE a.doc_id = x.doc_id AND a.i = x.s))
+                                    AND b.c <= {size} + (SELECT a.c - a.n FROM cum a WHERE a.doc_id = x.doc_id AND a.i = x.s))
   FROM (SELECT k.doc_id, k.chunk_no, f.i AS fresh,
                coalesce((SELECT min(a.i) FROM cum a WHERE a.doc_id = k.doc_id AND a.i BETWEEN k.s AND k.e
-                           AND f.c - f.n - a.c + a.n <= least(20, 512 - f.n)), f.i) AS s
+                           AND f.c - f.n - a.c + a.n <= least({overlap}, {size} - f.n)), f.i) AS s
         FROM chunks k JOIN cum f ON f.doc_id = k.doc_id AND f.i = k.e + 1) x)
-SELECT k.doc_id, k.chunk_no, text, start_char, (start_char + length(text))::int AS end_char, n_words FROM (
+SELECT {columns} FROM (
   SELECT k.doc_id, k.chunk_no, (b.c - a.c + a.n)::int AS n_words,
          rtrim(array_to_string(w[a.c - a.n + 1 : b.c], ''), chr(32) || chr(9) || chr(10) || chr(13)) AS text,
          (lead + length(array_to_string(w[1 : a.c - a.n], '')))::int AS start_char
   FROM chunks k JOIN cum a ON a.doc_id = k.doc_id AND a.i = k.s JOIN cum b ON b.doc_id = k.doc_id AND b.i = k.e
   JOIN (SELECT doc_id, regexp_extract_all(text, '\S+\s*') AS w,
-               length(text) - length(ltrim(text, chr(32) || chr(9) || chr(10) || chr(13))) AS lead FROM documents) d ON d.doc_id = k.doc_id) k""")
+               length(text) - length(ltrim(text, chr(32) || chr(9) || chr(10) || chr(13))) AS lead FROM chosen) d ON d.doc_id = k.doc_id) k"""
+
+
+SENTENCES = r"regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g')"
+
+
+@query("chunk_sentences", packed_sql(SENTENCES, 512, 20))
 def chunk_sentences(t):
     return chunk.chunk_sentences(docs(t), 512, 20)
 
@@ -103,6 +112,21 @@ def chunk_paragraphs(t):
     return chunk.chunk_paragraphs(docs(t), "\n", 64, 8)
 
 
+# Paragraphs are lines here, so what separates them is white space and the words are those of the text.
+@query("paragraph_runs", packed_sql("replace(text, chr(10), chr(1))", 64, 8))
+def paragraph_runs(t):
+    return chunk.chunk_paragraph_runs(docs(t), "\n", 64, 8)
+
+
+# A simple tokenizer with a fixed pattern: four letters or digits at most, or any other character.
+TOKEN = "[A-Za-z0-9]{1,4}"
+
+
+@query("chunk_tokens", chunk_cte(64, 8).replace(r"'\S+\s*'", rf"'(?:{TOKEN}|\S)\s*'") + CHUNK_ROWS)
+def chunk_tokens(t):
+    return chunk.chunk_words(docs(t), 64, 8, unit=pattern_unit(TOKEN))
+
+
 @query("paragraph_lineage", chunk_cte(64, 8, """
   SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS para_no
   FROM documents""").replace("SELECT doc_id, i::int", "SELECT doc_id, para_no, i::int") + """
@@ -131,9 +155,13 @@ def chunk_udtf(t):
         session, "SELECT d.doc_id, c.chunk_no, c.chunk FROM documents d, LATERAL chunk_words(d.text, 512, 20) c")
 
 
-ENTITY_SQL = reduce(
-    lambda s, pair: "replace({}, '{}', '{}')".format(s, pair[0], pair[1].replace("'", "''")),
-    text_functions.ENTITIES, "{body}")
+# Fixed values, written out here as the twin must not take them from the code it checks: character references and elements
+# that end a line.
+REFERENCES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "\'\'", "copy": "©", "reg": "®", "middot": "·", "hellip": "…",
+              "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "euro": "€", "laquo": "«", "raquo": "»", "amp": "&"}
+LINE_ENDS = ("address article aside blockquote br dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre "
+             "section table tbody td tfoot th thead title tr ul").replace(" ", "|")
+ENTITY_SQL = reduce(lambda s, name: f"replace({s}, '&{name};', '{REFERENCES[name]}')", REFERENCES, "{body}")
 
 
 def html_sql(heading_steps=""):
@@ -147,7 +175,7 @@ def html_sql(heading_steps=""):
         body = rf"regexp_replace({body}, '(?i)<h1\b[^>]*>', chr(10) || '# ', 'g')"
         body = rf"regexp_replace({body}, '(?i)<h2\b[^>]*>', chr(10) || '## ', 'g')"
         body = rf"regexp_replace({body}, '(?i)<li\b[^>]*>', chr(10) || '- ', 'g')"
-    body = rf"regexp_replace({body}, '(?i)</?(?:{text_functions.BLOCK_TAGS})\b[^>]*>', chr(10), 'g')"
+    body = rf"regexp_replace({body}, '(?i)</?(?:{LINE_ENDS})\b[^>]*>', chr(10), 'g')"
     body = ENTITY_SQL.format(body=f"regexp_replace({body}, '<[^>]*>', '', 'g')")
     lines = "list_transform(string_split(" + body + r", chr(10)), lambda l: trim(regexp_replace(l, '[ \t\r\f]+', ' ', 'g')))"
     return f"array_to_string(list_filter({lines}, lambda l: l <> ''), chr(10))"
@@ -321,6 +349,19 @@ def search_documents(t):
         F.round("score", 6).alias("score"))
 
 
+# The same search among stored nodes: some documents come with the first run, the others with the second.
+@query("search_collection", SEARCH_SQL.format(nodes=NODES_SQL, key="node_id", ask="item_id") + """
+SELECT item_id, rank, doc_id::varchar AS doc_id, chunk_no, round(score, 6) AS score FROM hits JOIN nodes USING (node_id)""")
+def search_collection(t):
+    root, log = work_path(t.spark, "index"), TaskLog(t.spark, work_path(t.spark, "log"))
+    kept = kept_documents(t)
+    for i, version in enumerate((kept.filter("doc_id % 3 = 0"), kept)):
+        run_sync(t.spark, Version(version), root, "notes", log, f"run {i}", cut=lambda d: chunk.with_lineage(chunk.chunk_words(d, 512, 20)), buckets=8)
+    hits = search_stored(t.spark, root, "notes", t.benchmark, carry=["doc_id", "chunk_no"])
+    return hits.select(F.col("query_id").alias("item_id"), F.col("rank").cast("bigint").alias("rank"), "doc_id", "chunk_no",
+                       F.round("score", 6).alias("score"))
+
+
 PROMPT_SQL = TURNS_CTE + r"""
 , last AS (SELECT session_id, arg_max(text, turn) AS text FROM turns WHERE role = 'user' GROUP BY session_id),
 kept AS (SELECT * FROM (SELECT *, sum(tokens) OVER (PARTITION BY session_id ORDER BY turn DESC) AS r FROM turns) WHERE r <= 300),
@@ -453,10 +494,45 @@ def ingest_update(t):
     now = docs(t)
     before = t.documents.select("doc_id", F.when(F.col("source") == "src3", F.upper("text")).otherwise(F.col("text")).alias("text"))
     for version in (before, now, now):
-        collections.update_collection(version, cut, root, "notes")
+        collections.update_collection(version, cut, root, "notes", buckets=8)
     return collections.open_collection(t.spark, root, "notes").select("node_id", "doc_id", "chunk_no", "text")
 
 
+class Version:
+    """Documents as they are at one time, as a source without rules."""
+
+    rule_key = "text"
+
+    def __init__(self, rows):
+        self.rows = rows
+
+    def documents(self, spark):
+        return self.rows
+
+
+# Three versions of the documents: one without a source, one with another source changed, and one without a third one;
+# the last one comes twice. Then the parts that the runs left are rewritten as one.
+@query("ingest_sync", packed_sql(SENTENCES, 512, 20, "source <> 'src7'", "k.doc_id::varchar AS doc_id, k.chunk_no, text") + """
+UNION ALL
+SELECT 'run ' || n, 0, CASE n WHEN 1 THEN b - x5 || ' added, 0 changed, 0 removed' WHEN 2 THEN x5 || ' added, ' || x3 || ' changed, 0 removed'
+                              WHEN 3 THEN '0 added, 0 changed, ' || x7 || ' removed' ELSE '0 added, 0 changed, 0 removed' END
+FROM range(1, 5) r(n), (SELECT count(*) AS b, count(*) FILTER (source = 'src5') AS x5,
+                               count(*) FILTER (source = 'src3' AND upper(text) <> text) AS x3, count(*) FILTER (source = 'src7') AS x7 FROM documents)""")
+def ingest_sync(t):
+    root, log = work_path(t.spark, "index"), TaskLog(t.spark, work_path(t.spark, "log"))
+    kept = {c: F.col("source") != c for c in ("src5", "src7")}
+    given = spread(t.documents.select("doc_id", "source", "text"))
+    shouted = F.when(F.col("source") == "src3", F.upper("text")).otherwise(F.col("text"))
+    versions = [given.filter(kept["src5"]).withColumn("text", shouted), given, given.filter(kept["src7"]), given.filter(kept["src7"])]
+    runs = []
+    for i, version in enumerate(versions):
+        counts = run_sync(t.spark, Version(version.drop("source")), root, "notes", log, f"run {i + 1}", buckets=8)
+        runs.append((f"run {i + 1}", 0, ", ".join(f"{n} {kind}" for kind, n in counts.items())))
+    collections.compact_collection(t.spark, root, "notes", many=1)
+    stored = collections.open_collection(t.spark, root, "notes").select("doc_id", "chunk_no", "text")
+    return stored.union(t.spark.createDataFrame(runs, "doc_id string, chunk_no int, text string"))
+
+
 @query("fold_steps", chunk_cte(256, 20, "SELECT doc_id, lower(text) AS text FROM documents") + """
 SELECT doc_id, chunk_no, text, n_words FROM chunks WHERE n_words >= 100""")
 def fold_steps(t):
@@ -485,3 +561,28 @@ def run_sql_with_arguments(t):
     return sqljobs.run_sql(session, """
         SELECT c.c_name, o.o_orderkey, o.o_totalprice FROM customer AS c JOIN orders AS o ON c.c_custkey = o.o_custkey
         WHERE c.c_mktsegment = :segment AND o.o_orderstatus = :status""", {"segment": "BUILDING", "status": "F"})
+
+
+@query("allowed_tables", """
+SELECT 'given' AS question, count(*) AS n FROM customer UNION ALL SELECT 'defined', count(*) FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT 'not given', NULL UNION ALL SELECT 'file', NULL UNION ALL SELECT 'command', NULL""")
+def allowed_tables(t):
+    session = sqljobs.table_session(t.spark, {name: t.path(name) for name in ("customer", "orders")}, {"customer"})
+    asked = {"given": "SELECT count(*) AS n FROM customer",
+             "defined": "WITH f AS (SELECT * FROM orders WHERE o_orderstatus = 'F') SELECT count(*) AS n FROM f",
+             "not given": "SELECT count(*) AS n FROM nation", "file": f"SELECT count(*) AS n FROM parquet.`{t.path('nation')}`",
+             "command": "DROP VIEW customer"}
+    answers = [(name, sqljobs.run_sql(session, sql)) for name, sql in asked.items()]
+    none = t.spark.range(1).select(F.lit(None).cast("bigint").alias("n"))
+    return reduce(lambda a, b: a.union(b), [
+        (none if found is None else found).select(F.lit(name).alias("question"), "n") for name, found in answers])
+
+
+@query("describe_tables", """
+SELECT table_name, (row_number() OVER (PARTITION BY table_name ORDER BY ordinal_position) - 1)::int AS column_no, column_name,
+       CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double'
+                      WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' ELSE data_type END AS data_type
+FROM information_schema.columns WHERE table_name IN ('customer', 'documents', 'embeddings', 'lineitem')""")
+def describe_tables(t):
+    names = ("customer", "documents", "embeddings", "lineitem")
+    return sqljobs.describe_tables(sqljobs.table_session(t.spark, {name: t.path(name) for name in names}))
