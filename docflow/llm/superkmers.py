@@ -19,19 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from docflow.llm.registry import query, table
-from docflow.llm.rows import tabled, with_row, with_row_key
+from docflow.llm.rows import HOT_ROWS, in_salts, tabled, with_row, with_row_key
 from docflow.llm.words import by_bytes, give_back, mix, strings, thrifty, word_hashes
-from docflow.operators.joins import skew_join
 
 WINDOW, MINIMISER = 20, 5
 #: Super-k-mers of one bucket that are sorted in one task; of more, each window is a row of its own.
 TOGETHER = 20_000
 #: Packed strings that one sorting task has on average.
 TASK_UNITS = 3_000
-#: Super-k-mers of a minimiser from which its bucket is split; at least one in `HOT_SHARE` of all, which bounds their list.
-HOT_ROWS, HOT_SHARE = 5_000, 100_000
-#: A minimiser that no task has so often is not counted as hot.
-HOT_IN_TASK = 16
 PLACE = ["_id", "_r1", "_r2", "a"]
 
 
@@ -63,21 +58,6 @@ def super_kmers(hashes: np.ndarray, starts: np.ndarray, window: int = WINDOW, si
     return np.column_stack([places[first], np.diff(np.concatenate([first, [len(places)]]))]), grams[at[first]]
 
 
-def _hot(units: DataFrame, hot_rows: int) -> DataFrame:
-    """Minimisers with so many super-k-mers that a bucket of theirs would be too large, sent to all tasks.
-
-    A task reports what it has `HOT_IN_TASK` times; of those, the list takes
-    the ones with `hot_rows`.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *map(np.asarray, (b.column(0) for b in batches))]), return_counts=True)
-        often = counts >= HOT_IN_TASK
-        yield pa.record_batch([pa.array(keys[often]), pa.array(counts[often])], names=["key", "n"])
-
-    counted = units.select("key").mapInArrow(thrifty(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return tabled(counted.filter(F.col("n") >= hot_rows).select("key"), "minimisers")
-
-
 def _units(base: DataFrame, window: int, size: int) -> DataFrame:
     """A row per super-k-mer: its place, number of windows, the minimiser `key` and a hash `whole` of all its words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,33 +81,32 @@ def _units(base: DataFrame, window: int, size: int) -> DataFrame:
         thrifty(run), f"_id {id_type}, _r1 long, _r2 long, a int, n int, key long, whole long")
 
 
-def _later(rows: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """The first row by place of each group, and the rows that are not at that place. Groups may be of any size."""
-    place = F.struct(*PLACE)
-    firsts = rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), place).alias("_first"), F.count("*").alias("_n"))
-    again = firsts.filter("_n > 1").select(F.xxhash64(*keys).alias("_g"), *[F.col(k).alias(f"_{k}") for k in keys],
-                                           F.struct(*[F.col(f"_first.{c}") for c in PLACE]).alias("_earliest"))
-    joined = skew_join(rows.withColumn("_g", F.xxhash64(*keys)), again, "_g", hot_rows=hot_rows)
-    same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    late = joined.filter(same[0] & same[-1] & ~place.eqNullSafe(F.col("_earliest"))).select(*rows.columns)
-    return firsts.select("_first.*"), late
+def _in_order(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the first of each salt of a group, with `later`: whether they stand behind the group's first one."""
+    return rows.withColumn("later", F.row_number().over(W.partitionBy(*keys).orderBy(*PLACE)) > 1)
 
 
 def _sorted_out(units: DataFrame, together: int, hot_rows: int) -> DataFrame:
     """The super-k-mers that matter further on: `later`, as the whole stands earlier too, or the first of their kind in a
-    bucket with other kinds; `apart` marks buckets too large for one task."""
-    hot_rows = max(hot_rows, units.count() // HOT_SHARE)
-    hot = F.broadcast(_hot(units, hot_rows))
-    cold = units.join(hot, "key", "left_anti").repartition("key")
-    kind, bucket = W.partitionBy("key", "whole").orderBy(*PLACE), W.partitionBy("key")
-    marked = cold.withColumn("_rank", F.rank().over(kind)).withColumn("_no", F.row_number().over(kind))
+    bucket with other kinds; `apart` marks buckets too large for one task.
+
+    A frequent minimiser is dealt to salts by place: what is not the first of
+    its kind there is later, and the firsts of all salts are put in order once
+    more. Repeated rows stand at one place and count once.
+    """
+    salted, any_hot = in_salts(units, "key", ["_r1", "_r2", "a"], hot_rows)
+    kind, bucket = W.partitionBy("key", "whole", "_salt").orderBy(*PLACE), W.partitionBy("key", "_salt")
+    marked = salted.repartition("key", "_salt").withColumns({"_rank": F.rank().over(kind), "_no": F.row_number().over(kind)})
     marked = marked.withColumn("_kinds", F.sum((F.col("_no") == 1).cast("int")).over(bucket))
-    marked = marked.select(*PLACE, "n", "key", (F.col("_rank") > 1).alias("later"), (F.col("_kinds") > together).alias("apart"),
-                           ((F.col("_rank") > 1) | ((F.col("_no") == 1) & (F.col("_kinds") > 1))).alias("_wanted"))
-    firsts, late = _later(units.join(hot, "key", "left_semi"), ["key", "whole"], hot_rows)
     columns = [*PLACE, "n", "key"]
-    return marked.filter("_wanted").drop("_wanted").union(
-        firsts.select(*columns, F.lit(False), F.lit(True))).union(late.select(*columns, F.lit(True), F.lit(False)))
+    marked = marked.filter((F.col("_rank") > 1) | ((F.col("_no") == 1) & (F.col("_hot") | (F.col("_kinds") > 1)))).select(
+        *columns, "whole", "_hot", (F.col("_rank") > 1).alias("later"), (F.col("_kinds") > together).alias("apart"))
+    if not any_hot:
+        return marked.select(*columns, "later", "apart")
+    marked = tabled(marked, "super-kmer-kinds", few=False)
+    heads = _in_order(marked.filter("_hot and not later").drop("later"), ["key", "whole"])
+    return marked.filter("later or not _hot").select(*columns, "later", "apart").union(
+        heads.select(*columns, "later", (~F.col("later")).alias("apart")))
 
 
 def _packed(texts: DataFrame, window: int, apart: bool) -> DataFrame:
@@ -199,7 +178,7 @@ def repeated_windows(base: DataFrame, window: int = WINDOW, size: int = MINIMISE
                      hot_rows: int = HOT_ROWS) -> DataFrame:
     """Stretches `_r1`, `_r2`, a, n: the n windows from word a on stand at an earlier place too."""
     units = tabled(_units(base, window, size), "super-kmers", few=False)
-    found = tabled(_sorted_out(units, together, hot_rows), "super-kmer-kinds", few=False)
+    found = tabled(_sorted_out(units, together, hot_rows), "super-kmer-places", few=False)
     late = found.filter("later").select("_r1", "_r2", "a", "n")
 
     def packed(apart: bool) -> DataFrame:
@@ -212,9 +191,14 @@ def repeated_windows(base: DataFrame, window: int = WINDOW, size: int = MINIMISE
         _count_windows(window), "_r1 long, _r2 long, a int, n int")
     if not found.filter("not later and apart").limit(1).count():
         return late.union(counted)
-    windows = tabled(packed(True).drop("key"), "windows", few=False)
-    _, again = _later(windows, ["packed"], max(hot_rows, windows.count() // HOT_SHARE))
-    return late.union(counted).union(again.select("_r1", "_r2", "a", F.lit(1)))
+    windows = tabled(packed(True).withColumn("_g", F.xxhash64("packed")), "windows", few=False)
+    salted, _ = in_salts(windows, "_g", ["_r1", "_r2", "a"], hot_rows)
+    order = W.partitionBy("packed", "_salt").orderBy(*PLACE)
+    ranked = tabled(salted.withColumns({"_rank": F.rank().over(order), "_no": F.row_number().over(order)}).filter("_rank > 1 or _no = 1"),
+                    "window-order", few=False)
+    again = ranked.filter("_rank > 1").select("_r1", "_r2", "a").union(
+        _in_order(ranked.filter("_rank = 1"), ["packed"]).filter("later").select("_r1", "_r2", "a"))
+    return late.union(counted).union(again.withColumn("n", F.lit(1)))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
@@ -233,10 +217,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text and those that bear the name of a result.
 
     Each text is read once for its minimisers and moved once. Super-k-mers
-    whose minimiser is frequent are counted before they are shuffled, and the
-    later ones found by a join that splits frequent keys; where one bucket has
-    more than `together` kinds, each window is a row. So no bucket has to fit
-    in a task. Whole super-k-mers, and single windows in those buckets, are
+    whose minimiser is frequent are put in order in pieces, and so are windows,
+    a row each, where one bucket has more than `together` kinds. So no bucket
+    has to fit in a task. Whole super-k-mers, and single windows in those buckets, are
     compared by 64 and 128 bits of hash, all others word by word.
     """
     names = {"n_words", "n_removed", "kept"}
