@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docflow.llm.registry import query, table
@@ -34,6 +35,11 @@ class Model:
     weights: tuple[float, float, float]
 
 
+def _shared(rows: DataFrame, model: Model) -> Broadcast:
+    """The model's numbers for all tasks. Plain values: executors need not know this package to unpack them."""
+    return rows.sparkSession.sparkContext.broadcast((model.scores, model.rate, model.scale, model.weights))
+
+
 def token_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each word, lower-cased and without punctuation around it, and the texts' starts."""
     codes, starts, words = word_codes(texts, lower=True)
@@ -106,15 +112,16 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _segments_of(rows: DataFrame, model: Model, summary) -> list:
     """summary(scores, label) of each labelled row, on the driver: `FIT_ROWS` rows at most."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = _shared(rows, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(*shared.value)
         for batch in batches:
             texts, toxic = strings(batch.column(0)), np.asarray(batch.column(1))
             for at, stop in by_bytes(texts):
                 buckets, starts = token_buckets(texts.slice(at, stop - at))
-                scores = shared.value.scores[buckets]
-                found = [summary(shared.value, scores[starts[i]:starts[i + 1]]) for i in range(stop - at)]
+                scores = m.scores[buckets]
+                found = [summary(m, scores[starts[i]:starts[i + 1]]) for i in range(stop - at)]
                 yield pa.record_batch([pa.array(toxic[at:stop].astype(np.int64)), pa.array([float(a) for a, _ in found]),
                                        pa.array([float(b) for _, b in found])], names=["toxic", "a", "b"])
 
@@ -188,12 +195,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null and empty texts score as one without any toxic token. Ids may be null
     or repeat; each row gets its own score.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _shared(docs, model)
     kind = docs.schema[id_col].dataType.simpleString()
     passage = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model(*shared.value)
         for batch in batches:
             texts = strings(batch.column(1))
             for at, stop in by_bytes(texts):
@@ -215,10 +222,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose text scores below one half."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model(*shared.value)
         for batch in batches:
             texts = strings(batch.column(batch.schema.get_field_index(text_col)))
             for at, stop in by_bytes(texts):
