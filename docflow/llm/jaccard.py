@@ -256,8 +256,10 @@ def _units(roots: DataFrame) -> int:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stand first in their class: smallest id, then row key. Of equal rows one stays."""
     kept = near_classes(docs, id_col, text_col).filter("first").select("_r1", "_r2").distinct()
-    keyed = with_row_key(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col)
-    return keyed.join(kept, ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"]).select(*[f"`{c}`" for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = with_row_key(docs.select(row.alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text")),
+                         "_id", "_text").select("_row", "_r1", "_r2")
+    return keyed.join(kept, ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"]).select(*[F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 @query("op5_ngram_jaccard", r"""

@@ -134,25 +134,29 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     of a character stands earlier, whether or not that one itself stays. Blank
     lines stay and never count. Rows that agree in id and text are one
     document and each get its result. A null text has no lines and stays null.
+    The caller's columns are handed through, but for those that bear the name
+    of a result.
 
     Variants are only made of lines that have an exact partner for half of
     their characters (one edit leaves one half alone); then one block of a line
     is left out, and only within blocks whose rest agrees single characters.
     """
-    base = with_row_key(docs, id_col, text_col)
-    firsts, near = _repeats(base, id_col, text_col)
+    others = [c for c in docs.columns if c != text_col and c not in ("n_lines", "n_removed")]
+    base = with_row_key(docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(f"`{id_col}`").alias("_id"),
+                                    F.col(f"`{text_col}`").alias("_text")), "_id", "_text")
+    firsts, near = _repeats(base, "_id", "_text")
     kept = firsts.join(near, ["_k1", "_k2"], "left_anti").groupBy(
         F.col("_place._r1").alias("_r1"), F.col("_place._r2").alias("_r2")).agg(
             F.sort_array(F.collect_list("_place._no")).alias("_kept"))
     none = F.array().cast("array<int>")
-    cut = let(F.split(F.col(text_col), "\n"), lambda all_: let(
+    cut = let(F.split("_text", "\n"), lambda all_: let(
         F.filter(F.sequence(F.lit(0), F.size(all_) - 1), lambda i: F.trim(F.get(all_, i)) == ""), lambda blank: F.struct(
             F.array_join(F.transform(F.array_sort(F.concat(F.coalesce("_kept", none), blank)), lambda i: F.get(all_, i)),
                          "\n").alias("text"),
             F.size(all_).alias("n"),
             (F.size(all_) - F.size(blank) - F.size(F.coalesce("_kept", none))).alias("removed"))))
     out = base.join(kept, ["_r1", "_r2"], "left").withColumn("_cut", cut)
-    return out.select(*[F.col("_cut.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
+    return out.select(*[F.col("_cut.text").alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns if c in (*others, text_col)],
                       F.coalesce("_cut.n", F.lit(0)).cast("long").alias("n_lines"),
                       F.coalesce("_cut.removed", F.lit(0)).cast("long").alias("n_removed"))
 

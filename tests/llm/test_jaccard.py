@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 from brute import edge_rows, words
+from pyspark.sql import Row, functions as F
 
 from docflow.llm.jaccard import BLOCK, HASHES, STEP, THRESHOLD, least_matches, near_classes, one_of_each
 
@@ -82,3 +83,12 @@ def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     got = QUERIES["op5_ngram_jaccard"](spark, "/root/testdata/sf0.001").collect()
     assert sorted((tuple(r) for r in got), key=repr) == expected(rows)
+
+
+def test_one_of_each_keeps_the_callers_columns(spark):
+    text = " ".join(words(1, 40))
+    docs = edge_rows(spark, [(2, text), (1, text), (1, text), (None, "else"), (3, None)]).withColumns({"_r2": F.lit(5), "_id": F.lit("own"), "_row": F.lit(0)})
+    out = one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(repr, out.select("doc_id", "text", "_r1", "_r2", "_id", "_row").collect())) == sorted(map(repr, [
+        Row(doc_id=i, text=t, _r1="x", _r2=5, _id="own", _row=0) for i, t in ((1, text), (None, "else"), (3, None))]))

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 from brute import edge_rows, near
+from pyspark.sql import functions as F
 
 from docflow.llm.linedup import NEAR_CHARS, dedup_lines
 
@@ -31,7 +32,11 @@ def expected(rows):
 
 
 def check(spark, rows):
-    got = dedup_lines(edge_rows(spark, rows)).collect()
+    own = {c: F.lit(f"own {c}") for c in ("_cut", "_kept", "_text", "_found", "n_lines")}
+    out = dedup_lines(edge_rows(spark, rows).withColumns(own))
+    assert out.columns == ["doc_id", "text", "_r1", "_line", "ids", "score", "_cut", "_kept", "_text", "_found", "n_lines", "n_removed"]
+    got = out.collect()
+    assert all((r._r1, r._line, r._cut, r._kept, r._text) == ("x", 1, "own _cut", "own _kept", "own _text") for r in got)
     want = expected(rows)
     by_id = {k[0]: v for k, v in want.items()}
     assert len(got) == len(rows)
