@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docflow.llm.jaccard import one_of_each
 from docflow.llm.linedup import dedup_lines
 from docflow.llm.packing import pack, word_bpe_path
-from docflow.llm.suffixes import cut_repeats
+from docflow.llm.suffixes import cut_passages
 from docflow.llm.toxicity import fit_labels, keep_clean
 from docflow.session import work_path
 
@@ -35,9 +34,8 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that stand elsewhere too; a character that a cut went through goes whole."""
-    text = F.pandas_udf(lambda kept: pd.Series([bytes(k).decode("utf-8", "ignore") for k in kept]), "string")
-    return _with_text(cut_repeats(docs).withColumn("text", text("kept")), docs, "n_removed")
+    """Documents without passages of over 50 words that stand elsewhere too."""
+    return _with_text(cut_passages(docs), docs, "n_removed")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
