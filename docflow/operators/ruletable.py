@@ -66,7 +66,8 @@ def apply_rule_table(df: DataFrame, key: str, rules: DataFrame) -> DataFrame:
     loose = [{"exclude": e, "regex": java_pattern(p)} for p, e in kept if not pieces[p]]
     if len(loose) > MOST_LOOSE:
         raise ValueError(f"more than {MOST_LOOSE} rules without {GRAM} letters that every match has")
-    keyed = df.withColumn("_key", F.coalesce(F.col(f"`{key}`"), F.lit(""))).withColumn("_g", F.xxhash64("_key"))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    keyed = df.select(row.alias("_row"), F.coalesce(F.col(f"`{key}`"), F.lit("")).alias("_key")).withColumn("_g", F.xxhash64("_key"))
     anchored = spark.createDataFrame([(i, e, java_pattern(p), pieces[p]) for i, (p, e) in enumerate(kept) if pieces[p]],
                                      "no int, exclude boolean, regex string, pieces array<string>")
     wanted = anchored.select("no", F.explode("pieces").alias("gram"))
@@ -87,4 +88,4 @@ def apply_rule_table(df: DataFrame, key: str, rules: DataFrame) -> DataFrame:
     keep = ~any_of(True)
     if any(not e for _, e in kept):
         keep = keep & any_of(False)
-    return searched.filter(keep).select(*[F.col(f"`{c}`") for c in df.columns])
+    return searched.filter(keep).select(*[F.col(f"_row.`{c}`") for c in df.columns])

@@ -198,7 +198,9 @@ def top_k(queries: DataFrame, nodes: DataFrame, k: int = 2, metric: str = "cosin
     path = work_path(spark, "questions")
     asked = _plain(queries, query_id, query_vector, "query_id").filter("query_id IS NOT NULL AND vector IS NOT NULL")
     asked.write.parquet(path)
-    length = spark.read.schema(asked.schema).parquet(path).agg(F.max(F.size("vector"))).first()[0]
+    least, length = spark.read.schema(asked.schema).parquet(path).agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
+    if least != length:
+        raise ValueError(f"vectors of different lengths: {least} to {length}")
     held = _plain(nodes, node_id, node_vector, "node_id", carry)
     schema = _hit_schema(asked, held, carry)
     if length is None:

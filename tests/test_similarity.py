@@ -64,12 +64,14 @@ def test_close_vectors_far_from_the_origin(spark, batch_bytes):
     assert got(found) == brute(queries, nodes, 3, "l2")
 
 
-def test_no_batch_of_questions_is_over_the_bound(spark):
+def test_no_block_of_questions_is_over_the_bound(spark, folder):
+    """All questions come in blocks of so many; those that cannot be compared are in none."""
     asked = vectors(spark, np.ones((300, 500)), "query_id").withColumnRenamed("embedding", "vector")
-    dealt, batches = similarity._in_batches(asked, 100_000)
-    sizes = [r.n for r in dealt.groupBy("_batch").agg((F.count("*") * (500 * 8 + 64)).alias("n")).collect()]
-    assert len(sizes) <= batches and max(sizes) <= 100_000 and sum(sizes) == 300 * 4064
-    assert similarity._in_batches(asked.limit(2), 10)[1] >= 2
+    bad = spark.createDataFrame([(1000, [0.0] * 500), (1001, [float("nan")] * 500)], "query_id long, vector array<double>")
+    asked.union(bad).write.parquet(f"{folder}/asked")
+    blocks = list(similarity._question_blocks(f"file:{folder}/asked", 24, "cosine"))
+    assert max(len(labels) for labels, _ in blocks) <= 24 and all(q.nbytes <= 24 * 500 * 8 for _, q in blocks)
+    assert sorted(label for labels, _ in blocks for label in labels.tolist()) == list(range(300))
 
 
 def test_vectors_of_different_lengths_are_refused(spark):
@@ -131,9 +133,17 @@ def test_questions_never_reach_the_driver_and_nodes_are_scanned_once(spark, fold
     vectors(spark, nodes, "node_id").repartition(2).write.parquet(f"{folder}/nodes")
     asked = vectors(spark, queries, "query_id")
     kind = type(asked)
+    collect = kind.collect
+
+    def one_row(df):
+        rows = collect(df)
+        assert len(rows) <= 1, "questions on the driver"
+        return rows
+
     with monkeypatch.context() as patch:
-        for name in ("toArrow", "toPandas", "collect"):
+        for name in ("toArrow", "toPandas"):
             patch.setattr(kind, name, lambda *_, **__: pytest.fail("rows on the driver"))
+        patch.setattr(kind, "collect", one_row)
         patch.setattr(similarity, "NODE_BYTES", 1 << 12)
         found = top_k(asked, spark.read.parquet(f"{folder}/nodes"), 3, metric, batch_bytes=600)
     plan = found._jdf.queryExecution().executedPlan().toString()
