@@ -65,16 +65,51 @@ def test_descent_goes_on_until_settled(spark, monkeypatch):
 
     def descend(graph, *_):
         calls.append(graph)
-        return graph.withColumn("ids", F.lit(bytearray([len(calls)]))) if len(calls) <= changing else graph
+        graph = ann._aged(graph)
+        return graph.withColumn("fresh", F.unhex(F.repeat(F.lit("01"), F.octet_length("fresh")))) if len(calls) <= changing else graph
 
     monkeypatch.setattr(ann, "_descend", descend)
     neighbour_graph(coded, part=64, splits=2)
     assert len(calls) == 6
     calls, changing = [], 9
-    with pytest.raises(RuntimeError, match="still change"):
+    with pytest.raises(RuntimeError, match="still new"):
         neighbour_graph(coded, part=64, splits=2, rounds=3)
 
 
+def test_a_round_marks_what_it_found(spark):
+    """Old links stay old, links that a round adds are fresh, and nothing is compared where nothing is fresh."""
+    rows = [(i, x.tolist()) for i, x in enumerate(np.random.default_rng(5).standard_normal((300, 6)))]
+    coded = _coded(spark.createDataFrame(rows, "id long, v array<double>"))
+    graph = ann._merged(ann._within_parts(coded, 300, 8, 32, 1), 300, 8)
+
+    def known(lists):
+        return {r.id: {(a, bool(f)) for a, f in zip(np.frombuffer(r.ids, np.int64), np.frombuffer(r.fresh, np.uint8))} for r in lists.collect()}
+
+    before = known(graph)
+    after = known(ann._descend(graph, ann._links(graph, 8), coded, 300, 8))
+    old = {i: {a for a, _ in links} for i, links in before.items()}
+    assert all(f for links in before.values() for _, f in links)
+    assert all(f == (a not in old[i]) for i, links in after.items() for a, f in links) and any(f for links in after.values() for _, f in links)
+    aged = ann._aged(graph)
+    assert known(ann._descend(aged, ann._links(aged, 8), coded, 300, 8)) == {i: {(a, False) for a in links} for i, links in old.items()}
+
+
+def test_equal_vectors_lose_no_required_neighbour(spark):
+    """Two thirds of the rows are equal: their ids are due in order, also to queries among and beside them."""
+    source = np.random.default_rng(7)
+    v = source.standard_normal((6000, 16))
+    v[1999:] = v[1999]
+    rows = [(i, np.float32(x).tolist()) for i, x in enumerate(v)]
+    got = nearest(table(spark, rows)).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(2000, 6000, 50):
+        assert found[q] == [i for i in range(1999, 2006) if i != q][:5]
+    want = brute([(i, x) for i, x in rows if i < 2000 or i < 2006])
+    assert np.mean([len(set(found[q]) & {i for i, _ in want[q]}) / 5 for q in range(0, 2000, 50)]) >= 0.9
+
+
 def test_query_recall(spark):
     from docflow.llm.queries import QUERIES
 
