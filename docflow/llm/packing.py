@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docflow.llm.bpe import LONG_PIECE, MATRIX_CELLS, Pairs, merge_long, merge_matrix
 from docflow.llm.registry import query, table
-from docflow.llm.words import Recent, by_bytes, gather, mix, strings, sums, thrifty, word_codes
+from docflow.llm.words import Recent, by_bytes, gather, mix, strings, sums, thrifty, word_codes, word_hashes
 
-DIMENSIONS, BITS = 4, 12
-#: Documents that the bounds of the tasks' stretches are taken from, at most about so many.
+DIMENSIONS, BITS = 4, 15
+#: Documents that the bounds of the tasks' stretches are taken from, about so many.
 BOUND_SAMPLE = 20_000
 SEQUENCE_TOKENS = 2048
 END_ID = 1
@@ -57,23 +57,10 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def project(texts: pa.Array) -> np.ndarray:
-    """Hashed word counts of each text, projected by random signs to a few whole coordinates.
-
-    A word counts under the hash of its first four bytes; words lie between bytes up to 20 (hex).
-    """
-    starts, content = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1], texts.buffers()[2]
+    """Hashed word counts of each text, projected by random signs to a few whole coordinates. Words are lower-cased."""
+    words, starts = word_hashes(pc.ascii_lower(texts))
+    signs, scale = mix(words, 9), np.sqrt(np.maximum(np.diff(starts), 1))
     points = np.empty((len(texts), DIMENSIONS), np.int64)
-    raw = np.concatenate([np.frombuffer(content or b"", np.uint8)[starts[0]:starts[-1]], np.zeros(4, np.uint8)])
-    starts = starts - starts[0]
-    inside = raw[:-4] > 32
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    edges = starts[:-1][np.diff(starts) > 0]
-    begins[edges] = inside[edges]
-    places = np.flatnonzero(begins)
-    word = sum(raw[places + i].astype(np.uint64) << np.uint64(8 * i) for i in range(4)) if len(places) else places.astype(np.uint64)
-    signs, starts = mix(word, 9), np.searchsorted(places, starts)
-    scale = np.sqrt(np.maximum(np.diff(starts), 1))
     for i in range(DIMENSIONS):
         sign = ((signs >> np.uint64(i)) & np.uint64(1)).astype(np.int8) * 2 - 1
         points[:, i] = (0.5 + 0.5 * np.tanh(sums(sign, starts) / scale / 2)) * ((1 << BITS) - 1)
@@ -235,19 +222,28 @@ def _sequence(held: list, sequence: int) -> Iterator[tuple]:
         offset += len(part)
 
 
+def task_of(place: np.ndarray, low: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many of the bounds, sorted rows of (place, low), each row is not before."""
+    first, behind = (np.searchsorted(bounds[:, 0], place, side) for side in ("left", "right"))
+    task = first.copy()
+    for at in np.unique(first[behind > first]).tolist():  # places that some bound has, as those of many copies
+        rows = np.flatnonzero((first == at) & (behind > first))
+        task[rows] += np.searchsorted(bounds[at:behind[rows[0]], 1], low[rows], "right")
+    return task
+
+
 def _placed(rows: DataFrame, bounds: np.ndarray) -> DataFrame:
-    """Rows with their place on the curve, above the given low bits, and the task whose stretch that is."""
+    """Rows with their place on the curve and the task whose stretch that is; rows with equal places go by `_low`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = strings(batch.column(1))
             for at, stop in by_bytes(texts):
                 part = batch.slice(at, stop - at)
-                place = (hilbert_key(project(texts.slice(at, stop - at))) << 14) + np.asarray(part.column(2))
-                task = np.searchsorted(bounds, place.astype(np.float64), "right").astype(np.int32)
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(place), pa.array(task)],
-                                      names=["doc_id", "text", "_place", "_task"])
+                place, low = hilbert_key(project(texts.slice(at, stop - at))), np.asarray(part.column(2))
+                yield pa.record_batch([*part.columns, pa.array(place), pa.array(task_of(place, low, bounds).astype(np.int32))],
+                                      names=["doc_id", "text", "_low", "_place", "_task"])
 
-    return rows.mapInArrow(thrifty(run), "doc_id long, text string, _place long, _task int")
+    return rows.mapInArrow(thrifty(run), "doc_id long, text string, _low long, _place long, _task int")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -263,13 +259,14 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     repeated rows are packed each. An empty table gives no pieces.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-                       F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 14)).alias("_place"))
-    every = max(1, rows.count() // BOUND_SAMPLE)
+                       F.xxhash64(F.col(id_col).cast("long")).alias("_low"))
+    share = min(1.0, BOUND_SAMPLE / max(1, rows.count()))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sample = _placed(rows.filter(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(every)) == 0), np.zeros(0)).select("_place")
-    bounds = np.unique(sample.approxQuantile("_place", [i / tasks for i in range(1, tasks)], 0.25 / tasks) or [0.0])
+    sample = _placed(rows.sample(share, seed=1), np.zeros((0, 2), np.int64))
+    drawn = np.array(sorted(map(tuple, sample.select("_place", "_low").collect())), np.int64).reshape(-1, 2)
+    bounds = np.unique(drawn[[len(drawn) * i // tasks for i in range(1, tasks)]] if len(drawn) else drawn, axis=0)
     ordered = (_placed(rows, bounds).repartitionById(len(bounds) + 1, "_task")
-               .sortWithinPartitions("_place", "doc_id", F.xxhash64("text")).select("doc_id", "text"))
+               .sortWithinPartitions("_place", "_low", "doc_id", F.xxhash64("text")).select("doc_id", "text"))
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def documents():
