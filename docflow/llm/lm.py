@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,24 +11,28 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docflow.llm.registry import query, table
-from docflow.llm.rows import tabled, with_row_key
+from docflow.llm.rows import held, tabled, with_row_key
 from docflow.llm.words import by_bytes, give_back, strings, sums, thrifty, word_codes
+from docflow.operators.joins import skew_join
 
 #: Words with an output of their own, and how many share a class; all others are one of `TAIL` kinds of rare word.
 WORDS, CLASS_WORDS, TAIL = 2048, 64, 16
 HIDDEN, INPUT = 32, 24
 #: Streams of text trained side by side, steps that errors go back, and streams scored side by side.
-STREAMS, WINDOW, SCORED = 64, 16, 256
+STREAMS, WINDOW, SCORED = 128, 32, 512
 #: Tokens that a step of training rests on at least.
 STEP = 128
 #: Rounds of training, each over its share of the training documents, dealt by a hash of their rows; together they are all.
 ROUNDS = 2
-RATE = 0.004
-#: Text that is scored together, and nodes of the averaging tree.
-CHUNK_BYTES, AVERAGES = 24 << 20, 32
+#: Step size, and steps that it takes to get there; over the texts that are trained on together it falls to a tenth.
+RATE, WARM = 0.015, 20
+#: Text that is trained on and scored together: long texts are laid beside so many others.
+CHUNK_BYTES, SLICE_BYTES = 24 << 20, 16 << 20
+#: Sets of weights that are averaged in one task.
+FAN_IN = 32
 END = "\n"
 
 
@@ -54,6 +59,10 @@ class Vocabulary:
         found = np.asarray(pc.fill_null(pc.index_in(words, pa.array(self.words, words.type)), -1)).astype(np.int64)
         return np.where(found >= 0, found + TAIL, kinds(words))
 
+    def plain(self) -> tuple:
+        """What the vocabulary is made from, for broadcasts: executors need not know this package to unpack it."""
+        return self.words, self.counts, self.tail_counts, self.tail_weight, self.tokens, self.distinct
+
     @property
     def end(self) -> int:
         return TAIL + self.words.index(END) if END in self.words else 0
@@ -68,6 +77,7 @@ class Model:
 
     def __init__(self, vocabulary: Vocabulary, weights: list[np.ndarray] | None = None):
         self.vocabulary, self.trained, n = vocabulary, 0, TAIL + len(vocabulary.words)
+        self.steps, self.moments = 0, None
         self.class_of = vocabulary.class_of
         self.bounds = np.searchsorted(self.class_of, np.arange(self.class_of[-1] + 2))
         if weights is None:
@@ -88,38 +98,54 @@ class Model:
     def step(self, gates: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
         """New state, update and reset gates, candidate, and what the state adds to the candidate."""
         own = state @ self.weights[2]
-        both = 1 / (1 + np.exp(-(gates[:, :2 * HIDDEN] + own[:, :2 * HIDDEN])))
+        both = gates[:, :2 * HIDDEN] + own[:, :2 * HIDDEN]
+        np.exp(np.negative(both, out=both), out=both)
+        both += 1
+        np.reciprocal(both, out=both)
         update, reset, add = both[:, :HIDDEN], both[:, HIDDEN:], own[:, 2 * HIDDEN:]
-        candidate = np.tanh(gates[:, 2 * HIDDEN:] + reset * add)
-        return update * state + (1 - update) * candidate, update, reset, candidate, add
+        candidate = reset * add
+        candidate += gates[:, 2 * HIDDEN:]
+        np.tanh(candidate, out=candidate)
+        after = state - candidate
+        after *= update
+        after += candidate
+        return after, update, reset, candidate, add
 
     def outputs(self, states: np.ndarray, targets: np.ndarray, grads: list[np.ndarray] | None = None):
-        """Natural log-probability of each target; with grads, adds the weights' gradients and returns the states'."""
+        """Natural log-probability of each target; with grads, adds the weights' gradients and returns the states'.
+
+        Rows are sorted by the targets' classes: a class takes a product, and all else is done for all rows at once.
+        """
         *_, classes, class_bias, words, word_bias = self.weights
         kind = self.class_of[targets]
-        scores, share, rows = _log_share(states @ classes + class_bias, kind)
-        back = None
-        if grads is not None:
-            share[rows, kind] -= 1
-            grads[4] += states.T @ share
-            grads[5] += share.sum(axis=0)
-            back = share @ classes.T
         order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(len(self.bounds)))
-        for c in range(len(self.bounds) - 1):
-            own = order[ends[c]:ends[c + 1]]
-            if not len(own):
-                continue
-            a, b = self.bounds[c], self.bounds[c + 1]
-            place = targets[own] - a
-            found, share, rows = _log_share(states[own] @ words[:, a:b] + word_bias[a:b], place)
-            scores[own] += found
-            if grads is not None:
-                share[rows, place] -= 1
-                grads[6][:, a:b] += states[own].T @ share
-                grads[7][a:b] += share.sum(axis=0)
-                back[own] += share @ words[:, a:b].T
-        return scores, back
+        states, kind, targets = states[order], kind[order], targets[order]
+        ends = np.searchsorted(kind, np.arange(len(self.bounds)))
+        own = [(c, slice(ends[c], ends[c + 1]), slice(self.bounds[c], self.bounds[c + 1])) for c in range(len(self.bounds) - 1) if ends[c] < ends[c + 1]]
+        scores, share, rows = _log_share(states @ classes + class_bias, kind)
+        logits = np.full((len(states), max(TAIL, CLASS_WORDS)), -1e9, states.dtype)
+        for _, at, part in own:
+            np.matmul(states[at], words[:, part], out=logits[at, :part.stop - part.start])
+            logits[at, :part.stop - part.start] += word_bias[part]
+        place = targets - self.bounds[kind]
+        found, word_share, _ = _log_share(logits, place)
+        out = np.empty(len(scores), scores.dtype)
+        out[order] = scores + found
+        if grads is None:
+            return out, None
+        share[rows, kind] -= 1
+        grads[4] += states.T @ share
+        grads[5] += share.sum(axis=0)
+        back = share @ classes.T
+        word_share[rows, place] -= 1
+        for _, at, part in own:
+            now = word_share[at, :part.stop - part.start]
+            grads[6][:, part] += states[at].T @ now
+            grads[7][part] += now.sum(axis=0)
+            back[at] += now @ words[:, part].T
+        unsorted = np.empty_like(back)
+        unsorted[order] = back
+        return out, unsorted
 
     def train(self, flat: np.ndarray, starts: np.ndarray) -> None:
         """One pass over whole texts (ids, each with its end) laid in streams; Adam, errors go back `WINDOW` steps.
@@ -129,68 +155,89 @@ class Model:
         """
         tokens, fresh, places = _streams(flat.astype(np.int32), starts, STREAMS, whole=True)
         active = (places >= 0).sum(axis=1)
-        first, second, step = [np.zeros_like(w) for w in self.weights], [np.zeros_like(w) for w in self.weights], 0
-        held, seen = [np.zeros_like(w) for w in self.weights], 0
-        state = np.zeros((tokens.shape[1], HIDDEN), np.float32)
-        before = np.full(tokens.shape[1], self.vocabulary.end)
+        if self.moments is None:
+            self.moments = [[np.zeros_like(w) for w in self.weights] for _ in range(3)]
+        first, second, held = self.moments
+        seen, state = 0, np.zeros((tokens.shape[1], HIDDEN), np.float32)
+        before = np.full(tokens.shape[1], self.vocabulary.end, np.int32)
         for at in range(0, len(tokens), WINDOW):
             rows, n = slice(at, at + WINDOW), active[at]
             own = int(active[rows].sum())
-            grads, state, before = self._window(tokens[rows, :n], fresh[rows, :n], state[:n], before[:n], places[rows, :n] >= 0)
-            for g, h in zip(grads, held):
-                h += g * np.float32(own)
+            state, before = self._window(tokens[rows, :n], fresh[rows, :n], state[:n], before[:n], held, places[rows, :n] >= 0)
             seen += own
             if seen < STEP and at + WINDOW < len(tokens):
                 continue
-            grads = [h / np.float32(seen) for h in held]
-            held, seen = [np.zeros_like(w) for w in self.weights], 0
-            step += 1
-            size = np.sqrt(sum(float((g * g).sum()) for g in grads))
-            for w, g, m, v in zip(self.weights, grads, first, second):
-                g *= min(1.0, 1.0 / max(size, 1e-9))
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                w -= RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-6)
-
-    def _window(self, tokens, fresh, state, before, real=None):
-        """Mean gradients of the targets, or of those that are `real`: streams may end inside a window."""
-        gates, kept, states = self.inputs(), [], []
-        for now, new in zip(tokens, fresh):
-            state = np.where(new[:, None], 0, state)
-            before = np.where(new, self.vocabulary.end, before)
-            after = self.step(gates[before], state)
-            kept.append((state, before, new, *after))
-            states.append(after[0])
-            state, before = after[0], now
-        grads = [np.zeros_like(w) for w in self.weights]
-        states, count = np.concatenate(states), tokens.size
+            self.steps += 1
+            size = np.sqrt(sum(float(np.vdot(h, h)) for h in held)) / seen
+            scale = np.float32(min(1.0, 1.0 / max(size, 1e-9)) / seen)
+            rate = RATE * min(1.0, self.steps / WARM) * (1 - 0.9 * at / len(tokens))
+            fix_first, fix_second = 1 - 0.9 ** self.steps, 1 - 0.99 ** self.steps
+            for w, g, m, v in zip(self.weights, held, first, second):
+                g *= scale
+                m *= np.float32(0.9)
+                m += np.float32(0.1) * g
+                v *= np.float32(0.99)
+                np.multiply(g, g, out=g)
+                g *= np.float32(0.01)
+                v += g
+                np.sqrt(v, out=g)
+                g *= np.float32(1 / np.sqrt(fix_second))
+                g += np.float32(1e-6)
+                np.divide(m, g, out=g)
+                g *= np.float32(rate / fix_first)
+                w -= g
+                g[:] = 0
+            seen = 0
+
+    def _window(self, tokens, fresh, state, before, grads, real=None):
+        """Add the gradients of the targets, or of those that are `real`: streams may end inside a window."""
+        steps, n = tokens.shape
+        fed = np.concatenate([before[None], tokens[:-1]])
+        fed = np.where(fresh, np.int32(self.vocabulary.end), fed)
+        gates = self.inputs()[fed]
+        real_type = self.weights[2].dtype
+        kept, states, anew = [], np.empty((steps, n, HIDDEN), real_type), fresh.any(axis=1).tolist()
+        for t in range(steps):
+            if anew[t]:
+                state = np.where(fresh[t][:, None], real_type.type(0), state)
+            after = self.step(gates[t], state)
+            kept.append((state, *after[1:]))
+            states[t] = state = after[0]
+        flat, targets = states.reshape(-1, HIDDEN), tokens.ravel()
         if real is None or real.all():
-            _, back = self.outputs(states, tokens.ravel(), grads)
+            _, back = self.outputs(flat, targets, grads)
         else:
-            back, count, real = np.zeros_like(states), int(real.sum()), real.ravel()
-            back[real] = self.outputs(states[real], tokens.ravel()[real], grads)[1]
-        back = back.reshape(len(tokens), -1, HIDDEN)
-        own, later = self.weights[2], np.zeros_like(state)
-        inner = np.empty((len(tokens), len(state), 3 * HIDDEN), np.float32)
-        for t in range(len(tokens) - 1, -1, -1):
-            old, _, new, _, update, reset, candidate, add = kept[t]
-            d = back[t] + later
-            d_candidate = d * (1 - update) * (1 - candidate * candidate)
-            d_update = d * (old - candidate) * update * (1 - update)
-            d_reset = d_candidate * add * reset * (1 - reset)
-            inner[t] = np.concatenate([d_update, d_reset, d_candidate], axis=1)
-            d_own = np.concatenate([d_update, d_reset, d_candidate * reset], axis=1)
-            grads[2] += old.T @ d_own
-            later = np.where(new[:, None], 0, d * update + d_own @ own.T)
+            back, real = np.zeros_like(flat), real.ravel()
+            back[real] = self.outputs(flat[real], targets[real], grads)[1]
+        back = back.reshape(steps, n, HIDDEN)
+        own, later = self.weights[2].T.copy(), np.zeros((n, HIDDEN), real_type)
+        inner, d_own = (np.empty((steps, n, 3 * HIDDEN), real_type) for _ in range(2))
+        for t in range(steps - 1, -1, -1):
+            old, update, reset, candidate, add = kept[t]
+            d = later
+            d += back[t]
+            d_candidate = inner[t, :, 2 * HIDDEN:]
+            np.multiply(d * (1 - update), 1 - candidate * candidate, out=d_candidate)
+            np.multiply(d * (old - candidate), update * (1 - update), out=inner[t, :, :HIDDEN])
+            np.multiply(d_candidate * add, reset * (1 - reset), out=inner[t, :, HIDDEN:2 * HIDDEN])
+            d_own[t, :, :2 * HIDDEN] = inner[t, :, :2 * HIDDEN]
+            np.multiply(d_candidate, reset, out=d_own[t, :, 2 * HIDDEN:])
+            later = d_own[t] @ own
+            later += d * update
+            if anew[t]:
+                later[fresh[t]] = 0
+        before_states = np.stack([k[0] for k in kept]).reshape(-1, HIDDEN)
+        grads[2] += before_states.T @ d_own.reshape(-1, 3 * HIDDEN)
         inner = inner.reshape(-1, 3 * HIDDEN)
-        fed = np.concatenate([k[1] for k in kept])
         grads[3] += inner.sum(axis=0)
-        grads[1] += self.weights[0][fed].T @ inner
-        np.add.at(grads[0], fed, inner @ self.weights[1].T)
-        total = np.float32(1 / count)
-        for g in grads:
-            g *= total
-        return grads, state, before
+        # What reaches a word's gates is summed over its places first.
+        fed = fed.ravel()
+        order = np.argsort(fed, kind="stable")
+        words, first = np.unique(fed[order], return_index=True)
+        of_word = np.add.reduceat(inner[order], first, axis=0)
+        grads[0][words] += of_word @ self.weights[1].T
+        grads[1] += self.weights[0][words].T @ of_word
+        return state, tokens[-1]
 
     def score(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Natural log-probability of every id, the state carried through each whole text."""
@@ -240,13 +287,16 @@ def _streams(flat: np.ndarray, starts: np.ndarray, streams: int, whole: bool = F
     order = np.argsort(-lengths, kind="stable")
     order = order[lengths[order] > 0]
     streams = max(1, min(streams, len(order)))
-    column, fill = np.zeros(len(order), np.int64), np.zeros(streams, np.int64)
-    offset = np.zeros(len(order), np.int64)
-    for a in range(0, len(order), streams):  # longest texts to the columns that are shortest so far
-        part = order[a:a + streams]
-        to = np.argsort(fill, kind="stable")[:len(part)]
-        column[a:a + len(part)], offset[a:a + len(part)] = to, fill[to]
-        fill[to] += lengths[part]
+    column, fill, shortest = np.zeros(len(order), np.int64), np.zeros(streams, np.int64), [(0, c) for c in range(streams)]
+    for i, n in enumerate(lengths[order].tolist()):  # longest texts first, each to the column that is shortest so far
+        size, column[i] = shortest[0]
+        fill[column[i]] = size + n
+        heapq.heapreplace(shortest, (size + n, int(column[i])))
+    # Within a column in any order, so that training does not end with the shortest texts of all.
+    mixed = np.lexsort((np.random.default_rng(11).permutation(len(order)), column))
+    order, column = order[mixed], column[mixed]
+    offset = np.cumsum(lengths[order]) - lengths[order]
+    offset -= np.concatenate([[0], np.cumsum(fill)])[column]
     rank = np.empty(streams, np.int64)
     rank[np.argsort(-fill, kind="stable")] = np.arange(streams)
     places = np.full((int(fill.max()) if len(order) else 0, streams), -1, np.int32)
@@ -266,9 +316,9 @@ def _encoded(vocabulary: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.nd
     return np.insert(ids, starts[1:], vocabulary.end), starts + np.arange(len(starts)), codes, starts, words
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """`_chunk`, `word`, `c`, `first`: the different words of each chunk of texts, how often all training texts have
-    them, and whether the row is the word's first."""
+def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`_chunk`, `word`, `c`: the different words of each chunk of texts, and how often all training texts have them; and
+    the words with their counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             order = pc.sort_indices(batch.column(0))
@@ -290,10 +340,10 @@ def counted(docs: DataFrame) -> DataFrame:
                     yield pa.record_batch([pa.array(np.full(len(found), slot[k])), words.take(pa.array(found)).cast(pa.string()),
                                            pa.array(times[found].astype(np.int64))], names=["_chunk", "word", "n"])
 
-    rows = docs.select("_chunk", "_learn", "_text").mapInArrow(thrifty(run), "_chunk long, word string, n long")
-    of_word = W.partitionBy("word")
-    return rows.select("_chunk", "word", F.sum("n").over(of_word).alias("c"),
-                       (F.row_number().over(of_word.orderBy("_chunk")) == 1).alias("first"))
+    rows = tabled(docs.select("_chunk", "_learn", "_text").mapInArrow(thrifty(run), "_chunk long, word string, n long"), "chunk-words", few=False)
+    # A frequent word has a row in every chunk: it is counted before it is shuffled, and the count goes back in pieces.
+    totals = tabled(rows.groupBy("word").agg(F.sum("n").alias("c")), "words", few=False)
+    return skew_join(rows, totals, "word", hot_rows=max(10_000, rows.count() // 10_000)).select("_chunk", "word", "c"), totals
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -325,35 +375,38 @@ def fit(docs: DataFrame, found: Vocabulary, rounds: int = ROUNDS) -> Model:
     """Rounds of training in all tasks at once, from common weights, which are then averaged by tokens trained on.
 
     Round i takes the training texts whose row hash is i modulo `rounds`, so
-    that each training text is learnt from once. Averages are taken in a tree;
-    the driver gets `AVERAGES` sets of weights.
+    that each training text is learnt from once. Averages are taken in levels
+    of `FAN_IN` sets of weights, until the driver gets that many at most.
     """
     model, trained = Model(found), 0
     context = docs.sparkSession.sparkContext
     for i in range(rounds):
-        shared = context.broadcast((found, model.weights))
+        shared = context.broadcast((found.plain(), model.weights))
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, seen = Model(shared.value[0], [w.copy() for w in shared.value[1]]), 0
+            own, seen = Model(Vocabulary(*shared.value[0]), [w.copy() for w in shared.value[1]]), 0
             for batch in batches:
                 texts = strings(batch.column(0))
-                for at, stop in by_bytes(texts, 2 << 20):
+                for at, stop in by_bytes(texts, SLICE_BYTES):
                     ids, starts, *_ = _encoded(own.vocabulary, texts.slice(at, stop - at))
                     own.train(ids, starts)
                     seen += len(ids)
             if seen:
                 weights = np.concatenate([w.ravel() for w in own.weights]).astype(np.float32)
-                yield pa.record_batch([pa.array([TaskContext.get().partitionId() % AVERAGES]), pa.array([float(seen)]),
+                yield pa.record_batch([pa.array([TaskContext.get().partitionId()]), pa.array([float(seen)]),
                                        pa.array([weights.tobytes()], pa.binary())], names=["node", "seen", "weights"])
 
         def average(rows: pd.DataFrame) -> pd.DataFrame:
             total = sum(s * np.frombuffer(w, np.float32).astype(np.float64) for s, w in zip(rows["seen"], rows["weights"]))
-            return pd.DataFrame({"node": rows["node"][:1], "seen": [rows["seen"].sum()],
+            return pd.DataFrame({"node": [rows["node"].iloc[0] // FAN_IN], "seen": [rows["seen"].sum()],
                                  "weights": [(total / rows["seen"].sum()).astype(np.float32).tobytes()]})
 
         kind = "node long, seen double, weights binary"
         rows = docs.filter(F.col("_learn") & (F.pmod(F.xxhash64("_r1", F.lit(7)), F.lit(rounds)) == i)).select("_text")
-        got = rows.mapInArrow(thrifty(learn), kind).groupBy("node").applyInPandas(average, kind).toPandas()
+        learnt = held(rows.mapInArrow(thrifty(learn), kind))
+        while learnt.count() > FAN_IN:
+            learnt = held(learnt.groupBy(F.floor(F.col("node") / FAN_IN)).applyInPandas(average, kind))
+        got = learnt.toPandas()
         if len(got):
             whole = average(got).iloc[0]
             flat, trained = np.frombuffer(whole["weights"], np.float32), trained + int(whole["seen"])
@@ -385,20 +438,20 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     largest = keyed.groupBy("_split").agg(F.sum(F.octet_length("_text")).alias("n")).agg(F.max("n")).first()[0] or 0
     part = F.pmod(F.xxhash64("_r1", F.lit(99)), F.lit(max(1, -(-largest // CHUNK_BYTES))))
     keyed = keyed.withColumn("_chunk", F.xxhash64("_split", part))
-    told = tabled(counted(keyed), "words", few=False)
-    found = vocabulary(told.filter("first").select("word", "c"))
+    told, totals = counted(keyed)
+    found = vocabulary(totals)
     model = fit(keyed, found)
-    shared = docs.sparkSession.sparkContext.broadcast((found, model.weights))
-    told = told.select("_chunk", "word", "c")
+    shared = docs.sparkSession.sparkContext.broadcast((found.plain(), model.weights))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
-        found, weights = shared.value
+        plain, weights = shared.value
+        found = Vocabulary(*plain)
         own = Model(found, weights)
         rows = strings(texts["_text"])
         learnt, counts = strings(known["word"]), np.asarray(known["c"].combine_chunks())
         out = []
-        for at, stop in by_bytes(rows, 16 << 20):
+        for at, stop in by_bytes(rows, SLICE_BYTES):
             ids, starts, codes, word_starts, words = _encoded(found, rows.slice(at, stop - at))
             place = np.asarray(pc.fill_null(pc.index_in(words, learnt), -1)).astype(np.int64)
             c = np.where(place >= 0, counts[np.maximum(place, 0)], 0) if len(counts) else np.zeros(len(words), np.int64)

@@ -7,6 +7,7 @@ import pyarrow as pa
 from brute import edge_rows, words
 from pyspark.sql import functions as F
 
+from docflow.llm import lm
 from docflow.llm.lm import END, TAIL, WINDOW, Model, Vocabulary, _streams, fit, kinds, score_texts
 
 
@@ -42,6 +43,12 @@ def small_vocabulary():
     return Vocabulary(names, np.ones(71), np.ones(TAIL), np.full(TAIL, 2.0), 87, 87)
 
 
+def mean_gradients(model, ids, fresh, state, before, real=None):
+    grads = [np.zeros_like(w) for w in model.weights]
+    model._window(ids, fresh, state, before, grads, real)
+    return [g / (ids.size if real is None else real.sum()) for g in grads]
+
+
 def test_probabilities_add_up_and_gradients_are_right():
     source = np.random.default_rng(3)
     model = Model(small_vocabulary())
@@ -63,7 +70,7 @@ def test_probabilities_add_up_and_gradients_are_right():
             b = now
         return total / ids.size
 
-    grads, *_ = model._window(ids, fresh, state, before)
+    grads = mean_gradients(model, ids, fresh, state, before)
     for w, g in zip(model.weights, grads):
         for _ in range(4):
             at = tuple(source.integers(0, k) for k in w.shape)
@@ -123,9 +130,9 @@ def test_streams_that_end_in_a_window_add_nothing():
     state, before = source.standard_normal((2, 32)), np.array([1, 2])
     real = np.ones((WINDOW, 2), bool)
     real[5:, 1] = False
-    got, *_ = model._window(ids, fresh, state, before, real)
-    a, *_ = model._window(ids[:, :1], fresh[:, :1], state[:1], before[:1])
-    b, *_ = model._window(ids[:5, 1:], fresh[:5, 1:], state[1:], before[1:])
+    got = mean_gradients(model, ids, fresh, state, before, real)
+    a = mean_gradients(model, ids[:, :1], fresh[:, :1], state[:1], before[:1])
+    b = mean_gradients(model, ids[:5, 1:], fresh[:5, 1:], state[1:], before[1:])
     for g, x, y in zip(got, a, b):
         assert np.allclose(g, (x * WINDOW + y * 5) / (WINDOW + 5), atol=1e-6)
 
@@ -150,3 +157,38 @@ def test_query_against_counts(spark):
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     assert all(r.held_out == held(r.doc_id) for r in got)
     assert sorted((repr(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == expected(rows, lambda i: not held(i))
+
+
+def test_scores_against_a_plain_walk(spark, monkeypatch):
+    """The score of each text, word by word: class and word given the state, and a rare word's share of its kind."""
+    rows = [(i, " ".join(words(i % 40, 5 + i % 30, 3000))) for i in range(120)] + [(900, None), (901, ""), (902, "Big big unseen " * 40), (903, "É 日本")]
+    learn = lambda i: i % 7 != 2 and i < 900
+    counts = collections.Counter(w for i, t in rows if learn(i) for w in tokens(t))
+    source, made = np.random.default_rng(9), {}
+
+    def random_model(docs, found):
+        model = Model(found)
+        model.weights = [(w + 0.2 * source.standard_normal(w.shape)).astype(np.float32) for w in model.weights]
+        return made.setdefault("model", model)
+
+    monkeypatch.setattr(lm, "fit", random_model)
+    monkeypatch.setattr(lm, "WORDS", 300)
+    got = {r.doc_id: r.score for r in score_texts(edge_rows(spark, rows), (F.col("doc_id") % 7 != 2) & (F.col("doc_id") < 900)).collect()}
+    model = made["model"]
+    vocabulary = model.vocabulary
+    rare = collections.Counter()
+    for w, c in counts.items():
+        if w not in vocabulary.words:
+            rare[int(kinds(pa.array([w], pa.large_string()))[0])] += c + 1
+    assert len(vocabulary.words) == lm.WORDS and np.allclose(vocabulary.tail_weight, [rare[k] for k in range(TAIL)])
+    for doc_id, text in rows[::7] + rows[-4:]:
+        state, before, total = np.zeros((1, 32), np.float32), vocabulary.end, 0.0
+        for word in tokens(text):
+            state = model.step(model.inputs()[[before]], state)[0]
+            kind = int(kinds(pa.array([word], pa.large_string()))[0])
+            target = TAIL + vocabulary.words.index(word) if word in vocabulary.words else kind
+            total += model.outputs(state, np.array([target]))[0][0] / math.log(10)
+            if target < TAIL:
+                total += math.log10((counts[word] + 1) / (vocabulary.tail_weight[kind] + 1))
+            before = target
+        assert abs(total - got[doc_id]) < 1e-3 * max(1.0, abs(total)), doc_id
