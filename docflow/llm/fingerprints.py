@@ -75,20 +75,48 @@ def fingerprint(signature: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(signature, lambda v: F.lpad(F.lower(F.hex(v)), 8, "0")), ""), F.lit(""))
 
 
-def in_stretches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _numbers(values: list, kind: str) -> Column:
+    """A constant array. Written as one string, which the optimizer turns into the array once."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
+def _with_stretch(rows: DataFrame, bounds: list[int]) -> DataFrame:
+    """Add `_s1`, how many of the sorted bounds are not above `_id`, by halving; -1 for null.
+
+    A projection per step instead of a lambda: Spark only shares a shuffle between plans without lambdas before it.
+    """
+    held, at = _numbers(bounds, "bigint"), F.col("_s1")
+    rows = rows.withColumn("_s1", F.when(F.col("_id").isNull(), -1).otherwise(0))
+    for i in reversed(range(len(bounds).bit_length())):
+        more = (at >= 0) & (at + (1 << i) <= len(bounds)) & (F.get(held, at + (1 << i) - 1) <= F.col("_id"))
+        rows = rows.withColumn("_s1", F.when(more, at + (1 << i)).otherwise(at))
+    return rows
+
+
+def in_stretches(docs: DataFrame, id_col: str, text_col: str, stretch_rows: int = STRETCH_ROWS) -> DataFrame:
     """Rows with the stretch of ids they lie in (`_s1`, `_s2`) and their place in it from the largest id on (`_no`).
 
-    Rows with a null id come last, by row key, in stretches of that. Stretches
-    are equally wide, so widely uneven ids make them unequally full; a full one
-    is sorted with spilling like any window.
+    Stretches are bounded by quantiles of the ids, so they have about as many
+    rows each, however the ids are spread. An id with more rows than that is a
+    stretch by itself, cut again by row key (`_s2`) into as many as it fills;
+    so are null ids, which come last.
     """
-    known = docs.agg(F.count(id_col).alias("n"), F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).first()
-    stretches = min(STRETCHES, max(1, known.n // STRETCH_ROWS))
-    width = max(1, ((known.hi or 0) - (known.lo or 0) + stretches) // stretches)
-    rows = with_row_key(docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")), "_id", "_text")
-    rows = rows.withColumns({"_s1": F.floor((F.col("_id") - (known.lo or 0)) / width),
-                             "_s2": F.when(F.col("_id").isNull(), F.shiftright("_r1", 52)).otherwise(0)})
-    rows = rows.withColumn("_s1", F.coalesce("_s1", F.lit(-1)).cast("long"))
+    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
+    total, n = ids.agg(F.count("*"), F.count("_id")).first()
+    stretches = min(STRETCHES, max(1, n // stretch_rows))
+    found = ids.agg(F.percentile_approx("_id", _numbers([i / stretches for i in range(1, stretches)], "double"), F.lit(10 * stretches))
+                    ).first()[0] if stretches > 1 else []
+    often = {a for a, b in zip(found, found[1:]) if a == b}
+    bounds = sorted({*found, *(a + 1 for a in often if a < 2**63 - 1)})
+    place = {b: i + 1 for i, b in enumerate(bounds)}
+    cuts = [0] * (len(bounds) + 1)
+    for a in found:
+        cuts[place[a]] += a in often
+    cuts = [min(4096, max(1, c)) for c in cuts]
+    nulls = min(4096, max(1, (total - n) // stretch_rows))
+    rows = _with_stretch(with_row_key(ids, "_id", "_text"), bounds)
+    times = F.when(F.col("_id").isNull(), nulls).otherwise(F.get(_numbers(cuts, "int"), F.col("_s1")))
+    rows = rows.withColumn("_s2", F.floor((F.shiftright("_r1", 52) + 2048) * times / 4096))
     order = W.partitionBy("_s1", "_s2").orderBy(F.desc_nulls_last("_id"), F.desc("_r1"), F.desc("_r2"))
     return rows.select("_id", "_text", "_s1", "_s2", F.row_number().over(order).alias("_no"),
                        F.lead("_text").over(order).alias("_next"))
@@ -97,8 +125,8 @@ def in_stretches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def chain(rows: DataFrame) -> DataFrame:
     """Per stretch (`_s1`, `_s2`) the next one downwards (`_d1`, `_d2`); after the last comes the first.
 
-    `rows` needs no more than the stretches; there are at most `STRETCHES` of
-    them and 4096 of null ids, so one task can order them.
+    `rows` needs no more than the stretches; there are at most three times
+    `STRETCHES` of them and 4096 of null ids, so one task can order them.
     """
     stretches = rows.select("_s1", "_s2").distinct()
     order = W.orderBy(F.desc("_s1"), F.desc("_s2"))

@@ -5,7 +5,7 @@ from collections import Counter
 from brute import edge_rows, words
 from pyspark.sql import functions as F
 
-from docflow.llm.fingerprints import SAMPLES, likeness, near_edits, signatures, weighted_terms
+from docflow.llm.fingerprints import SAMPLES, in_stretches, likeness, near_edits, signatures, weighted_terms
 
 
 def edits(rows):
@@ -41,6 +41,19 @@ def test_edited_texts(spark):
     assert near_edits(edge_rows(spark, [])).count() == 0
 
 
+def test_ids_of_any_spread(spark):
+    """Ids over the whole range of a long, a far one, one that many rows share, and nulls."""
+    source = random.Random(4)
+    spread = list({source.randrange(-2**63, 2**63): " ".join(words(i, source.randint(1, 5))) for i in range(700)}.items())
+    check(spark, [*spread, (-5, "a b"), (2**63 - 1, "last"), (-2**63, "first"), (2**63 - 1, "last")])
+    check(spark, [(-5, "a"), (0, "b"), (2**63 - 1, "c")])
+    many = [(i, f"w{i % 50} x") for i in range(900)] + [(10**15, "far")] + [(400, "w0 x")] * 500 + [(None, "none")] * 300
+    check(spark, many)
+    sizes = in_stretches(edge_rows(spark, many), "doc_id", "text", 20).groupBy("_s1", "_s2").agg(
+        F.count("*").alias("n"), F.countDistinct("_id", "_text").alias("different")).filter("different > 1").agg(F.max("n")).first()[0]
+    assert sizes < 100
+
+
 def test_equal_and_next(spark):
     text = " ".join(words(3, 200))
     got = {r.doc_id: r for r in near_edits(edge_rows(spark, [(3, text), (2, text), (1, "quite another thing")])).collect()}
