@@ -16,10 +16,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docflow.llm.registry import query, table
+from docflow.llm.rows import tabled
+from docflow.operators.joins import skew_join
 from docflow.session import durable, work_path
 
 ARCHIVE_BYTES = 64 << 20
 CHUNK = 1 << 20
+#: Pages of one payload that meet in a task.
+HOT_PAGES = 20_000
 # Fixed values of the format.
 VERSION = "WARC/1.1"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -100,7 +104,9 @@ class Inflated:
                         raise EOFError("the last record breaks off")
                     return
                 at = self.held.find(END, max(0, at))
-            start = len(self.held) - len(self.held.lstrip(b"\r\n"))
+            start = 0
+            while start < len(self.held) and self.held[start] in b"\r\n":
+                start += 1
             if start:
                 del self.held[:start]
                 continue
@@ -120,14 +126,21 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def with_responses(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Add `refers_to`: null on the row that stands for its payload, which is that of the largest page id."""
+    """Add `refers_to`: null on the row that stands for its payload, which is that of the largest page id.
+
+    Digests are grouped first, without their payloads; those that come once
+    need no partner, and frequent ones are joined in pieces of `HOT_PAGES` rows.
+    """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"),
                         F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumns({"_sha": F.sha1("payload"), "_n": F.length("payload")})
-    largest = rows.groupBy("_sha", "_n").agg(F.max("page_id").alias("_largest"))
-    other = (F.col("_n") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("_largest"))
-    return rows.join(largest, ["_sha", "_n"]).select(
-        "page_id", "url", "payload", F.when(other, F.col("_largest")).alias("refers_to"))
+    rows = rows.withColumn("_g", F.concat_ws("-", "_sha", "_n"))
+    groups = tabled(rows.filter(F.col("_n") >= least_bytes).groupBy("_g").agg(F.max("page_id").alias("_largest"), F.count("*").alias("_rows")).filter(
+        "_rows > 1"), "payloads")
+    hot = groups.filter(F.col("_rows") > HOT_PAGES).select("_g", F.ceil(F.col("_rows") / HOT_PAGES).alias("_cuts"))
+    joined = skew_join(rows, groups.select("_g", "_largest"), "_g", "left", hot=hot)
+    other = F.col("_largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_largest"))
+    return joined.select("page_id", "url", "payload", F.when(other, F.col("_largest")).alias("refers_to"))
 
 
 def write_archives(rows: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
