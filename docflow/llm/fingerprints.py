@@ -80,17 +80,20 @@ def _numbers(values: list, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
 
 
-def _with_stretch(rows: DataFrame, bounds: list[int]) -> DataFrame:
-    """Add `_s1`, how many of the sorted bounds are not above `_id`, by halving; -1 for null.
+def _stretch(bounds: list[int]) -> Column:
+    """How many of the sorted bounds are not above `_id`, by halving; -1 for null.
 
-    A projection per step instead of a lambda: Spark only shares a shuffle between plans without lambdas before it.
+    The steps are one lambda and not a projection each: Spark writes out projections that read each other, at the power of
+    their number, wherever it follows a column down to its table.
     """
-    held, at = _numbers(bounds, "bigint"), F.col("_s1")
-    rows = rows.withColumn("_s1", F.when(F.col("_id").isNull(), -1).otherwise(0))
-    for i in reversed(range(len(bounds).bit_length())):
-        more = (at >= 0) & (at + (1 << i) <= len(bounds)) & (F.get(held, at + (1 << i) - 1) <= F.col("_id"))
-        rows = rows.withColumn("_s1", F.when(more, at + (1 << i)).otherwise(at))
-    return rows
+    held = _numbers(bounds, "bigint")
+
+    def step(at: Column, width: Column) -> Column:
+        return F.when((at + width <= len(bounds)) & (F.get(held, at + width - 1) <= F.col("_id")), at + width).otherwise(at)
+
+    widths = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    found = F.aggregate(_numbers(widths, "int"), F.lit(0), step)
+    return F.when(F.col("_id").isNull(), -1).otherwise(F.coalesce(found, F.lit(0)))
 
 
 def in_stretches(docs: DataFrame, id_col: str, text_col: str, stretch_rows: int = STRETCH_ROWS) -> DataFrame:
@@ -114,9 +117,10 @@ def in_stretches(docs: DataFrame, id_col: str, text_col: str, stretch_rows: int
         cuts[place[a]] += a in often
     cuts = [min(4096, max(1, c)) for c in cuts]
     nulls = min(4096, max(1, (total - n) // stretch_rows))
-    rows = _with_stretch(with_row_key(ids, "_id", "_text"), bounds)
+    rows = with_row_key(ids, "_id", "_text").withColumn("_s1", _stretch(bounds))
     times = F.when(F.col("_id").isNull(), nulls).otherwise(F.get(_numbers(cuts, "int"), F.col("_s1")))
-    rows = rows.withColumn("_s2", F.floor((F.shiftright("_r1", 52) + 2048) * times / 4096))
+    # Neither is null by its type: a join would otherwise test it for null in one copy of the plan and share no shuffle with the others.
+    rows = rows.withColumn("_s2", F.coalesce(F.floor((F.shiftright("_r1", 52) + 2048) * times / 4096), F.lit(0)))
     order = W.partitionBy("_s1", "_s2").orderBy(F.desc_nulls_last("_id"), F.desc("_r1"), F.desc("_r2"))
     return rows.select("_id", "_text", "_s1", "_s2", F.row_number().over(order).alias("_no"),
                        F.lead("_text").over(order).alias("_next"))

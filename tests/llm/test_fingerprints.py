@@ -5,7 +5,7 @@ from collections import Counter
 from brute import edge_rows, words
 from pyspark.sql import functions as F
 
-from docflow.llm.fingerprints import SAMPLES, in_stretches, likeness, near_edits, signatures, weighted_terms
+from docflow.llm.fingerprints import SAMPLES, chain, in_stretches, likeness, near_edits, signatures, weighted_terms, with_next
 
 
 def edits(rows):
@@ -54,6 +54,18 @@ def test_ids_of_any_spread(spark):
     assert sizes < 100
 
 
+def test_plan_does_not_grow_with_stretches(spark):
+    """The search for a row's stretch is written out once, not once more per step and join."""
+    docs = edge_rows(spark, [(i, f"w{i} x") for i in range(640)])
+
+    def length(stretch_rows):
+        rows = in_stretches(docs, "doc_id", "text", stretch_rows).withColumn("_last", F.col("_next").isNull())
+        told = with_next(rows, chain(rows), "_text", "_next", "_after")
+        return len(told._jdf.queryExecution().optimizedPlan().toString())
+
+    assert length(20) < 2 * length(320)
+
+
 def test_equal_and_next(spark):
     text = " ".join(words(3, 200))
     got = {r.doc_id: r for r in near_edits(edge_rows(spark, [(3, text), (2, text), (1, "quite another thing")])).collect()}
