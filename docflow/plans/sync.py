@@ -13,7 +13,7 @@ from docflow.operators.store import BUCKETS
 from docflow.plans.embedding import embed_hashed
 from docflow.plans.ingest import Source, Step
 from docflow.plans.tasks import TaskLog
-from docflow.sources.files import Readers, extension_glob, extract_text, read_paths, scan_files
+from docflow.sources.files import Readers, extract_text, list_files, read_paths
 
 
 def cut_sentences(docs: DataFrame) -> DataFrame:
@@ -41,12 +41,12 @@ def sync_folder(spark: SparkSession, folder: str, root: str, name: str, *, cut:
                 condition: Column | None = None, readers: Readers | None = None, buckets: int = BUCKETS) -> dict[str, int]:
     """Bring a collection up to date with the files below a folder, which is its scope; returns the counts of `sync_listing`.
 
-    Files are listed with their time and size, and only new and changed ones
+    Tasks list the files with their time and size, and only new and changed ones
     are read; what is no longer listed is removed. `key` makes a file's
     identity from its path, and the document's id is a hash of that. A file
     without a readable text has no nodes until it changes.
     """
-    listed = scan_files(spark, folder, extension_glob(extensions)).filter(F.col("file_extension").isin(*extensions))
+    listed = list_files(spark, folder).filter(F.col("file_extension").isin(*extensions))
     if condition is not None:
         listed = listed.filter(condition)
     doc_id = F.sha2(key(F.col("file_path")), 256)

@@ -290,6 +290,20 @@ def test_files_are_named_in_batches(spark, folder):
     assert files.read_paths(spark, listed.filter("false").select("file_path")).count() == 0
 
 
+def test_files_are_listed_and_read_by_tasks(spark, folder):
+    """What tasks list is what a scan lists, and what they read what it reads; no list of names passes through the driver."""
+    for name in ("a.txt", "x/b [1]%20 é.TXT", "x/y/c.txt", "x/_d.txt", "x/.e.txt", "_f/g.txt", "_h=1/i.txt", "x/j", "x/y/k._COPYING_"):
+        path = Path(folder) / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(f"text of {name}")
+    (Path(folder) / "empty").mkdir()
+    scanned, listed = files.scan_files(spark, folder), files.list_files(spark, folder)
+    assert sorted(listed.collect()) == sorted(scanned.drop("content").collect())
+    assert not any("BinaryFile" in line or "binaryFile" in line for line in listed._jdf.queryExecution().executedPlan().toString().splitlines())
+    assert sorted(files.read_paths(spark, listed, 2).collect()) == sorted(scanned.collect())
+    assert all("files-" in name for name in files.read_paths(spark, listed, 2).inputFiles())
+
+
 def test_folder_sync_reads_changed_files_only(spark, folder):
     """A file that changes in place, one that goes, one that cannot be read, and one with another extension."""
     notes, root = Path(folder) / "notes", f"{folder}/index"
