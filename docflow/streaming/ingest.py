@@ -11,15 +11,18 @@ from docflow.functions import paths
 from docflow.operators.collections import compact_collection, update_collection, write_collection
 from docflow.operators.store import BUCKETS
 from docflow.plans.embedding import embed_hashed
+from docflow.session import remove_path, work_path
 
+#: Files of one batch. The driver plans a batch by the names of its files.
+BATCH_FILES = 40_000
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def landed_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """A stream of the files below `root`, each seen once."""
+def landed_files(spark: SparkSession, root: str, glob: str = "*", most: int = BATCH_FILES) -> DataFrame:
+    """A stream of the files below `root`, each seen once, the oldest first, in batches of at most `most` files."""
     name = paths.file_name(F.col("path"))
     files = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", glob).load(root))
+             .option("pathGlobFilter", glob).option("maxFilesPerTrigger", most).load(root))
     return files.select(F.col("path").alias("file_path"), name.alias("file_name"),
                         paths.splitext(name).alias("file_extension"),
                         F.col("modificationTime").alias("last_modified"), F.col("length").alias("file_size"), "content")
@@ -42,8 +45,19 @@ def stream_update(files: DataFrame, to_docs: Callable[[DataFrame], DataFrame], c
     that are one document, the one modified last counts. Only the buckets of a
     batch's documents are read. Buckets are compacted every so many batches. A
     batch run again after a failure finds nothing to change.
+
+    A batch's files are opened once and kept in a table while it is worked on.
     """
     def update(batch: DataFrame, number: int) -> None:
+        path = work_path(batch.sparkSession, "batch")
+        # A scan of small files has a split for a few of them; in two tasks per core they become as many files.
+        batch.coalesce(2 * batch.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
+        try:
+            update_from(batch.sparkSession.read.schema(batch.schema).parquet(path), number)
+        finally:
+            remove_path(batch.sparkSession, path)
+
+    def update_from(batch: DataFrame, number: int) -> None:
         docs = to_docs(batch)
         rest = [c for c in docs.columns if c != "doc_id"]
         last = docs.groupBy("doc_id").agg(F.max_by(F.struct(*rest), F.struct("last_modified", "file_path")).alias("_d")).select("doc_id", "_d.*")

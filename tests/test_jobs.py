@@ -1,3 +1,6 @@
+import re
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ from docflow.schema import DOCUMENT
 from docflow.session import durable, shared_dir, size_shuffles, spread, work_path
 from docflow.sources.documents import as_documents
 from docflow.sources.files import extract_text
-from docflow.streaming.ingest import landed_files, stream_ingest
+from docflow.streaming.ingest import landed_files, stream_ingest, stream_update
 
 DOCS = [(1, "alpha beta gamma"), (2, "mail me @bob"), (3, "delta epsilon")]
 
@@ -325,6 +328,40 @@ def test_landed_files_are_ingested_once(spark, folder, tmp_path):
     assert run("c2") == ["alpha beta", "gamma"]
 
 
+def test_a_stream_takes_so_many_files_at_a_time(spark, folder, tmp_path):
+    landing, sizes = tmp_path / "landing", []
+    landing.mkdir()
+    for i in range(5):
+        (landing / f"{i}.txt").write_text(f"text {i}")
+
+    def run(files):
+        files.writeStream.foreachBatch(lambda batch, _: sizes.append(batch.count())).option(
+            "checkpointLocation", f"{folder}/c{len(sizes)}").trigger(availableNow=True).start().awaitTermination()
+
+    run(landed_files(spark, str(landing), most=2))
+    assert sizes == [2, 2, 1]
+    run(landed_files(spark, str(landing)))
+    assert sizes == [2, 2, 1, 5]
+
+
+def test_a_stream_batch_is_opened_once(spark, folder, tmp_path):
+    """Files of a batch that are gone after they were read do not fail it, and no copy of them stays."""
+    landing, checkpoint = tmp_path / "landing", f"{folder}/check"
+    landing.mkdir()
+    for i in range(3):
+        (landing / f"{i}.txt").write_text(f"text {i}")
+
+    def to_docs(batch):
+        for path in landing.iterdir():
+            path.unlink()
+        return extract_text(batch).withColumn("doc_id", F.col("file_name"))
+
+    before = {p.name for p in Path(re.sub("^file:", "", shared_dir(spark))).glob("batch-*")}
+    stream_update(landed_files(spark, str(landing), "*.txt"), to_docs, cut_nodes, f"{folder}/index", "c", checkpoint).awaitTermination()
+    assert sorted(r.text for r in collections.open_collection(spark, f"{folder}/index", "c").collect()) == ["text 0", "text 1", "text 2"]
+    assert {p.name for p in Path(re.sub("^file:", "", shared_dir(spark))).glob("batch-*")} == before
+
+
 def test_a_changed_document_replaces_its_nodes(spark, folder):
     root, cuts = f"{folder}/c", []
 
