@@ -380,3 +380,17 @@ def test_a_changed_document_replaces_its_nodes(spark, folder):
     assert update(a="one two three") == ["four", "more", "one two", "three"]
     assert update(b="", c="more") == ["more", "one two", "three"]
     assert cuts == [["a", "b"], ["a", "c"], ["a"], ["b"]]
+
+
+def test_hash_embedding_counts_in_one_pass(spark):
+    """Whatever the number of buckets: no pass over the words for each of them."""
+    texts = ["", None, "one", "One one two, three", "a b c " * 50]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for dim in (1, 3, 64):
+        found = docs.select("i", "text", hash_embedding(F.col("text"), dim).alias("v"))
+        assert "array_remove" not in found._jdf.queryExecution().optimizedPlan().toString()
+        got = {r.i: r.v for r in found.collect()}
+        assert [len(got[i]) for i in range(5)] == [dim] * 5
+        assert [sum(got[i]) for i in range(5)] == [0, 0, 1, 4, 150]
+        assert all(n >= 0 and n == int(n) for v in got.values() for n in v)
+        assert max(got[3]) >= 2 and sorted(got[4])[-1] >= 50
