@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docflow.functions.vectors import let
 from docflow.operators.joins import skew_join
 from docflow.operators.rules import java_pattern, valid_patterns
 
@@ -15,6 +17,8 @@ from docflow.operators.rules import java_pattern, valid_patterns
 GRAM = 3
 #: Rules of a table, which are checked on the driver and sent to all tasks, and those of them without a piece to join by.
 MOST_RULES, MOST_LOOSE = 100_000, 500
+#: Characters whose pieces are looked up together, and bits by which most pieces that no rule has are told at once.
+TOGETHER, SLOT_BITS = 1 << 20, 20
 
 
 def literal_runs(pattern: str) -> list[str]:
@@ -33,13 +37,81 @@ def literal_runs(pattern: str) -> list[str]:
     return [r for r in [*runs, now] if r]
 
 
-def _grams(text: Column) -> Column:
-    """The different pieces of `GRAM` characters of a text."""
-    def pieces(letters: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(letters) - GRAM)
-        return F.array_distinct(F.transform(places, lambda i: F.concat(*[F.get(letters, i + j) for j in range(GRAM)])))
-
-    return F.when(F.length(text) >= GRAM, let(F.split(text, ""), pieces)).otherwise(F.array().cast("array<string>"))
+def _stretches(texts: pa.Array) -> Iterator[tuple[list[int], list[str]]]:
+    """Rows and their texts, about `TOGETHER` characters at a time; longer texts are cut so that no piece is lost."""
+    rows, parts, size = [], [], 0
+    for row, content in enumerate(texts.cast(pa.binary()).to_pylist()):
+        text = content.decode("utf-8", "replace")
+        for at in range(0, len(text) - GRAM + 1, TOGETHER):
+            rows.append(row)
+            parts.append(text[at:at + TOGETHER + GRAM - 1])
+            size += len(parts[-1])
+            if size >= TOGETHER:
+                yield rows, parts
+                rows, parts, size = [], [], 0
+    if rows:
+        yield rows, parts
+
+
+def _codes(parts: list[str]) -> np.ndarray:
+    """The piece at each place of the texts behind each other, as a number; a text's last ones reach into the next text."""
+    letters = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    codes = np.zeros(len(letters) - GRAM + 1, np.uint64)
+    for j in range(GRAM):
+        codes = codes << np.uint64(21) | letters[j:j + len(codes)]
+    return codes
+
+
+def _slots(codes: np.ndarray) -> np.ndarray:
+    return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+
+
+def _coded(grams: list[str]) -> tuple[np.ndarray, pa.Array]:
+    """Pieces as sorted numbers, and themselves in that order."""
+    codes = _codes(grams)[::GRAM] if grams else np.zeros(0, np.uint64)
+    order = np.argsort(codes)
+    return codes[order], pa.array(grams, pa.string()).take(pa.array(order))
+
+
+def _times(keyed: DataFrame, grams: list[str]) -> DataFrame:
+    """`gram`, `n`: how often the keys have each of the pieces, if they do."""
+    wanted, names = _coded(grams)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = np.zeros(len(wanted), np.int64)
+        for batch in batches:
+            for _, parts in _stretches(batch.column(0)):
+                codes, n = np.unique(_codes(parts), return_counts=True)
+                at = np.searchsorted(codes, wanted).clip(max=len(codes) - 1)
+                times += np.where(codes[at] == wanted, n[at], 0)
+        there = np.flatnonzero(times)
+        yield pa.record_batch([names.take(pa.array(there)), pa.array(times[there])], names=["gram", "n"])
+
+    return keyed.select("_key").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _found(keyed: DataFrame, grams: list[str]) -> DataFrame:
+    """`_g`, `gram`: which of the pieces each key has."""
+    wanted, names = _coded(grams)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(1 << SLOT_BITS, bool)
+        known[_slots(wanted)] = True
+        for batch in batches:
+            keys = np.asarray(batch.column(0))
+            for rows, parts in _stretches(batch.column(1)):
+                codes = _codes(parts)
+                places = np.flatnonzero(known[_slots(codes)])
+                at = np.searchsorted(wanted, codes[places])
+                of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+                real = (of[places] == of[places + GRAM - 1]) & (wanted[at.clip(max=len(wanted) - 1)] == codes[places])
+                both = np.unique(of[places[real]] * len(wanted) + at[real])
+                yield pa.record_batch([pa.array(keys[np.array(rows)[both // len(wanted)]]), names.take(pa.array(both % len(wanted)))],
+                                      names=["_g", "gram"])
+
+    if not grams:
+        return keyed.select("_g", F.lit("").alias("gram")).limit(0)
+    return keyed.select("_g", "_key").mapInArrow(run, "_g long, gram string")
 
 
 def apply_rule_table(df: DataFrame, key: str, rules: DataFrame) -> DataFrame:
@@ -53,7 +125,8 @@ def apply_rule_table(df: DataFrame, key: str, rules: DataFrame) -> DataFrame:
     Each rule is known by the rarest piece of text that all its matches
     contain, and only keys with that piece are searched for it; rules without
     such a piece, `MOST_LOOSE` at most, are searched in every key. The plan
-    does not grow with the rules.
+    does not grow with the rules. Rules are read and the pieces of all keys
+    counted when this is called; of the counts, a piece per rule comes back.
     """
     spark = df.sparkSession
     given = rules.select("pattern", F.coalesce("exclude", F.lit(False)).alias("exclude")).filter("pattern is not null").distinct()
@@ -71,12 +144,14 @@ def apply_rule_table(df: DataFrame, key: str, rules: DataFrame) -> DataFrame:
     anchored = spark.createDataFrame([(i, e, java_pattern(p), pieces[p]) for i, (p, e) in enumerate(kept) if pieces[p]],
                                      "no int, exclude boolean, regex string, pieces array<string>")
     wanted = anchored.select("no", F.explode("pieces").alias("gram"))
-    found = keyed.select("_g", F.explode(_grams(F.col("_key"))).alias("gram")).join(
-        F.broadcast(wanted.select("gram").distinct()), "gram")
-    times = found.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = wanted.join(F.broadcast(times), "gram", "left").groupBy("no").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a")).filter("a.n > 0").select("no", "a.gram")
-    anchors = anchored.join(rarest, "no").select("gram", F.struct("exclude", "regex").alias("_rule"))
+    times = _times(keyed, sorted({g for own in pieces.values() for g in own}))
+    rarest = wanted.join(F.broadcast(times), "gram").groupBy("no").agg(F.count("*").alias("n_pieces"), F.min(F.struct("n", "gram")).alias("a"))
+    # A rule with a piece that no key has is found nowhere.
+    chosen = rarest.join(anchored, "no").filter(F.col("n_pieces") == F.size("pieces")).select(
+        F.col("a.gram").alias("gram"), F.struct("exclude", "regex").alias("_rule"))
+    listed = chosen.collect()
+    anchors = spark.createDataFrame(listed, chosen.schema)
+    found = _found(keyed, sorted({r.gram for r in listed}))
     candidates = found.join(F.broadcast(anchors), "gram").groupBy("_g").agg(F.collect_set("_rule").alias("_rules"))
     always = F.from_json(F.lit(json.dumps(loose)), "array<struct<exclude:boolean,regex:string>>")
     searched = skew_join(keyed, candidates, "_g", "left").withColumn("_rules", F.concat(always, F.coalesce(

@@ -131,6 +131,25 @@ def test_a_rule_table_keeps_what_the_rules_keep(spark):
             assert got.columns == frame_.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
+def test_pieces_are_found_without_an_expression_per_character(spark, monkeypatch):
+    """Keys cut anywhere keep all their pieces, none spans two keys, and a rule with a piece that no key has is not searched."""
+    monkeypatch.setattr(ruletable, "TOGETHER", 4)
+    keys = ["abcdef" * 3, "xyz", "\U0001F600ab日", "ab", "", None, "cde", "f", "abc"]
+    rows = frame(spark, keys)
+    keyed = rows.select(F.monotonically_increasing_id().alias("_g"), F.coalesce("file_path", F.lit("")).alias("_key")).coalesce(1)
+    grams = ["abc", "cde", "fab", "yza", "zab", "\U0001F600ab", "ab日", "cxy", "zzz", "def"]
+    texts = {r._g: r._key for r in keyed.collect()}
+    found = ruletable._found(keyed, grams).distinct().collect()
+    assert sorted((r._g, r.gram) for r in found) == sorted((g, p) for g, t in texts.items() for p in grams if p in t)
+    times = {r.gram: r.n for r in ruletable._times(keyed, grams).collect()}
+    assert all(times.get(p, 0) >= sum(p in t for t in texts.values()) for p in grams) and "zzz" not in times
+    table = spark.createDataFrame([("abcd", False), ("abczzz", False), ("\U0001F600ab", False), ("cxyz", True)], "pattern string, exclude boolean")
+    out = ruletable.apply_rule_table(rows, "file_path", table)
+    assert kept(out) == kept(rules.apply_rules(rows, "file_path", ["abcd", "abczzz", "\U0001F600ab"], ["cxyz"]))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "transform(" not in plan
+
+
 def test_the_plan_of_a_rule_table_does_not_grow(spark):
     def plan(n):
         table = spark.createDataFrame([(f"name{i}x", True) for i in range(n)], "pattern string, exclude boolean")
