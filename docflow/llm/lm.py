@@ -10,13 +10,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docflow.llm.registry import query, table
 from docflow.llm.rows import held, tabled, with_row_key
 from docflow.llm.words import by_bytes, give_back, strings, sums, thrifty, word_codes
-from docflow.operators.joins import skew_join
 
 #: Words with an output of their own, and how many share a class; all others are one of `TAIL` kinds of rare word.
 WORDS, CLASS_WORDS, TAIL = 2048, 64, 16
@@ -31,6 +31,8 @@ ROUNDS = 2
 RATE, WARM = 0.015, 20
 #: Text that is trained on and scored together: long texts are laid beside so many others.
 CHUNK_BYTES, SLICE_BYTES = 24 << 20, 16 << 20
+#: Text whose words are counted in one task.
+BUCKET_BYTES = 32 << 20
 #: Sets of weights that are averaged in one task.
 FAN_IN = 32
 END = "\n"
@@ -95,18 +97,27 @@ class Model:
         embedded, x, _, bias, *_ = self.weights
         return embedded @ x + bias
 
-    def step(self, gates: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
-        """New state, update and reset gates, candidate, and what the state adds to the candidate."""
-        own = state @ self.weights[2]
-        both = gates[:, :2 * HIDDEN] + own[:, :2 * HIDDEN]
+    def _own(self) -> np.ndarray:
+        """What a state adds to the update gate, the reset gate and the candidate: three matrices."""
+        return self.weights[2].reshape(HIDDEN, 3, HIDDEN).swapaxes(0, 1)
+
+    def step(self, gates: np.ndarray, state: np.ndarray, room: tuple[np.ndarray, ...] = (None, None, None)) -> tuple[np.ndarray, ...]:
+        """New state, update and reset gates, candidate, and what the state adds to the candidate.
+
+        `room` is where to write the three gates' parts, the candidate and the new state. Each part lies in one piece.
+        """
+        given = gates.reshape(len(state), 3, HIDDEN).swapaxes(0, 1)
+        own = np.matmul(state, self._own(), out=room[0])
+        both, add = own[:2], own[2]
+        both += given[:2]
         np.exp(np.negative(both, out=both), out=both)
         both += 1
         np.reciprocal(both, out=both)
-        update, reset, add = both[:, :HIDDEN], both[:, HIDDEN:], own[:, 2 * HIDDEN:]
-        candidate = reset * add
-        candidate += gates[:, 2 * HIDDEN:]
+        update, reset = both
+        candidate = np.multiply(reset, add, out=room[1])
+        candidate += given[2]
         np.tanh(candidate, out=candidate)
-        after = state - candidate
+        after = np.subtract(state, candidate, out=room[2])
         after *= update
         after += candidate
         return after, update, reset, candidate, add
@@ -114,35 +125,42 @@ class Model:
     def outputs(self, states: np.ndarray, targets: np.ndarray, grads: list[np.ndarray] | None = None):
         """Natural log-probability of each target; with grads, adds the weights' gradients and returns the states'.
 
-        Rows are sorted by the targets' classes: a class takes a product, and all else is done for all rows at once.
+        Columns are sorted by the targets' classes: a class takes a product, and all else is done for all columns at once.
         """
         *_, classes, class_bias, words, word_bias = self.weights
         kind = self.class_of[targets]
-        order = np.argsort(kind, kind="stable")
+        order = np.argsort(kind.astype(np.int16), kind="stable")  # so few classes are sorted by counting
         states, kind, targets = states[order], kind[order], targets[order]
         ends = np.searchsorted(kind, np.arange(len(self.bounds)))
-        own = [(c, slice(ends[c], ends[c + 1]), slice(self.bounds[c], self.bounds[c + 1])) for c in range(len(self.bounds) - 1) if ends[c] < ends[c + 1]]
-        scores, share, rows = _log_share(states @ classes + class_bias, kind)
-        logits = np.full((len(states), max(TAIL, CLASS_WORDS)), -1e9, states.dtype)
-        for _, at, part in own:
-            np.matmul(states[at], words[:, part], out=logits[at, :part.stop - part.start])
-            logits[at, :part.stop - part.start] += word_bias[part]
+        own = [(slice(ends[c], ends[c + 1]), slice(self.bounds[c], self.bounds[c + 1])) for c in range(len(self.bounds) - 1) if ends[c] < ends[c + 1]]
+        share = classes.T @ states.T
+        share += class_bias[:, None]
+        scores, total = _log_share(share, kind)
+        word_share = np.empty((max(TAIL, CLASS_WORDS), len(states)), states.dtype)
+        for at, part in own:
+            size = part.stop - part.start
+            np.matmul(words[:, part].T, states[at].T, out=word_share[:size, at])
+            word_share[:size, at] += word_bias[part, None]
+            word_share[size:, at] = -1e9
         place = targets - self.bounds[kind]
-        found, word_share, _ = _log_share(logits, place)
+        found, word_total = _log_share(word_share, place)
         out = np.empty(len(scores), scores.dtype)
         out[order] = scores + found
         if grads is None:
             return out, None
-        share[rows, kind] -= 1
-        grads[4] += states.T @ share
-        grads[5] += share.sum(axis=0)
-        back = share @ classes.T
-        word_share[rows, place] -= 1
-        for _, at, part in own:
-            now = word_share[at, :part.stop - part.start]
-            grads[6][:, part] += states[at].T @ now
-            grads[7][part] += now.sum(axis=0)
-            back[at] += now @ words[:, part].T
+        columns = np.arange(len(states))
+        share /= total
+        share[kind, columns] -= 1
+        grads[4] += states.T @ share.T
+        grads[5] += share.sum(axis=1)
+        back = share.T @ classes.T
+        word_share /= word_total
+        word_share[place, columns] -= 1
+        for at, part in own:
+            now = word_share[:part.stop - part.start, at]
+            grads[6][:, part] += states[at].T @ now.T
+            grads[7][part] += now.sum(axis=1)
+            back[at] += now.T @ words[:, part].T
         unsorted = np.empty_like(back)
         unsorted[order] = back
         return out, unsorted
@@ -195,14 +213,14 @@ class Model:
         fed = np.concatenate([before[None], tokens[:-1]])
         fed = np.where(fresh, np.int32(self.vocabulary.end), fed)
         gates = self.inputs()[fed]
-        real_type = self.weights[2].dtype
-        kept, states, anew = [], np.empty((steps, n, HIDDEN), real_type), fresh.any(axis=1).tolist()
+        real_type, first = self.weights[2].dtype, state
+        parts = np.empty((3, steps, n, HIDDEN), real_type)
+        candidates, states = (np.empty((steps, n, HIDDEN), real_type) for _ in range(2))
+        anew = fresh.any(axis=1).tolist()
         for t in range(steps):
             if anew[t]:
                 state = np.where(fresh[t][:, None], real_type.type(0), state)
-            after = self.step(gates[t], state)
-            kept.append((state, *after[1:]))
-            states[t] = state = after[0]
+            state = self.step(gates[t], state, (parts[:, t], candidates[t], states[t]))[0]
         flat, targets = states.reshape(-1, HIDDEN), tokens.ravel()
         if real is None or real.all():
             _, back = self.outputs(flat, targets, grads)
@@ -210,34 +228,46 @@ class Model:
             back, real = np.zeros_like(flat), real.ravel()
             back[real] = self.outputs(flat[real], targets[real], grads)[1]
         back = back.reshape(steps, n, HIDDEN)
-        own, later = self.weights[2].T.copy(), np.zeros((n, HIDDEN), real_type)
-        inner, d_own = (np.empty((steps, n, 3 * HIDDEN), real_type) for _ in range(2))
+        olds = np.concatenate([first[None], states[:-1]])
+        olds[fresh] = 0
+        # What an error is multiplied by does not depend on later errors: it is made for all steps at once.
+        update, reset, add = parts
+        rest = 1 - update
+        to_candidate = rest * (1 - candidates * candidates)
+        to_update = (olds - candidates) * update
+        to_update *= rest
+        to_reset = add * reset
+        to_reset *= 1 - reset
+        own, later = np.ascontiguousarray(self._own().swapaxes(1, 2)), np.zeros((n, HIDDEN), real_type)
+        errors, inner, room = np.empty((3, steps, n, HIDDEN), real_type), np.empty((steps, n, HIDDEN), real_type), np.empty((3, n, HIDDEN), real_type)
         for t in range(steps - 1, -1, -1):
-            old, update, reset, candidate, add = kept[t]
-            d = later
-            d += back[t]
-            d_candidate = inner[t, :, 2 * HIDDEN:]
-            np.multiply(d * (1 - update), 1 - candidate * candidate, out=d_candidate)
-            np.multiply(d * (old - candidate), update * (1 - update), out=inner[t, :, :HIDDEN])
-            np.multiply(d_candidate * add, reset * (1 - reset), out=inner[t, :, HIDDEN:2 * HIDDEN])
-            d_own[t, :, :2 * HIDDEN] = inner[t, :, :2 * HIDDEN]
-            np.multiply(d_candidate, reset, out=d_own[t, :, 2 * HIDDEN:])
-            later = d_own[t] @ own
-            later += d * update
+            d = np.add(later, back[t], out=back[t])
+            now = np.multiply(d, to_candidate[t], out=inner[t])
+            np.multiply(d, to_update[t], out=errors[0, t])
+            np.multiply(now, to_reset[t], out=errors[1, t])
+            np.multiply(now, reset[t], out=errors[2, t])
+            np.matmul(errors[:, t], own, out=room)
+            later = np.multiply(d, update[t], out=later)
+            for more in room:
+                later += more
             if anew[t]:
                 later[fresh[t]] = 0
-        before_states = np.stack([k[0] for k in kept]).reshape(-1, HIDDEN)
-        grads[2] += before_states.T @ d_own.reshape(-1, 3 * HIDDEN)
-        inner = inner.reshape(-1, 3 * HIDDEN)
-        grads[3] += inner.sum(axis=0)
-        # What reaches a word's gates is summed over its places first.
+        olds, errors, inner = olds.reshape(-1, HIDDEN), errors.reshape(3, -1, HIDDEN), inner.reshape(-1, HIDDEN)
         fed = fed.ravel()
+        embedded, x = self.weights[0][fed], self.weights[1]
+        of_input = np.zeros_like(embedded)
+        ones = np.ones(len(fed), real_type)
+        for i, error in enumerate((errors[0], errors[1], inner)):
+            at = slice(i * HIDDEN, (i + 1) * HIDDEN)
+            grads[2][:, at] += olds.T @ errors[i]
+            grads[1][:, at] += embedded.T @ error
+            grads[3][at] += ones @ error
+            of_input += error @ x[:, at].T
+        # What reaches a word is summed over its places first.
         order = np.argsort(fed, kind="stable")
         words, first = np.unique(fed[order], return_index=True)
-        of_word = np.add.reduceat(inner[order], first, axis=0)
-        grads[0][words] += of_word @ self.weights[1].T
-        grads[1] += self.weights[0][words].T @ of_word
-        return state, tokens[-1]
+        grads[0][words] += np.add.reduceat(of_input[order], first, axis=0)
+        return state.copy(), tokens[-1]
 
     def score(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Natural log-probability of every id, the state carried through each whole text."""
@@ -266,15 +296,12 @@ class Model:
         return out
 
 
-def _log_share(logits: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log of the softmax at each row's target, the whole softmax, and the row numbers. Overwrites the logits."""
-    rows = np.arange(len(targets))
-    logits -= logits.max(axis=1, keepdims=True)
-    scores = logits[rows, targets]
-    share = np.exp(logits, out=logits)
-    total = share.sum(axis=1)
-    share /= total[:, None]
-    return scores - np.log(total), share, rows
+def _log_share(logits: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log of each column's softmax at its target, and each column's sum; the logits become what the softmax divides by it."""
+    logits -= logits.max(axis=0)
+    scores = logits[targets, np.arange(len(targets))]
+    total = np.exp(logits, out=logits).sum(axis=0)
+    return scores - np.log(total), total
 
 
 def _streams(flat: np.ndarray, starts: np.ndarray, streams: int, whole: bool = False):
@@ -316,9 +343,30 @@ def _encoded(vocabulary: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.nd
     return np.insert(ids, starts[1:], vocabulary.end), starts + np.arange(len(starts)), codes, starts, words
 
 
-def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """`_chunk`, `word`, `c`: the different words of each chunk of texts, and how often all training texts have them; and
-    the words with their counts."""
+def _packed(words: pa.Array, counts: np.ndarray) -> bytes:
+    """Words and their counts as one value, so that they are moved as a piece."""
+    sink = pa.BufferOutputStream()
+    batch = pa.record_batch([words.cast(pa.large_string()), pa.array(counts, pa.int64())], names=["word", "c"])
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(values: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words and counts of all values behind each other, and how many are each value's."""
+    kind = pa.schema([("word", pa.large_string()), ("c", pa.int64())])
+    tables = [pa.ipc.open_stream(value).read_all() for value in values.to_pylist()]
+    whole = pa.concat_tables([kind.empty_table(), *tables]).combine_chunks()
+    return strings(whole["word"]), np.concatenate([np.zeros(0, np.int64), *map(np.asarray, whole["c"].chunks)]), np.array([t.num_rows for t in tables], np.int64)
+
+
+def counted(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """`_chunk`, `packed`: the different words of each chunk of texts with how often all training texts have them, in several
+    rows; and `word`, `c`: all words with these counts.
+
+    Words are dealt to buckets by a hash. A chunk sends a bucket its words in
+    one row, and the bucket counts them and sends a row back to each chunk.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             order = pc.sort_indices(batch.column(0))
@@ -327,6 +375,7 @@ def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             for at, stop in by_bytes(texts, CHUNK_BYTES):
                 codes, starts, words = word_codes(texts.slice(at, stop - at), lower=True)
                 words = pa.concat_arrays([words, pa.array([END], words.type)])
+                dealt = np.array([xxhash.xxh3_64_intdigest(w) % buckets for w in words.cast(pa.large_binary()).to_pylist()], np.int64)
                 slot, part = np.unique(chunks[at:stop], return_inverse=True)
                 # Every text has an end; it is the last word of the list.
                 for k in range(len(slot)):
@@ -337,13 +386,36 @@ def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     times = np.bincount(codes[learnt], minlength=len(words))
                     there[-1], times[-1] = 1, (own & learn[at:stop]).sum()
                     found = np.flatnonzero(there)
-                    yield pa.record_batch([pa.array(np.full(len(found), slot[k])), words.take(pa.array(found)).cast(pa.string()),
-                                           pa.array(times[found].astype(np.int64))], names=["_chunk", "word", "n"])
+                    found = found[np.argsort(dealt[found], kind="stable")]
+                    to, first = np.unique(dealt[found], return_index=True)
+                    rows = [_packed(words.take(pa.array(now)), times[now]) for now in np.split(found, first[1:])]
+                    yield pa.record_batch([pa.array(to), pa.array(np.full(len(to), slot[k])), pa.array(rows, pa.binary())],
+                                          names=["_bucket", "_chunk", "packed"])
+
+    def count(rows: pa.Table) -> pa.Table:
+        words, n, sizes = _unpacked(rows["packed"])
+        coded = words.dictionary_encode()
+        codes, totals = np.asarray(coded.indices), np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(totals, codes, n)
+        back, ends = totals[codes], np.cumsum(sizes)
+        out = [_packed(words.slice(e - m, m), back[e - m:e]) for e, m in zip(ends, sizes)]
+        # The row without a chunk has the bucket's words once each.
+        whole = pa.table({"_chunk": pa.concat_arrays([rows["_chunk"].combine_chunks(), pa.array([None], pa.int64())]),
+                          "packed": pa.array([*out, _packed(coded.dictionary, totals)], pa.binary())})
+        give_back()
+        return whole
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, c, _ = _unpacked(batch.column(0).slice(i, 1))
+                for at in range(0, len(words), 100_000):
+                    yield pa.record_batch([words.slice(at, 100_000).cast(pa.string()), pa.array(c[at:at + 100_000])], names=["word", "c"])
 
-    rows = tabled(docs.select("_chunk", "_learn", "_text").mapInArrow(thrifty(run), "_chunk long, word string, n long"), "chunk-words", few=False)
-    # A frequent word has a row in every chunk: it is counted before it is shuffled, and the count goes back in pieces.
-    totals = tabled(rows.groupBy("word").agg(F.sum("n").alias("c")), "words", few=False)
-    return skew_join(rows, totals, "word", hot_rows=max(10_000, rows.count() // 10_000)).select("_chunk", "word", "c"), totals
+    rows = docs.select("_chunk", "_learn", "_text").mapInArrow(thrifty(run), "_bucket long, _chunk long, packed binary")
+    both = tabled(rows.groupBy("_bucket").applyInArrow(count, "_chunk long, packed binary"), "chunk-words", few=False)
+    totals = tabled(both.filter("_chunk is null").select("packed").mapInArrow(thrifty(unpack), "word string, c long"), "words", few=False)
+    return both.filter("_chunk is not null"), totals
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -435,10 +507,10 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     keyed = with_row_key(docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"),
                                      F.coalesce(learn, F.lit(False)).alias("_learn"),
                                      F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("_split")), "_id", "_text")
-    largest = keyed.groupBy("_split").agg(F.sum(F.octet_length("_text")).alias("n")).agg(F.max("n")).first()[0] or 0
-    part = F.pmod(F.xxhash64("_r1", F.lit(99)), F.lit(max(1, -(-largest // CHUNK_BYTES))))
+    largest, size = keyed.groupBy("_split").agg(F.sum(F.octet_length("_text")).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    part = F.pmod(F.xxhash64("_r1", F.lit(99)), F.lit(max(1, -(-(largest or 0) // CHUNK_BYTES))))
     keyed = keyed.withColumn("_chunk", F.xxhash64("_split", part))
-    told, totals = counted(keyed)
+    told, totals = counted(keyed, max(1, -(-(size or 0) // BUCKET_BYTES)))
     found = vocabulary(totals)
     model = fit(keyed, found)
     shared = docs.sparkSession.sparkContext.broadcast((found.plain(), model.weights))
@@ -449,7 +521,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         found = Vocabulary(*plain)
         own = Model(found, weights)
         rows = strings(texts["_text"])
-        learnt, counts = strings(known["word"]), np.asarray(known["c"].combine_chunks())
+        learnt, counts, _ = _unpacked(known["packed"])
         out = []
         for at, stop in by_bytes(rows, SLICE_BYTES):
             ids, starts, codes, word_starts, words = _encoded(found, rows.slice(at, stop - at))

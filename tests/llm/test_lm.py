@@ -38,6 +38,23 @@ def test_counts_and_edges(spark):
     assert got.train_tokens == 0 and got.base_score == 0 and math.isfinite(got.score)
 
 
+def test_counts_travel_in_few_rows(spark, monkeypatch):
+    """Words are counted in buckets, whose rows hold many words each, and every word comes back to each chunk that has it."""
+    rows = [(i, " ".join(words(i % 40, 5 + i % 60))) for i in range(300)] + [(900, None), (901, "É only here")]
+    docs = spark.createDataFrame([(i % 3, i % 7 != 2, t or "") for i, t in rows], "_chunk long, _learn boolean, _text string").repartition(2)
+    counts = collections.Counter(w for i, t in rows if i % 7 != 2 for w in tokens(t))
+    told, totals = lm.counted(docs, 5)
+    assert told.count() <= 2 * 3 * 5
+    assert {r.word: r.c for r in totals.collect()} == {w: counts[w] for _, t in rows for w in tokens(t)}
+    for chunk in range(3):
+        found, c, _ = lm._unpacked(pa.array([bytes(r.packed) for r in told.filter(F.col("_chunk") == chunk).collect()], pa.binary()))
+        assert dict(zip(found.to_pylist(), c.tolist())) == {w: counts[w] for i, t in rows if i % 3 == chunk for w in tokens(t)}
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 1000)
+    learn = lambda i: i is not None and i % 7 != 2
+    got = score_texts(edge_rows(spark, rows), F.col("doc_id") % 7 != 2).collect()
+    assert sorted((repr(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == expected(rows, learn)
+
+
 def small_vocabulary():
     names = [f"w{i}" for i in range(70)] + [END]
     return Vocabulary(names, np.ones(71), np.ones(TAIL), np.full(TAIL, 2.0), 87, 87)
