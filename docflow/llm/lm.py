@@ -10,13 +10,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docflow.llm.registry import query, table
 from docflow.llm.rows import held, tabled, with_row_key
-from docflow.llm.words import by_bytes, give_back, strings, sums, thrifty, word_codes
+from docflow.llm.words import by_bytes, give_back, mix, split_words, strings, sums, thrifty, word_codes
 
 #: Words with an output of their own, and how many share a class; all others are one of `TAIL` kinds of rare word.
 WORDS, CLASS_WORDS, TAIL = 2048, 64, 16
@@ -31,6 +30,10 @@ ROUNDS = 2
 RATE, WARM = 0.015, 20
 #: Text that is trained on and scored together: long texts are laid beside so many others.
 CHUNK_BYTES, SLICE_BYTES = 24 << 20, 16 << 20
+#: Tokens, about, whose places are made together.
+PLACED = 1 << 18
+#: Weights that are updated together.
+BLOCK = 1 << 14
 #: Text whose words are counted in one task.
 BUCKET_BYTES = 32 << 20
 #: Sets of weights that are averaged in one task.
@@ -59,7 +62,9 @@ class Vocabulary:
     def ids(self, words: pa.Array) -> np.ndarray:
         """Output of each word: first the kinds of rare words, then the frequent ones."""
         found = np.asarray(pc.fill_null(pc.index_in(words, pa.array(self.words, words.type)), -1)).astype(np.int64)
-        return np.where(found >= 0, found + TAIL, kinds(words))
+        rare, found = found < 0, found + TAIL
+        found[rare] = kinds(words.filter(pa.array(rare)))
+        return found
 
     def plain(self) -> tuple:
         """What the vocabulary is made from, for broadcasts: executors need not know this package to unpack it."""
@@ -101,16 +106,23 @@ class Model:
         """What a state adds to the update gate, the reset gate and the candidate: three matrices."""
         return self.weights[2].reshape(HIDDEN, 3, HIDDEN).swapaxes(0, 1)
 
-    def step(self, gates: np.ndarray, state: np.ndarray, room: tuple[np.ndarray, ...] = (None, None, None)) -> tuple[np.ndarray, ...]:
+    def _signed(self) -> np.ndarray:
+        """The same with the gates' sign turned, as `step` needs it."""
+        own = self._own().copy()
+        own[:2] *= -1
+        return own
+
+    def step(self, gates: np.ndarray, state: np.ndarray, signed: np.ndarray | None = None,
+             room: tuple[np.ndarray, ...] = (None, None, None)) -> tuple[np.ndarray, ...]:
         """New state, update and reset gates, candidate, and what the state adds to the candidate.
 
-        `room` is where to write the three gates' parts, the candidate and the new state. Each part lies in one piece.
+        `signed` are the matrices, if the caller made them; `room` is where to write the three gates' parts, the candidate and the new state. Each part lies in one piece.
         """
         given = gates.reshape(len(state), 3, HIDDEN).swapaxes(0, 1)
-        own = np.matmul(state, self._own(), out=room[0])
+        own = np.matmul(state, self._signed() if signed is None else signed, out=room[0])
         both, add = own[:2], own[2]
-        both += given[:2]
-        np.exp(np.negative(both, out=both), out=both)
+        both -= given[:2]
+        np.exp(both, out=both)
         both += 1
         np.reciprocal(both, out=both)
         update, reset = both
@@ -171,11 +183,13 @@ class Model:
         Where few streams are left, as in a text much longer than the others,
         windows are summed until a step rests on `STEP` tokens.
         """
-        tokens, fresh, places = _streams(flat.astype(np.int32), starts, STREAMS, whole=True)
+        tokens, fresh, places = _streams(flat.astype(np.int32, copy=False), starts, STREAMS, whole=True)
         active = (places >= 0).sum(axis=1)
         if self.moments is None:
             self.moments = [[np.zeros_like(w) for w in self.weights] for _ in range(3)]
         first, second, held = self.moments
+        # Blocks that stay in a core's cache while they are worked on.
+        blocks = [[a.reshape(-1)[at:at + BLOCK] for a in four] for four in zip(self.weights, held, first, second) for at in range(0, four[0].size, BLOCK)]
         seen, state = 0, np.zeros((tokens.shape[1], HIDDEN), np.float32)
         before = np.full(tokens.shape[1], self.vocabulary.end, np.int32)
         for at in range(0, len(tokens), WINDOW):
@@ -190,7 +204,7 @@ class Model:
             scale = np.float32(min(1.0, 1.0 / max(size, 1e-9)) / seen)
             rate = RATE * min(1.0, self.steps / WARM) * (1 - 0.9 * at / len(tokens))
             fix_first, fix_second = 1 - 0.9 ** self.steps, 1 - 0.99 ** self.steps
-            for w, g, m, v in zip(self.weights, held, first, second):
+            for w, g, m, v in blocks:
                 g *= scale
                 m *= np.float32(0.9)
                 m += np.float32(0.1) * g
@@ -216,11 +230,11 @@ class Model:
         real_type, first = self.weights[2].dtype, state
         parts = np.empty((3, steps, n, HIDDEN), real_type)
         candidates, states = (np.empty((steps, n, HIDDEN), real_type) for _ in range(2))
-        anew = fresh.any(axis=1).tolist()
+        anew, signed = fresh.any(axis=1).tolist(), self._signed()
         for t in range(steps):
             if anew[t]:
                 state = np.where(fresh[t][:, None], real_type.type(0), state)
-            state = self.step(gates[t], state, (parts[:, t], candidates[t], states[t]))[0]
+            state = self.step(gates[t], state, signed, (parts[:, t], candidates[t], states[t]))[0]
         flat, targets = states.reshape(-1, HIDDEN), tokens.ravel()
         if real is None or real.all():
             _, back = self.outputs(flat, targets, grads)
@@ -255,8 +269,7 @@ class Model:
         olds, errors, inner = olds.reshape(-1, HIDDEN), errors.reshape(3, -1, HIDDEN), inner.reshape(-1, HIDDEN)
         fed = fed.ravel()
         embedded, x = self.weights[0][fed], self.weights[1]
-        of_input = np.zeros_like(embedded)
-        ones = np.ones(len(fed), real_type)
+        of_input, ones = np.zeros_like(embedded), np.ones(len(fed), real_type)
         for i, error in enumerate((errors[0], errors[1], inner)):
             at = slice(i * HIDDEN, (i + 1) * HIDDEN)
             grads[2][:, at] += olds.T @ errors[i]
@@ -271,9 +284,10 @@ class Model:
 
     def score(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Natural log-probability of every id, the state carried through each whole text."""
+        flat = flat.astype(np.int32, copy=False)
         tokens, fresh, places = _streams(flat, starts, SCORED, whole=True)
         out = np.zeros(len(flat), np.float64)
-        gates = self.inputs()
+        gates, signed = self.inputs(), self._signed()
         active = (places >= 0).sum(axis=1)
         state, before = np.zeros((tokens.shape[1], HIDDEN), np.float32), np.full(tokens.shape[1], self.vocabulary.end)
         held: list = []
@@ -285,7 +299,7 @@ class Model:
             if new.any():
                 state = np.where(new[:, None], 0, state)
                 before = np.where(new, self.vocabulary.end, before)
-            state = self.step(gates[before], state)[0]
+            state = self.step(gates[before], state, signed)[0]
             before = tokens[t, :n]
             held.append((state, t))
             size += n
@@ -327,20 +341,41 @@ def _streams(flat: np.ndarray, starts: np.ndarray, streams: int, whole: bool = F
     rank = np.empty(streams, np.int64)
     rank[np.argsort(-fill, kind="stable")] = np.arange(streams)
     places = np.full((int(fill.max()) if len(order) else 0, streams), -1, np.int32)
-    own = np.repeat(np.arange(len(order)), lengths[order])
-    inside = np.arange(len(own)) - np.repeat(np.cumsum(lengths[order]) - lengths[order], lengths[order])
-    places[offset[own] + inside, rank[column[own]]] = starts[order][own] + inside
+    for some in np.array_split(np.arange(len(order)), -(-len(flat) // PLACED) or 1):  # a part of the texts at a time
+        n = lengths[order[some]]
+        own = np.repeat(some, n)
+        inside = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        places[offset[own] + inside, rank[column[own]]] = starts[order[own]] + inside
     fresh = np.zeros(places.shape, bool)
     fresh[offset, rank[column]] = True
-    tokens = flat[np.maximum(places, 0)] if len(places) else np.zeros((0, streams), np.int64)
+    tokens = flat[places] if len(places) else np.zeros((0, streams), np.int64)  # any token stands behind an end
     return (tokens, fresh, places) if whole else (tokens, fresh)
 
 
-def _encoded(vocabulary: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Ids with ends, their starts, and the word codes, starts and words they come from."""
-    codes, starts, words = word_codes(texts, lower=True)
-    ids = vocabulary.ids(words)[codes] if len(words) else np.zeros(0, np.int64)
-    return np.insert(ids, starts[1:], vocabulary.end), starts + np.arange(len(starts)), codes, starts, words
+def _encoded(vocabulary: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids with ends, and their starts."""
+    words, starts = split_words(texts, lower=True)
+    return _with_ends(vocabulary, vocabulary.ids(words), starts)
+
+
+def _with_ends(vocabulary: Vocabulary, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids with each text's end behind it, and their starts."""
+    ends = starts + np.arange(len(starts))
+    out = np.full(len(ids) + len(starts) - 1, vocabulary.end, np.int32)
+    real = np.ones(len(out), bool)
+    real[ends[1:] - 1] = False
+    out[real] = ids
+    return out, ends
+
+
+def _dealt(words: pa.Array, buckets: int) -> np.ndarray:
+    """Which bucket each word, of a byte at least, belongs to: a hash of its bytes and their places."""
+    places = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2], np.uint8)[places[0]:places[-1]]
+    starts = places[:-1] - places[0]
+    inside = np.arange(len(raw)) - np.repeat(starts, np.diff(places))
+    values = mix(np.arange(256), 1)[raw] * (mix(np.arange(64), 2) | np.uint64(1))[inside % 64]
+    return (mix(np.add.reduceat(values, starts), 3) % np.uint64(buckets)).astype(np.int64)
 
 
 def _packed(words: pa.Array, counts: np.ndarray) -> bytes:
@@ -375,7 +410,7 @@ def counted(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
             for at, stop in by_bytes(texts, CHUNK_BYTES):
                 codes, starts, words = word_codes(texts.slice(at, stop - at), lower=True)
                 words = pa.concat_arrays([words, pa.array([END], words.type)])
-                dealt = np.array([xxhash.xxh3_64_intdigest(w) % buckets for w in words.cast(pa.large_binary()).to_pylist()], np.int64)
+                dealt = _dealt(words, buckets)
                 slot, part = np.unique(chunks[at:stop], return_inverse=True)
                 # Every text has an end; it is the last word of the list.
                 for k in range(len(slot)):
@@ -460,7 +495,7 @@ def fit(docs: DataFrame, found: Vocabulary, rounds: int = ROUNDS) -> Model:
             for batch in batches:
                 texts = strings(batch.column(0))
                 for at, stop in by_bytes(texts, SLICE_BYTES):
-                    ids, starts, *_ = _encoded(own.vocabulary, texts.slice(at, stop - at))
+                    ids, starts = _encoded(own.vocabulary, texts.slice(at, stop - at))
                     own.train(ids, starts)
                     seen += len(ids)
             if seen:
@@ -521,25 +556,26 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         found = Vocabulary(*plain)
         own = Model(found, weights)
         rows = strings(texts["_text"])
-        learnt, counts, _ = _unpacked(known["packed"])
+        learnt, c, _ = _unpacked(known["packed"])
+        end = c[pc.index(learnt, pa.scalar(END, learnt.type)).as_py()] if len(c) else 0
+        base = np.log10((c + 1) / (found.tokens + found.distinct + 1))
+        base_end = np.log10((end + 1) / (found.tokens + found.distinct + 1))
+        output = found.ids(learnt)
+        rare = np.where(output < TAIL, np.log10((c + 1) / (found.tail_weight[np.minimum(output, TAIL - 1)] + 1)), 0)
         out = []
         for at, stop in by_bytes(rows, SLICE_BYTES):
-            ids, starts, codes, word_starts, words = _encoded(found, rows.slice(at, stop - at))
-            place = np.asarray(pc.fill_null(pc.index_in(words, learnt), -1)).astype(np.int64)
-            c = np.where(place >= 0, counts[np.maximum(place, 0)], 0) if len(counts) else np.zeros(len(words), np.int64)
-            end = counts[np.asarray(pc.fill_null(pc.index(learnt, pa.scalar(END, learnt.type)), -1).as_py())] if len(counts) else 0
-            base = np.log10((c + 1) / (found.tokens + found.distinct + 1))
-            base_end = np.log10((end + 1) / (found.tokens + found.distinct + 1))
-            output = found.ids(words)
-            rare = np.where(output < TAIL, np.log10((c + 1) / (found.tail_weight[np.minimum(output, TAIL - 1)] + 1)), 0)
+            words, word_starts = split_words(rows.slice(at, stop - at), lower=True)
+            codes = np.asarray(pc.index_in(words, learnt))  # fails if a word is not there: the chunk's list has them all
+            ids, starts = _with_ends(found, output[codes], word_starts)
+            n_known, by_words, by_rare = (sums(of[codes], word_starts) for of in (c > 0, base, rare))
+            del words, codes
+            give_back()  # the texts' words are as large as all that scoring needs
             total = sums(own.score(ids, starts), starts) / np.log(10)
             if END not in found.words:
                 total += np.log10(1 / (found.tail_weight[0] + 1))
-            n = np.diff(starts)
             out.append(pa.table({"_id": texts["_id"].slice(at, stop - at), "_learn": texts["_learn"].slice(at, stop - at),
-                                 "n_tokens": n, "n_known": sums(c[codes] > 0, word_starts).astype(np.int64) + int(end > 0),
-                                 "base_score": sums(base[codes], word_starts) + base_end,
-                                 "score": total + sums(rare[codes], word_starts)}))
+                                 "n_tokens": np.diff(starts), "n_known": n_known.astype(np.int64) + int(end > 0),
+                                 "base_score": by_words + base_end, "score": total + by_rare}))
         give_back()
         return pa.concat_tables(out) if out else pa.table({"_id": texts["_id"], "_learn": texts["_learn"], "n_tokens": pa.array([], pa.int64()),
                                                            "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()),
