@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,10 @@ CHUNK_BYTES, SLICE_BYTES = 24 << 20, 16 << 20
 PLACED = 1 << 18
 #: Weights that are updated together.
 BLOCK = 1 << 14
+#: Places of one word whose errors are summed in a call of their own; fewer are summed for all words at once.
+OFTEN = 16
+#: Scored tokens, about, whose outputs are made together.
+OUTPUTS = 1 << 13
 #: Text whose words are counted in one task.
 BUCKET_BYTES = 32 << 20
 #: Sets of weights that are averaged in one task.
@@ -84,7 +89,7 @@ class Model:
 
     def __init__(self, vocabulary: Vocabulary, weights: list[np.ndarray] | None = None):
         self.vocabulary, self.trained, n = vocabulary, 0, TAIL + len(vocabulary.words)
-        self.steps, self.moments = 0, None
+        self.steps, self.moments, self._spaces = 0, None, {}
         self.class_of = vocabulary.class_of
         self.bounds = np.searchsorted(self.class_of, np.arange(self.class_of[-1] + 2))
         if weights is None:
@@ -102,6 +107,11 @@ class Model:
         embedded, x, _, bias, *_ = self.weights
         return embedded @ x + bias
 
+    def _by_gate(self, words: np.ndarray) -> np.ndarray:
+        """The same of these words: three matrices, for the update gate, the reset gate and the candidate."""
+        embedded, x, _, bias, *_ = self.weights
+        return np.matmul(embedded[words], x.reshape(INPUT, 3, HIDDEN).swapaxes(0, 1)) + bias.reshape(3, 1, HIDDEN)
+
     def _own(self) -> np.ndarray:
         """What a state adds to the update gate, the reset gate and the candidate: three matrices."""
         return self.weights[2].reshape(HIDDEN, 3, HIDDEN).swapaxes(0, 1)
@@ -112,14 +122,23 @@ class Model:
         own[:2] *= -1
         return own
 
-    def step(self, gates: np.ndarray, state: np.ndarray, signed: np.ndarray | None = None,
-             room: tuple[np.ndarray, ...] = (None, None, None)) -> tuple[np.ndarray, ...]:
-        """New state, update and reset gates, candidate, and what the state adds to the candidate.
+    def _space(self, name: str, *shape: int) -> np.ndarray:
+        """An array with any content, which the next call under this name overwrites: fresh pages cost more than what is done in them."""
+        kind, size = self.weights[2].dtype, math.prod(shape)
+        if name not in self._spaces or self._spaces[name].size < size or self._spaces[name].dtype != kind:
+            self._spaces[name] = np.empty(size, kind)
+        return self._spaces[name][:size].reshape(shape)
+
+    def step(self, gates: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
+        """New state, update and reset gates, candidate, and what the state adds to the candidate."""
+        return self._step(gates.reshape(len(state), 3, HIDDEN).swapaxes(0, 1), state, self._signed())
 
-        `signed` are the matrices, if the caller made them; `room` is where to write the three gates' parts, the candidate and the new state. Each part lies in one piece.
+    def _step(self, given: np.ndarray, state: np.ndarray, signed: np.ndarray, room: tuple[np.ndarray, ...] = (None, None, None)) -> tuple[np.ndarray, ...]:
+        """`step` by what the words add to each gate.
+
+        `signed` are the matrices; `room` is where to write the three gates' parts, the candidate and the new state. Each part lies in one piece.
         """
-        given = gates.reshape(len(state), 3, HIDDEN).swapaxes(0, 1)
-        own = np.matmul(state, self._signed() if signed is None else signed, out=room[0])
+        own = np.matmul(state, signed, out=room[0])
         both, add = own[:2], own[2]
         both -= given[:2]
         np.exp(both, out=both)
@@ -135,45 +154,59 @@ class Model:
         return after, update, reset, candidate, add
 
     def outputs(self, states: np.ndarray, targets: np.ndarray, grads: list[np.ndarray] | None = None):
-        """Natural log-probability of each target; with grads, adds the weights' gradients and returns the states'.
+        """Natural log-probability of each target; with grads, adds the weights' gradients and returns the states', which the next call overwrites.
 
-        Columns are sorted by the targets' classes: a class takes a product, and all else is done for all columns at once.
+        Columns are sorted by the targets' classes: a class takes a product, and
+        all else is done for all columns at once, those of the rare words, whose
+        class is smaller, apart. A state's last value is 1, for the biases.
         """
         *_, classes, class_bias, words, word_bias = self.weights
-        kind = self.class_of[targets]
+        kind, n = self.class_of[targets], len(targets)
         order = np.argsort(kind.astype(np.int16), kind="stable")  # so few classes are sorted by counting
-        states, kind, targets = states[order], kind[order], targets[order]
-        ends = np.searchsorted(kind, np.arange(len(self.bounds)))
-        own = [(slice(ends[c], ends[c + 1]), slice(self.bounds[c], self.bounds[c + 1])) for c in range(len(self.bounds) - 1) if ends[c] < ends[c + 1]]
-        share = classes.T @ states.T
-        share += class_bias[:, None]
+        kind, targets = kind[order], targets[order]
+        rows = self._space("rows", n, HIDDEN + 1)
+        rows[:, :HIDDEN], rows[:, HIDDEN] = states.take(order, axis=0), 1
+        all_classes, all_words = np.concatenate([classes, class_bias[None]]), np.concatenate([words, word_bias[None]])
+        ends = np.searchsorted(kind, np.arange(len(self.bounds))).tolist()
+        bounds = self.bounds.tolist()
+        # No width is a power of two, as rows would lie in each other's way in the cache.
+        share = np.matmul(all_classes.T, rows.T, out=self._space("share", len(class_bias), n + 16)[:, :n])
         scores, total = _log_share(share, kind)
-        word_share = np.empty((max(TAIL, CLASS_WORDS), len(states)), states.dtype)
-        for at, part in own:
-            size = part.stop - part.start
-            np.matmul(words[:, part].T, states[at].T, out=word_share[:size, at])
-            word_share[:size, at] += word_bias[part, None]
-            word_share[size:, at] = -1e9
-        place = targets - self.bounds[kind]
-        found, word_total = _log_share(word_share, place)
-        out = np.empty(len(scores), scores.dtype)
+        place, found, parts = targets - self.bounds[kind], np.empty_like(scores), []
+        for first, last, height in ((0, 1, TAIL), (1, len(bounds) - 1, CLASS_WORDS)):
+            start, stop = ends[first], ends[last]
+            if start == stop:
+                continue
+            word_share = self._space(f"words {first}", height, stop - start + 16)[:, :stop - start]
+            own = [(slice(ends[c], ends[c + 1]), slice(bounds[c], bounds[c + 1]), word_share[:bounds[c + 1] - bounds[c], ends[c] - start:ends[c + 1] - start])
+                   for c in range(first, last) if ends[c] < ends[c + 1]]
+            for at, part, now in own:
+                np.matmul(all_words[:, part].T, rows[at].T, out=now)
+                if len(now) < height:
+                    word_share[len(now):, at.start - start:at.stop - start] = -1e9
+            found[start:stop], word_total = _log_share(word_share, place[start:stop])
+            parts.append((start, stop, word_share, word_total, own))
+        out = np.empty(n, scores.dtype)
         out[order] = scores + found
         if grads is None:
             return out, None
-        columns = np.arange(len(states))
-        share /= total
+        columns = np.arange(n)
+        share *= np.reciprocal(total)
         share[kind, columns] -= 1
-        grads[4] += states.T @ share.T
-        grads[5] += share.sum(axis=1)
-        back = share.T @ classes.T
-        word_share /= word_total
-        word_share[place, columns] -= 1
-        for at, part in own:
-            now = word_share[:part.stop - part.start, at]
-            grads[6][:, part] += states[at].T @ now.T
-            grads[7][part] += now.sum(axis=1)
-            back[at] += now.T @ words[:, part].T
-        unsorted = np.empty_like(back)
+        more = rows.T @ share.T
+        grads[4] += more[:HIDDEN]
+        grads[5] += more[HIDDEN]
+        back = np.matmul(share.T, classes.T, out=self._space("back", n, HIDDEN))
+        more = np.zeros_like(all_words)
+        for start, stop, word_share, word_total, own in parts:
+            word_share *= np.reciprocal(word_total)
+            word_share[place[start:stop], columns[:stop - start]] -= 1
+            for at, part, now in own:
+                np.matmul(rows[at].T, now.T, out=more[:, part])
+                back[at] += now.T @ words[:, part].T
+        grads[6] += more[:HIDDEN]
+        grads[7] += more[HIDDEN]
+        unsorted = self._space("unsorted", n, HIDDEN)
         unsorted[order] = back
         return out, unsorted
 
@@ -204,19 +237,20 @@ class Model:
             scale = np.float32(min(1.0, 1.0 / max(size, 1e-9)) / seen)
             rate = RATE * min(1.0, self.steps / WARM) * (1 - 0.9 * at / len(tokens))
             fix_first, fix_second = 1 - 0.9 ** self.steps, 1 - 0.99 ** self.steps
+            # The moments are kept as sums, ten and a hundred times the averages, and all constants are put into two.
+            by = 0.1 * rate / fix_first
+            spread, least = np.float32(0.1 / np.sqrt(fix_second) / by), np.float32(1e-6 / by)
             for w, g, m, v in blocks:
                 g *= scale
                 m *= np.float32(0.9)
-                m += np.float32(0.1) * g
+                m += g
                 v *= np.float32(0.99)
                 np.multiply(g, g, out=g)
-                g *= np.float32(0.01)
                 v += g
                 np.sqrt(v, out=g)
-                g *= np.float32(1 / np.sqrt(fix_second))
-                g += np.float32(1e-6)
+                g *= spread
+                g += least
                 np.divide(m, g, out=g)
-                g *= np.float32(rate / fix_first)
                 w -= g
                 g[:] = 0
             seen = 0
@@ -225,16 +259,19 @@ class Model:
         """Add the gradients of the targets, or of those that are `real`: streams may end inside a window."""
         steps, n = tokens.shape
         fed = np.concatenate([before[None], tokens[:-1]])
-        fed = np.where(fresh, np.int32(self.vocabulary.end), fed)
-        gates = self.inputs()[fed]
+        fed = np.where(fresh, np.int32(self.vocabulary.end), fed).ravel()
+        times = np.bincount(fed, minlength=len(self.class_of))
+        words = np.flatnonzero(times)
+        gates = self._space("gates", 3, steps, n, HIDDEN)
+        np.take(self._by_gate(words), (np.cumsum(times > 0) - 1)[fed], axis=1, out=gates.reshape(3, -1, HIDDEN), mode="clip")
         real_type, first = self.weights[2].dtype, state
-        parts = np.empty((3, steps, n, HIDDEN), real_type)
-        candidates, states = (np.empty((steps, n, HIDDEN), real_type) for _ in range(2))
+        parts = self._space("parts", 3, steps, n, HIDDEN)
+        candidates, states = self._space("candidates", steps, n, HIDDEN), self._space("states", steps, n, HIDDEN)
         anew, signed = fresh.any(axis=1).tolist(), self._signed()
         for t in range(steps):
             if anew[t]:
                 state = np.where(fresh[t][:, None], real_type.type(0), state)
-            state = self.step(gates[t], state, signed, (parts[:, t], candidates[t], states[t]))[0]
+            state = self._step(gates[:, t], state, signed, (parts[:, t], candidates[t], states[t]))[0]
         flat, targets = states.reshape(-1, HIDDEN), tokens.ravel()
         if real is None or real.all():
             _, back = self.outputs(flat, targets, grads)
@@ -242,44 +279,48 @@ class Model:
             back, real = np.zeros_like(flat), real.ravel()
             back[real] = self.outputs(flat[real], targets[real], grads)[1]
         back = back.reshape(steps, n, HIDDEN)
-        olds = np.concatenate([first[None], states[:-1]])
+        olds = self._space("olds", steps, n, HIDDEN)
+        olds[0], olds[1:] = first, states[:-1]
         olds[fresh] = 0
-        # What an error is multiplied by does not depend on later errors: it is made for all steps at once.
+        # What an error is multiplied by does not depend on later errors: it is made for all steps at once, where its parts were.
         update, reset, add = parts
-        rest = 1 - update
-        to_candidate = rest * (1 - candidates * candidates)
-        to_update = (olds - candidates) * update
+        rest, to_update = np.subtract(1, update, out=self._space("rest", steps, n, HIDDEN)), self._space("to_update", steps, n, HIDDEN)
+        np.subtract(olds, candidates, out=to_update)
+        to_update *= update
         to_update *= rest
-        to_reset = add * reset
-        to_reset *= 1 - reset
-        own, later = np.ascontiguousarray(self._own().swapaxes(1, 2)), np.zeros((n, HIDDEN), real_type)
-        errors, inner, room = np.empty((3, steps, n, HIDDEN), real_type), np.empty((steps, n, HIDDEN), real_type), np.empty((3, n, HIDDEN), real_type)
+        to_candidate = np.multiply(candidates, candidates, out=candidates)
+        np.subtract(1, to_candidate, out=to_candidate)
+        to_candidate *= rest
+        to_reset = np.multiply(add, reset, out=add)
+        to_reset *= np.subtract(1, reset, out=rest)
+        # Errors lie side by side: of the candidate's share of the state, the update gate, the reset gate and the candidate.
+        own = np.ascontiguousarray(self._own()[[2, 0, 1]].swapaxes(1, 2)).reshape(3 * HIDDEN, HIDDEN)
+        errors, later = self._space("errors", steps, n, 4 * HIDDEN), np.zeros((n, HIDDEN), real_type)
+        inner, room = np.empty((n, HIDDEN), real_type), np.empty((n, HIDDEN), real_type)
+        by_part = errors.reshape(steps, n, 4, HIDDEN)
         for t in range(steps - 1, -1, -1):
-            d = np.add(later, back[t], out=back[t])
-            now = np.multiply(d, to_candidate[t], out=inner[t])
-            np.multiply(d, to_update[t], out=errors[0, t])
-            np.multiply(now, to_reset[t], out=errors[1, t])
-            np.multiply(now, reset[t], out=errors[2, t])
-            np.matmul(errors[:, t], own, out=room)
-            later = np.multiply(d, update[t], out=later)
-            for more in room:
-                later += more
+            d, (of_share, of_update, of_reset, of_candidate) = back[t], by_part[t].swapaxes(0, 1)
+            d += later
+            np.multiply(d, to_candidate[t], out=inner)
+            np.multiply(d, to_update[t], out=of_update)
+            np.multiply(inner, to_reset[t], out=of_reset)
+            np.multiply(inner, reset[t], out=of_share)
+            of_candidate[:] = inner
+            np.multiply(d, update[t], out=later)
+            later += np.matmul(errors[t, :, :3 * HIDDEN], own, out=room)
             if anew[t]:
                 later[fresh[t]] = 0
-        olds, errors, inner = olds.reshape(-1, HIDDEN), errors.reshape(3, -1, HIDDEN), inner.reshape(-1, HIDDEN)
-        fed = fed.ravel()
-        embedded, x = self.weights[0][fed], self.weights[1]
-        of_input, ones = np.zeros_like(embedded), np.ones(len(fed), real_type)
-        for i, error in enumerate((errors[0], errors[1], inner)):
-            at = slice(i * HIDDEN, (i + 1) * HIDDEN)
-            grads[2][:, at] += olds.T @ errors[i]
-            grads[1][:, at] += embedded.T @ error
-            grads[3][at] += ones @ error
-            of_input += error @ x[:, at].T
-        # What reaches a word is summed over its places first.
-        order = np.argsort(fed, kind="stable")
-        words, first = np.unique(fed[order], return_index=True)
-        grads[0][words] += np.add.reduceat(of_input[order], first, axis=0)
+        errors = errors.reshape(-1, 4 * HIDDEN)
+        of_own = olds.reshape(-1, HIDDEN).T @ errors[:, :3 * HIDDEN]
+        grads[2][:, :2 * HIDDEN] += of_own[:, HIDDEN:]
+        grads[2][:, 2 * HIDDEN:] += of_own[:, :HIDDEN]
+        # A word adds the same to the gates in all its places, so that its errors are summed first.
+        order = np.argsort(fed.astype(np.min_scalar_type(len(self.class_of))), kind="stable")  # few words are sorted by counting
+        by_often, of_words = _sums_of_runs(errors[:, HIDDEN:].take(order, axis=0), times[words])
+        words = words[by_often]
+        grads[1] += self.weights[0][words].T @ of_words
+        grads[3] += of_words.sum(axis=0)
+        grads[0][words] += of_words @ self.weights[1].T
         return state.copy(), tokens[-1]
 
     def score(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -287,29 +328,48 @@ class Model:
         flat = flat.astype(np.int32, copy=False)
         tokens, fresh, places = _streams(flat, starts, SCORED, whole=True)
         out = np.zeros(len(flat), np.float64)
-        gates, signed = self.inputs(), self._signed()
-        active = (places >= 0).sum(axis=1)
-        state, before = np.zeros((tokens.shape[1], HIDDEN), np.float32), np.full(tokens.shape[1], self.vocabulary.end)
-        held: list = []
-        size = 0
-        for t in range(len(tokens)):
-            n = active[t]
-            new = fresh[t, :n]
+        gates, signed = self._by_gate(np.arange(len(self.class_of))), self._signed()
+        active, anew = (places >= 0).sum(axis=1).tolist(), fresh.any(axis=1).tolist()
+        streams = tokens.shape[1]
+        state, before = np.zeros((streams, HIDDEN), np.float32), np.full(streams, self.vocabulary.end)
+        states = np.empty((OUTPUTS + streams, HIDDEN), np.float32)
+        first, size = 0, 0
+        for t, n in enumerate(active):
             state, before = state[:n], before[:n]
-            if new.any():
-                state = np.where(new[:, None], 0, state)
+            if anew[t]:
+                new = fresh[t, :n]
+                state = np.where(new[:, None], np.float32(0), state)
                 before = np.where(new, self.vocabulary.end, before)
-            state = self.step(gates[before], state, signed)[0]
+            given = np.take(gates, before, axis=1, out=self._space("given", 3, n, HIDDEN), mode="clip")
+            state = self._step(given, state, signed, (self._space("parts", 3, n, HIDDEN), self._space("candidates", n, HIDDEN), states[size:size + n]))[0]
             before = tokens[t, :n]
-            held.append((state, t))
             size += n
-            if size >= 16_384 or t == len(tokens) - 1:
-                at = np.concatenate([places[u, :len(s)] for s, u in held])
-                out[at] = self.outputs(np.concatenate([s for s, _ in held]), flat[at])[0]
-                held, size = [], 0
+            if size >= OUTPUTS or t == len(active) - 1:
+                at = places[first:t + 1]
+                at = at[at >= 0]
+                out[at] = self.outputs(states[:size], flat[at])[0]
+                first, size = t + 1, 0
         return out
 
 
+def _sums_of_runs(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs by falling length, and the sums of their rows; each run has a row at least."""
+    runs = np.argsort(-lengths, kind="stable")
+    lengths, starts = lengths[runs], (np.cumsum(lengths) - lengths)[runs]
+    often = int(np.searchsorted(-lengths, -OFTEN, "right"))
+    out = np.empty((len(runs), values.shape[1]), values.dtype)
+    for i, (at, n) in enumerate(zip(starts[:often].tolist(), lengths[:often].tolist())):
+        np.add.reduce(values[at:at + n], axis=0, out=out[i])
+    starts, out_few = starts[often:], out[often:]
+    np.take(values, starts, axis=0, out=out_few, mode="clip")
+    longer = np.searchsorted(-lengths[often:], -np.arange(OFTEN), "left").tolist()  # how many runs have more than so many rows
+    for k in range(1, OFTEN - 1):
+        if not longer[k]:
+            break
+        out_few[:longer[k]] += values.take(starts[:longer[k]] + k, axis=0)
+    return runs, out
+
+
 def _log_share(logits: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log of each column's softmax at its target, and each column's sum; the logits become what the softmax divides by it."""
     logits -= logits.max(axis=0)

@@ -154,6 +154,26 @@ def test_streams_that_end_in_a_window_add_nothing():
         assert np.allclose(g, (x * WINDOW + y * 5) / (WINDOW + 5), atol=1e-6)
 
 
+def test_a_window_works_on_each_word_once(monkeypatch):
+    """What a word adds to the gates is made once a window, however often it stands there, and so is its gradient."""
+    seen, by_gate = [], Model._by_gate
+    monkeypatch.setattr(Model, "_by_gate", lambda self, words: seen.append(words.tolist()) or by_gate(self, words))
+    source, model = np.random.default_rng(8), Model(small_vocabulary())
+    ids, before = source.choice([0, 3, 20, 21, 86], (WINDOW, 40)), np.full(40, 50)
+    mean_gradients(model, ids, np.zeros(ids.shape, bool), np.zeros((40, 32), np.float32), before)
+    assert seen == [sorted({50, *ids[:-1].ravel().tolist()})]
+
+
+def test_sums_of_runs():
+    source = np.random.default_rng(10)
+    for lengths in ([1], [400, 1, 2, 15, 16, 17, 14, 1, 3], [1, 1, 1], [16, 16], [15, 14]):
+        values = source.standard_normal((sum(lengths), 5))
+        runs, sums = lm._sums_of_runs(values, np.array(lengths))
+        expected = [part.sum(axis=0) for part in np.split(values, np.cumsum(lengths)[:-1])]
+        assert sorted(runs.tolist()) == list(range(len(lengths)))
+        assert all(np.allclose(sums[i], expected[run]) for i, run in enumerate(runs))
+
+
 def test_rounds_cover_every_training_text_once(spark):
     rows = [(i, " ".join(words(i, 5 + i % 60))) for i in range(500)] + [(500, "long " * 20_000), (501, "")]
     docs = spark.createDataFrame(rows, "_id long, _text string").withColumns(
