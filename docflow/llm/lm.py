@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docflow.llm.registry import query, table
 from docflow.llm.rows import held, tabled, with_row_key
-from docflow.llm.words import by_bytes, give_back, mix, split_words, strings, sums, thrifty, word_codes
+from docflow.llm.words import by_bytes, give_back, mix, split_words, stretches, strings, sums, thrifty, word_codes
 
 #: Words with an output of their own, and how many share a class; all others are one of `TAIL` kinds of rare word.
 WORDS, CLASS_WORDS, TAIL = 2048, 64, 16
@@ -66,8 +66,9 @@ class Vocabulary:
 
     def ids(self, words: pa.Array) -> np.ndarray:
         """Output of each word: first the kinds of rare words, then the frequent ones."""
-        found = np.asarray(pc.fill_null(pc.index_in(words, pa.array(self.words, words.type)), -1)).astype(np.int64)
-        rare, found = found < 0, found + TAIL
+        found = np.array(pc.fill_null(pc.index_in(words, pa.array(self.words, words.type)), -1), np.int32)
+        rare = found < 0
+        found += TAIL
         found[rare] = kinds(words.filter(pa.array(rare)))
         return found
 
@@ -316,7 +317,7 @@ class Model:
         grads[2][:, 2 * HIDDEN:] += of_own[:, :HIDDEN]
         # A word adds the same to the gates in all its places, so that its errors are summed first.
         order = np.argsort(fed.astype(np.min_scalar_type(len(self.class_of))), kind="stable")  # few words are sorted by counting
-        by_often, of_words = _sums_of_runs(errors[:, HIDDEN:].take(order, axis=0), times[words])
+        by_often, of_words = _sums_of_runs(errors[:, HIDDEN:][order], times[words])
         words = words[by_often]
         grads[1] += self.weights[0][words].T @ of_words
         grads[3] += of_words.sum(axis=0)
@@ -358,8 +359,9 @@ def _sums_of_runs(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray,
     lengths, starts = lengths[runs], (np.cumsum(lengths) - lengths)[runs]
     often = int(np.searchsorted(-lengths, -OFTEN, "right"))
     out = np.empty((len(runs), values.shape[1]), values.dtype)
+    ones = np.ones(int(lengths.max(initial=0)), values.dtype)
     for i, (at, n) in enumerate(zip(starts[:often].tolist(), lengths[:often].tolist())):
-        np.add.reduce(values[at:at + n], axis=0, out=out[i])
+        np.matmul(ones[:n], values[at:at + n], out=out[i])
     starts, out_few = starts[often:], out[often:]
     np.take(values, starts, axis=0, out=out_few, mode="clip")
     longer = np.searchsorted(-lengths[often:], -np.arange(OFTEN), "left").tolist()  # how many runs have more than so many rows
@@ -431,11 +433,14 @@ def _with_ends(vocabulary: Vocabulary, ids: np.ndarray, starts: np.ndarray) -> t
 def _dealt(words: pa.Array, buckets: int) -> np.ndarray:
     """Which bucket each word, of a byte at least, belongs to: a hash of its bytes and their places."""
     places = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
-    raw = np.frombuffer(words.buffers()[2], np.uint8)[places[0]:places[-1]]
-    starts = places[:-1] - places[0]
-    inside = np.arange(len(raw)) - np.repeat(starts, np.diff(places))
-    values = mix(np.arange(256), 1)[raw] * (mix(np.arange(64), 2) | np.uint64(1))[inside % 64]
-    return (mix(np.add.reduceat(values, starts), 3) % np.uint64(buckets)).astype(np.int64)
+    raw, lengths, out = np.frombuffer(words.buffers()[2], np.uint8), np.diff(places), np.empty(len(words), np.int64)
+    of_byte, of_place = mix(np.arange(256), 1), mix(np.arange(64), 2) | np.uint64(1)
+    for at, stop in stretches(lengths, 1 << 19):  # each byte takes many times its room
+        starts = places[at:stop] - places[at]
+        part = raw[places[at]:places[stop]]
+        inside = np.arange(len(part)) - np.repeat(starts, lengths[at:stop])
+        out[at:stop] = mix(np.add.reduceat(of_byte[part] * of_place[inside % 64], starts), 3) % np.uint64(buckets)
+    return out
 
 
 def _packed(words: pa.Array, counts: np.ndarray) -> bytes:
@@ -556,6 +561,7 @@ def fit(docs: DataFrame, found: Vocabulary, rounds: int = ROUNDS) -> Model:
                 texts = strings(batch.column(0))
                 for at, stop in by_bytes(texts, SLICE_BYTES):
                     ids, starts = _encoded(own.vocabulary, texts.slice(at, stop - at))
+                    give_back()  # the words are larger than all that training needs
                     own.train(ids, starts)
                     seen += len(ids)
             if seen:
@@ -626,10 +632,11 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         for at, stop in by_bytes(rows, SLICE_BYTES):
             words, word_starts = split_words(rows.slice(at, stop - at), lower=True)
             codes = np.asarray(pc.index_in(words, learnt))  # fails if a word is not there: the chunk's list has them all
+            del words
+            give_back()  # the texts' words are as large as all that scoring needs
             ids, starts = _with_ends(found, output[codes], word_starts)
             n_known, by_words, by_rare = (sums(of[codes], word_starts) for of in (c > 0, base, rare))
-            del words, codes
-            give_back()  # the texts' words are as large as all that scoring needs
+            del codes
             total = sums(own.score(ids, starts), starts) / np.log(10)
             if END not in found.words:
                 total += np.log10(1 / (found.tail_weight[0] + 1))

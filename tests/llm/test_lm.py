@@ -4,10 +4,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from brute import edge_rows, words
 from pyspark.sql import functions as F
 
-from docflow.llm import lm
+from docflow.llm import lm, words as word_module
 from docflow.llm.lm import END, TAIL, WINDOW, Model, Vocabulary, _streams, fit, kinds, score_texts
 
 
@@ -164,6 +165,29 @@ def test_a_window_works_on_each_word_once(monkeypatch):
     assert seen == [sorted({50, *ids[:-1].ravel().tolist()})]
 
 
+def test_words_are_coded_in_pieces(monkeypatch):
+    """The same codes and words in the same order, whatever the pieces, and no more text split at once."""
+    texts = pa.array([" ".join(words(i % 9, 5 + i % 60)) + " É\x0bB" for i in range(200)] + ["", " ", "b " * 900, ""], pa.large_string())
+    for some in (texts, texts.slice(3, 50), texts.slice(0, 0), texts.slice(200, 2)):
+        whole, split, sizes = word_module.word_codes(some, lower=True), word_module.split_words, []
+        with monkeypatch.context() as m:
+            m.setattr(word_module, "PIECE_BYTES", 500)
+            m.setattr(word_module, "split_words", lambda t, lower: sizes.append(pc.sum(pc.binary_length(t)).as_py()) or split(t, lower))
+            codes, starts, found = word_module.word_codes(some, lower=True)
+        values, expected_starts = split(some, lower=True)
+        assert found.equals(whole[2]) and codes.tolist() == whole[0].tolist() and starts.tolist() == expected_starts.tolist() == whole[1].tolist()
+        assert found.take(pa.array(codes, pa.int64())).equals(values) and all(n <= 500 or n == 1800 for n in sizes)
+
+
+def test_buckets_do_not_depend_on_pieces(monkeypatch):
+    some = pa.array([w for i in range(40) for w in words(i, 30)] + ["x" * 3000], pa.large_string())
+    whole = lm._dealt(some, 7)
+    stretches = lm.stretches
+    monkeypatch.setattr(lm, "stretches", lambda sizes, limit: stretches(sizes, 100))
+    assert lm._dealt(some, 7).tolist() == whole.tolist() and lm._dealt(some.slice(5, 30), 7).tolist() == whole[5:35].tolist()
+    assert set(whole.tolist()) == set(range(7))
+
+
 def test_sums_of_runs():
     source = np.random.default_rng(10)
     for lengths in ([1], [400, 1, 2, 15, 16, 17, 14, 1, 3], [1, 1, 1], [16, 16], [15, 14]):
