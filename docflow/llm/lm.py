@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docflow.llm.registry import query, table
 from docflow.llm.rows import held, tabled, with_row_key
-from docflow.llm.words import by_bytes, give_back, mix, split_words, stretches, strings, sums, thrifty, word_codes
+from docflow.llm.words import PIECE_BYTES, by_bytes, give_back, mix, split_words, stretches, strings, sums, thrifty, word_codes
 
 #: Words with an output of their own, and how many share a class; all others are one of `TAIL` kinds of rare word.
 WORDS, CLASS_WORDS, TAIL = 2048, 64, 16
@@ -44,13 +45,18 @@ BUCKET_BYTES = 32 << 20
 #: Sets of weights that are averaged in one task.
 FAN_IN = 32
 END = "\n"
+#: Four times the class of a length, and which bytes are punctuation.
+OF_LENGTH, PUNCTUATION = np.searchsorted([5, 9, 13], np.arange(14), "right") * 4, np.isin(np.arange(256), list(string.punctuation.encode()))
 
 
 def kinds(words: pa.Array) -> np.ndarray:
-    """Kind of rare word: by length, whether it is all ASCII, and whether it ends in punctuation."""
-    length = np.searchsorted([5, 9, 13], np.asarray(pc.utf8_length(words)), "right")
-    ascii_ = np.asarray(pc.equal(pc.utf8_length(words), pc.binary_length(words)))
-    return length * 4 + ascii_ * 2 + np.asarray(pc.match_substring_regex(words, "[!-/:-@\\[-`{-~]$"))
+    """Kind of rare word, of a byte at least: by length, whether it is all ASCII, and whether it ends in punctuation."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    places = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    last = np.frombuffer(words.buffers()[2], np.uint8)[places[1:] - 1]
+    length = np.asarray(pc.utf8_length(words))
+    return OF_LENGTH[np.minimum(length, len(OF_LENGTH) - 1)] + (length == np.diff(places)) * 2 + PUNCTUATION[last]
 
 
 @dataclass
@@ -198,13 +204,14 @@ class Model:
         grads[4] += more[:HIDDEN]
         grads[5] += more[HIDDEN]
         back = np.matmul(share.T, classes.T, out=self._space("back", n, HIDDEN))
-        more = np.zeros_like(all_words)
+        more, by_words = np.zeros_like(all_words), self._space("by words", n, HIDDEN)
         for start, stop, word_share, word_total, own in parts:
             word_share *= np.reciprocal(word_total)
             word_share[place[start:stop], columns[:stop - start]] -= 1
             for at, part, now in own:
                 np.matmul(rows[at].T, now.T, out=more[:, part])
-                back[at] += now.T @ words[:, part].T
+                np.matmul(now.T, words[:, part].T, out=by_words[at])
+        back += by_words
         grads[6] += more[:HIDDEN]
         grads[7] += more[HIDDEN]
         unsorted = self._space("unsorted", n, HIDDEN)
@@ -415,9 +422,14 @@ def _streams(flat: np.ndarray, starts: np.ndarray, streams: int, whole: bool = F
 
 
 def _encoded(vocabulary: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids with ends, and their starts."""
-    words, starts = split_words(texts, lower=True)
-    return _with_ends(vocabulary, vocabulary.ids(words), starts)
+    """Ids with ends, and their starts; a piece of the texts at a time, as words take more room than ids."""
+    parts, ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for at, stop in by_bytes(texts, PIECE_BYTES):
+        words, starts = split_words(texts.slice(at, stop - at), lower=True)
+        ids, starts = _with_ends(vocabulary, vocabulary.ids(words), starts)
+        parts.append(ids)
+        ends.append(ends[-1][-1] + starts[1:])
+    return np.concatenate(parts), np.concatenate(ends)
 
 
 def _with_ends(vocabulary: Vocabulary, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
