@@ -12,20 +12,34 @@ from docflow.operators.collections import compact_collection, update_collection,
 from docflow.operators.store import BUCKETS
 from docflow.plans.embedding import embed_hashed
 from docflow.session import remove_path, work_path
+from docflow.sources.files import with_contents
+from docflow.streaming.landing import landing
 
-#: Files of one batch. The driver plans a batch by the names of its files.
+#: Files of one batch.
 BATCH_FILES = 40_000
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def landed_files(spark: SparkSession, root: str, glob: str = "*", most: int = BATCH_FILES) -> DataFrame:
-    """A stream of the files below `root`, each seen once, the oldest first, in batches of at most `most` files."""
-    name = paths.file_name(F.col("path"))
-    files = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", glob).option("maxFilesPerTrigger", most).load(root))
-    return files.select(F.col("path").alias("file_path"), name.alias("file_name"),
-                        paths.splitext(name).alias("file_extension"),
-                        F.col("modificationTime").alias("last_modified"), F.col("length").alias("file_size"), "content")
+def landed_files(spark: SparkSession, root: str, glob: str = "*", most: int = BATCH_FILES, index: str | None = None) -> DataFrame:
+    """A stream of the files below `root`, each seen once, the oldest first, in batches of at most `most` files.
+
+    Tasks list the files, now and while a stream goes on, and write them to an
+    index below `index`, by default the shared folder; the stream's driver
+    handles parts of it. A stream that is started again needs the index it had;
+    with a `most` below a part's 1,000 files it has one of its own.
+
+    Where `pyarrow.fs` does not know the file system, it is Spark's own stream
+    of files, whose driver holds all names.
+    """
+    files = landing(spark, root, glob, most, index)
+    if not files.known():
+        name = paths.file_name(F.col("path"))
+        found = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true")
+                 .option("pathGlobFilter", glob).option("maxFilesPerTrigger", most).load(root))
+        return found.select(F.col("path").alias("file_path"), name.alias("file_name"), paths.splitext(name).alias("file_extension"),
+                            F.col("modificationTime").alias("last_modified"), F.col("length").alias("file_size"), "content")
+    files.refresh(spark)
+    return with_contents(files.stream(spark, most))
 
 
 def stream_ingest(files: DataFrame, to_nodes: Callable[[DataFrame], DataFrame], root: str, name: str,
@@ -50,7 +64,7 @@ def stream_update(files: DataFrame, to_docs: Callable[[DataFrame], DataFrame], c
     """
     def update(batch: DataFrame, number: int) -> None:
         path = work_path(batch.sparkSession, "batch")
-        # A scan of small files has a split for a few of them; in two tasks per core they become as many files.
+        # A batch may have many small splits; in two tasks per core they become as many files.
         batch.coalesce(2 * batch.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
         try:
             update_from(batch.sparkSession.read.schema(batch.schema).parquet(path), number)
