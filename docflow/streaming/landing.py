@@ -2,12 +2,18 @@
 
 Spark's stream of files lists them all in its driver and remembers every one.
 Here tasks list the folder, compare it with the index and write what is new, in
-parts of so many files; the driver gives these their names, one after the
-other, and a stream of the parts remembers parts.
+parts of so many files; the driver names these in their order, and a stream of
+the parts remembers parts.
+
+What a run adds is decided when its note in `_runs` is there, which is numbered
+and never overwritten: it says which parts get which names. A run that broke
+off after that is finished by the next one, and of two runs that began at the
+same note the second begins again, so no file is added twice.
 """
 
 from __future__ import annotations
 
+import json
 import logging
 import re
 import threading
@@ -23,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from docflow.operators.store import _files, give_name
+from docflow.operators.store import _files, write_once
 from docflow.session import remove_path, shared_dir, task_files, work_path
 from docflow.sources.files import list_files, qualified
 
@@ -52,12 +58,7 @@ class Landing:
         return True
 
     def refresh(self, spark: SparkSession) -> int:
-        """Add the files that the index lacks, the oldest first; returns how many.
-
-        A run that broke off may have added the first parts, and the next one
-        adds the rest. Of two runs at a time the one that finds a name taken
-        begins again, so no file is added twice.
-        """
+        """Add the files that the index lacks, the oldest first; returns how many."""
         while True:
             try:
                 return self._add(spark)
@@ -78,16 +79,20 @@ class Landing:
             return [self.root]
         return [status.getPath().toString() for status in files.globStatus(path) or ()]
 
+    def _numbered(self, spark: SparkSession, names: str):
+        """What there is below `place` under numbers, in their order."""
+        files, path = _files(spark, re.sub(r"([\[\]{}*?\\])", r"\\\1", self.place) + f"/{names}")
+        return files.globStatus(path)
+
     def _add(self, spark: SparkSession) -> int:
-        files, place = _files(spark, self.place)
-        files.mkdirs(place)
-        escaped = re.sub(r"([\[\]{}*?\\])", r"\\\1", self.place)
-        held = files.globStatus(_files(spark, f"{escaped}/[0-9]*.parquet")[1])  # in the order of their names
-        tops = self._tops(spark)
+        files, notes = _files(spark, f"{self.place}/_runs")
+        files.mkdirs(notes)
+        run = self._finish(spark) + 1
+        held, tops = self._numbered(spark, "[0-9]*.parquet"), self._tops(spark)
         if not tops:
             return 0
-        listed, stage = work_path(spark, "listed"), f"{self.place}/_{uuid.uuid4().hex}"
-        files.mkdirs(_files(spark, stage)[1])
+        listed, stage, noted = work_path(spark, "listed"), f"_{uuid.uuid4().hex}", False
+        files.mkdirs(_files(spark, f"{self.place}/{stage}")[1])
         try:
             # The pattern that Spark's scans test names with, as a regular expression.
             names = spark._jvm.org.apache.hadoop.fs.GlobPattern(self.glob).compiled().pattern()
@@ -95,26 +100,56 @@ class Landing:
                 F.col("file_path").alias("path"), F.col("last_modified").alias("modified"), F.col("file_size").alias("length"))
             if len(held):  # a small table of names on storage is large in memory, so it is not sent to all tasks
                 found = found.join(spark.read.schema(PART).parquet(self.place).select("path").hint("merge"), "path", "left_anti")
-            order = ["modified", "path"]
-            parts = (found.select("path", *order[:1], "length").repartitionByRange(*order).sortWithinPartitions(*order)
-                     .mapInArrow(_part_writer(stage, self.part_files), "task int, number int, name string, files long").collect())
-            last = held[len(held) - 1] if len(held) else None
-            number = int(last.getPath().getName().removesuffix(".parquet")) if last else 0
-            self._publish(spark, stage, sorted(parts), number, max(last.getModificationTime() + 1 if last else 0, int(time.time() * 1000)))
+            parts = sorted(found.select("path", "modified", "length").repartitionByRange("modified", "path").sortWithinPartitions("modified", "path")
+                           .mapInArrow(_part_writer(f"{self.place}/{stage}", self.part_files), "task int, number int, name string, files long").collect())
+            if parts:
+                last = held[len(held) - 1].getModificationTime() if len(held) else 0
+                self._date(spark, [f"{self.place}/{stage}/{part.name}" for part in parts], max(last + 1, int(time.time() * 1000)))
+                write_once(spark, f"{self.place}/_runs", f"{run:012d}.json", json.dumps({"stage": stage, "first": len(held) + 1, "parts": [p.name for p in parts]}))
+                noted = True
+                self._finish(spark)
             return sum(part.files for part in parts)
         finally:
             remove_path(spark, listed)
+            if not noted:
+                remove_path(spark, f"{self.place}/{stage}")
+
+    def _date(self, spark: SparkSession, parts: list[str], at: int) -> None:
+        """Streams take files by their time, so each part gets a later one, from `at` on."""
+        for k, part in enumerate(parts):
+            files, path = _files(spark, part)
+            files.setTimes(path, at + k, -1)
+            if not k and files.getFileStatus(path).getModificationTime() != at:
+                raise RuntimeError(f"{self.place}: files keep no times there, by which a stream would read them in their order")
+
+    def _finish(self, spark: SparkSession) -> int:
+        """Give the parts of the last noted run their names, if they lack them; returns the run's number."""
+        notes = self._numbered(spark, "_runs/[0-9]*.json")
+        if not len(notes):
+            return 0
+        files, path = _files(spark, notes[len(notes) - 1].getPath().toString())
+        stream = files.open(path)
+        try:
+            note = json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+        stage = f"{self.place}/{note['stage']}"
+        if files.exists(_files(spark, stage)[1]):
+            for number, name in enumerate(note["parts"], note["first"]):
+                _move(spark, f"{stage}/{name}", f"{self.place}/{number:012d}.parquet")
             remove_path(spark, stage)
+        return len(notes)
 
-    def _publish(self, spark: SparkSession, stage: str, parts: list, number: int, at: int) -> None:
-        """Name the parts by the numbers after `number`. Streams take files by their time, so each gets a later one, from `at` on."""
-        for part in parts:
-            files, aside = _files(spark, f"{stage}/{part.name}")
-            files.setTimes(aside, at, -1)
-            if files.getFileStatus(aside).getModificationTime() != at:
-                raise RuntimeError(f"{self.place}: files keep no times there, by which a stream would read them in their order")
-            number, at = number + 1, at + 1
-            give_name(spark, aside.toString(), f"{self.place}/{number:012d}.parquet")
+
+def _move(spark: SparkSession, path: str, name: str) -> None:
+    """Rename a file if another run has not done so; no process is started for it, as it would be by what checks names."""
+    (files, source), target = _files(spark, path), _files(spark, name)[1]
+    try:
+        if files.exists(source) and not files.rename(source, target):
+            raise OSError(f"cannot rename {path}")
+    except Exception:  # noqa: BLE001  (the gateway wraps what Java throws)
+        if files.exists(source) or not files.exists(target):
+            raise
 
 
 def landing(spark: SparkSession, root: str, glob: str, most: int, index: str | None = None) -> Landing:
@@ -190,13 +225,23 @@ def _follow(spark: SparkSession, query_id: str) -> None:
     followed = [of for place, of in list(_LANDINGS.items()) if place.removeprefix("file://").rsplit("/", 1)[-1] in plan]
     if not followed:
         return
-    pause = float(getattr(running.trigger(), "intervalMs", lambda: 0)()) / 1000 if kind.startswith("ProcessingTime") else 0.0
-    while query.isActive:
+    pause = running.trigger().intervalMs() / 1000 if kind.startswith("ProcessingTime") else 0
+    while _active(query):
         began = time.monotonic()
         for of in followed:
             try:
                 of.refresh(spark)
             except Exception:  # noqa: BLE001  (the folder may be back next time; the stream has what was found before)
-                if query.isActive:
+                if _active(query):
                     logging.getLogger(__name__).exception("cannot list %s", of.root)
-        query.awaitTermination(max(pause, LOOK_S, time.monotonic() - began))
+        took = time.monotonic() - began
+        # Triggers come at multiples of their interval, and the next look ends before the next one.
+        left = pause - time.time() % pause - 2 * took - LOOK_S if pause else 0
+        time.sleep(max(LOOK_S, took, left))
+
+
+def _active(query) -> bool:
+    try:
+        return query.isActive
+    except Exception:  # noqa: BLE001  (the session is gone)
+        return False

@@ -100,25 +100,30 @@ def test_a_broken_listing_is_made_whole_and_none_is_made_twice(spark, tmp_path,
     names = [f"{i}.txt" for i in range(35)]
     land(tmp_path / "in", names)
     index = landing.landing(spark, str(tmp_path / "in"), "*", 10, str(tmp_path))
-    given, name_part = [], landing.give_name
+    moved, move, write_once = [], landing._move, landing.write_once
 
-    def breaks(spark, aside, name):
-        if len(given) == 2:
+    def breaks(spark, path, name):
+        if len(moved) == 2:
             raise RuntimeError("lost")
-        given.append(name)
-        name_part(spark, aside, name)
+        moved.append(name)
+        move(spark, path, name)
 
-    monkeypatch.setattr(landing, "give_name", breaks)
+    monkeypatch.setattr(landing, "_move", breaks)
     with pytest.raises(RuntimeError, match="lost"):
         index.refresh(spark)
     assert spark.read.parquet(index.place).count() == 20
+    monkeypatch.setattr(landing, "_move", move)
+    assert index.refresh(spark) == 0
+    assert spark.read.parquet(index.place).count() == 35
 
-    def another_is_first(spark, aside, name):
-        monkeypatch.setattr(landing, "give_name", name_part)
-        assert index.refresh(spark) == 15
-        name_part(spark, aside, name)
+    def another_is_first(*note):
+        monkeypatch.setattr(landing, "write_once", write_once)
+        assert index.refresh(spark) == 3
+        write_once(*note)
 
-    monkeypatch.setattr(landing, "give_name", another_is_first)
+    late = [f"late {i}.txt" for i in range(3)]
+    land(tmp_path / "in", late)
+    monkeypatch.setattr(landing, "write_once", another_is_first)
     assert index.refresh(spark) == 0
-    assert sorted(r.path.rsplit("/", 1)[1] for r in spark.read.parquet(index.place).collect()) == sorted(names)
-    assert all(p.name[0].isdigit() or p.name.startswith(".") for p in Path(index.place).iterdir())
+    assert sorted(r.path.rsplit("/", 1)[1] for r in spark.read.parquet(index.place).collect()) == sorted([*names, *late])
+    assert sorted(p.name for p in Path(index.place).iterdir() if p.name[0] != ".") == [*(f"{k:012d}.parquet" for k in range(1, 6)), "_runs"]
